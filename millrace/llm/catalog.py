@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, licenses, sharding
+from millrace.llm import chat, decontaminate, exact_dedup, licenses, sharding
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_feistel_sharding": sharding.op3_feistel_sharding,
+    "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op10_license_scan": licenses.op10_license_scan,
 }
 
 ORACLES = {
     "op1_chat_formatting": chat.OP1_SQL,
+    "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op4_benchmark_decontamination": decontaminate.OP4_SQL,
     "op10_license_scan": licenses.OP10_SQL,
 }
