@@ -56,32 +56,25 @@ TEMPLATES = (
 BLOCK, STRIDE, MAX_TEMPLATE_WORDS = 48, 24, 20_000
 
 
-def _lowered_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
+def lowered(text: Column) -> Column:
+    """``lower`` of ASCII letters. Of other characters only two have a lower case with an
+    ASCII letter in it (Kelvin sign, dotted capital I); they are kept out of its way."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u0138")), F.lit("\u0130"), F.lit("\u0131")))
 
 
-def _phrase_regex(words: list[str]) -> str:
-    return rf"(?<![^{CHARS}])" + f"[{CHARS}]+".join(words) + rf"(?![^{CHARS}])"
-
-
-def with_places(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
-    """Adds ``n_words`` and ``places``: the label and start word of every occurrence of a
-    phrase. A regex that finds the same occurrences spares most texts the word array."""
-    any_phrase = "(?i)" + "|".join(f"(?:{_phrase_regex(p.split())})" for p in phrases)
-    has = docs.withColumn("has", F.col("text").rlike(any_phrase))
-    listed = has.withColumn("words", F.when(F.col("has"), _lowered_words(F.col("text"))))
+def phrase_places(words: str, phrases: dict[str, str]) -> Column:
+    """Label and start word of every occurrence of a phrase in an array of words. Only
+    arrays that hold all words of a phrase are looked through place by place."""
+    none = F.expr("cast(array() as array<struct<label:string,at:bigint>>)")
 
     def places_of(phrase: str, label: str) -> Column:
         parts = phrase.split()
-        stands = lambda i: reduce(and_, [F.get("words", i + k).eqNullSafe(p) for k, p in enumerate(parts)])
-        starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), stands)
-        return F.transform(starts, lambda i: F.struct(F.lit(label).alias("label"), i.cast("long").alias("at")))
+        stands = lambda i: reduce(and_, [F.get(words, i + k).eqNullSafe(p) for k, p in enumerate(parts)])
+        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), stands)
+        all_there = reduce(and_, [F.array_contains(words, p) for p in parts])
+        return F.when(all_there, F.transform(starts, lambda i: F.struct(F.lit(label).alias("label"), i.cast("long").alias("at")))).otherwise(none)
 
-    found = [places_of(p, label) for p, label in phrases.items()]
-    none = F.expr("cast(array() as array<struct<label:string,at:bigint>>)")
-    places = F.when(F.col("has") & (F.size("words") > 0), F.concat(*found)).otherwise(none)
-    count = F.when(F.col("has"), F.size("words")).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long")
-    return listed.select(*docs.columns, count.alias("n_words"), places.alias("places"))
+    return F.concat(*[places_of(p, label) for p, label in phrases.items()])
 
 
 def template_table(spark: SparkSession, templates: tuple, order: list[str], threshold: float) -> DataFrame:
@@ -95,14 +88,11 @@ def template_table(spark: SparkSession, templates: tuple, order: list[str], thre
     return spark.createDataFrame(rows, "token string, t_at int, label string, t_size int, need int, t_words array<string>")
 
 
-def template_blocks(text: Column, vocabulary: list[str], least: int) -> Column:
-    """The template words of every block of a text that has ``least`` of them."""
+def template_blocks(lines: str, vocabulary: list[str], least: int) -> Column:
+    """The template words of every block that has ``least`` of them, from words by line."""
     vocab = F.array(*[F.lit(w) for w in vocabulary])
-    lines = F.filter(F.split(F.translate(text, UPPER, LOWER), "\n"), lambda x: x != "")
-    words = F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0)))
-    worth = F.filter(words, lambda w: F.size(F.array_intersect(vocab, w)) >= least)
     windows = F.transform(
-        worth,
+        F.filter(lines, lambda w: F.size(w) >= least),
         lambda w: F.when(F.size(w) <= BLOCK, F.array(w)).otherwise(
             F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - STRIDE, F.lit(1)), F.lit(STRIDE)), lambda at: F.slice(w, at, BLOCK))
         ),
@@ -123,8 +113,10 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, templates: t
         raise ValueError(f"{len(vocabulary)} template words; at most {MAX_TEMPLATE_WORDS} are shared out")
     least = min(math.ceil(threshold * len(set(t.split())) - 1e-9) for _, t in templates)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    placed = with_places(rows, phrases).withColumn("blocks", template_blocks(F.col("text"), vocabulary, least))
-    base = durable(placed.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n_words", "places", "blocks"))
+    by_line = F.transform(F.split(lowered(F.col("text")), "\n"), lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0)))
+    worded = rows.select("doc_id", by_line.alias("lines")).select("doc_id", "lines", F.flatten("lines").alias("words"))
+    placed = worded.select("doc_id", F.size("words").cast("long").alias("n_words"), phrase_places("words", phrases).alias("places"), template_blocks("lines", vocabulary, least).alias("blocks"))
+    base = durable(placed.select(F.monotonically_increasing_id().alias("rid"), "*"))
 
     # corpus-wide frequency of each template word: at most one row a word comes back
     seen = base.select(F.explode("blocks").alias("b")).select(F.explode("b").alias("token")).groupBy("token").count()
