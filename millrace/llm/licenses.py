@@ -32,7 +32,7 @@ from millrace.session import durable, table
 
 #: Word characters of the contract, in either case.
 CHARS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
-WORD = f"[^{CHARS}]+"
+WORD, GAP = f"[^{CHARS}]+", f"[{CHARS}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Base phrases and their labels.
@@ -113,7 +113,7 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, templates: t
         raise ValueError(f"{len(vocabulary)} template words; at most {MAX_TEMPLATE_WORDS} are shared out")
     least = min(math.ceil(threshold * len(set(t.split())) - 1e-9) for _, t in templates)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    by_line = F.transform(F.split(lowered(F.col("text")), "\n"), lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0)))
+    by_line = F.transform(F.split(lowered(F.col("text")), "\n"), lambda x: F.array_remove(F.split(x, GAP), ""))
     worded = rows.select("doc_id", by_line.alias("lines")).select("doc_id", "lines", F.flatten("lines").alias("words"))
     placed = worded.select("doc_id", F.size("words").cast("long").alias("n_words"), phrase_places("words", phrases).alias("places"), template_blocks("lines", vocabulary, least).alias("blocks"))
     base = durable(placed.select(F.monotonically_increasing_id().alias("rid"), "*"))
