@@ -7,10 +7,7 @@ windows and a rest; other documents stay in one piece. What is open at a task's
 passed on as whole windows, and these leftovers are merged by the same rule, ``FAN_IN``
 partitions at a time and level by level, so no task gathers all of them.
 
-Token ids come from the tokenizer file, unit by unit: a unit is a run of spaces and line
-feeds with the run of other characters after it, where the tokenizer's own pattern always
-breaks, so ids of repeated units are remembered. Texts with other white space go through
-the tokenizer whole.
+Token ids come from a tokenizer file that every worker reads by its path.
 
 Edge cases: null and empty texts are the closing id alone; repeated rows are packed each;
 a text of any length is cut, never shortened; an empty table gives an empty result; other
@@ -19,8 +16,8 @@ columns pass by unread.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -32,44 +29,49 @@ from pyspark.sql import functions as F
 
 from millrace.session import durable, table
 
-#: White space besides space and line feed; near it units could break elsewhere.
-OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
-UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-
-#: Units remembered by a worker, and the partitions whose leftovers one task merges.
-REMEMBERED, FAN_IN = 200_000, 32
+#: Partitions whose leftovers one task merges.
+FAN_IN = 32
 
 CLOSING = np.zeros(1, "<u4").tobytes()
 
+#: Fixed value: how byte-level BPE files of this kind split a text before merging.
+BYTE_LEVEL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _byte_level_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Ids by token bytes of a plain byte-level BPE file; None for any other kind."""
+    before, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if not plain or spec.get("normalizer") or spec.get("post_processor") or model.get("type") != "BPE":
+        return None
+    # printable Latin-1 bytes stand for themselves, the others for characters from 256 on
+    shown = [b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173]
+    hidden = [b for b in range(256) if b not in shown]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    return {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+
 
 class Encoder:
-    """Text to little-endian unsigned 32-bit ids, remembering units."""
+    """Text to little-endian unsigned 32-bit ids of a tokenizer file; strings of special
+    tokens are ordinary text. Plain byte-level BPE runs on a faster engine with the same
+    ids (tests hold them against the library that the file is for)."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        if OTHER_SPACE.search(text):
-            return self._ids([text])[0]
-        units = UNIT.findall(text)
-        try:
-            return b"".join([self.known[u] for u in units])
-        except KeyError:
-            pass
-        fresh = list(set(units) - self.known.keys())
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = list(set(units))
-        self.known.update(zip(fresh, self._ids(fresh), strict=True))
-        return b"".join([self.known[u] for u in units])
+        with open(path, encoding="utf-8") as f:
+            ranks = _byte_level_ranks(json.load(f))
+        if ranks:
+            import tiktoken
+
+            own = tiktoken.Encoding("file", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
+            self.encode = lambda text: own.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        else:
+            from tokenizers import Tokenizer
+
+            slow = Tokenizer.from_file(path)
+            slow.encode_special_tokens = True
+            self.encode = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
