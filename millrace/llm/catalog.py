@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, decontaminate, exact_dedup, licenses, packing, sharding, simhash
+from millrace.llm import chat, decontaminate, exact_dedup, licenses, packing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_feistel_sharding": sharding.op3_feistel_sharding,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
+    "op5_quality_classifier": quality.op5_quality_classifier,
     "op7_packing": packing.op7_packing,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_license_scan": licenses.op10_license_scan,
 }
