@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from millrace.llm import chat, decontaminate, exact_dedup, licenses, packing, quality, sharding, simhash, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_feistel_sharding": sharding.op3_feistel_sharding,
@@ -22,3 +24,6 @@ ORACLES = {
     "op4_benchmark_decontamination": decontaminate.OP4_SQL,
     "op10_license_scan": licenses.OP10_SQL,
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

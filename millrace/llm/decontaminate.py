@@ -168,60 +168,63 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+def hits_udf(spark: SparkSession, ids: list, texts: list, window: int, id_type: str):
+    """Arrow UDF: text to (n_words, spans, items) for some benchmark items."""
+    shared = spark.sparkContext.broadcast((ids, pattern_sets(texts, window)))
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    kind = pa.string() if id_type == "string" else pa.int64()
+    shape = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(span)), ("items", pa.list_(kind))])
+
+    @F.arrow_udf(f"n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<{id_type}>")
+    def hits(column: pa.Array) -> pa.Array:
+        names, sets = shared.value
+        rows = []
+        for n_words, spans, items in search_batch(column, sets):
+            rows.append({"n_words": n_words, "spans": [{"start": a, "end": b} for a, b in spans], "items": [names[i] for i in items if names[i] is not None]})
+        return pa.array(rows, shape)
 
+    return hits
 
-def _one_pass(keyed: DataFrame, ids: list, texts: list, window: int, id_type: str) -> DataFrame:
-    """``keyed`` (its columns but text) with n_words, spans and items for some items."""
-    sc = keyed.sparkSession.sparkContext
-    shared = sc.broadcast((ids, pattern_sets(texts, window)))
-    keep = [c for c in keyed.columns if c != "text"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, sets = shared.value
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            found = list(search_batch(texts, sets))
-            spans = [[{"start": a, "end": b} for a, b in f[1]] for f in found]
-            items = [[names[i] for i in f[2] if names[i] is not None] for f in found]
-            kind = pa.list_(pa.string() if id_type == "string" else pa.int64())
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([f[0] for f in found], pa.int64()), pa.array(spans, SPANS), pa.array(items, kind)], [*keep, "n_words", "spans", "items"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema if f.name != "text")
-    return keyed.mapInArrow(run, f"{kinds}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<{id_type}>")
-
-
-def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: list[str] | None = None, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
-    """One row a document: doc_id, n_words, hit ``spans`` of words, ``items`` found; and
-    the columns named in ``carry``."""
+def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_item_bytes: int = MAX_ITEM_BYTES, extra: bool = False) -> DataFrame:
+    """One row a document: doc_id, text, n_words, hit ``spans`` of words, ``items`` found;
+    with ``extra`` the other columns of ``docs`` too, but for those of a result's name."""
+    spark = docs.sparkSession
     item_rows = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
-    kind = dict(item_rows.dtypes)["item_id"]
-    id_type = "string" if kind == "string" else "bigint"
+    id_type = "string" if dict(item_rows.dtypes)["item_id"] == "string" else "bigint"
     named = item_rows.select(F.col("item_id").cast(id_type).alias("item_id"), "text")
-    keyed = docs.select(F.col(id_col).alias("doc_id"), *[c for c in carry or [] if c not in ("doc_id", "text")], F.col(text_col).alias("text"))
+    others = [c for c in docs.columns if extra and c not in {id_col, text_col, "doc_id", "text", "n_words", "spans", "items", "hits", "rid"}]
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *others)
+
+    def one_pass(rows: DataFrame, block: DataFrame) -> DataFrame:
+        got = block.collect()  # within max_item_bytes
+        hits = hits_udf(spark, [r["item_id"] for r in got], [r["text"] for r in got], window, id_type)
+        return rows.withColumn("hits", hits("text")).select(*rows.columns, "hits.*")
 
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-total // max_item_bytes))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
-    fetch = lambda k: named.where(block == k).collect() if n_blocks > 1 else named.collect()
-    if n_blocks == 1:
-        got = fetch(0)
-        return _one_pass(keyed, [r["item_id"] for r in got], [r["text"] for r in got], window, id_type)
+    n_blocks = -(-total // max_item_bytes)
+    if n_blocks <= 1:
+        return one_pass(keyed, named)
 
     rows = durable(keyed.withColumn("rid", F.monotonically_increasing_id()))
     part = None
     for k in range(n_blocks):
-        got = fetch(k)
-        hits = _one_pass(rows.select("rid", "text"), [r["item_id"] for r in got], [r["text"] for r in got], window, id_type)
-        hits = hits if k == 0 else hits.where(F.size("spans") > 0)
-        part = hits if part is None else part.unionByName(hits)
+        block = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
+        hits = one_pass(rows.select("rid", "text"), block).drop("text")
+        part = hits if part is None else part.unionByName(hits.where(F.size("spans") > 0))
     whole = part.groupBy("rid").agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    join = lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.array_append(acc, s))
-    spans = F.aggregate("found", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), join)
-    return rows.drop("text").join(whole, "rid").select(*[c for c in keyed.columns if c != "text"], "n_words", spans.alias("spans"), "items")
+
+    def union(acc, s):
+        """Fold sorted spans into disjoint ones."""
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        touches = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= s["start"])
+        return F.when(touches, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.array_append(acc, s))
+
+    spans = F.aggregate("found", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), union)
+    return rows.join(whole, "rid").select("doc_id", "text", *others, "n_words", spans.alias("spans"), "items")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,6 +126,19 @@ def _shared_if_small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= MAX_SHARED else keys
 
 
+def keep_decided(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that a decision (doc_id, text_sha256, kept) lets stay. Rows equal in
+    id and text share their decisions: as one of them where any is kept, else none."""
+    per_row = decided.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("rows"))
+    touched = durable(per_row.where(~F.col("stays") | (F.col("rows") > 1)).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("stays").alias("__stays")))
+    hashed = docs.withColumn("__text", F.sha2(F.coalesce("text", F.lit("")), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__sha"))
+    marked = hashed.join(_shared_if_small(touched), same, "left")
+    untouched = marked.where(F.col("__sha").isNull()).select(*docs.columns)
+    one_of = marked.where(F.col("__stays")).dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    return untouched.unionByName(one_of)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and the row of equal text that stays."""
     return dedup(table(spark, sf_dir, "documents"))

@@ -107,22 +107,22 @@ def train(docs: DataFrame, labels: DataFrame, usable, *, label_col: str = "quali
     return calibrated(model, binned(x[pos], edges), binned(x[neg], edges), prior), edges
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1, carry: list[str] | None = None) -> DataFrame:
-    """docs (doc_id, text) with held_out and score; plus the columns in ``carry``."""
-    apart = held_out("doc_id", folds, fold)
-    model, edges = train(docs, labels, ~apart)
-    shared = docs.sparkSession.sparkContext.broadcast((model, edges))
+def quality_scorer(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1):
+    """Function from a text column to its score, learnt from ``docs`` and ``labels`` outside
+    the held-out fold."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, ~held_out("doc_id", folds, fold)))
 
     @F.arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
         own, cut = shared.value
         return pa.array(own.score(binned(measures(texts), cut)).astype(float))
 
-    keep = [c for c in carry or [] if c not in ("doc_id", "held_out", "score")]
-    return docs.select("doc_id", *keep, apart.alias("held_out"), score("text").alias("score"))
+    return score
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
-    scored = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents")
+    score = quality_scorer(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), score("text").alias("score"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

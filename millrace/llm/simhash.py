@@ -156,16 +156,17 @@ def links(fingerprints: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, fp (signed 64-bit), component_id."""
+    """One row a document: doc_id, text_sha256, fp (signed 64-bit), component_id."""
     fingerprint = fingerprint_udf(shingle)
-    rows = durable(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", fingerprint("text").alias("fp")))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = durable(texts.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), fingerprint("text").alias("fp")))
     nodes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # only components of several fingerprints need a further minimum
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "text_sha256", "fp", "component_id")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
