@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import chat, decontaminate, exact_dedup, licenses, packing, quality, sharding, simhash, toxicity
+from millrace.llm import chaining, chat, decontaminate, exact_dedup, licenses, packing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -12,6 +12,7 @@ QUERIES = {
     "op3_feistel_sharding": sharding.op3_feistel_sharding,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op5_quality_classifier": quality.op5_quality_classifier,
+    "op6_substring_dedup": chaining.op6_substring_dedup,
     "op7_packing": packing.op7_packing,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
