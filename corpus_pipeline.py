@@ -38,8 +38,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"), extra=True)
-    return found.where(F.size("spans") == 0).select(*docs.columns)
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), prefix="__")
+    return found.where(F.size("__spans") == 0).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

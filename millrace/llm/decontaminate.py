@@ -186,15 +186,16 @@ def hits_udf(spark: SparkSession, ids: list, texts: list, window: int, id_type:
     return hits
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_item_bytes: int = MAX_ITEM_BYTES, extra: bool = False) -> DataFrame:
-    """One row a document: doc_id, text, n_words, hit ``spans`` of words, ``items`` found;
-    with ``extra`` the other columns of ``docs`` too, but for those of a result's name."""
+def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_item_bytes: int = MAX_ITEM_BYTES, prefix: str | None = None) -> DataFrame:
+    """One row a document: doc_id, text, n_words, hit ``spans`` of words, ``items`` found.
+    With a ``prefix`` the row keeps all columns of ``docs``, and the three results carry it
+    before their names."""
     spark = docs.sparkSession
     item_rows = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     id_type = "string" if dict(item_rows.dtypes)["item_id"] == "string" else "bigint"
     named = item_rows.select(F.col("item_id").cast(id_type).alias("item_id"), "text")
-    others = [c for c in docs.columns if extra and c not in {id_col, text_col, "doc_id", "text", "n_words", "spans", "items", "hits", "rid"}]
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *others)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text")) if prefix else docs.select(F.struct(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).alias("row"), F.col(text_col).alias("text"))
+    named_as = lambda found: found.select("row.*", *[F.col(c).alias((prefix or "") + c) for c in ("n_words", "spans", "items")])
 
     def one_pass(rows: DataFrame, block: DataFrame) -> DataFrame:
         got = block.collect()  # within max_item_bytes
@@ -204,7 +205,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = -(-total // max_item_bytes)
     if n_blocks <= 1:
-        return one_pass(keyed, named)
+        return named_as(one_pass(keyed, named))
 
     rows = durable(keyed.withColumn("rid", F.monotonically_increasing_id()))
     part = None
@@ -224,7 +225,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col
         return F.when(touches, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.array_append(acc, s))
 
     spans = F.aggregate("found", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), union)
-    return rows.join(whole, "rid").select("doc_id", "text", *others, "n_words", spans.alias("spans"), "items")
+    return named_as(rows.join(whole, "rid").withColumn("spans", spans))
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
