@@ -183,7 +183,7 @@ def hits_udf(spark: SparkSession, ids: list, texts: list, window: int, id_type:
             rows.append({"n_words": n_words, "spans": [{"start": a, "end": b} for a, b in spans], "items": [names[i] for i in items if names[i] is not None]})
         return pa.array(rows, shape)
 
-    return hits
+    return hits.asNondeterministic()
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_item_bytes: int = MAX_ITEM_BYTES, prefix: str | None = None) -> DataFrame:

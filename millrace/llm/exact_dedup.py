@@ -92,7 +92,7 @@ def fingerprint_udf(primes: tuple[int, int] = PRIMES):
         high, low, _ = fingerprints(texts, primes)
         return pa.array(((high << np.uint64(32)) | low).view(np.int64))
 
-    return fingerprint
+    return fingerprint.asNondeterministic()
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", primes: tuple[int, int] = PRIMES) -> DataFrame:

@@ -90,7 +90,7 @@ def measure_udf():
         x = measures(texts)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_MEASURES, pa.int32()), pa.array(x.reshape(-1)))
 
-    return measure
+    return measure.asNondeterministic()
 
 
 def train(docs: DataFrame, labels: DataFrame, usable, *, label_col: str = "quality", max_pos: int = MAX_POSITIVES, max_unl: int = MAX_UNLABELLED) -> tuple[Linear, np.ndarray]:
@@ -117,7 +117,7 @@ def quality_scorer(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold:
         own, cut = shared.value
         return pa.array(own.score(binned(measures(texts), cut)).astype(float))
 
-    return score
+    return score.asNondeterministic()
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

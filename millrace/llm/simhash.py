@@ -66,7 +66,7 @@ def fingerprint_udf(shingle: int):
     def fingerprint(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint_of(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64))
 
-    return fingerprint
+    return fingerprint.asNondeterministic()
 
 
 def neighbours(front: np.ndarray, rest: np.ndarray, free_bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -17,8 +17,9 @@ WORD_BYTE[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-#: Bytes that one numpy pass looks at; temporaries take some 40 times as much.
-PIECE = 2 << 20
+#: Bytes that one numpy pass looks at; temporaries take some 60 times as much. UDFs are
+#: marked as not deterministic, lest the planner evaluate one twice in a task.
+PIECE = 1 << 19
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
