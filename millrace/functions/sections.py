@@ -1,0 +1,70 @@
+"""Splitting a job text into duties and requirements: a small per-row helper for the two
+order-dependent scanners, applied in Arrow batches."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+# fixed values: headings by the section that they open
+DUTY_HEADINGS = ("岗位职责", "工作职责", "职位职责", "职位描述", "工作内容", "岗位描述", "主要职责", "Responsibilities", "Job Description", "Duties", "What you will do")
+REQUIREMENT_HEADINGS = ("任职要求", "任职资格", "岗位要求", "职位要求", "应聘要求", "招聘要求", "Requirements", "Qualifications", "Skills", "What you need")
+STOP_HEADINGS = ("薪资福利", "福利待遇", "工作地点", "联系方式", "公司介绍", "投递方式", "Benefits", "Location", "About us")
+
+#: Label, value pairs that may stand anywhere; the value runs to the next label.
+LABELS = {
+    "title": ("职位名称", "岗位名称", "Job Title"),
+    "work_location": ("工作地点", "工作地", "工作城市", "办公地点", "办公地址", "所在城市", "Location"),
+    "education": ("学历要求", "学历", "Education"),
+    "headcount": ("招聘人数", "需求人数", "Headcount"),
+    "salary_range": ("薪资范围", "薪资", "Salary"),
+    "open_at": ("发布时间", "发布日期", "开放时间", "Posted"),
+    "deadline": ("截止时间", "截止日期", "Deadline"),
+    "recruit_type": ("招聘类别", "招聘类型"),
+    "category": ("职位类别", "岗位类别", "Category"),
+}
+
+
+def _alternation(words: tuple[str, ...]) -> str:
+    return "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
+
+
+_HEADING = re.compile(rf"^[ \t【\[#*]*(?:(?P<d>{_alternation(DUTY_HEADINGS)})|(?P<r>{_alternation(REQUIREMENT_HEADINGS)})|(?P<s>{_alternation(STOP_HEADINGS)}))[】\]:：* \t]*(?P<rest>.*)$", re.I | re.M)
+_LABEL = re.compile("(?:" + "|".join(f"(?P<{k}>{_alternation(v)})" for k, v in LABELS.items()) + r")\s*[:：]\s*", re.I)
+
+
+def split_text(text: str | None) -> tuple[str | None, str | None]:
+    """(duties, requirements); text before any heading belongs to the duties."""
+    parts: dict[str, list[str]] = {"d": [], "r": [], "s": []}
+    at, now = 0, "d"
+    for m in _HEADING.finditer(text or ""):
+        parts[now].append((text or "")[at : m.start()])
+        now = m.lastgroup if m.lastgroup != "rest" else next(k for k in "drs" if m.group(k))
+        parts[now].append(m.group("rest"))
+        at = m.end()
+    parts[now].append((text or "")[at:])
+    joined = {k: "\n".join(x.strip() for x in v if x.strip()) for k, v in parts.items()}
+    return joined["d"] or None, joined["r"] or None
+
+
+def labelled(text: str | None) -> dict[str, str]:
+    """Values by field; the first value of a field stands."""
+    found: dict[str, str] = {}
+    marks = list(_LABEL.finditer(text or ""))
+    for m, after in zip(marks, [*marks[1:], None], strict=True):
+        value = (text or "")[m.end() : after.start() if after else None].split("\n")[0].strip(" ,，;；\t")
+        if value and m.lastgroup not in found:
+            found[m.lastgroup] = value
+    return found
+
+
+@F.pandas_udf("struct<duties:string,requirements:string>")
+def sections(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([split_text(t) for t in texts], columns=["duties", "requirements"])
+
+
+@F.pandas_udf("map<string,string>")
+def labels(texts: pd.Series) -> pd.Series:
+    return texts.map(labelled)

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from millrace.plans import commerce, page_plans, posting_plans
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (commerce, page_plans, posting_plans):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
