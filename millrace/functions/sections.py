@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: headings by the section that they open
 DUTY_HEADINGS = ("岗位职责", "工作职责", "职位职责", "职位描述", "工作内容", "岗位描述", "主要职责", "Responsibilities", "Job Description", "Duties", "What you will do")
@@ -60,11 +61,11 @@ def labelled(text: str | None) -> dict[str, str]:
     return found
 
 
-@F.pandas_udf("struct<duties:string,requirements:string>")
+@F.pandas_udf(T.StructType().add("duties", "string").add("requirements", "string"))
 def sections(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([split_text(t) for t in texts], columns=["duties", "requirements"])
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def labels(texts: pd.Series) -> pd.Series:
     return texts.map(labelled)

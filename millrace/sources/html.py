@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _VOID = {"br", "img", "input", "meta", "link", "hr", "area", "base", "col", "source", "wbr"}
 _BLOCK = {"p", "div", "li", "tr", "h1", "h2", "h3", "h4", "section", "article", "br", "ul", "ol", "table", "nav", "footer", "header"}
@@ -122,7 +123,7 @@ def visible(page: _Page) -> str:
     return "\n".join(x for x in lines if x)
 
 
-@F.pandas_udf("struct<title:string,heading:string,text:string,longest:string,n_links:bigint>")
+@F.pandas_udf(T.StructType().add("title", "string").add("heading", "string").add("text", "string").add("longest", "string").add("n_links", "long"))
 def page_fields(html: pd.Series) -> pd.DataFrame:
     """Title (og, title, then heading), heading, visible text, longest block, link count."""
     out = []
@@ -203,5 +204,3 @@ def blocked(status, html):
     """Whether a page is an access barrier, by status or marks in its first 20,000 characters."""
     marks = r"(access denied|forbidden|captcha|cloudflare|too many requests|verify you are human|unusual traffic|request blocked|访问受限|访问过于频繁|安全验证|人机验证)"
     return F.coalesce(status.isin(401, 403, 405, 429, 503), F.lit(False)) | F.coalesce(F.rlike(F.lower(F.left(html, F.lit(20000))), F.lit(marks)), F.lit(False))
-
-
