@@ -30,8 +30,10 @@ def _window(text: Column) -> Column:
 
 def map_bucket(project: Column, title: Column) -> Column:
     """Bucket of a project and title: a social project blocks, intern words come first."""
-    p = T.strip(T.or_empty(project))
-    text = _joined(p, title)
+    return T.let(T.strip(T.or_empty(project)), lambda p: T.let(_joined(p, title), lambda text: _mapped(p, text)))
+
+
+def _mapped(p: Column, text: Column) -> Column:
     social = T.matches(p, V.SOCIAL) & ~T.has_any(p, V.CAMPUS_PROJECT_WORDS)
     intern = F.when(T.matches(text, V.INTERN_GRADUATE), "应届生实习").otherwise("日常实习")
     return F.when(social, F.lit(None)).when(T.has_any(text, V.INTERN_WORDS), intern).when(T.has_any(text, V.CAMPUS_WORDS), "校招")
@@ -43,20 +45,21 @@ def normal_bucket(bucket: Column, project: Column, title: Column) -> Column:
 
 def project_of(title: Column, body: Column) -> Column:
     """First of the ordered project words in title or body."""
-    text = _joined(title, body)
-    return F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in V.PROJECT_WORDS])
+    return T.let(_joined(title, body), lambda text: F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in V.PROJECT_WORDS]))
 
 
 def is_intern(title: Column, jd: Column, bucket: Column, project: Column) -> Column:
     kinds = ("应届生实习", "日常实习")
     mapped = F.coalesce(map_bucket(project, title).isin(*kinds), F.lit(False))
-    return T.strip(T.or_empty(bucket)).isin(*kinds) | mapped | T.has_any(_joined(project, title, _window(jd)), V.INTERN_PHRASES)
+    return T.strip(T.or_empty(bucket)).isin(*kinds) | mapped | T.let(_joined(project, title, _window(jd)), lambda blob: T.has_any(blob, V.INTERN_PHRASES))
 
 
 def is_social(title: Column, jd: Column, project: Column) -> Column:
     """Social hiring: the project's word, then labels in the text, then words at large."""
-    p = T.strip(T.or_empty(project))
-    blob = _joined(p, title, _window(jd))
+    return T.let(T.strip(T.or_empty(project)), lambda p: T.let(_joined(p, title, _window(jd)), lambda blob: _social(p, blob, jd)))
+
+
+def _social(p: Column, blob: Column, jd: Column) -> Column:
     return (
         F.when(T.matches(p, V.SOCIAL) & ~T.has_any(p, V.CAMPUS_PROJECT_WORDS), True)
         .when(T.matches(jd, V.LABELLED_SOCIAL), True)
@@ -68,7 +71,10 @@ def is_social(title: Column, jd: Column, project: Column) -> Column:
 
 def campus_action(title: Column, jd: Column, project: Column, bucket: Column, category: Column) -> Column:
     """delete for clear social hiring, else keep."""
-    blob = _joined(project, bucket, category, title, _window(jd))
+    return T.let(_joined(project, bucket, category, title, _window(jd)), lambda blob: _action(blob, title, jd, project, category))
+
+
+def _action(blob: Column, title: Column, jd: Column, project: Column, category: Column) -> Column:
     by_category = T.matches(category, V.SOCIAL) & ~T.matches(category, V.KEEP_CAMPUS)
     bare = ~T.matches(blob, V.KEEP_CAMPUS) & ~F.contains(blob, F.lit("应届"))
     strong = F.contains(blob, F.lit("社会招聘")) & ~T.matches(blob, "(校园招聘|实习生招聘|日常实习)")
@@ -77,27 +83,32 @@ def campus_action(title: Column, jd: Column, project: Column, bucket: Column, ca
 
 def target_check(as_of: date) -> Column:
     """struct(ok, kind, reason): intern postings, or campus postings of the target season."""
-    title, jd = c("title"), c("jd_text")
-    target = D.target_year(as_of)
+    title, jd, target = c("title"), c("jd_text"), D.target_year(as_of)
     say = lambda ok, kind, reason: F.struct(F.lit(ok).alias("ok"), F.lit(kind).alias("kind"), reason.alias("reason"))
     named = lambda year: F.concat(year.cast("string"), F.lit("届"))
-    fine = say(True, "", F.lit(""))
-    intern = is_intern(title, jd, c("recruit_bucket"), c("recruit_project"))
-    old_intern = D.batch_year(title) < target
     own = F.when(F.rlike(T.strip(T.or_empty(c("graduation_batch"))), F.lit(r"^20\d{2}届$")), F.left(T.strip(c("graduation_batch")), F.lit(4)).try_cast("int"))
-    year = F.coalesce(D.title_batch_year(title), D.batch_year(jd), own)
-    published = F.coalesce(D.loose_date(c("open_at")), D.loose_date(c("published_at")))
-    cutoff = D.publish_cutoff(as_of)
-    old = F.coalesce(published < F.lit(cutoff), F.lit(False))
-    return (
-        F.when(intern & F.coalesce(old_intern, F.lit(False)), say(False, "wrong_grad_batch", F.concat(F.lit("实习岗标题含旧届"), named(D.batch_year(title)), F.lit(f"，当前目标为{target}届"))))
-        .when(intern, fine)
-        .when(is_social(title, jd, c("recruit_project")), say(False, "not_target_hiring", F.lit("社招/非目标招聘（非日常实习且非目标应届校招）")))
-        .when(F.coalesce(year < target, F.lit(False)), say(False, "wrong_grad_batch", F.concat(F.lit("校招届别为"), named(year), F.lit(f"，当前目标为{target}届"))))
-        .when(F.coalesce(year > target, F.lit(False)), say(False, "wrong_grad_batch", F.concat(F.lit("校招届别为"), named(year), F.lit(f"，与目标{target}届不符"))))
-        .when(old, say(False, "not_current_campus", F.concat(F.lit("发布时间 "), published.cast("string"), F.lit(f" 早于目标届{target}届招聘季窗口（{cutoff.isoformat()} 起），非当年校招信息"))))
-        .otherwise(fine)
+    facts = F.struct(
+        is_intern(title, jd, c("recruit_bucket"), c("recruit_project")).alias("intern"),
+        D.batch_year(title).alias("title_year"),
+        F.coalesce(D.title_batch_year(title), D.batch_year(jd), own).alias("year"),
+        F.coalesce(D.loose_date(c("open_at")), D.loose_date(c("published_at"))).alias("published"),
+        is_social(title, jd, c("recruit_project")).alias("social"),
     )
+    cutoff = D.publish_cutoff(as_of)
+
+    def judged(f: Column) -> Column:
+        year = f["year"]
+        return (
+            F.when(f["intern"] & F.coalesce(f["title_year"] < target, F.lit(False)), say(False, "wrong_grad_batch", F.concat(F.lit("实习岗标题含旧届"), named(f["title_year"]), F.lit(f"，当前目标为{target}届"))))
+            .when(f["intern"], say(True, "", F.lit("")))
+            .when(f["social"], say(False, "not_target_hiring", F.lit("社招/非目标招聘（非日常实习且非目标应届校招）")))
+            .when(F.coalesce(year < target, F.lit(False)), say(False, "wrong_grad_batch", F.concat(F.lit("校招届别为"), named(year), F.lit(f"，当前目标为{target}届"))))
+            .when(F.coalesce(year > target, F.lit(False)), say(False, "wrong_grad_batch", F.concat(F.lit("校招届别为"), named(year), F.lit(f"，与目标{target}届不符"))))
+            .when(F.coalesce(f["published"] < F.lit(cutoff), F.lit(False)), say(False, "not_current_campus", F.concat(F.lit("发布时间 "), f["published"].cast("string"), F.lit(f" 早于目标届{target}届招聘季窗口（{cutoff.isoformat()} 起），非当年校招信息"))))
+            .otherwise(say(True, "", F.lit("")))
+        )
+
+    return T.let(facts, judged)
 
 
 def is_stale_batch(batch: Column, bucket: Column, title: Column, as_of: date) -> Column:
@@ -111,31 +122,28 @@ def freshness(as_of: date, days: int = V.LOOKBACK_DAYS) -> Column:
     intern = T.has_any(_joined(*fields, c("recruit_bucket")), V.INTERNSHIP_WORDS)
     hiring = T.has_any(_joined(*fields, c("deadline")), V.OPEN_WORDS + V.INTERNSHIP_WORDS)
     published = F.coalesce(T.non_blank(c("open_at")), c("published_at"))
-    stale = D.is_stale([published, c("open_at"), c("updated_at")], as_of, days)
+    facts = F.struct(intern.alias("intern"), hiring.alias("hiring"), D.is_stale([published, c("open_at"), c("updated_at")], as_of, days).alias("stale"), D.deadline_passed(c("deadline"), as_of).alias("passed"))
     say = lambda status, reason: F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
-    return (
-        F.when(D.deadline_passed(c("deadline"), as_of), say("deadline_passed", "截止日期已过"))
-        .when(intern, say("ok", "实习岗位纳入正常"))
-        .when(stale & hiring, say("ok", "超窗但仍在招"))
-        .when(stale, say("stale_anomaly", f"最新信息发布时间超过近{days}天（约{max(1, days // 30)}个月），判为异常"))
-        .otherwise(say("ok", "ok"))
+    return T.let(
+        facts,
+        lambda f: F.when(f["passed"], say("deadline_passed", "截止日期已过"))
+        .when(f["intern"], say("ok", "实习岗位纳入正常"))
+        .when(f["stale"] & f["hiring"], say("ok", "超窗但仍在招"))
+        .when(f["stale"], say("stale_anomaly", f"最新信息发布时间超过近{days}天（约{max(1, days // 30)}个月），判为异常"))
+        .otherwise(say("ok", "ok")),
     )
 
 
 def company_recruit_title(company: Column, title: Column) -> Column:
     """A company's name with a recruiting word instead of a role."""
-    t = T.strip(T.or_empty(title))
     end = r"(?:的)?(?:20\d{2}届?)?(?:校园招聘|校招|春招|秋招|招聘|招聘公告|招聘启事|官网招聘)(?:入口|门户|系统|首页|公告|启事)?[\s】\]]*$"
-    core = T.company_core(company)
     # the core may hold any characters: compare the title's head with it instead of a pattern
-    head = F.regexp_replace(t, end, "")
-    named = (F.length(core) >= 2) & F.contains(head, core) & T.matches(t, end)
-    return ~T.has_any(t, V.ROLE_WORDS) & (named | T.matches(t, r"^.{2,40}?" + end))
+    named = lambda t, core: (F.length(core) >= 2) & F.contains(F.regexp_replace(t, end, ""), core) & T.matches(t, end)
+    return T.let(T.strip(T.or_empty(title)), lambda t: T.let(T.company_core(company), lambda core: ~T.has_any(t, V.ROLE_WORDS) & (named(t, core) | T.matches(t, r"^.{2,40}?" + end))))
 
 
 def real_title(company: Column, title: Column) -> Column:
-    t = T.strip(T.or_empty(title))
-    return (F.length(t) >= 2) & ~T.is_noise_title(t) & ~company_recruit_title(company, t) & (T.has_any(t, V.ROLE_WORDS) | T.matches(t, V.REAL_TITLE_PARTS))
+    return T.let(T.strip(T.or_empty(title)), lambda t: (F.length(t) >= 2) & ~T.is_noise_title(t) & ~company_recruit_title(company, t) & (T.has_any(t, V.ROLE_WORDS) | T.matches(t, V.REAL_TITLE_PARTS)))
 
 
 def is_portal_shell(title: Column, jd: Column) -> Column:
@@ -146,28 +154,39 @@ def is_portal_shell(title: Column, jd: Column) -> Column:
 def posting_score() -> Column:
     """struct(ok, score, reason): whether a row is a posting, in ordered gates."""
     t, jd, url, company = T.strip(T.or_empty(c("title"))), T.strip(T.or_empty(c("jd_text"))), T.or_empty(c("source_url")), c("company")
-    n = F.length(jd)
+    facts = F.struct(
+        t.alias("t"), F.length(jd).alias("n"), T.is_noise_title(t).alias("noise"), T.is_closed_title(t).alias("closed"), T.is_closed_text(jd).alias("closed_text"),
+        U.is_nav_url(url, t).alias("nav"), T.title_mismatch(company, t).alias("mismatch"), company_recruit_title(company, t).alias("shell"),
+        real_title(company, t).alias("real"), U.is_detail_link(url, t).alias("detail"), T.matches(url, V.DETAIL_URL).alias("detail_url"),
+        T.has_any(jd, V.SECTION_WORDS).alias("sections"), T.has_any(t, V.ROLE_WORDS).alias("role"),
+    )
     say = lambda ok, score, reason: F.struct(F.lit(ok).alias("ok") if isinstance(ok, bool) else ok.alias("ok"), (F.lit(score) if isinstance(score, float) else score).alias("score"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
     part = lambda test, x: F.when(test, F.lit(x)).otherwise(F.lit(0.0))
-    real, detail, sections = real_title(company, t), U.is_detail_link(url, t), T.has_any(jd, V.SECTION_WORDS)
-    url_part = F.when(detail, 0.2).when(T.matches(url, V.DETAIL_URL), 0.15).otherwise(0.0)
-    text_part = F.when(n >= 80, 0.2).when(n >= V.LEAST_TEXT, 0.1).when(n > 0, 0.0).otherwise(-0.15)
-    raw = F.lit(0.2) + F.when(real, 0.35).otherwise(0.05) + url_part + text_part + part(sections, 0.1) + part(T.has_any(t, V.ROLE_WORDS), 0.05)
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 6)
-    why = F.concat_ws("；", F.when(real, "标题像职位名"), F.when(detail, "URL像详情"), F.when(n >= 80, "有JD正文"), F.when(sections, "JD含职责/要求"), F.when(n == 0, "无JD"))
-    passed = score >= V.PASS_MARK
-    weak = F.concat(F.lit("岗位置信不足("), F.format_number(score, 2), F.lit(")："), why)
-    return (
-        F.when(t == "", say(False, 0.05, "无岗位标题"))
-        .when(T.is_noise_title(t), say(False, 0.05, F.when(T.is_closed_title(t), "噪声标题（关停/内推壳页）").otherwise("噪声标题（导航/登录/门户壳页）")))
-        .when(T.is_closed_text(jd), say(False, 0.05, "详情表明职位已关闭或仅内部推荐"))
-        .when(U.is_nav_url(url, t), say(False, 0.08, "导航/登录类链接"))
-        .when(T.title_mismatch(company, t), say(False, 0.12, "标题公司名与种子严重不符"))
-        .when(company_recruit_title(company, t), say(False, F.when(n >= 80, 0.25).otherwise(0.15), "标题像公司名+校园招聘（非具体岗位）"))
-        .when(~real, say(False, score, "缺少真实职位名"))
-        .when(n < V.LEAST_TEXT, say(False, F.least(score, F.lit(0.45)), "无岗位介绍/JD"))
-        .otherwise(say(passed, score, F.when(passed, F.coalesce(F.nullif(why, F.lit("")), F.lit("ok"))).otherwise(weak)))
-    )
+
+    def score_of(f: Column) -> Column:
+        n = f["n"]
+        url_part = F.when(f["detail"], 0.2).when(f["detail_url"], 0.15).otherwise(0.0)
+        text_part = F.when(n >= 80, 0.2).when(n >= V.LEAST_TEXT, 0.1).when(n > 0, 0.0).otherwise(-0.15)
+        raw = F.lit(0.2) + F.when(f["real"], 0.35).otherwise(0.05) + url_part + text_part + part(f["sections"], 0.1) + part(f["role"], 0.05)
+        return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 6)
+
+    def judged(f: Column, score: Column) -> Column:
+        n, real, passed = f["n"], f["real"], score >= V.PASS_MARK
+        why = F.concat_ws("；", F.when(real, "标题像职位名"), F.when(f["detail"], "URL像详情"), F.when(n >= 80, "有JD正文"), F.when(f["sections"], "JD含职责/要求"), F.when(n == 0, "无JD"))
+        weak = F.concat(F.lit("岗位置信不足("), F.format_number(score, 2), F.lit(")："), why)
+        return (
+            F.when(f["t"] == "", say(False, 0.05, "无岗位标题"))
+            .when(f["noise"], say(False, 0.05, F.when(f["closed"], "噪声标题（关停/内推壳页）").otherwise("噪声标题（导航/登录/门户壳页）")))
+            .when(f["closed_text"], say(False, 0.05, "详情表明职位已关闭或仅内部推荐"))
+            .when(f["nav"], say(False, 0.08, "导航/登录类链接"))
+            .when(f["mismatch"], say(False, 0.12, "标题公司名与种子严重不符"))
+            .when(f["shell"], say(False, F.when(n >= 80, 0.25).otherwise(0.15), "标题像公司名+校园招聘（非具体岗位）"))
+            .when(~real, say(False, score, "缺少真实职位名"))
+            .when(n < V.LEAST_TEXT, say(False, F.least(score, F.lit(0.45)), "无岗位介绍/JD"))
+            .otherwise(say(passed, score, F.when(passed, F.coalesce(F.nullif(why, F.lit("")), F.lit("ok"))).otherwise(weak)))
+        )
+
+    return T.let(facts, lambda f: T.let(score_of(f), lambda score: judged(f, score)))
 
 
 def confidence(official: Column, aggregator: Column) -> Column:
@@ -202,32 +221,40 @@ def review_kind(reason: Column) -> Column:
 def route(as_of: date, official: Column, trusted: Column, aggregator: Column) -> Column:
     """struct(route, kind, reason): publish, review, verify or drop."""
     title = c("title")
-    target, fresh, check = target_check(as_of), freshness(as_of), publish_check(official, trusted, aggregator)
     say = lambda to, kind, reason: F.struct(F.lit(to).alias("route"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), reason.alias("reason"))
     noise = T.is_noise_title(title) & ~F.contains(T.or_empty(title), c("company")) & ~company_recruit_title(c("company"), title)
-    return (
-        F.when(T.is_closed_title(title) | T.is_closed_text(c("jd_text")), say("drop", "", F.lit("closed")))
-        .when(noise, say("drop", "", F.lit("noise")))
-        .when(~target["ok"], say("review", target["kind"], target["reason"]))
-        .when(fresh["status"] == "deadline_passed", say("drop", "", fresh["reason"]))
-        .when(fresh["status"] == "stale_anomaly", say("review", "stale_over_3m", fresh["reason"]))
-        .when(check["ok"], say("publish", "", F.lit("ok")))
-        .when(F.contains(check["reason"], F.lit("源未验证")), say("verify", "", check["reason"]))
-        .when(T.has_any(check["reason"], ("关停", "内部推荐", "噪声标题")), say("drop", "", check["reason"]))
-        .otherwise(say("review", review_kind(check["reason"]), check["reason"]))
+    facts = F.struct(
+        (T.is_closed_title(title) | T.is_closed_text(c("jd_text"))).alias("closed"), noise.alias("noise"), target_check(as_of).alias("target"), freshness(as_of).alias("fresh"), publish_check(official, trusted, aggregator).alias("check")
     )
 
+    def routed(f: Column) -> Column:
+        target, fresh, check = f["target"], f["fresh"], f["check"]
+        return (
+            F.when(f["closed"], say("drop", "", F.lit("closed")))
+            .when(f["noise"], say("drop", "", F.lit("noise")))
+            .when(~target["ok"], say("review", target["kind"], target["reason"]))
+            .when(fresh["status"] == "deadline_passed", say("drop", "", fresh["reason"]))
+            .when(fresh["status"] == "stale_anomaly", say("review", "stale_over_3m", fresh["reason"]))
+            .when(check["ok"], say("publish", "", F.lit("ok")))
+            .when(F.contains(check["reason"], F.lit("源未验证")), say("verify", "", check["reason"]))
+            .when(T.has_any(check["reason"], ("关停", "内部推荐", "噪声标题")), say("drop", "", check["reason"]))
+            .otherwise(say("review", review_kind(check["reason"]), check["reason"]))
+        )
+
+    return T.let(facts, routed)
+
 
 def review_reasons(as_of: date, duties: Column, requirements: Column, least: int = 10, months: int = V.REVIEW_MONTHS) -> Column:
     """Reasons against automatic approval; an empty array is eligible."""
     published = F.coalesce(D.loose_date(c("open_at")), D.loose_date(c("list_updated_at")), D.loose_date(c("published_at")))
     size = lambda x: F.length(T.squeeze(T.or_empty(x)))
+    age = lambda day: F.when(day.isNull(), "岗位发布时间缺失").when(day < D.list_cutoff(as_of, months), "岗位发布时间超过3个月").when(day > F.lit(as_of), "岗位发布时间晚于今天")
     return F.array_compact(
         F.array(
             F.when(T.strip(T.or_empty(c("company"))) == "", "公司缺失"),
             F.when(T.is_noise_title(c("title")), "岗位名称无效"),
             F.when(size(duties) < least, "岗位要求不完整"),
             F.when(size(requirements) < least, "任职要求不完整"),
-            F.when(published.isNull(), "岗位发布时间缺失").when(published < D.list_cutoff(as_of, months), "岗位发布时间超过3个月").when(published > F.lit(as_of), "岗位发布时间晚于今天"),
+            T.let(published, age),
         )
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions import vocab as V
-from millrace.functions.text import or_empty, strip
+from millrace.functions.text import let, or_empty, strip
 
 
 def loose_date(c: Column) -> Column:
@@ -16,7 +16,10 @@ def loose_date(c: Column) -> Column:
     first; null if there is none."""
     s = strip(or_empty(c))
     s = F.replace(F.replace(F.replace(s, F.lit("年"), F.lit("-")), F.lit("月"), F.lit("-")), F.lit("日"), F.lit(""))
-    s = F.regexp_replace(F.regexp_replace(s, r"(?Us)[T\s].*$", ""), r"^[ ./]+|[ ./]+$", "")
+    return let(F.regexp_replace(F.regexp_replace(s, r"(?Us)[T\s].*$", ""), r"^[ ./]+|[ ./]+$", ""), _date_of)
+
+
+def _date_of(s: Column) -> Column:
     whole = r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})$"
     month = r"^(\d{4})[-/](\d{1,2})$"
     part = r"(20\d{2})[-/.](\d{1,2})(?:[-/.](\d{1,2}))?"
@@ -35,9 +38,8 @@ def loose_date(c: Column) -> Column:
 
 def deadline_scope(c: Column, as_of: date) -> Column:
     """none, expired, soon (within a week) or later; strict form on the first 10 characters."""
-    d = F.try_to_date(F.left(strip(or_empty(c)), F.lit(10)), "yyyy-M-d")
     today = F.lit(as_of)
-    return F.when(d.isNull(), "none").when(d < today, "expired").when(d <= F.date_add(today, V.SOON_DAYS), "soon").otherwise("later")
+    return let(F.try_to_date(F.left(strip(or_empty(c)), F.lit(10)), "yyyy-M-d"), lambda d: F.when(d.isNull(), "none").when(d < today, "expired").when(d <= F.date_add(today, V.SOON_DAYS), "soon").otherwise("later"))
 
 
 def deadline_passed(c: Column, as_of: date) -> Column:
@@ -88,8 +90,8 @@ def batch_year(c: Column) -> Column:
 
 def title_batch_year(c: Column) -> Column:
     """As ``batch_year``, else the smallest bare year of a title."""
-    bare = _years(F.regexp_extract_all(or_empty(c), F.lit(V.BARE_YEAR), F.lit(1)))
-    return F.coalesce(batch_year(c), F.array_min(bare))
+    bare = lambda x: F.array_min(_years(F.regexp_extract_all(or_empty(x), F.lit(V.BARE_YEAR), F.lit(1))))
+    return let(c, lambda x: F.coalesce(batch_year(x), bare(x)))
 
 
 def resolve_batch(title: Column, text: Column, existing: Column, as_of: date) -> Column:

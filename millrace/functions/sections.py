@@ -63,9 +63,9 @@ def labelled(text: str | None) -> dict[str, str]:
 
 @F.pandas_udf(T.StructType().add("duties", "string").add("requirements", "string"))
 def sections(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([split_text(t) for t in texts], columns=["duties", "requirements"])
+    return pd.DataFrame([split_text(t if isinstance(t, str) else None) for t in texts], columns=["duties", "requirements"])
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def labels(texts: pd.Series) -> pd.Series:
-    return texts.map(labelled)
+    return pd.Series([labelled(t if isinstance(t, str) else None) for t in texts])

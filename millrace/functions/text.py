@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -11,6 +13,12 @@ from pyspark.sql import functions as F
 from millrace.functions import vocab as V
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: rules that mention a value many times
+    would otherwise grow into expressions too large to compile."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim all Unicode white space; null stays null."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -32,7 +40,12 @@ def non_blank(c: Column) -> Column:
 
 def has_any(c: Column, words: tuple[str, ...]) -> Column:
     """Whether any of the words stands in the text (false for null)."""
-    return reduce(or_, [F.contains(or_empty(c), F.lit(w)) for w in words])
+    return F.rlike(or_empty(c), F.lit("|".join(re.escape(w) for w in words)))
+
+
+def one_of(c: Column, words: tuple[str, ...]) -> Column:
+    """``isin`` of a long list of texts without line ends, as one folded array."""
+    return F.array_contains(F.split(F.lit("\n".join(words)), "\n"), c)
 
 
 def matches(c: Column, pattern: str) -> Column:
@@ -127,8 +140,7 @@ def is_aggregator(c: Column, extra: tuple[str, ...] = ()) -> Column:
 
 
 def is_closed_title(title: Column) -> Column:
-    t = strip(or_empty(title))
-    return matches(squeeze(t), V.CLOSED_TITLE) | matches(t, V.CLOSED_TITLE)
+    return let(strip(or_empty(title)), lambda t: matches(squeeze(t), V.CLOSED_TITLE) | matches(t, V.CLOSED_TITLE))
 
 
 def is_closed_text(text: Column) -> Column:
@@ -141,38 +153,42 @@ def strip_chrome(title: Column) -> Column:
 
 
 def in_noise_titles(title: Column) -> Column:
-    t = strip(or_empty(title))
-    compact = squeeze(t)
-    return (t == "") | compact.isin(*V.NOISE_TITLES) | t.isin(*V.NOISE_TITLES) | F.lower(compact).isin(*V.NOISE_TITLES) | F.lower(t).isin(*V.NOISE_TITLES)
+    return let(strip(or_empty(title)), lambda t: let(squeeze(t), lambda compact: _in_noise(t, compact)))
+
+
+def _in_noise(t: Column, compact: Column) -> Column:
+    return (t == "") | one_of(compact, V.NOISE_TITLES) | one_of(t, V.NOISE_TITLES) | one_of(F.lower(compact), V.NOISE_TITLES) | one_of(F.lower(t), V.NOISE_TITLES)
 
 
 def is_chrome_title(title: Column) -> Column:
     """Site chrome instead of a role: known phrases, browser tips, or chrome in one part of
     a title of several parts without a role word in any."""
-    t = strip(or_empty(title))
-    compact = squeeze(t)
+    return let(strip(or_empty(title)), lambda t: let(squeeze(t), lambda compact: _is_chrome(t, compact)))
+
+
+def _is_chrome(t: Column, compact: Column) -> Column:
     parts = F.filter(F.split(t, r"(?U)\s*[-—–|]\s*"), lambda p: p != "")
     odd = F.exists(parts, lambda p: matches(p, V.CHROME_TITLE) | in_noise_titles(p))
     role = F.exists(parts, lambda p: has_any(p, V.ROLE_WORDS))
     phrase = matches(t, V.CHROME_TITLE) | matches(compact, V.CHROME_TITLE)
     tip = matches(t, V.BROWSER_TIP) | matches(compact, V.BROWSER_TIP)
     known = F.lower(compact).isin("searchjobs", "jobsatapple", "careers", "career")
-    return (t != "") & (phrase | tip | known & in_noise_titles(t) | ((F.size(parts) >= 2) & odd & ~role))
+    return (t != "") & (phrase | tip | known & _in_noise(t, compact) | ((F.size(parts) >= 2) & odd & ~role))
 
 
 def is_noise_title(title: Column) -> Column:
     """Ordered cascade: blank, placeholder, template token, channel shell, site chrome after
     taking off a site suffix, known titles, navigation, closed."""
-    raw = strip(or_empty(title))
+    return let(strip(or_empty(title)), lambda raw: let(strip_chrome(raw), lambda cut: let(F.coalesce(cut, raw), lambda t: let(squeeze(t), lambda compact: _noise_cascade(raw, cut, t, compact)))))
+
+
+def _noise_cascade(raw: Column, cut: Column, t: Column, compact: Column) -> Column:
     compact0 = squeeze(raw)
-    cut = strip_chrome(raw)
     clean = cut.isNotNull() & (cut != raw) & ~is_chrome_title(cut)
-    t = F.coalesce(cut, raw)
-    compact = squeeze(t)
     detail = (matches(t, r"(?U)招聘系统\s*[-—–]{1,2}\s*招聘详细") | F.endswith(compact, F.lit("招聘详细"))) & ~has_any(compact, ("岗", "工程师", "实习"))
     return (
         F.when(F.length(raw) < 2, True)
-        .when(matches(compact0, f"^(?:{V.NOISE_PLACEHOLDER})$") | F.lower(compact0).isin(*V.NOISE_PLACEHOLDER_WORDS), True)
+        .when(matches(compact0, f"^(?:{V.NOISE_PLACEHOLDER})$") | one_of(F.lower(compact0), V.NOISE_PLACEHOLDER_WORDS), True)
         .when(matches(raw, V.TEMPLATE_TOKEN) | matches(raw, V.CHANNEL_TITLE), True)
         .when(~clean & (is_chrome_title(raw) | is_chrome_title(t)), True)
         .when(in_noise_titles(t) | matches(compact, V.NOISE_TITLE) | matches(t, V.NOISE_TITLE), True)
@@ -186,7 +202,7 @@ def is_noise_title(title: Column) -> Column:
 def is_noise_place(place: Column) -> Column:
     loc = strip(or_empty(place))
     compact = squeeze(loc)
-    return (F.length(compact) <= 1) | F.lower(compact).isin(*V.NOISE_PLACES) | F.lower(loc).isin(*V.NOISE_PLACES)
+    return (F.length(compact) <= 1) | one_of(F.lower(compact), V.NOISE_PLACES) | one_of(F.lower(loc), V.NOISE_PLACES)
 
 
 def strip_navigation(text: Column) -> Column:
@@ -199,8 +215,10 @@ def strip_navigation(text: Column) -> Column:
 
 def title_mismatch(company: Column, title: Column) -> Column:
     """Whether the title names another company than the given one."""
-    c, t = strip(or_empty(company)), strip(or_empty(title))
-    core = company_core(c)
+    return let(strip(or_empty(company)), lambda c: let(strip(or_empty(title)), lambda t: let(company_core(c), lambda core: _mismatch(c, t, core))))
+
+
+def _mismatch(c: Column, t: Column, core: Column) -> Column:
     short = F.left(core, F.lit(4))
     other = F.exists(
         F.transform(F.regexp_extract_all(t, F.lit(V.COMPANY_ENTITY), F.lit(1)), company_core),

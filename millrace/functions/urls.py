@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions import vocab as V
-from millrace.functions.text import has_any, is_noise_title, matches, or_empty, strip
+from millrace.functions.text import has_any, is_noise_title, matches, one_of, or_empty, strip
 
 PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
 
@@ -61,14 +61,14 @@ def _joined(url: Column, fields: Column, tail: Column) -> Column:
 
 def dedupe_url(url: Column) -> Column:
     """Without fragment, trailing slashes and tracking fields."""
-    return _joined(url, F.filter(_fields(url), lambda f: ~_name(f).isin(*V.TRACKING_KEYS)), F.lit(""))
+    return _joined(url, F.filter(_fields(url), lambda f: ~one_of(_name(f), V.TRACKING_KEYS)), F.lit(""))
 
 
 def identity_url(url: Column) -> Column:
     """Only what names one posting: host, path, identity fields, a job fragment."""
     job = F.lower(F.regexp_extract(fragment(url), V.JOB_FRAGMENT, 1))
     tail = F.when(job != "", F.concat(F.lit("#/job/"), job)).otherwise("")
-    return _joined(url, F.filter(_fields(url), lambda f: _name(f).isin(*V.IDENTITY_KEYS)), tail)
+    return _joined(url, F.filter(_fields(url), lambda f: one_of(_name(f), V.IDENTITY_KEYS)), tail)
 
 
 def synthetic_url(list_url: Column, title: Column) -> Column:
@@ -102,7 +102,7 @@ def is_detail_link(url: Column, text: Column | None = None) -> Column:
 def is_detail_url(url: Column) -> Column:
     """A posting's page by URL alone."""
     tail = F.when(F.contains(fragment(url), F.lit("?")), F.split(F.substring_index(fragment(url), "?", -1), "&")).otherwise(F.array().cast("array<string>"))
-    named = F.exists(F.concat(_fields(url), tail), lambda f: _name(f).isin(*V.DETAIL_KEYS) & F.rlike(f, F.lit("=.")))
+    named = F.exists(F.concat(_fields(url), tail), lambda f: one_of(_name(f), V.DETAIL_KEYS) & F.rlike(f, F.lit("=.")))
     routed = matches(F.lower(F.concat(path(url), F.lit("#"), F.substring_index(fragment(url), "?", 1))), r"#/(?:job|position)/[^/?#]+")
     hit = named | routed | matches(path(url), V.DETAIL_PATH) | matches(url, V.DETAIL_URL_STRICT)
     return looks_like_url(url) & ~F.contains(F.lower(url), F.lit("__job=")) & ~is_nav_url(url) & hit
@@ -113,7 +113,7 @@ def is_listing_url(url: Column) -> Column:
     low_path = F.regexp_replace(F.lower(path(url)), "/+$", "")
     low_fragment = F.regexp_replace(F.substring_index(F.lower(fragment(url)), "?", 1), "/+$", "")
     ends = reduce(or_, [F.endswith(low_path, F.lit(e)) for e in V.LISTING_ENDS])
-    return looks_like_url(url) & ~is_detail_url(url) & (ends | low_fragment.isin(*V.LISTING_FRAGMENTS) | has_any(F.lower(url), V.LISTING_MARKS))
+    return looks_like_url(url) & ~is_detail_url(url) & (ends | one_of(low_fragment, V.LISTING_FRAGMENTS) | has_any(F.lower(url), V.LISTING_MARKS))
 
 
 def adapter(url: Column) -> Column:
