@@ -54,7 +54,7 @@ def labelled(text: str | None) -> dict[str, str]:
     """Values by field; the first value of a field stands."""
     found: dict[str, str] = {}
     marks = list(_LABEL.finditer(text or ""))
-    for m, after in zip(marks, [*marks[1:], None], strict=True):
+    for m, after in zip(marks, [*marks[1:], *[None] * bool(marks)], strict=True):
         value = (text or "")[m.end() : after.start() if after else None].split("\n")[0].strip(" ,，;；\t")
         if value and m.lastgroup not in found:
             found[m.lastgroup] = value
