@@ -48,7 +48,7 @@ def collect_batch(candidates: DataFrame, known: DataFrame, size: int, *, by: str
     """Candidates with ``batch_no`` among the unknown ones of a company (from 0), and
     whether they were skipped as known before the first batch filled."""
     marked = candidates.join(known.select(F.col(key), F.lit(True).alias("__known")).distinct(), key, "left").withColumn("is_known", F.coalesce("__known", F.lit(False))).drop("__known")
-    upto = Window.partitionBy(by).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(by).orderBy(pos, key).rowsBetween(Window.unboundedPreceding, 0)
     fresh = F.sum(F.when(F.col("is_known"), 0).otherwise(1)).over(upto)
     counted = marked.withColumn("__f", fresh)
     batch = F.when(~F.col("is_known"), F.floor((F.col("__f") - 1) / size)).cast("long")

@@ -1 +1,93 @@
-QUERIES, ORACLES = {}, {}
+"""Queries over the page role: links, identities, routing, ranking."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from millrace.functions import text as T
+from millrace.functions import urls as U
+from millrace.operators import dedupe
+from millrace.plans.registry import registry
+from millrace.session import table
+from millrace.sources import html as H
+
+QUERIES, ORACLES, query = registry()
+
+_HOST = "lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1))"
+_PATH = "regexp_replace(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/+$', '')"
+_BASE = f"lower(regexp_extract(url, '^([^:/?#]+):', 1)) || '://' || {_HOST} || {_PATH}"
+_ANCHORS = "regexp_extract_all(html, '(?s)<a [^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>', 1)"
+_SCORE = "(CASE WHEN contains(lower(url), '/job/') OR contains(lower(url), '/position/') OR contains(lower(url), 'detail') OR contains(lower(url), 'jobadid') OR contains(lower(url), 'campus_apply') THEN 50 ELSE 0 END)"
+
+
+def _pages(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "pages")
+
+
+@query(
+    f"""WITH n AS (SELECT page_id, {_HOST} AS host, {_BASE} AS identity, len({_ANCHORS}) AS n_links FROM pages),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY n_links DESC, page_id) AS r FROM n) WHERE r = 1)
+    SELECT host, page_id, identity, n_links, row_number() OVER (PARTITION BY host ORDER BY n_links DESC, page_id) AS host_rank FROM best"""
+)
+def flagship_page_ranking(spark, sf_dir):
+    """Links of every page, one page for each identity URL, and its rank on its host."""
+    counts = H.links(_pages(spark, sf_dir)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"))
+    named = _pages(spark, sf_dir).select("page_id", U.host(F.col("url")).alias("host"), U.identity_url(F.col("url")).alias("identity"))
+    linked = named.join(counts, "page_id", "left").fillna(0, ["n_links"])
+    best = dedupe.pick_best(linked, ["identity"], [F.desc("n_links"), F.asc("page_id")])
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n_links"), "page_id"))
+    return best.select("host", "page_id", "identity", "n_links", rank.alias("host_rank"))
+
+
+@query(f"SELECT page_id, {_HOST} AS host, {_BASE} AS identity, {_BASE} || CASE WHEN regexp_matches(url, '[?&][^=&]+=') AND NOT contains(url, 'utm_source=') THEN '?' || regexp_extract(url, '\\?([^#]*)', 1) ELSE '' END AS plain FROM pages")
+def url_identity(spark, sf_dir):
+    """Host, identity URL, and the URL without tracking."""
+    u = F.col("url")
+    return _pages(spark, sf_dir).select("page_id", U.host(u).alias("host"), U.identity_url(u).alias("identity"), U.dedupe_url(u).alias("plain"))
+
+
+@query(f"SELECT identity, min(page_id) AS page_id, count(*) AS copies FROM (SELECT page_id, {_BASE} AS identity FROM pages) GROUP BY identity")
+def url_dedupe_best(spark, sf_dir):
+    """The first page of each identity; a partial aggregate, no sort."""
+    named = _pages(spark, sf_dir).select("page_id", U.identity_url(F.col("url")).alias("identity"))
+    return named.groupBy("identity").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query(f"SELECT page_id, cast(unnest(range(len({_ANCHORS}))) AS BIGINT) AS pos, unnest({_ANCHORS}) AS href FROM pages")
+def page_links_tree(spark, sf_dir):
+    """All anchors of a page in order."""
+    return H.links(_pages(spark, sf_dir)).select("page_id", "pos", "href")
+
+
+def _decoded(tag: str) -> str:
+    """Text of the first such element in SQL, with the basic entities decoded."""
+    return f"nullif(trim(replace(replace(replace(regexp_extract(html, '<{tag}>(.*?)</{tag}>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '')"
+
+
+@query(f"SELECT page_id, {_decoded('title')} AS title, {_decoded('h1')} AS heading, len({_ANCHORS}) AS n_links FROM pages")
+def page_title_links(spark, sf_dir):
+    """Title and heading of a page, and its number of links."""
+    p = _pages(spark, sf_dir).select("page_id", H.page_fields("html").alias("p"))
+    return p.select("page_id", "p.title", "p.heading", "p.n_links")
+
+
+@query(f"SELECT page_id, CASE WHEN contains({_HOST}, 'mokahr.com') OR contains({_HOST}, 'moka.com') THEN 'moka' WHEN contains({_HOST}, 'zhiye.com') THEN 'zhiye' WHEN contains({_HOST}, 'hotjob.cn') THEN 'hotjob' ELSE 'generic' END AS adapter, regexp_matches(lower(substr(html, 1, 20000)), '(access denied|forbidden|captcha|cloudflare|too many requests|verify you are human|unusual traffic|request blocked|访问受限|访问过于频繁|安全验证|人机验证)') AS blocked FROM pages")
+def page_adapter_route(spark, sf_dir):
+    """The parser of a page, and whether it is an access barrier."""
+    return _pages(spark, sf_dir).select("page_id", U.adapter(F.col("url")).alias("adapter"), H.blocked(F.lit(None).cast("int"), F.col("html")).alias("blocked"))
+
+
+@query(f"SELECT host, page_id, score, row_number() OVER (PARTITION BY host ORDER BY score DESC, page_id) AS host_rank FROM (SELECT page_id, {_HOST} AS host, {_SCORE} + CASE WHEN regexp_matches(lower(url), '(/campus|campus_|/recruit|/career|/school|/joinus|job\\.bank|/jobs)') THEN 20 ELSE 0 END AS score FROM pages)")
+def rank_urls(spark, sf_dir):
+    """Pages of a host by how well they serve to apply."""
+    scored = _pages(spark, sf_dir).select("page_id", U.host(F.col("url")).alias("host"), U.apply_score(F.col("url")).alias("score"))
+    return scored.withColumn("host_rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("score"), "page_id"))).select("host", "page_id", "score", "host_rank")
+
+
+@query()
+def page_texts(spark, sf_dir):
+    """Length of the visible text and of its longest block, navigation left out."""
+    p = _pages(spark, sf_dir).select("page_id", H.page_fields("html").alias("p"))
+    return p.select("page_id", F.length("p.text").alias("n_text"), F.length("p.longest").alias("n_longest"), F.length(T.strip_navigation(F.col("p.text"))).alias("n_kept"))

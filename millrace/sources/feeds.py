@@ -102,24 +102,17 @@ def merge_by_id(html_rows: DataFrame, api_rows: DataFrame, columns: list[str]) -
     return h.join(a, "source_id", "full_outer").select("source_id", *[F.coalesce(F.col(f"a.{c}"), F.col(f"h.{c}")).alias(c) for c in columns])
 
 
-RSS_ITEM = "item array<struct<title string, link string, pubDate string, description string>>"
+RSS = "channel struct<item array<struct<title string, link string, pubDate string>>>, entry array<struct<title string, link array<struct<_href string>>, updated string>>"
 
 
 def read_rss(feeds: DataFrame, raw: str = "body") -> DataFrame:
-    """Items of RSS bodies, Atom entries where a body has none; title and link are needed."""
-    nth = lambda tag, path, i: F.expr(f"xpath_string({raw}, concat('{path}[', {i}, ']/{tag}'))")
-    counted = feeds.withColumn("__rss", F.expr(f"cast(xpath_number({raw}, 'count(//item)') as int)")).withColumn("__atom", F.expr(f"cast(xpath_number({raw}, 'count(//entry)') as int)"))
-    n = F.when(F.col("__rss") > 0, F.col("__rss")).otherwise(F.col("__atom"))
-    each = counted.withColumn("__i", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")))).withColumn("__s", F.col("__i").cast("string"))
-    rss, at = F.col("__rss") > 0, "__s"
-    item, entry = "(//item)", "(//entry)"
-    made = each.select(
-        *[c for c in feeds.columns if c != raw],
-        F.col("__i").alias("pos"),
-        F.when(rss, nth("title", item, at)).otherwise(nth("title", entry, at)).alias("title"),
-        F.when(rss, nth("link", item, at)).otherwise(nth("link/@href", entry, at)).alias("link"),
-        F.when(rss, nth("pubDate", item, at)).otherwise(nth("updated", entry, at)).alias("published"),
-    )
+    """Items of RSS bodies, Atom entries where a body has no item; title and link are needed."""
+    parsed = feeds.withColumn("__p", F.from_xml(F.col(raw), RSS))
+    atom = F.transform("__p.entry", lambda e: F.struct(e["title"].alias("title"), F.get(e["link"], F.lit(0))["_href"].alias("link"), e["updated"].alias("pubDate")))
+    items = F.when(F.size("__p.channel.item") > 0, F.col("__p.channel.item")).otherwise(atom)
+    kept = [c for c in feeds.columns if c != raw]
+    each = parsed.select(*kept, F.posexplode(items).alias("pos", "i"))
+    made = each.select(*kept, (F.col("pos") + 1).alias("pos"), "i.title", "i.link", F.col("i.pubDate").alias("published"))
     return made.where((F.trim("title") != "") & (F.trim("link") != ""))
 
 
