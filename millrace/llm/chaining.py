@@ -9,7 +9,8 @@
    maxima over the anchor's positions.
 4. Alignment: the words of a chained stretch and of its surroundings are fetched for both
    sides and aligned; between seeds by edit distance, beyond the ends as far as words
-   agree. A passage counts with ``MIN_WORDS`` words and ``MIN_IDENTITY`` of them aligned.
+   agree. A passage counts with ``MIN_WORDS`` words and ``MIN_IDENTITY`` of them aligned;
+   a chain that falls short as a whole is split, and its longest parts that do are kept.
 
 Documents of equal words are one class: its least doc_id stands for it in the chaining,
 and each other member is returned with one passage, its whole text.
@@ -21,6 +22,7 @@ document; an empty table gives an empty result; other columns pass by unread.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,8 +136,11 @@ def chains(pos: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
     value, before = [0.0] * n, [-1] * n
     for i in range(n):
         shifted, j = tree.below(ranks[i])
+        if j >= 0 and not (x[j] < x[i] <= x[j] + MAX_GAP and y[i] <= y[j] + MAX_GAP):
+            near = ((value[h] + GAP_COST * (x[h] + y[h]), h) for h in range(bisect_left(x, x[i] - MAX_GAP), i) if x[h] < x[i] and y[h] < y[i] <= y[h] + MAX_GAP)
+            shifted, j = max(near, default=(0.0, -1))  # the best is too far: the best of those within reach
         gain = shifted - GAP_COST * (x[i] + y[i]) if j >= 0 else 0.0
-        if j >= 0 and gain > 0 and x[j] < x[i] <= x[j] + MAX_GAP and y[i] <= y[j] + MAX_GAP:
+        if j >= 0 and gain > 0:
             value[i], before[i] = K + gain, j
         else:
             value[i] = float(K)
@@ -223,38 +228,71 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def aligned(mine: np.ndarray, m_at: int, theirs: np.ndarray, t_at: int, seeds: list[tuple[int, int]]) -> tuple[int, int, int, int, float]:
-    """Stretch (start, end in either text) and identity of one chain.
+def reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """How far two runs of words agree but for a few lone mismatches: length, matches."""
+    n = min(len(a), len(b))
+    same = a[:n] == b[:n]
+    gained = np.cumsum(np.where(same, 1, -4))
+    if not n or gained.max() <= 0:
+        return 0, 0
+    far = int(np.argmax(gained)) + 1
+    return far, int(same[:far].sum())
+
+
+def aligned(mine: np.ndarray, m_at: int, theirs: np.ndarray, t_at: int, seeds: list[tuple[int, int]], min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> list[tuple[int, int, int, int, float]]:
+    """Stretches (start, end in either text, identity) of one chain: the whole chain if
+    it has ``min_words`` words and ``min_identity`` of them agree, else every part from
+    one exact run to another that has, and that no longer such part holds.
 
     ``mine`` holds words from ``m_at`` on, ``theirs`` from ``t_at`` on."""
     p, q = seeds[0]
-    matched, x, y = 0, p, q
-    for sp, sq in seeds:
+    x, y = p + K, q + K
+    runs, between = [[p, q, K]], []  # exact runs (place in either text, words); words that agree in the gaps
+    for sp, sq in seeds[1:]:
         if sp < x or sq < y:  # overlaps what is aligned already
             step = min(sp + K - x, sq + K - y)
             if sp + K - x == sq + K - y and step > 0:
-                matched, x, y = matched + step, x + step, y + step
+                runs[-1][2] += step
+                x, y = x + step, y + step
             continue
-        matched += agreeing(mine[x - m_at : sp - m_at], theirs[y - t_at : sq - t_at]) + K
+        gap, other = mine[x - m_at : sp - m_at], theirs[y - t_at : sq - t_at]
+        if len(gap) == len(other) and (gap == other).all():
+            runs[-1][2] += len(gap) + K
+        else:
+            between.append(agreeing(gap, other))
+            runs.append([sp, sq, K])
         x, y = sp + K, sq + K
 
-    def reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-        """How far two runs of words agree but for a few lone mismatches: length, matches."""
-        n = min(len(a), len(b))
-        same = a[:n] == b[:n]
-        gained = np.cumsum(np.where(same, 1, -4))
-        if not n or gained.max() <= 0:
-            return 0, 0
-        far = int(np.argmax(gained)) + 1
-        return far, int(same[:far].sum())
-
-    back, m1 = reach(mine[: p - m_at][::-1], theirs[: q - t_at][::-1])
-    ahead, m2 = reach(mine[x - m_at :], theirs[y - t_at :])
-    start, end, a_start, a_end = p - back, x + ahead, q - back, y + ahead
-    return start, end, a_start, a_end, (matched + m1 + m2) / max(end - start, a_end - a_start)
+    # the whole chain
+    (x, y, n), (back, m1), (ahead, m2) = runs[-1], reach(mine[: p - m_at][::-1], theirs[: q - t_at][::-1]), reach(mine[x - m_at :], theirs[y - t_at :])
+    start, end, a_start, a_end = p - back, x + n + ahead, q - back, y + n + ahead
+    identity = (sum(r[2] for r in runs) + sum(between) + m1 + m2) / max(end - start, a_end - a_start)
+    if end - start < min_words or len(runs) == 1 or identity >= min_identity:
+        return [(start, end, a_start, a_end, identity)] if end - start >= min_words and identity >= min_identity else []
+
+    # its parts: what each run gains on either side, up to the next run, where one starts or ends with it
+    m, t, size = (np.array(c) for c in zip(*runs, strict=True))
+    m_end, t_end = m + size, t + size
+    m_lo, t_lo = np.append(m_at, m_end[:-1]), np.append(t_at, t_end[:-1])
+    m_hi, t_hi = np.append(m[1:], m_at + len(mine)), np.append(t[1:], t_at + len(theirs))
+    back = np.array([reach(mine[a - m_at : b - m_at][::-1], theirs[c - t_at : d - t_at][::-1]) for a, b, c, d in zip(m_lo, m, t_lo, t, strict=True)])
+    ahead = np.array([reach(mine[a - m_at : b - m_at], theirs[c - t_at : d - t_at]) for a, b, c, d in zip(m_end, m_hi, t_end, t_hi, strict=True)])
+    upto = np.cumsum(size) + np.concatenate(([0], np.cumsum(between, dtype=np.int64)))
+    start, end, a_start, a_end = m - back[:, 0], m_end + ahead[:, 0], t - back[:, 0], t_end + ahead[:, 0]
+    before, after = upto - size - back[:, 1], upto + ahead[:, 1]
+
+    found, last = [], -1
+    for i in range(len(runs)):
+        words, others, agree = end[i:] - start[i], a_end[i:] - a_start[i], after[i:] - before[i]
+        identity = agree / np.maximum(words, others)
+        good = np.flatnonzero((words >= min_words) & (identity >= min_identity))
+        if len(good) and i + good[-1] > last:
+            n, last = int(good[-1]), i + int(good[-1])
+            found.append((int(start[i]), int(end[last]), int(a_start[i]), int(a_end[last]), float(identity[n])))
+    return found
 
 
-def _align_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _align_rows(batches: Iterator[pa.RecordBatch], min_words: int, min_identity: float) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "start", "end", "anchor", "a_start", "a_end", "identity"]
     for batch in batches:
         rows = []
@@ -264,8 +302,8 @@ def _align_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 blocks = sorted((b["block"], b["words"]) for b in r["blocks"] if b["side"] == side)
                 sides.append((np.frombuffer(b"".join(w for _, w in blocks), "<u4"), blocks[0][0] * BLOCK if blocks else 0))
             (mine, m_at), (theirs, t_at) = sides
-            start, end, a_start, a_end, identity = aligned(mine, m_at, theirs, t_at, [(s["p"], s["a"]) for s in r["seeds"]])
-            rows.append((r["doc_id"], start, end, r["anchor"], a_start, a_end, identity))
+            stretches = aligned(mine, m_at, theirs, t_at, [(s["p"], s["a"]) for s in r["seeds"]], min_words, min_identity)
+            rows += [(r["doc_id"], start, end, r["anchor"], a_start, a_end, identity) for start, end, a_start, a_end, identity in stretches]
         if rows:
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "identity" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
@@ -302,8 +340,7 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     blocks = _among(texts, ids).mapInArrow(_block_rows, "doc_id bigint, block bigint, words binary").groupBy("doc_id", "block").agg(F.min("words").alias("words"))
     fetched = wanted.join(blocks, ["doc_id", "block"]).groupBy("chain").agg(F.collect_list(F.struct("side", "block", "words")).alias("blocks"))
     ready = found.join(fetched, "chain").select("doc_id", "anchor", "seeds", "blocks")
-    exact = ready.mapInArrow(_align_rows, "doc_id bigint, start bigint, end bigint, anchor bigint, a_start bigint, a_end bigint, identity double")
-    long = exact.where((F.col("end") - F.col("start") >= min_words) & (F.col("identity") >= min_identity))
+    long = ready.mapInArrow(lambda batches: _align_rows(batches, min_words, min_identity), "doc_id bigint, start bigint, end bigint, anchor bigint, a_start bigint, a_end bigint, identity double")
     zero = F.lit(0).cast("long")
     n = F.col("n_words").cast("long")
     same = copies.where(F.col("n_words") >= min_words).select("doc_id", zero.alias("start"), n.alias("end"), "anchor", zero.alias("a_start"), n.alias("a_end"), F.lit(1.0).alias("identity"))

@@ -136,6 +136,46 @@ def test_passages(spark, odd_docs, no_docs):
     assert chaining.passages(no_docs).count() == 0
 
 
+def test_passages_near_other_shared_runs(spark):
+    rng = random.Random(17)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=7)) for _ in range(n)]
+    passage, stray = words(110), words(22)
+    parted = words(80) + passage[:55] + words(40) + passage[55:] + words(80)
+    strayed = words(80) + passage[:55] + words(45) + stray + words(80)
+    rows = [(1, words(80) + passage + words(80)), (2, parted), (3, words(50) + passage[:55] + words(20) + stray + words(80)), (4, strayed)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    out = {(r["doc_id"], r["anchor"], r["start"], r["end"], r["identity"]) for r in chaining.passages(docs).collect()}
+    assert {(2, 1, 80, 135, 1.0), (2, 1, 175, 230, 1.0), (4, 1, 80, 135, 1.0)} <= out
+
+
+def test_stretches_of_a_chain_by_brute_force():
+    rng, k = random.Random(23), chaining.K
+    for _ in range(200):
+        mine, theirs, seeds = [], [], []
+        for _ in range(rng.randint(2, 6)):
+            run = [rng.getrandbits(31) for _ in range(rng.randint(k, 40))]
+            seeds.append((len(mine), len(theirs)))
+            seeds.append((len(mine) + len(run) - k, len(theirs) + len(run) - k))
+            mine, theirs = mine + run, theirs + run
+            mine, theirs = mine + [rng.getrandbits(31) for _ in range(rng.randint(1, 30))], theirs + [rng.getrandbits(31) for _ in range(rng.randint(1, 30))]
+        firsts, lasts, good = seeds[::2], [(p + k, q + k) for p, q in seeds[1::2]], []
+        for i, (p, q) in enumerate(firsts):
+            for j in range(i, len(lasts)):
+                held = sum(lasts[h][0] - firsts[h][0] for h in range(i, j + 1))
+                n = max(lasts[j][0] - p, lasts[j][1] - q)
+                if lasts[j][0] - p >= 50 and held / n >= 0.8:
+                    good.append((i, j, (p, lasts[j][0], q, lasts[j][1], held / n)))
+        want = [g for i, j, g in good if not any(a <= i and j <= b and (a, b) != (i, j) for a, b, _ in good)]
+        assert chaining.aligned(np.array(mine, "<u4"), 0, np.array(theirs, "<u4"), 0, seeds) == want
+
+
+def test_near_predecessor_of_a_far_chain():
+    far = np.arange(40) * 7
+    near = 600 + np.array([0, 9, 20, 30, 41])
+    pos, other = np.concatenate((far, near)), np.concatenate((far, near + np.array([5, 5, 6, 6, 7])))
+    assert {tuple(c) for c in chaining.chains(pos, other)} == {tuple(range(40)), tuple(range(40, 45))}
+
+
 def test_chain_value_by_brute_force():
     rng = random.Random(2)
     k, gap = chaining.K, chaining.GAP_COST
