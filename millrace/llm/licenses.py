@@ -2,7 +2,9 @@
 
 Native DataFrame expressions only. A block is a line, or a window of ``BLOCK`` words of a
 longer line (each next one ``STRIDE`` on, so a notice of up to BLOCK - STRIDE words lies
-whole in one). A template is found where a block holds at least ``threshold`` of its
+whole in one). With ``wrapped``, windows of a document's whole word sequence are blocks
+too, so a notice may be wrapped over lines; the query asks for that, while ``OP10_SQL``
+has the line rule alone (it can only find less, where a notice is wrapped). A template is found where a block holds at least ``threshold`` of its
 distinct words. Words outside all templates can't add to an overlap, so a block keeps
 only its template words, ordered by how rare they are over all blocks. Then
 
@@ -88,8 +90,9 @@ def template_table(spark: SparkSession, templates: tuple, order: list[str], thre
     return spark.createDataFrame(rows, "token string, t_at int, label string, t_size int, need int, t_words array<string>")
 
 
-def template_blocks(lines: str, vocabulary: list[str], least: int) -> Column:
-    """The template words of every block that has ``least`` of them, from words by line."""
+def template_blocks(lines: Column, vocabulary: list[str], least: int) -> Column:
+    """The template words of every block that has ``least`` of them, from words by line
+    (or by any other sequence)."""
     vocab = F.array(*[F.lit(w) for w in vocabulary])
     windows = F.transform(
         F.filter(lines, lambda w: F.size(w) >= least),
@@ -101,7 +104,7 @@ def template_blocks(lines: str, vocabulary: list[str], least: int) -> Column:
     return F.filter(kept, lambda w: F.size(w) >= least)
 
 
-def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, templates: tuple = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, templates: tuple = TEMPLATES, threshold: float = 0.8, wrapped: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: n_words, places of base phrases, template matches, score.
 
     ``found`` has every (label, containment) of the templates met by some block; ``score``
@@ -115,7 +118,8 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, templates: t
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     by_line = F.transform(F.split(lowered(F.col("text")), "\n"), lambda x: F.array_remove(F.split(x, GAP), ""))
     worded = rows.select("doc_id", by_line.alias("lines")).select("doc_id", "lines", F.flatten("lines").alias("words"))
-    placed = worded.select("doc_id", F.size("words").cast("long").alias("n_words"), phrase_places("words", phrases).alias("places"), template_blocks("lines", vocabulary, least).alias("blocks"))
+    sequences = F.when(F.size("lines") > 1, F.concat("lines", F.array("words"))).otherwise(F.col("lines")) if wrapped else F.col("lines")
+    placed = worded.select("doc_id", F.size("words").cast("long").alias("n_words"), phrase_places("words", phrases).alias("places"), template_blocks(sequences, vocabulary, least).alias("blocks"))
     base = durable(placed.select(F.monotonically_increasing_id().alias("rid"), "*"))
 
     # corpus-wide frequency of each template word: at most one row a word comes back
@@ -140,7 +144,7 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, templates: t
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and template notices in every document."""
-    found = scan(table(spark, sf_dir, "documents"))
+    found = scan(table(spark, sf_dir, "documents"), wrapped=True)
     labels = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     base = F.transform("places", lambda p: p["label"])
     starts = F.transform("places", lambda p: p["at"])

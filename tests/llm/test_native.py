@@ -92,6 +92,22 @@ def test_license_brute(spark, odd_docs, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
+def test_license_notices_wrapped_over_lines(spark, tmp_path):
+    filler = [f"f{i}" for i in range(61)]
+    rows, want = [], {}
+    for label, notice in licenses.TEMPLATES:
+        for width in (3, 7):
+            words = filler + notice.split() + filler
+            lines = [" ".join(words[a : a + width]) for a in range(0, len(words), width)]
+            want[len(rows)] = label
+            rows.append((len(rows), "\n".join(lines)))
+    rows.append((len(rows), "\n".join(filler)))
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r["doc_id"]: r for r in QUERIES["op10_license_scan"](spark, str(tmp_path)).collect()}
+    assert all(label in out[i]["labels"].split(",") and out[i]["score"] == 1 for i, label in want.items())
+    assert (out[len(want)]["labels"], out[len(want)]["score"]) == ("", 0)
+
+
 def test_chat_digests(spark, sf_dir):
     out = {r["conv_id"]: r for r in QUERIES["op1_chat_formatting"](spark, sf_dir).collect()}
     said = "".join(f"{r}\n{chat.CONTROL}\n" for r in ("user", "assistant"))
