@@ -3,7 +3,10 @@
 1. Seeds: hashes of ``K`` consecutive words, thinned to the least of every ``WINDOW``
    neighbours, so any shared run of K + WINDOW - 1 words shares a seed.
 2. Join: a seed that several documents hold points from each of them to one anchor, the
-   holder of least doc_id (a star, never all pairs).
+   holder of least doc_id (a star, never all pairs). So does each run of adjacent shared
+   seeds over ``RUNS`` words, as the parts of a passage may have other, lesser holders: a
+   run's anchor holds all of it. An exact passage of MIN_WORDS + 2 * (WINDOW - 1) words or
+   more always has such a run of MIN_WORDS, whose anchor shares a passage of that size.
 3. Chaining: the seeds of a (document, anchor) pair that ascend in both texts are chained
    for the best sum of covered words less gap costs, through a Fenwick tree of prefix
    maxima over the anchor's positions.
@@ -36,6 +39,9 @@ from millrace.session import durable, table
 K, WINDOW, MAX_GAP = 7, 16, 64
 MIN_WORDS, MIN_IDENTITY = 50, 0.8
 
+#: Least words of the runs of seeds that get an anchor of their own.
+RUNS = (24, MIN_WORDS)
+
 #: Words in a fetched block, and words fetched beyond either end of a chain.
 BLOCK, AROUND = 64, 32
 
@@ -96,6 +102,61 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hash", "doc_id", "pos"])
 
 
+def _powers_at(base: int, exponents: np.ndarray) -> np.ndarray:
+    """Powers of ``base`` modulo 2**64."""
+    out, left, square = np.ones(len(exponents), np.uint64), exponents.astype(np.uint64), np.uint64(base)
+    with np.errstate(over="ignore"):
+        while left.any():
+            out = np.where(left & np.uint64(1), out * square, out)
+            left, square = left >> np.uint64(1), square * square
+    return out
+
+
+def seed_runs(docs: np.ndarray, pos: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """From each seed on, the shortest run of adjacent seeds over each of RUNS words: hash,
+    doc_id, pos, span. Seeds come sorted by (doc_id, pos); the hash is the same wherever
+    the same seeds stand at the same distances."""
+    n = len(docs)
+    other = np.concatenate(([False], docs[1:] != docs[:-1]))
+    far = np.cumsum(other | np.concatenate(([False], np.diff(pos) > WINDOW)))
+    key = (np.cumsum(other) << 32) + pos
+    mult = int(_MULT)
+    found = []
+    with np.errstate(over="ignore"):
+        upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes.astype(np.int64).view(np.uint64) * _powers_at(mult, pos), dtype=np.uint64)))
+        back = _powers_at(pow(mult, -1, 1 << 64), pos)
+        for least in RUNS:
+            j = np.searchsorted(key, key + (least - K))
+            i = np.flatnonzero(j < n)
+            i = i[far[j[i]] == far[i]]
+            whole = (upto[j[i] + 1] - upto[i]) * back[i] + np.uint64(least)
+            whole = (whole ^ (whole >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            found.append((whole.view(np.int64), docs[i], pos[i], pos[j[i]] + K - pos[i]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of a partition whose seeds come sorted by (doc_id, pos)."""
+    held: list[tuple] = []  # seeds of the last document, which may go on
+
+    def solved(docs: np.ndarray, pos: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(seed_runs(docs, pos, hashes), kinds, strict=True)], ["hash", "doc_id", "pos", "span"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = tuple(np.asarray(batch.column(k)).astype(np.int64) for k in range(3))
+        if held and rows[0][-1] == held[0][0][0]:
+            held.append(rows)
+            continue
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        yield solved(*(np.concatenate([*(h[k] for h in held), rows[k][:last]]) for k in range(3)))
+        held = [tuple(c[last:] for c in rows)]
+    if held:
+        yield solved(*(np.concatenate([h[k] for h in held]) for k in range(3)))
+
+
 class Fenwick:
     """Prefix maxima of (value, index) over ranks."""
 
@@ -215,25 +276,30 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def agreeing(a: np.ndarray, b: np.ndarray) -> int:
-    """Words of a longest common subsequence, row by row (gaps are short)."""
-    n = min(len(a), len(b))
-    if n == 0:
+    """Words of a longest common subsequence, by bits of one number: a bit of ``a`` goes
+    out where the length grows."""
+    if not len(a) or not len(b):
         return 0
     if len(a) == len(b) and (a == b).all():
-        return n
-    row = np.zeros(len(b) + 1, np.int64)
-    for word in a:
-        same = row[:-1] + (b == word)
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], same))
-    return int(row[-1])
+        return len(a)
+    places: dict[int, int] = {}
+    for i, word in enumerate(a.tolist()):
+        places[word] = places.get(word, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for word in b.tolist():
+        same = row & places.get(word, 0)
+        row = ((row + same) | (row - same)) & full
+    return len(a) - row.bit_count()
 
 
 def reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """How far two runs of words agree but for a few lone mismatches: length, matches."""
     n = min(len(a), len(b))
     same = a[:n] == b[:n]
+    if not n or same.all():
+        return n, n
     gained = np.cumsum(np.where(same, 1, -4))
-    if not n or gained.max() <= 0:
+    if gained.max() <= 0:
         return 0, 0
     far = int(np.argmax(gained)) + 1
     return far, int(same[:far].sum())
@@ -329,7 +395,15 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     several = durable(single.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least != most").select("hash"))
     shared = durable(single.join(several, "hash"))
     anchors = shared.groupBy("hash").agg(F.min(F.struct(F.col("doc_id").alias("anchor"), F.col("pos").alias("a_pos"))).alias("m")).select("hash", "m.*")
-    pairs = shared.join(anchors, "hash").where("doc_id != anchor").select("doc_id", "anchor", "pos", "a_pos").distinct()
+    by_seed = shared.join(anchors, "hash").where("doc_id != anchor").select("doc_id", "anchor", "pos", "a_pos")
+
+    # runs of shared seeds: their first and last seed point to the run's anchor
+    ordered = shared.select("doc_id", "pos", "hash").distinct().repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+    runs = durable(ordered.mapInArrow(_run_rows, "hash bigint, doc_id bigint, pos int, span int"))
+    held = runs.groupBy("hash", "span").agg(F.min(F.struct(F.col("doc_id").alias("anchor"), F.col("pos").alias("a_pos"))).alias("m"), F.max("doc_id").alias("most")).where("m.anchor != most").select("hash", "span", "m.*")
+    ends = runs.join(held, ["hash", "span"]).where("doc_id != anchor").withColumn("by", F.explode(F.array(F.lit(0), F.col("span") - K)))
+    by_run = ends.select("doc_id", "anchor", (F.col("pos") + F.col("by")).alias("pos"), (F.col("a_pos") + F.col("by")).alias("a_pos"))
+    pairs = by_seed.unionByName(by_run).distinct()
     chained = pairs.repartition("doc_id", "anchor").sortWithinPartitions("doc_id", "anchor").mapInArrow(_chain_rows, "doc_id bigint, start bigint, end bigint, anchor bigint, a_start bigint, a_end bigint, seeds array<struct<p:bigint,a:bigint>>")
     found = durable(chained.withColumn("chain", F.monotonically_increasing_id()))
 

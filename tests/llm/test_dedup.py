@@ -148,6 +148,32 @@ def test_passages_near_other_shared_runs(spark):
     assert {(2, 1, 80, 135, 1.0), (2, 1, 175, 230, 1.0), (4, 1, 80, 135, 1.0)} <= out
 
 
+def test_passages_whose_parts_stand_elsewhere(spark):
+    rng = random.Random(29)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=7)) for _ in range(n)]
+    rows, want = [], []
+    for n, parts in [(90, 2)] * 12 + [(120, 3)] * 6 + [(400, 10)] * 3:
+        passage, size, first = words(n), n // parts, 100 * len(want)
+        rows += [(first + i, words(60) + passage[i * size : (i + 1) * size] + words(60)) for i in range(parts)]
+        rows += [(first + 50, words(70) + passage + words(60)), (first + 51, words(80) + passage + words(60))]
+        want.append((first + 51, 80, 80 + n, first + 50, 70, 70 + n, 1.0))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    assert {tuple(r) for r in chaining.passages(docs).collect()} == set(want)
+
+
+def test_seed_runs_move_with_the_text():
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(-(2**63), 2**63, 40)
+    places = np.cumsum(rng.integers(1, chaining.WINDOW + 1, 40))
+    docs, pos = np.repeat([4, 9], 40), np.concatenate((places, places + 1000))
+    found, ids, at, spans = chaining.seed_runs(docs, pos, np.tile(hashes, 2))
+    mine, theirs = ({(h, p - o, s) for h, i, p, s in zip(found.tolist(), ids.tolist(), at.tolist(), spans.tolist()) if i == d} for d, o in ((4, 0), (9, 1000)))
+    assert mine == theirs and len(mine) > 40 and min(spans) >= min(chaining.RUNS)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[a : a + 7]) for c in (docs, pos, np.tile(hashes, 2))], ["doc_id", "pos", "hash"]) for a in range(0, 80, 7)]
+    cut = [x for b in chaining._run_rows(iter(batches)) for x in b.column(0).to_pylist()]
+    assert sorted(cut) == sorted(found.tolist())
+
+
 def test_stretches_of_a_chain_by_brute_force():
     rng, k = random.Random(23), chaining.K
     for _ in range(200):
