@@ -163,15 +163,89 @@ def test_passages_whose_parts_stand_elsewhere(spark):
 
 def test_seed_runs_move_with_the_text():
     rng = np.random.default_rng(3)
-    hashes = rng.integers(-(2**63), 2**63, 40)
+    hashes, anchors = rng.integers(-(2**63), 2**63, 40), rng.integers(0, 3, 40)
     places = np.cumsum(rng.integers(1, chaining.WINDOW + 1, 40))
-    docs, pos = np.repeat([4, 9], 40), np.concatenate((places, places + 1000))
-    found, ids, at, spans = chaining.seed_runs(docs, pos, np.tile(hashes, 2))
+    columns = (np.repeat([4, 9], 40), np.concatenate((places, places + 1000)), np.tile(hashes, 2), np.tile(anchors, 2), np.tile(places + 7, 2))
+    found, ids, at, spans, first = chaining.seed_runs(*columns)
     mine, theirs = ({(h, p - o, s) for h, i, p, s in zip(found.tolist(), ids.tolist(), at.tolist(), spans.tolist()) if i == d} for d, o in ((4, 0), (9, 1000)))
-    assert mine == theirs and len(mine) > 40 and min(spans) >= min(chaining.RUNS)
-    batches = [pa.RecordBatch.from_arrays([pa.array(c[a : a + 7]) for c in (docs, pos, np.tile(hashes, 2))], ["doc_id", "pos", "hash"]) for a in range(0, 80, 7)]
+    assert mine == theirs and len(mine) > 40 and min(spans) >= min(chaining.RUNS) and first.all()
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[a : a + 7]) for c in columns], list("abcde")) for a in range(0, 80, 7)]
     cut = [x for b in chaining._run_rows(iter(batches)) for x in b.column(0).to_pylist()]
     assert sorted(cut) == sorted(found.tolist())
+    same = chaining.seed_runs(*columns[:3], np.zeros(80, int), columns[1] - 5)
+    assert not len(same[0])  # one anchor at one distance: no run needed
+
+
+def test_seeds_of_any_exact_run():
+    rng = np.random.default_rng(7)
+    words = rng.integers(0, 2**63, 400).astype(np.uint64)
+    sizes = np.array([0, 150, 19, 31, 200])
+    owner = np.repeat(np.arange(5), sizes)
+    rank = np.arange(400) - (np.cumsum(sizes) - sizes)[owner]
+    grams = chaining.kmers(words, chaining.K)
+    own = owner[: len(grams)]
+    whole = rank[: len(grams)] + chaining.K <= sizes[own]
+    at = chaining.seed_places(grams, own, whole, chaining.WINDOW)
+    assert whole[at].all()
+    for i in range(len(grams) - chaining.WINDOW + 1):
+        if whole[i + chaining.WINDOW - 1] and own[i] == own[i + chaining.WINDOW - 1]:
+            assert ((at >= i) & (at < i + chaining.WINDOW)).any()
+    assert len(at) < 0.25 * len(grams)
+
+
+def edited(rng, passage, rate, make):
+    """A passage with substitutions, insertions and deletions at random places."""
+    out = []
+    for w in passage:
+        kind = rng.random()
+        if kind >= rate:
+            out.append(w)
+        elif kind < rate / 2:
+            out += make(1)
+        elif kind < 3 * rate / 4:
+            out += [w, *make(1)]
+    return out
+
+
+def test_recall_of_edited_passages(spark):
+    """Shared passages with random edits, each of 60 to 120 words: found, or not."""
+    rng = random.Random(41)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=7)) for _ in range(n)]
+    rows, rates = [], {}
+    for i in range(300):
+        rate, passage = (0.03, 0.06, 0.1)[i % 3], words(rng.randint(60, 120))
+        rates[2 * i + 1] = rate
+        rows += [(2 * i, words(70) + passage + words(70)), (2 * i + 1, words(50) + edited(rng, passage, rate, words) + words(50))]
+    found = {r["doc_id"] for r in chaining.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")).collect()}
+    assert found <= set(rates)
+    for rate, least in ((0.03, 0.98), (0.06, 0.95), (0.1, 0.9)):
+        of = [d for d, r in rates.items() if r == rate]
+        print("recall at", rate, len(found & set(of)) / len(of))
+        assert len(found & set(of)) / len(of) >= least
+
+
+def test_a_passage_after_a_longer_one(spark):
+    rng = random.Random(47)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=7)) for _ in range(n)]
+    long, short = words(500), words(56)
+    rows = [(1, long + words(1000) + short), (2, long + words(1100) + short[:30] + words(1) + short[30:])]
+    out = chaining.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")).collect()
+    assert sorted((r["start"], r["end"]) for r in out) == [(0, 500), (1600, 1657)]
+
+
+def test_ids_that_repeat_and_other_types(spark):
+    rng = random.Random(53)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=7)) for _ in range(n)]
+    first, second = words(200), words(200)
+    rows = [(5, first), (5, second), (5, second), (6, words(30) + first), (7, second)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    want = [(5, 7), (6, 5)]
+    pairs = lambda out: sorted(tuple(sorted((str(r["doc_id"]), str(r["anchor"])))) for r in out)
+    out = chaining.passages(docs).collect()
+    assert pairs(out) == [("5", "6"), ("5", "7")] and all(r["end"] - r["start"] == 200 for r in out), (out, want)
+    named = chaining.passages(docs.selectExpr("concat('n', doc_id) as doc_id", "text"))
+    assert dict(named.dtypes)["doc_id"] == "string"
+    assert pairs(named.collect()) == [("n5", "n6"), ("n5", "n7")]
 
 
 def test_stretches_of_a_chain_by_brute_force():
