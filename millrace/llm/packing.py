@@ -10,8 +10,8 @@ partitions at a time and level by level, so no task gathers all of them.
 Token ids come from a tokenizer file that every worker reads by its path.
 
 Edge cases: null and empty texts are the closing id alone; repeated rows are packed each;
-a text of any length is cut, never shortened; an empty table gives an empty result; other
-columns pass by unread.
+a text of any length is cut, never shortened; ids of any type come back as they are; an
+empty table gives an empty result; other columns pass by unread.
 """
 
 from __future__ import annotations
@@ -32,6 +32,10 @@ from millrace.session import durable, table
 #: Partitions whose leftovers one task merges.
 FAN_IN = 32
 
+#: A sequence's number: the level of the packer that emitted it, its task and a count, in
+#: bits of their own, so no two sequences share one (7 levels, 2^28 tasks, 2^32 windows each).
+LEVEL_BITS, TASK_BITS = 60, 32
+
 CLOSING = np.zeros(1, "<u4").tobytes()
 
 #: Fixed value: how byte-level BPE files of this kind split a text before merging.
@@ -118,14 +122,21 @@ class OpenWindows:
         return emitted
 
 
-PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_()), ("task", pa.int64())])
+def _piece_schema(id_kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("doc_id", id_kind), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_()), ("task", pa.int64())])
+
+
+def first_number(level: int, task: int) -> int:
+    """The number of the first sequence of a packer."""
+    return (level << LEVEL_BITS) + (task << TASK_BITS)
 
 
 def _packer(path: str, size: int, n_open: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, task = encoder(path), TaskContext.get().partitionId()
-        packer = OpenWindows(size, n_open, task << 40)
+        packer = OpenWindows(size, n_open, first_number(0, task))
         rows: list[tuple] = []
+        shape: pa.Schema | None = None
 
         def emit(window: int, entries: list, still_open: bool = False) -> None:
             offset = 0
@@ -134,11 +145,12 @@ def _packer(path: str, size: int, n_open: int):
                 offset += length
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(PIECE)
+            columns = list(zip(*rows, strict=True))
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECE, strict=True)], schema=PIECE)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
 
         for batch in batches:
+            shape = _piece_schema(batch.column(0).type)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = tokens.encode(text.as_py() or "") + CLOSING
                 n = len(ids) // 4
@@ -151,7 +163,8 @@ def _packer(path: str, size: int, n_open: int):
                     yield flush()
         for window, entries in packer.held.items():
             emit(window, entries, True)
-        yield flush()
+        if rows:
+            yield flush()
 
     return run
 
@@ -164,7 +177,7 @@ def _merger(size: int, n_open: int, level: int):
 
     def run(key: tuple, tables: pa.Table) -> pa.Table:
         task = key[0].as_py()
-        packer = OpenWindows(size, n_open, (level << 58) + (task << 30))
+        packer = OpenWindows(size, n_open, first_number(level, task))
         out = []
 
         def emit(window: int, entries: list, still_open: bool = False) -> None:
@@ -192,8 +205,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, size: int = 1024, n_open: int
     32-bit), sequence_id, offset. ``derive`` adds columns made from a piece (of its
     ``ids``, say); with ``keep_ids`` off the ids themselves are not stored."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, sequence_id bigint, `offset` bigint, `open` boolean, task bigint"
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, start bigint, length bigint, doc_tokens bigint, ids binary, sequence_id bigint, `offset` bigint, `open` boolean, task bigint"
     made = rows.mapInArrow(_packer(tokenizer_path, size, n_open), schema).withColumns(derive or {})
     made = durable(made if keep_ids else made.drop("ids"))
 
