@@ -5,7 +5,8 @@ The risk of a scorer f under the logistic loss l, with class prior p, is
     p * E_pos[l(f)] + max(0, E_unl[l(-f)] - p * E_pos[l(-f)])
 
 The second term estimates the loss on negatives without a negative example. Where it falls
-below zero (only overfitting does that), a step raises it again instead.
+below zero (only overfitting does that), a step raises it again instead. The class prior is
+estimated from the two samples too; rows labelled 0 are never read.
 """
 
 from __future__ import annotations
@@ -34,14 +35,21 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(z / 2))
 
 
+def risk_of(theta: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The non-negative risk, and the estimated negative part before it is cut off at 0."""
+    zp, zu = xp @ theta, xu @ theta
+    negative = float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+    return prior * float(np.logaddexp(0, -zp).mean()) + max(0.0, negative), negative
+
+
 def fit(pos: np.ndarray, unl: np.ndarray, prior: float, *, l2: float = 1e-4, iterations: int = 60) -> Linear:
     """Minimise the non-negative risk by Newton steps.
 
-    Under the logistic loss l(f) - l(-f) = -f, so where the estimated negative risk is
-    positive the whole is convex: -p * E_pos[f] + E_unl[log(1 + exp f)]. A step is halved
-    until it lowers the risk and keeps the negative part from falling below zero; when no
-    step does, the minimum (or the bound) is reached. Without positives or without
-    unlabelled rows the model is the prior alone."""
+    Under the logistic loss l(f) - l(-f) = -f, so where the estimated negative part is above
+    zero the risk is convex: -p * E_pos[f] + E_unl[log(1 + exp f)]; a step is halved until it
+    lowers the risk. Where a step has left the negative part below zero, the next one goes
+    up that part's own slope instead, until it is zero or more again. The best point met
+    with such a part of zero or more is the model. Without positives or without unlabelled rows the model is the prior alone."""
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     start = float(np.log(prior / (1 - prior)))
     if not len(pos) or not len(unl):
@@ -54,56 +62,93 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float, *, l2: float = 1e-4, ite
     theta = np.zeros(xp.shape[1])
     theta[-1] = start
 
-    def risk(t: np.ndarray) -> tuple[float, float]:
-        zp, zu = xp @ t, xu @ t
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        return prior * np.logaddexp(0, -zp).mean() + max(0.0, negative) + 0.5 * float(ridge @ (t * t)), negative
+    def value(t: np.ndarray) -> tuple[float, float]:
+        risk, negative = risk_of(t, xp, xu, prior)
+        return risk + 0.5 * float(ridge @ (t * t)), negative
 
-    now, _ = risk(theta)
+    now, negative = value(theta)
+    best, least = theta, np.inf
     for _ in range(iterations):
+        if negative >= 0 and now < least:
+            best, least = theta, now
         s = sigmoid(xu @ theta)
-        grad = -prior * mean_p + s @ xu / len(xu) + ridge * theta
-        bend = (xu * (s * (1 - s) / len(xu))[:, None].astype(np.float32)).T @ xu + np.diag(ridge)
-        step, size = np.linalg.solve(bend, grad), 1.0
-        while size > 1e-4:
-            after, negative = risk(theta - size * step)
-            if after < now and negative >= 0:
+        bend = (xu * (s * (1 - s) / len(xu))[:, None].astype(np.float32)).T @ xu + np.diag(ridge + 1e-9)
+        if negative >= 0:  # down the risk
+            step = np.linalg.solve(bend, -prior * mean_p + s @ xu / len(xu) + ridge * theta)
+            sizes = (0.5**k for k in range(14))
+            better = lambda after, its: after < now
+        else:  # the correction: up the negative part, no further than needed
+            step = np.linalg.solve(bend, prior * (sigmoid(xp @ theta) @ xp) / len(xp) - s @ xu / len(xu))
+            sizes = (0.5**k for k in range(13, -3, -1))
+            better = lambda after, its: its >= 0
+        for size in sizes:
+            after, its = value(theta - size * step)
+            if better(after, its):
                 break
-            size /= 2
         else:
             break
-        theta, gained, now = theta - size * step, now - after, after
-        if gained < 1e-7:
+        small = negative >= 0 and its >= 0 and now - after < 1e-7
+        theta, now, negative = theta - size * step, after, its
+        if small:
             break
-    return Linear(theta[:-1].copy(), float(theta[-1]))
+    if negative >= 0 and now < least:
+        best = theta
+    return Linear(best[:-1].copy(), float(best[-1]))
 
 
-def calibrated(model: Linear, pos: np.ndarray, neg: np.ndarray, prior: float) -> Linear:
-    """The model with its logit rescaled and shifted (a one-dimensional logistic fit), so
-    that 0.5 is the even point on confirmed rows of both labels in the prior's proportion.
-    The order of scores stays; without rows of both labels so does the model."""
-    if not len(pos) or not len(neg):
-        return model
-    z = np.concatenate([pos, neg]) @ model.weights + model.bias
-    y = np.concatenate([np.ones(len(pos)), np.zeros(len(neg))])
-    w = np.concatenate([np.full(len(pos), prior / len(pos)), np.full(len(neg), (1 - prior) / len(neg))])
-    x = np.column_stack([z, np.ones(len(z))])
-    theta, ridge = np.array([1.0, 0.0]), 1e-3
+def separator(pos: np.ndarray, unl: np.ndarray, l2: float, iterations: int = 30) -> Linear:
+    """A plain logistic model of sampled as positive against sampled at large: its order of
+    texts is all that is used."""
+    x = np.concatenate([pos, unl]).astype(np.float32)
+    x = np.column_stack([x, np.ones(len(x), np.float32)])
+    y = np.concatenate([np.ones(len(pos)), np.zeros(len(unl))])
+    w = np.concatenate([np.full(len(pos), 0.5 / len(pos)), np.full(len(unl), 0.5 / len(unl))])
+    theta, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], l2)
 
     def loss(t: np.ndarray) -> float:
-        return float(w @ np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ t)) + 0.5 * ridge * ((t - [1, 0]) ** 2).sum())
+        return float(w @ np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ t)) + 0.5 * (ridge @ (t * t)))
 
-    for _ in range(100):
+    now = loss(theta)
+    for _ in range(iterations):
         s = sigmoid(x @ theta)
-        grad = x.T @ (w * (s - y)) + ridge * (theta - [1, 0])
-        step, size = np.linalg.solve((x.T * (w * s * (1 - s))) @ x + np.eye(2) * ridge, grad), 1.0
-        while size > 1e-6 and loss(theta - size * step) >= loss(theta):
+        bend = (x * (w * s * (1 - s))[:, None].astype(np.float32)).T @ x + np.diag(ridge)
+        step, size = np.linalg.solve(bend, (w * (s - y)) @ x + ridge * theta), 1.0
+        while size > 1e-4 and loss(theta - size * step) >= now:
             size /= 2
-        if size <= 1e-6:
+        if size <= 1e-4:
             break
         theta = theta - size * step
-    scale = max(theta[0], 1e-3)
-    return Linear(model.weights * scale, float(model.bias * scale + theta[1]))
+        gained, now = now - loss(theta), loss(theta)
+        if gained < 1e-6:
+            break
+    return Linear(theta[:-1].copy(), float(theta[-1]))
+
+
+def estimated_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+    """The share of positives in the unlabelled sample, from held-out scores of both.
+
+    Above any score lie at most as many of the unlabelled as the positives among them
+    explain, if the top scores are pure: the least ratio of both shares over all scores,
+    with a margin for what few rows at the top leave open."""
+    if not len(pos) or not len(unl):
+        return 0.5
+    cuts = np.unique(np.concatenate([pos, unl]))
+    above_p = 1 - np.searchsorted(np.sort(pos), cuts) / len(pos)
+    above_u = 1 - np.searchsorted(np.sort(unl), cuts) / len(unl)
+    some = above_p > 0
+    margin = np.sqrt(np.log(40) / (2 * len(pos))) + np.sqrt(np.log(40) / (2 * len(unl)))
+    at = np.argmin((above_u[some] + 1.01 * margin) / above_p[some])
+    return float(np.clip(above_u[some][at] / above_p[some][at], 1e-3, 1 - 1e-3))
+
+
+def learn(pos: np.ndarray, unl: np.ndarray, *, l2: float = 1e-4) -> tuple[Linear, float]:
+    """Model and class prior: one half of either sample orders the other half's rows, from
+    whose scores the prior is estimated; the model is then fitted to all rows."""
+    if not len(pos) or not len(unl):
+        return fit(pos, unl, 0.5, l2=l2), 0.5
+    guide = separator(pos[::2], unl[::2], l2)
+    prior = estimated_prior(guide.score(pos[1::2]), guide.score(unl[1::2]))
+    return fit(pos, unl, prior, l2=l2), prior
 
 
 def held_out(id_col: str, folds: int, fold: int) -> Column:
@@ -111,22 +156,24 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def samples(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, *, max_pos: int, max_unl: int) -> tuple[DataFrame, float]:
-    """Stored rows (text, pos, neg, unl) of trusted positives, of confirmed negatives (for
-    calibration only) and of unlabelled text, and the class prior: the share of label 1
-    over all usable labelled rows.
-
-    ``max_pos`` bounds positives and negatives each, ``max_unl`` the rest (on average: rows
-    are picked by the hash of their id); labelled ids are shared out within that bound."""
-    known = labels.where(F.col(label_col).isin(0, 1)).where(usable)
-    n, ones = known.agg(F.count(F.lit(1)), F.sum(F.col(label_col).cast("long"))).first()
-    prior = (ones or 0) / n if n else 0.5
-    pick = lambda salt, rows, most: F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(1, rows or 0)))
-    is_one = F.col(label_col) == 1
-    chosen = known.where(F.when(is_one, pick("p", ones, max_pos)).otherwise(pick("n", n - (ones or 0), max_pos)))
-    chosen = chosen.groupBy("doc_id").agg(F.max(is_one).alias("pos"))
+def samples(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, *, max_pos: int, max_unl: int) -> DataFrame:
+    """Stored rows (text, p_draw, u_draw) of trusted positives and of unlabelled text.
+
+    A draw is null where a row isn't in that sample; the rows are some ``max_pos`` and
+    ``max_unl``, whatever ids or rows repeat, as each row is drawn for itself. ``capped``
+    holds the figures exactly. Labelled ids are shared out within the same bound."""
+    known = labels.where(F.col(label_col) == 1).where(usable).select("doc_id").distinct()
+    rate = lambda most, of: min(1.0, most / max(1, of))
+    of_id = F.pmod(F.xxhash64(F.lit("p"), "doc_id"), F.lit(1 << 30))
+    chosen = durable(known.where(of_id < int((1 << 30) * rate(max_pos, known.count()))))
     rows = docs.select("doc_id", "text").where(usable)
-    total = docs.count()
-    marked = rows.join(F.broadcast(chosen), "doc_id", "left").withColumn("unl", pick("u", total, max_unl))
-    kept = marked.where(F.col("pos").isNotNull() | F.col("unl"))
-    return durable(kept.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("pos", F.lit(False)).alias("pos"), F.coalesce(~F.col("pos"), F.lit(False)).alias("neg"), "unl")), prior
+    n_pos, n_all = rows.join(F.broadcast(chosen), "doc_id", "left_semi").count(), rows.count()
+    marked = rows.join(F.broadcast(chosen.withColumn("known", F.lit(True))), "doc_id", "left")
+    drawn = marked.select(F.coalesce("text", F.lit("")).alias("text"), "known", F.rand(11).alias("p"), F.rand(12).alias("u"))
+    kept = drawn.select("text", F.when(F.col("known") & (F.col("p") < rate(max_pos, n_pos)), F.col("p")).alias("p_draw"), F.when(F.col("u") < rate(max_unl, n_all), F.col("u")).alias("u_draw"))
+    return durable(kept.where(F.col("p_draw").isNotNull() | F.col("u_draw").isNotNull()))
+
+
+def capped(sample: DataFrame, draw: str, most: int) -> DataFrame:
+    """The rows of one sample, ``most`` at most, least draws first."""
+    return sample.where(F.col(draw).isNotNull()).orderBy(draw).limit(most)

@@ -1,12 +1,12 @@
 """Quality classifier: positive-unlabelled learning over measures of the whole text.
 
-Trusted positives are rows labelled 1, unlabelled rows are web text at large; labels of 0
-serve the class prior and the calibration of the fitted score alone. A text becomes some twenty measures of its bytes and
+Trusted positives are rows labelled 1, unlabelled rows are web text at large; the class
+prior is estimated from both, and labels of 0 are never read. A text becomes some twenty measures of its bytes and
 words (shares of character classes, repetition, line shape); each measure is cut into
 quantile bins learnt from the unlabelled sample, so that the linear model can bend.
 
 Edge cases: null and empty texts are scored like any text (all measures zero); without
-labelled positives every score is the prior, here 0.5; repeated rows get one score; an
+labelled positives every score is 0.5; repeated rows get one score; an
 empty table gives an empty result; other columns pass by unread.
 """
 
@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.nnpu import Linear, calibrated, fit, held_out, samples
+from millrace.llm.nnpu import Linear, capped, held_out, learn, samples
 from millrace.llm.text import as_buffers, pieces, words_of
-from millrace.session import table
+from millrace.session import durable, table
 
 #: Classes of bytes; what no class names is class 0.
 CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t", "\n\r", ".,;:'\"-()", "!?", "*#%&$@^~_=+", "|<>[]{}\\/")
@@ -95,16 +95,13 @@ def measure_udf():
 
 def train(docs: DataFrame, labels: DataFrame, usable, *, label_col: str = "quality", max_pos: int = MAX_POSITIVES, max_unl: int = MAX_UNLABELLED) -> tuple[Linear, np.ndarray]:
     """Model and bin edges, from bounded samples (their measures come to the driver)."""
-    sample, prior = samples(docs, labels, label_col, usable, max_pos=max_pos, max_unl=max_unl)
-    got = sample.select("pos", "neg", "unl", measure_udf()("text").alias("x")).toArrow()
-    x = np.asarray(got["x"].combine_chunks().flatten()).reshape(-1, N_MEASURES)
-    pos, neg, unl = (np.asarray(got[c], bool) for c in ("pos", "neg", "unl"))
+    sample = samples(docs, labels, label_col, usable, max_pos=max_pos, max_unl=max_unl)
+    measured = durable(sample.select("p_draw", "u_draw", measure_udf()("text").alias("x")))
+    matrix = lambda rows: np.asarray(rows.select("x").toArrow()["x"].combine_chunks().flatten(), float).reshape(-1, N_MEASURES)
+    pos, unl = matrix(capped(measured, "p_draw", max_pos)), matrix(capped(measured, "u_draw", max_unl))
     cuts = np.linspace(0, 1, BINS + 1)[1:-1]
-    edges = np.quantile(x[unl], cuts, axis=0).T if unl.any() else np.zeros((N_MEASURES, BINS - 1))
-    if not pos.any():
-        prior = 0.5
-    model = fit(binned(x[pos], edges), binned(x[unl], edges), prior)
-    return calibrated(model, binned(x[pos], edges), binned(x[neg], edges), prior), edges
+    edges = np.quantile(unl, cuts, axis=0).T if len(unl) else np.zeros((N_MEASURES, BINS - 1))
+    return learn(binned(pos, edges), binned(unl, edges))[0], edges
 
 
 def quality_scorer(docs: DataFrame, labels: DataFrame, *, folds: int = 3, fold: int = 1):

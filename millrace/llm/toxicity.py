@@ -1,13 +1,13 @@
 """Toxicity: non-negative positive-unlabelled learning over words and word beginnings.
 
 Confirmed toxic rows are the positives, text at large is unlabelled, and the risk is
-corrected by the class prior. A text is the set of its words and of their first 4, 5 and 6
+corrected by the class prior, which is estimated from both. A text is the set of its words and of their first 4, 5 and 6
 bytes (which meet inflected forms). One Spark aggregate counts in how many sampled texts
 of either kind each of these occurs; the ``FEATURES`` that lean most to the positives
 become the model's inputs, so only those few reach the driver.
 
 Edge cases: null and empty texts have no features and get the model's base score; without
-positives every score is the prior; repeated rows get one score; an empty table gives an
+positives every score is 0.5; repeated rows get one score; an empty table gives an
 empty result; other columns pass by unread.
 """
 
@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.nnpu import Linear, calibrated, fit, held_out, samples
+from millrace.llm.nnpu import Linear, capped, held_out, learn, samples
 from millrace.llm.text import LOWER, as_buffers, pieces, words_of
-from millrace.session import table
+from millrace.session import durable, table
 
 MAX_POSITIVES, MAX_UNLABELLED, FEATURES, LEAST_TEXTS = 8_000, 16_000, 256, 5
 PREFIXES = (4, 5, 6)
@@ -75,7 +75,7 @@ class Vocabulary:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pos, unl = (np.asarray(batch.column(k).cast(pa.int8())).astype(np.int64) for k in (1, 2))
+        pos, unl = (np.asarray(batch.column(k).is_valid()).astype(np.int64) for k in (1, 2))
         for owner, found in features(batch.column(0)):
             order = np.lexsort((owner, found))
             o, f = owner[order], found[order]
@@ -90,10 +90,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, usable, *, label_col: str = "toxic", max_pos: int = MAX_POSITIVES, max_unl: int = MAX_UNLABELLED, n_features: int = FEATURES) -> tuple[Linear, Vocabulary]:
     """Model and vocabulary, from bounded samples."""
-    sample, prior = samples(docs, labels, label_col, usable, max_pos=max_pos, max_unl=max_unl)
-    sums = sample.agg(F.sum(F.col("pos").cast("int")), F.sum(F.col("unl").cast("int"))).first()
-    n_pos, n_unl = (x or 0 for x in sums)
-    counted = sample.select("text", "pos", "unl").mapInArrow(_count, "feature bigint, n_pos bigint, n_unl bigint").groupBy("feature").agg(F.sum("n_pos").alias("p"), F.sum("n_unl").alias("u")).where(F.col("p") >= LEAST_TEXTS)
+    sample = samples(docs, labels, label_col, usable, max_pos=max_pos, max_unl=max_unl)
+    n_pos, n_unl = sample.agg(F.count("p_draw"), F.count("u_draw")).first()
+    counted = sample.select("text", "p_draw", "u_draw").mapInArrow(_count, "feature bigint, n_pos bigint, n_unl bigint").groupBy("feature").agg(F.sum("n_pos").alias("p"), F.sum("n_unl").alias("u")).where(F.col("p") >= LEAST_TEXTS)
     lean = F.log((F.col("p") + 0.5) / (n_pos + 1)) - F.log((F.col("u") + 0.5) / (n_unl + 1))
     chosen = counted.where(lean >= LEAST_LEAN).withColumn("gain", F.col("p") * lean).orderBy(F.desc("gain"), "feature").limit(n_features).collect()
     vocabulary = Vocabulary(np.array([r["feature"] for r in chosen], np.int64).view(np.uint64))
@@ -104,12 +103,15 @@ def train(docs: DataFrame, labels: DataFrame, usable, *, label_col: str = "toxic
         offsets = np.searchsorted(rows, np.arange(len(texts) + 1))
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()))
 
-    got = sample.select("pos", "neg", "unl", numbers("text").alias("f")).toArrow()
-    lists = got["f"].combine_chunks()
-    x = np.zeros((len(lists), max(len(chosen), 1)), np.float32)
-    x[np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets))), np.asarray(lists.flatten())] = 1
-    pos, neg, unl = (np.asarray(got[c], bool) for c in ("pos", "neg", "unl"))
-    return calibrated(fit(x[pos], x[unl], prior, l2=1e-3), x[pos], x[neg], prior), vocabulary
+    numbered = durable(sample.select("p_draw", "u_draw", numbers.asNondeterministic()("text").alias("f")))
+
+    def matrix(rows: DataFrame) -> np.ndarray:
+        lists = rows.select("f").toArrow()["f"].combine_chunks()
+        x = np.zeros((len(lists), max(len(chosen), 1)), np.float32)
+        x[np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets))), np.asarray(lists.flatten())] = 1
+        return x
+
+    return learn(matrix(capped(numbered, "p_draw", max_pos)), matrix(capped(numbered, "u_draw", max_unl)), l2=1e-3)[0], vocabulary
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 5, fold: int = 0) -> DataFrame:

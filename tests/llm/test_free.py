@@ -1,5 +1,6 @@
 """Operators 4, 5, 7, 8 and the pipeline: brute force, round trips and held-out accuracy."""
 
+import math
 import random
 import re
 import zlib
@@ -104,6 +105,16 @@ def test_packing_leftovers_by_level(spark, odd_docs, no_docs, monkeypatch):
     assert packing.pack(no_docs, packing.tokenizer_file()).count() == 0
 
 
+def test_sequence_numbers_never_meet(spark):
+    """Ranges of numbers of any two packers are apart, and all are positive longs."""
+    tasks = [0, 1, 2, 1 << 18, (1 << 18) + 1, (1 << 28) - 1]
+    starts = sorted(packing.first_number(level, task) for level in range(8) for task in tasks)
+    assert len(set(starts)) == 8 * len(tasks) and 0 <= starts[0] and starts[-1] + (1 << packing.TASK_BITS) <= 1 << 63
+    assert all(b - a >= 1 << packing.TASK_BITS for a, b in zip(starts, starts[1:]))
+    rows = packing.pack(spark.createDataFrame([("a", "one two"), ("b", None)], "doc_id string, text string"), packing.tokenizer_file()).collect()
+    assert sorted((r["doc_id"], r["doc_tokens"]) for r in rows) == [("a", 3), ("b", 1)]
+
+
 def test_nnpu_finds_the_negatives():
     rng = np.random.default_rng(0)
     make = lambda n, p: (y := rng.random(n) < p, np.column_stack([np.where(y, 1, -1) + rng.normal(size=n), rng.normal(size=n)]).astype(np.float32))
@@ -118,6 +129,49 @@ def test_nnpu_finds_the_negatives():
     assert np.allclose(none.score(test_x), 0.3)
 
 
+def test_risk_by_brute_force():
+    rng = np.random.default_rng(4)
+    xp, xu, t = rng.normal(size=(30, 3)), rng.normal(size=(50, 3)), rng.normal(size=3)
+    loss = lambda z: math.log(1 + math.exp(-z))
+    f = lambda x: sum(float(a) * float(b) for a, b in zip(x, t))
+    for prior in (0.1, 0.5, 0.95):
+        positive = prior * sum(loss(f(x)) for x in xp) / 30
+        negative = sum(loss(-f(x)) for x in xu) / 50 - prior * sum(loss(-f(x)) for x in xp) / 30
+        got = nnpu.risk_of(t, xp, xu, prior)
+        assert np.allclose(got, (positive + max(0, negative), negative))
+
+
+def test_correction_keeps_the_negative_part_from_falling():
+    rng = np.random.default_rng(5)  # few rows and many inputs: easy to overfit
+    y = rng.random(300) < 0.3
+    unl = (np.where(y, 0.5, -0.5)[:, None] + rng.normal(size=(300, 60))).astype(np.float32)
+    pos = (0.5 + rng.normal(size=(40, 60))).astype(np.float32)
+    model = nnpu.fit(pos, unl, 0.3, l2=1e-6)
+    theta = np.append(model.weights, model.bias)
+    pad = lambda x: np.column_stack([x, np.ones(len(x))])
+    risk, negative = nnpu.risk_of(theta, pad(pos), pad(unl), 0.3)
+    assert negative >= -1e-6
+    start = np.append(np.zeros(60), math.log(0.3 / 0.7))
+    assert risk < nnpu.risk_of(start, pad(pos), pad(unl), 0.3)[0]
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.5, 0.85])
+def test_prior_of_a_mixture(prior):
+    rng = np.random.default_rng(6)
+    x = lambda y: (np.where(y, 1.5, -1.5)[:, None] + rng.normal(size=(len(y), 4))).astype(np.float32)
+    found = nnpu.learn(x(np.ones(3000, bool)), x(rng.random(9000) < prior))[1]
+    assert abs(found - prior) < 0.05
+
+
+def test_samples_stay_in_their_bounds(spark):
+    docs = spark.range(30_000).selectExpr("if(id < 20000, 1, if(id < 25000, null, id)) as doc_id", "concat('text ', if(id < 10000, 0, id)) as text")
+    labels = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (29_000, 1, 1), (28_000, 0, 0)], "doc_id bigint, quality int, toxic int")
+    sample = nnpu.samples(docs, labels, "quality", ~nnpu.held_out("doc_id", 3, 5), max_pos=50, max_unl=400)
+    assert sample.count() < 700
+    assert 20 <= nnpu.capped(sample, "p_draw", 50).count() <= 50
+    assert 300 <= nnpu.capped(sample, "u_draw", 400).count() <= 400
+
+
 @pytest.mark.parametrize(("query", "label", "least"), [(quality.op5_quality_classifier, "quality", 0.94), (toxicity.op8_toxicity, "toxic", 0.94)])
 def test_held_out_accuracy(spark, query, label, least):
     sf_dir = "/root/testdata/sf0.1"
