@@ -2,8 +2,8 @@
 
 A text is the byte polynomial G(s) = sum (s_i + 1) * r^i modulo two primes. Chunks are
 hashed on their own and combined by length-shifted arithmetic, G(a + b) = G(a) +
-r^len(a) * G(b), so a huge text is hashed chunk by chunk, in any order and grouping
-(``combine``). Documents of equal fingerprint and length then undergo a comparison of
+r^len(a) * G(b), so a huge text is hashed chunk by chunk, in any order and grouping: by
+many tasks where it has over ``HUGE`` bytes (``combine`` states the rule). Documents of equal fingerprint and length then undergo a comparison of
 their bytes: their texts are cut into chunks, and each chunk number of a fingerprint must
 have one content. The comparison is a partial aggregate (least and greatest chunk), so it
 streams, and a hot fingerprint meets in no task. Groups that fail it are told apart by
@@ -16,20 +16,23 @@ other columns pass by unread.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.skew import join_by_key
 from millrace.llm.text import as_buffers, pieces
 from millrace.session import durable, table
 
 #: Two primes below 2^31 and a base for each, fixed so that fingerprints stay comparable.
 PRIMES, BASES = (2147483647, 2147483629), (1000003, 69069)
 
-#: Bytes hashed at once, and bytes compared at once.
-CHUNK, COMPARED = 4096, 65536
+#: Bytes hashed at once, bytes compared at once, and bytes beyond which tasks share a text.
+CHUNK, COMPARED, HUGE = 4096, 65536, 16 << 20
 
 #: Fingerprints held by every task while texts are picked for comparison; more are joined.
 MAX_SHARED = 1_000_000
@@ -95,30 +98,64 @@ def fingerprint_udf(primes: tuple[int, int] = PRIMES):
     return fingerprint.asNondeterministic()
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", primes: tuple[int, int] = PRIMES) -> DataFrame:
+def _chunk_hashes(batches: Iterator[pa.RecordBatch], primes: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """(rid, high, low): each chunk's hashes, shifted to the chunk's place in its text."""
+    for batch in batches:
+        high, low, _ = fingerprints(batch.column(2).cast(pa.binary()), primes)
+        at = np.asarray(batch.column(1)).tolist()
+        shifted = [[int(h) * pow(base, n, prime) % prime for h, n in zip(hashes, at, strict=True)] for hashes, base, prime in zip((high, low), BASES, primes, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in shifted)], ["rid", "high", "low"])
+
+
+def fingerprinted(texts: DataFrame, primes: tuple[int, int] = PRIMES, huge_bytes: int = HUGE) -> DataFrame:
+    """Stored rows (rid, doc_id, fp, n_bytes, quick, text_sha256) of texts (doc_id, text).
+
+    A text over ``huge_bytes`` is stored in chunks, which many tasks hash on their own; its
+    hash is the sum of the chunks' hashes, each shifted by the length before it."""
+    facts = ["doc_id", F.octet_length("text").alias("n_bytes"), F.xxhash64("text").alias("quick"), F.sha2("text", 256).alias("text_sha256")]
+    plain = texts.where(F.octet_length("text") <= huge_bytes).select((F.monotonically_increasing_id() * 2).alias("rid"), fingerprint_udf(primes)("text").alias("fp"), *facts)
+    rows = durable(plain.select("rid", "doc_id", "fp", "n_bytes", "quick", "text_sha256"))
+    huge = texts.where(F.octet_length("text") > huge_bytes).select((F.monotonically_increasing_id() * 2 + 1).alias("rid"), F.col("text").cast("binary").alias("bytes"), *facts)
+    if huge.isEmpty():
+        return rows
+    step = max(1, huge_bytes // 4)
+    cut = huge.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n_bytes") - 1, F.lit(step))))
+    chunks = durable(cut.select("rid", F.col("at").cast("long").alias("at"), F.substring("bytes", F.col("at") + 1, F.lit(step)).alias("chunk"), "doc_id", "n_bytes", "quick", "text_sha256"))
+    hashed = chunks.select("rid", "at", "chunk").repartition("rid", "at").mapInArrow(lambda b: _chunk_hashes(b, primes), "rid bigint, high bigint, low bigint")
+    whole = hashed.groupBy("rid").agg((F.sum("high") % primes[0]).alias("high"), (F.sum("low") % primes[1]).alias("low"))
+    known = chunks.where("at = 0").select("rid", "doc_id", "n_bytes", "quick", "text_sha256")
+    composed = known.join(whole, "rid").withColumn("fp", F.shiftleft("high", 32).bitwiseOR(F.col("low")))
+    return rows.unionByName(durable(composed.select(*rows.columns)))
+
+
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", primes: tuple[int, int] = PRIMES, huge_bytes: int = HUGE) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256.
 
     The row with the largest id of a group of equal texts is kept (null is smallest)."""
-    fingerprint = fingerprint_udf(primes)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    hashed = texts.select("doc_id", "text", fingerprint("text").alias("fp"), F.octet_length("text").alias("n_bytes"))
-    rows = durable(hashed.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "fp", "n_bytes", F.sha2("text", 256).alias("text_sha256")))
+    rows = fingerprinted(texts, primes, huge_bytes)
 
+    # texts to compare are found again by a quick hash, not by hashing them a second time: one
+    # that meets it by chance fails the comparison, and then SHA-256 decides
     key = ["fp", "n_bytes"]
-    several = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = hashed.drop("doc_id").join(_shared_if_small(durable(several)), key, "left_semi")
-    cut = again.withColumn("bytes", F.col("text").cast("binary")).select(
-        *key, "bytes", F.explode(F.sequence(F.lit(0), F.greatest(F.expr(f"(n_bytes - 1) div {COMPARED}"), F.lit(0)))).alias("chunk_no")
-    )
+    several = durable(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    named = durable(rows.select(*key, "quick").distinct().join(_shared_if_small(several), key, "left_semi"))
+    measured = texts.select(F.col("text").cast("binary").alias("bytes"), F.octet_length("text").alias("n_bytes"), F.xxhash64("text").alias("quick"))
+    again = measured.join(_shared_if_small(named), ["n_bytes", "quick"])
+    cut = again.select(*key, "bytes", F.explode(F.sequence(F.lit(0), F.greatest(F.expr(f"(n_bytes - 1) div {COMPARED}"), F.lit(0)))).alias("chunk_no"))
     chunks = cut.select(*key, "chunk_no", F.substring("bytes", F.col("chunk_no") * COMPARED + 1, F.lit(COMPARED)).alias("chunk"))
     spread = chunks.groupBy(*key, "chunk_no").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
     mixed = durable(spread.where("least != most").select(*key, F.lit(True).alias("mixed")).distinct())
 
-    told = rows.join(mixed, key, "left").withColumn("sub", F.when(F.col("mixed"), F.col("text_sha256")).otherwise("")).drop("mixed")
+    sub = F.lit("")
+    if not mixed.isEmpty():
+        rows = rows.join(_shared_if_small(mixed), key, "left")
+        sub = F.when(F.col("mixed"), F.col("text_sha256")).otherwise("")
+    told = rows.select("rid", "doc_id", "text_sha256", *key, sub.alias("sub"))
     group = [*key, "sub"]
-    best = told.groupBy(*group).agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "rid")).alias("best"))
-    joined = told.join(best, group)
-    return joined.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256")
+    best = durable(told.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id"), F.coalesce(F.max_by("rid", "doc_id"), F.max("rid")).alias("best")))
+    joined = join_by_key(told, best.withColumn("group_size", F.col("n")), group, rows.count())
+    return joined.select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("best")).alias("kept"), "text_sha256")
 
 
 def _shared_if_small(keys: DataFrame) -> DataFrame:

@@ -25,12 +25,12 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def as_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string array and the n + 1 offsets of its rows; null is empty."""
+    """All bytes of a string or binary array and the n + 1 offsets of its rows; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = pa.concat_arrays(texts.chunks) if texts.num_chunks != 1 else texts.chunk(0)
+    texts = texts.cast(pa.large_binary())
     if texts.null_count:
-        texts = texts.fill_null("")
-    texts = texts.cast(pa.large_string())
+        texts = texts.fill_null(b"")
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offs, data = texts.buffers()

@@ -5,9 +5,11 @@ import random
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from millrace.llm import chaining, exact_dedup, graph, simhash
-from millrace.llm.text import words_of, as_buffers
+from millrace.llm.skew import join_by_key
+from millrace.llm.text import as_buffers, words_of
 
 
 def test_polynomials_compose():
@@ -45,6 +47,24 @@ def test_exact_dedup_with_colliding_fingerprints(spark, odd_docs, no_docs):
     assert exact_dedup.dedup(no_docs).count() == 0
 
 
+def test_huge_texts_are_hashed_in_parallel(spark, odd_docs):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abc é\n", k=n)) for n in (0, 99, 100, 101, 400, 1000, 5003)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").union(odd_docs.select("doc_id", F.coalesce("text", F.lit(""))))
+    prints = [{(r["doc_id"], r["n_bytes"], r["fp"], r["text_sha256"]) for r in exact_dedup.fingerprinted(docs, huge_bytes=n).collect()} for n in (100, 1 << 24)]
+    assert prints[0] == prints[1]
+    out = [sorted(map(tuple, exact_dedup.dedup(docs, huge_bytes=n).collect()), key=repr) for n in (100, 1 << 24)]
+    assert out[0] == out[1]
+
+
+def test_join_by_key_with_hot_keys(spark):
+    rows = spark.range(10_000).selectExpr("if(id % 3 = 0, null, if(id % 2 = 0, 7, id)) as k", "id as v")
+    per_key = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("m"))
+    got = join_by_key(rows, per_key, ["k"], 10_000)
+    want = rows.join(per_key.drop("n"), "k")
+    assert got.columns == ["k", "v", "m"] and got.exceptAll(want).isEmpty() and got.count() == want.count()
+
+
 def test_keep_decided(spark, odd_docs):
     kept = exact_dedup.keep_decided(odd_docs, exact_dedup.dedup(odd_docs))
     assert kept.columns == odd_docs.columns
