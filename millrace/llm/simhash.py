@@ -9,7 +9,9 @@ pairs are tallied, pairs below 5 are dropped, and the rest is verified by bit di
 Equal fingerprints are one node, so copies never meet in a list. A list is walked breadth
 first from unvisited nodes; it returns a spanning forest of its links, never all pairs.
 Lists of over ``LONG`` nodes are dealt anew by two more positions (a linked pair shares
-two of the other five), and what such a list can hold is bounded by its three free bytes.
+two of the other five). All nodes of such a list share five positional bytes, so every pair
+has the least count already and only verification is left: by distance, or in a list of
+over ``LOOKUP`` nodes by looking up what lies within the radius in its three free bytes.
 Components join the forests of all lists.
 
 Edge cases: null text has no words; texts without words have fingerprint zero and are
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.graph import components
+from millrace.llm.skew import join_by_key
 from millrace.session import durable, table
 
 BITS, RADIUS = 64, 3
@@ -160,13 +163,12 @@ def near_groups(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", te
     fingerprint = fingerprint_udf(shingle)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = durable(texts.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), fingerprint("text").alias("fp")))
-    nodes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # only components of several fingerprints need a further minimum
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "text_sha256", "fp", "component_id")
+    rooted = durable(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = durable(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    named = durable(join_by_key(rooted.select("fp", "root", F.col("n").alias("rows")), least, ["root"], nodes.count()).select("fp", "component_id", F.col("rows").alias("n")))
+    return join_by_key(rows, named, ["fp"], rows.count()).select("doc_id", "text_sha256", "fp", "component_id")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
