@@ -9,13 +9,14 @@ of fewer words is one shorter pattern). Patterns of one length share a table set
 * confirmation: the words of text and pattern are compared byte by byte.
 
 The search runs in each task over Arrow batches, many stretches of text in step, and no
-text is shuffled. Pattern tables are shared out by broadcast in blocks of items of at most
-``MAX_ITEM_BYTES`` of text: a larger benchmark is searched block by block, each against
-all documents, and the hits of a document are merged by key.
-
-Edge cases: null text has no words; an item without words has no window; an item or
-document that repeats is reported for each row; an empty benchmark hits nothing; an empty
-table gives an empty result; other columns pass by unread.
+text is shuffled. Pattern tables are shared out by broadcast in blocks of items of some
+``MAX_ITEM_BYTES`` of text (twice that at most): a larger benchmark is searched block by
+block, each against all documents, and the hits of a document are merged by key. An item
+larger than a sixteenth of that is cut into overlapping stretches first.
+
+Edge cases: null text has no words; an item without words has no window; an item that
+repeats is found once, a document that repeats is reported for each row; an empty benchmark
+hits nothing; an empty table gives an empty result; other columns pass by unread.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.licenses import LOWER, UPPER, WORD
+from millrace.llm.licenses import GAP, LOWER, UPPER, WORD
 from millrace.llm.text import LOWER as LOWER_BYTE
 from millrace.llm.text import as_buffers, pieces, words_of
 from millrace.session import durable, table
@@ -180,12 +181,25 @@ def hits_udf(spark: SparkSession, ids: list, texts: list, window: int, id_type:
         names, sets = shared.value
         rows = []
         for n_words, spans, items in search_batch(column, sets):
-            rows.append({"n_words": n_words, "spans": [{"start": a, "end": b} for a, b in spans], "items": [names[i] for i in items if names[i] is not None]})
+            rows.append({"n_words": n_words, "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted({names[i] for i in items if names[i] is not None})})
         return pa.array(rows, shape)
 
     return hits.asNondeterministic()
 
 
+def _cut_items(items: DataFrame, window: int, most: int) -> DataFrame:
+    """Distinct items, those of over ``most`` bytes cut into stretches of words that overlap
+    by a window less one word, so that each window stands whole in one of them."""
+    size = F.octet_length("text")
+    distinct = items.where(size > 0).distinct()
+    step = max(window, most // 64)
+    words = F.filter(F.split("text", GAP), lambda w: w != "")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)), F.lit(step))
+    long = distinct.where(size > most).select("item_id", words.alias("w"))
+    cut = long.select("item_id", F.explode(F.transform(starts, lambda at: F.array_join(F.slice("w", at, step + window - 1), " "))).alias("text"))
+    return distinct.where(size <= most).unionByName(cut.where(F.octet_length("text") > 0).distinct())
+
+
 def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_item_bytes: int = MAX_ITEM_BYTES, prefix: str | None = None) -> DataFrame:
     """One row a document: doc_id, text, n_words, hit ``spans`` of words, ``items`` found.
     With a ``prefix`` the row keeps all columns of ``docs``, and the three results carry it
@@ -198,19 +212,25 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col
     named_as = lambda found: found.select("row.*", *[F.col(c).alias((prefix or "") + c) for c in ("n_words", "spans", "items")])
 
     def one_pass(rows: DataFrame, block: DataFrame) -> DataFrame:
-        got = block.collect()  # within max_item_bytes
+        got = block.collect()  # within twice max_item_bytes
         hits = hits_udf(spark, [r["item_id"] for r in got], [r["text"] for r in got], window, id_type)
         return rows.withColumn("hits", hits("text")).select(*rows.columns, "hits.*")
 
-    total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = -(-total // max_item_bytes)
+    named = _cut_items(named, window, max_item_bytes // 16)
+    total, count = named.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    n_blocks = -(-(total or 0) // max_item_bytes)
     if n_blocks <= 1:
         return named_as(one_pass(keyed, named))
 
+    # blocks of items by hash, finer until the largest keeps the bound
+    number = lambda n: F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    largest = lambda: named.groupBy(number(n_blocks).alias("k")).agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0]
+    while n_blocks < 16 * count and largest() > 2 * max_item_bytes:
+        n_blocks *= 2
     rows = durable(keyed.withColumn("rid", F.monotonically_increasing_id()))
     part = None
     for k in range(n_blocks):
-        block = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
+        block = named.where(number(n_blocks) == k)
         hits = one_pass(rows.select("rid", "text"), block).drop("text")
         part = hits if part is None else part.unionByName(hits.where(F.size("spans") > 0))
     whole = part.groupBy("rid").agg(

@@ -45,6 +45,12 @@ def test_decontamination_brute(spark, odd_docs, no_docs):
         mine = [(r["doc_id"], r["n_words"], [i for s in r["spans"] for i in range(s["start"], s["end"])], sorted(set(r["items"]))) for r in out]
         assert sorted(mine, key=repr) == sorted(want, key=repr)
     assert decontaminate.contamination(no_docs, b).count() == 0
+    # one item far beyond the bound, and rows that repeat: cut, and found all the same
+    big = " ".join(f"w{i}" for i in range(3000))
+    many = spark.createDataFrame([(1, big)] * 50 + [(2, "some other item of eleven words to be found here now")], "item_id bigint, text string")
+    one = spark.createDataFrame([(9, "x " + " ".join(f"w{i}" for i in range(1000, 1300)) + " y")], "doc_id bigint, text string")
+    row = decontaminate.contamination(one, many, max_item_bytes=2000).first()
+    assert [tuple(s) for s in row["spans"]] == [(1, 301)] and row["items"] == [1]
     assert {len(r["items"]) for r in decontaminate.contamination(d, b.limit(0)).collect()} == {0}
 
 
