@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 from millrace.session import table
 
+#: Texts that one fold runs over.
+FOLD = 256
+
 START, SEP, END, NEWLINE = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n", "<|nl|>"
 
 
@@ -68,27 +71,37 @@ def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     )
     laid = merged.select("conv_id", parts.alias("parts"))
     whole = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
+    # every text: what stands between it and the one before, its length, its loss
     sizes = F.transform(
         "parts",
-        lambda p: F.struct(F.length(p["head"]).alias("head"), (F.length(p["head"]) + F.length(p["body"]) + len(END)).alias("all"), p["lens"].alias("lens"), p["loss"].alias("loss")),
-    )
-    sized = laid.select("conv_id", whole.alias("formatted"), sizes.alias("sizes"))
-
-    def spans(at: Column, s: Column) -> Column:
-        """Spans of one block's texts, by folding over the lengths."""
-        empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-        seed = F.struct((at + s["head"]).cast("long").alias("at"), empty.alias("out"))
-        step = lambda acc, n: F.struct((acc["at"] + n + len(SEP)).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), (acc["at"] + n).alias("end"))).alias("out"))
-        return F.when(s["loss"], F.aggregate(s["lens"], seed, step, lambda acc: acc["out"])).otherwise(empty)
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<array<struct<start:bigint,end:bigint>>>)").alias("out"))
-    fold = F.aggregate(
-        "sizes",
-        start,
-        lambda acc, s: F.struct((acc["at"] + s["all"]).cast("long").alias("at"), F.array_append(acc["out"], spans(acc["at"], s)).alias("out")),
-        lambda acc: F.flatten(acc["out"]),
+        lambda p, b: F.transform(
+            p["lens"],
+            lambda n, k: F.struct(
+                F.when(k == 0, F.length(p["head"]) + F.when(b == 0, 0).otherwise(len(END))).otherwise(len(SEP)).cast("long").alias("pre"),
+                n.cast("long").alias("n"),
+                p["loss"].alias("loss"),
+            ),
+        ),
     )
-    return sized.select("conv_id", "formatted", fold.alias("loss_spans"))
+    flat = laid.select("conv_id", whole.alias("formatted"), F.flatten(sizes).alias("sizes"))
+    # places by two levels of running sums, so that no fold copies a long array each step
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("sizes") - 1) / FOLD).cast("int")), lambda i: F.slice("sizes", i * FOLD + 1, FOLD))
+    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,loss:boolean>>)")
+
+    def placed(run: Column) -> Column:
+        """Places of a run's texts, counted from its start, and where the run ends."""
+        def step(acc: Column, s: Column) -> Column:
+            start, end = acc["at"] + s["pre"], acc["at"] + s["pre"] + s["n"]
+            return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), s["loss"].alias("loss"))).alias("out"))
+
+        return F.aggregate(run, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step)
+
+    within = flat.select("conv_id", "formatted", F.transform(runs, placed).alias("runs"))
+    ends = F.aggregate("runs", F.array(F.lit(0).cast("long")), lambda acc, r: F.array_append(acc, F.element_at(acc, -1) + r["at"]))
+    based = within.select("conv_id", "formatted", "runs", ends.alias("ends"))
+    spans = F.flatten(F.transform("runs", lambda r, i: F.transform(r["out"], lambda s: F.struct((s["start"] + F.get("ends", i)).alias("start"), (s["end"] + F.get("ends", i)).alias("end"), s["loss"].alias("loss")))))
+    loss = F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return based.select("conv_id", "formatted", loss.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
