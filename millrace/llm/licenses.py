@@ -1,12 +1,12 @@
 """License scan: an exact set-similarity join of text blocks with notice templates.
 
-Native DataFrame expressions only. A block is a line, or a window of ``BLOCK`` words of a
-longer line (each next one ``STRIDE`` on, so a notice of up to BLOCK - STRIDE words lies
-whole in one). With ``wrapped``, windows of a document's whole word sequence are blocks
-too, so a notice may be wrapped over lines; the query asks for that, while ``OP10_SQL``
-has the line rule alone (it can only find less, where a notice is wrapped). A template is found where a block holds at least ``threshold`` of its
-distinct words. Words outside all templates can't add to an overlap, so a block keeps
-only its template words, ordered by how rare they are over all blocks. Then
+Native DataFrame expressions only. Blocks are windows over a document's whole word
+sequence, so a notice may be wrapped over lines: each is twice as long as the longest
+template (and ``LEAST_STRIDE``), and the next begins half a block on, so a notice with as
+many words as its template lies whole in one. A template is found where a block holds at
+least ``threshold`` of its distinct words. Words outside all templates can't add to an
+overlap, so a block keeps only its template words, ordered by how rare they are over all
+blocks. Then
 
 * length filter: a block needs ceil(threshold * |T|) template words;
 * prefix filter: in that order, the block's first |B| - need + 1 words and the template's
@@ -14,7 +14,7 @@ only its template words, ordered by how rare they are over all blocks. Then
 * positional filter: what can still follow the shared words must reach the need;
 * verification: the overlap itself.
 
-Every filter is lossless. What is shared out by broadcast is the template table alone; the
+Every filter is lossless for the blocks. What is shared out by broadcast is the template table alone; the
 number of its words is checked against ``MAX_TEMPLATE_WORDS``.
 
 Edge cases: null text is empty (no words, no labels, score 0); a document may repeat, with
@@ -40,22 +40,34 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Notices in common use, as label and words.
+#: Notices in common use, as label and words.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0"),
+    ("apache-notice", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-conditions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("disclaimer", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl-warranty", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mit", "released under the mit license"),
+    ("mit-condition", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit-notice", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("reserved-notice", "copyright all rights reserved"),
 )
 
-BLOCK, STRIDE, MAX_TEMPLATE_WORDS = 48, 24, 20_000
+LEAST_STRIDE, MAX_TEMPLATE_WORDS = 24, 20_000
+
+
+def stride_of(templates: tuple) -> int:
+    """Words from one block to the next; a block has twice as many."""
+    return max([LEAST_STRIDE, *(len(t.split()) for _, t in templates)])
 
 
 def lowered(text: Column) -> Column:
@@ -90,21 +102,15 @@ def template_table(spark: SparkSession, templates: tuple, order: list[str], thre
     return spark.createDataFrame(rows, "token string, t_at int, label string, t_size int, need int, t_words array<string>")
 
 
-def template_blocks(lines: Column, vocabulary: list[str], least: int) -> Column:
-    """The template words of every block that has ``least`` of them, from words by line
-    (or by any other sequence)."""
+def template_blocks(words: str, vocabulary: list[str], least: int, stride: int) -> Column:
+    """The template words of every block that has ``least`` of them."""
     vocab = F.array(*[F.lit(w) for w in vocabulary])
-    windows = F.transform(
-        F.filter(lines, lambda w: F.size(w) >= least),
-        lambda w: F.when(F.size(w) <= BLOCK, F.array(w)).otherwise(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - STRIDE, F.lit(1)), F.lit(STRIDE)), lambda at: F.slice(w, at, BLOCK))
-        ),
-    )
-    kept = F.transform(F.flatten(windows), lambda w: F.array_intersect(vocab, w))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - stride, F.lit(1)), F.lit(stride))
+    kept = F.transform(starts, lambda at: F.array_intersect(vocab, F.slice(words, at, 2 * stride)))
     return F.filter(kept, lambda w: F.size(w) >= least)
 
 
-def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, templates: tuple = TEMPLATES, threshold: float = 0.8, wrapped: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, templates: tuple = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: n_words, places of base phrases, template matches, score.
 
     ``found`` has every (label, containment) of the templates met by some block; ``score``
@@ -116,10 +122,8 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, templates: t
         raise ValueError(f"{len(vocabulary)} template words; at most {MAX_TEMPLATE_WORDS} are shared out")
     least = min(math.ceil(threshold * len(set(t.split())) - 1e-9) for _, t in templates)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    by_line = F.transform(F.split(lowered(F.col("text")), "\n"), lambda x: F.array_remove(F.split(x, GAP), ""))
-    worded = rows.select("doc_id", by_line.alias("lines")).select("doc_id", "lines", F.flatten("lines").alias("words"))
-    sequences = F.when(F.size("lines") > 1, F.concat("lines", F.array("words"))).otherwise(F.col("lines")) if wrapped else F.col("lines")
-    placed = worded.select("doc_id", F.size("words").cast("long").alias("n_words"), phrase_places("words", phrases).alias("places"), template_blocks(sequences, vocabulary, least).alias("blocks"))
+    worded = rows.select("doc_id", F.array_remove(F.split(lowered(F.col("text")), GAP), "").alias("words"))
+    placed = worded.select("doc_id", F.size("words").cast("long").alias("n_words"), phrase_places("words", phrases).alias("places"), template_blocks("words", vocabulary, least, stride_of(templates)).alias("blocks"))
     base = durable(placed.select(F.monotonically_increasing_id().alias("rid"), "*"))
 
     # corpus-wide frequency of each template word: at most one row a word comes back
@@ -144,7 +148,7 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, templates: t
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and template notices in every document."""
-    found = scan(table(spark, sf_dir, "documents"), wrapped=True)
+    found = scan(table(spark, sf_dir, "documents"))
     labels = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     base = F.transform("places", lambda p: p["label"])
     starts = F.transform("places", lambda p: p["at"])
@@ -172,10 +176,9 @@ each AS (SELECT rid, w, unnest(range(len(w))) AS i FROM worded),
 phrases(parts, label) AS (SELECT * FROM {_values([f"({p.split()!r}, '{v}')" for p, v in PHRASES.items()])}),
 places AS (SELECT rid, label, i FROM each JOIN phrases ON w[i + 1] = parts[1] WHERE w[i + 1 : i + len(parts)] = parts),
 base AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY rid),
-lines AS (SELECT rid, regexp_extract_all(unnest(string_split(text, chr(10))), '{WORD}') AS w FROM docs),
 blocks AS (
-  SELECT rid, w FROM lines WHERE len(w) <= {BLOCK}
-  UNION ALL SELECT rid, w[a : a + {BLOCK - 1}] FROM (SELECT rid, w, unnest(range(1, len(w) - {STRIDE} + 1, {STRIDE})) AS a FROM lines WHERE len(w) > {BLOCK})),
+  SELECT rid, w[a : a + {2 * stride_of(TEMPLATES) - 1}] AS w
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - {stride_of(TEMPLATES)}, 1) + 1, {stride_of(TEMPLATES)})) AS a FROM worded)),
 templates(label, t) AS (SELECT label, list_distinct(t) FROM {_values([f"('{v}', {t.split()!r})" for v, t in TEMPLATES])} x(label, t)),
 held AS (
   SELECT rid, label, max(len(list_intersect(t, list_distinct(w))) / len(t)) AS held

@@ -61,14 +61,13 @@ def license_brute(text, templates, threshold):
     w = words(text)
     places = [(label, i) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     found = {}
-    for line in text.split("\n"):
-        x = words(line)
-        blocks = [x] if len(x) <= licenses.BLOCK else [x[a : a + licenses.BLOCK] for a in range(0, len(x) - licenses.STRIDE, licenses.STRIDE)]
-        for b in blocks:
-            for label, t in templates:
-                t = set(t.split())
-                if len(t & set(b)) / len(t) >= threshold - 1e-12:
-                    found[label] = max(found.get(label, 0), len(t & set(b)) / len(t))
+    stride = licenses.stride_of(templates)
+    for a in range(0, max(len(w) - stride, 1), stride):
+        for label, t in templates:
+            t = set(t.split())
+            held = len(t & set(w[a : a + 2 * stride])) / len(t)
+            if held >= threshold - 1e-12:
+                found[label] = max(found.get(label, 0), held)
     return len(w), sorted(places), found
 
 
@@ -108,6 +107,22 @@ def test_license_notices_wrapped_over_lines(spark, tmp_path):
     assert (out[len(want)]["labels"], out[len(want)]["score"]) == ("", 0)
 
 
+def test_long_template_at_any_place(spark):
+    long = " ".join(f"t{i}" for i in range(90))
+    rows = [(n, " ".join([f"f{i}" for i in range(n)] + long.split() + ["end"] * 40)) for n in range(0, 200, 13)]
+    rows.append((999, " ".join(long.split()[:60])))
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), templates=(("long", long), ("short", "a b c d e"))).collect()
+    assert {r["doc_id"]: [f["held"] for f in r["found"]] for r in found} == {i: [1.0] if i != 999 else [] for i, _ in rows}
+
+
+def test_long_conversations(spark):
+    turns = spark.range(6000).selectExpr("1 as conv_id", "id as turn", "if(id % 7 < 3, 'assistant', 'user') as role", "concat('t', id) as text")
+    turns = turns.union(spark.range(900).selectExpr("2", "id", "'assistant'", "repeat('x', cast(id % 5 as int))"))
+    for r in chat.read_back(chat.format_chats(turns)).collect():
+        want = [t.text for t in turns.where(f"conv_id = {r['conv_id']} and role = 'assistant'").orderBy("turn").collect()]
+        assert r["loss_texts"] == want and len(r["turns"]) == (6000 if r["conv_id"] == 1 else 900)
+
+
 def test_chat_digests(spark, sf_dir):
     out = {r["conv_id"]: r for r in QUERIES["op1_chat_formatting"](spark, sf_dir).collect()}
     said = "".join(f"{r}\n{chat.CONTROL}\n" for r in ("user", "assistant"))
