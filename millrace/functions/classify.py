@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import dates as D
@@ -34,7 +34,7 @@ def map_bucket(project: Column, title: Column) -> Column:
 
 
 def _mapped(p: Column, text: Column) -> Column:
-    social = T.matches(p, V.SOCIAL) & ~T.has_any(p, V.CAMPUS_PROJECT_WORDS)
+    social = T.matches_cjk(p, V.SOCIAL) & ~T.has_any(p, V.CAMPUS_PROJECT_WORDS)
     intern = F.when(T.matches(text, V.INTERN_GRADUATE), "应届生实习").otherwise("日常实习")
     return F.when(social, F.lit(None)).when(T.has_any(text, V.INTERN_WORDS), intern).when(T.has_any(text, V.CAMPUS_WORDS), "校招")
 
@@ -61,11 +61,11 @@ def is_social(title: Column, jd: Column, project: Column) -> Column:
 
 def _social(p: Column, blob: Column, jd: Column) -> Column:
     return (
-        F.when(T.matches(p, V.SOCIAL) & ~T.has_any(p, V.CAMPUS_PROJECT_WORDS), True)
-        .when(T.matches(jd, V.LABELLED_SOCIAL), True)
-        .when(T.matches(jd, V.LABELLED_CAMPUS), False)
+        F.when(T.matches_cjk(p, V.SOCIAL) & ~T.has_any(p, V.CAMPUS_PROJECT_WORDS), True)
+        .when(T.matches_cjk(jd, V.LABELLED_SOCIAL), True)
+        .when(T.matches_cjk(jd, V.LABELLED_CAMPUS), False)
         .when(T.has_any(blob, V.CAMPUS_PROJECT_WORDS + ("应届",)), False)
-        .otherwise(T.matches(blob, V.SOCIAL))
+        .otherwise(T.matches_cjk(blob, V.SOCIAL))
     )
 
 
@@ -75,40 +75,50 @@ def campus_action(title: Column, jd: Column, project: Column, bucket: Column, ca
 
 
 def _action(blob: Column, title: Column, jd: Column, project: Column, category: Column) -> Column:
-    by_category = T.matches(category, V.SOCIAL) & ~T.matches(category, V.KEEP_CAMPUS)
-    bare = ~T.matches(blob, V.KEEP_CAMPUS) & ~F.contains(blob, F.lit("应届"))
+    by_category = T.matches_cjk(category, V.SOCIAL) & ~T.matches_cjk(category, V.KEEP_CAMPUS)
+    bare = ~T.matches_cjk(blob, V.KEEP_CAMPUS) & ~F.contains(blob, F.lit("应届"))
     strong = F.contains(blob, F.lit("社会招聘")) & ~T.matches(blob, "(校园招聘|实习生招聘|日常实习)")
-    return F.when(is_social(title, jd, project) | by_category | (T.matches(blob, V.SOCIAL) & (bare | strong)), "delete").otherwise("keep")
+    return F.when(is_social(title, jd, project) | by_category | (T.matches_cjk(blob, V.SOCIAL) & (bare | strong)), "delete").otherwise("keep")
 
 
-def target_check(as_of: date) -> Column:
-    """struct(ok, kind, reason): intern postings, or campus postings of the target season."""
-    title, jd, target = c("title"), c("jd_text"), D.target_year(as_of)
+def dates_of() -> dict[str, Column]:
+    """The dates of a posting's date columns."""
+    return {k: D.loose_date(c(k)) for k in ("open_at", "published_at", "updated_at", "deadline")}
+
+
+def target_facts(title: Column, jd: Column, intern: Column, social: Column, d: dict[str, Column]) -> dict[str, Column]:
+    """What the season check looks at."""
+    own = F.when(F.rlike(T.strip(T.or_empty(c("graduation_batch"))), F.lit(r"^20\d{2}届$")), F.left(T.strip(c("graduation_batch")), F.lit(4)).try_cast("int"))
+    return {
+        "intern": intern,
+        "title_year": D.batch_year(title),
+        "year": F.coalesce(D.title_batch_year(title), D.batch_year(jd), own),
+        "published": F.coalesce(d["open_at"], d["published_at"]),
+        "social": social,
+    }
+
+
+def target_verdict(f, as_of: date) -> Column:
+    """The season check over its facts (columns by name, or a struct)."""
+    target, cutoff, year = D.target_year(as_of), D.publish_cutoff(as_of), f["year"]
     say = lambda ok, kind, reason: F.struct(F.lit(ok).alias("ok"), F.lit(kind).alias("kind"), reason.alias("reason"))
     named = lambda year: F.concat(year.cast("string"), F.lit("届"))
-    own = F.when(F.rlike(T.strip(T.or_empty(c("graduation_batch"))), F.lit(r"^20\d{2}届$")), F.left(T.strip(c("graduation_batch")), F.lit(4)).try_cast("int"))
-    facts = F.struct(
-        is_intern(title, jd, c("recruit_bucket"), c("recruit_project")).alias("intern"),
-        D.batch_year(title).alias("title_year"),
-        F.coalesce(D.title_batch_year(title), D.batch_year(jd), own).alias("year"),
-        F.coalesce(D.loose_date(c("open_at")), D.loose_date(c("published_at"))).alias("published"),
-        is_social(title, jd, c("recruit_project")).alias("social"),
+    return (
+        F.when(f["intern"] & F.coalesce(f["title_year"] < target, F.lit(False)), say(False, "wrong_grad_batch", F.concat(F.lit("实习岗标题含旧届"), named(f["title_year"]), F.lit(f"，当前目标为{target}届"))))
+        .when(f["intern"], say(True, "", F.lit("")))
+        .when(f["social"], say(False, "not_target_hiring", F.lit("社招/非目标招聘（非日常实习且非目标应届校招）")))
+        .when(F.coalesce(year < target, F.lit(False)), say(False, "wrong_grad_batch", F.concat(F.lit("校招届别为"), named(year), F.lit(f"，当前目标为{target}届"))))
+        .when(F.coalesce(year > target, F.lit(False)), say(False, "wrong_grad_batch", F.concat(F.lit("校招届别为"), named(year), F.lit(f"，与目标{target}届不符"))))
+        .when(F.coalesce(f["published"] < F.lit(cutoff), F.lit(False)), say(False, "not_current_campus", F.concat(F.lit("发布时间 "), f["published"].cast("string"), F.lit(f" 早于目标届{target}届招聘季窗口（{cutoff.isoformat()} 起），非当年校招信息"))))
+        .otherwise(say(True, "", F.lit("")))
     )
-    cutoff = D.publish_cutoff(as_of)
 
-    def judged(f: Column) -> Column:
-        year = f["year"]
-        return (
-            F.when(f["intern"] & F.coalesce(f["title_year"] < target, F.lit(False)), say(False, "wrong_grad_batch", F.concat(F.lit("实习岗标题含旧届"), named(f["title_year"]), F.lit(f"，当前目标为{target}届"))))
-            .when(f["intern"], say(True, "", F.lit("")))
-            .when(f["social"], say(False, "not_target_hiring", F.lit("社招/非目标招聘（非日常实习且非目标应届校招）")))
-            .when(F.coalesce(year < target, F.lit(False)), say(False, "wrong_grad_batch", F.concat(F.lit("校招届别为"), named(year), F.lit(f"，当前目标为{target}届"))))
-            .when(F.coalesce(year > target, F.lit(False)), say(False, "wrong_grad_batch", F.concat(F.lit("校招届别为"), named(year), F.lit(f"，与目标{target}届不符"))))
-            .when(F.coalesce(f["published"] < F.lit(cutoff), F.lit(False)), say(False, "not_current_campus", F.concat(F.lit("发布时间 "), f["published"].cast("string"), F.lit(f" 早于目标届{target}届招聘季窗口（{cutoff.isoformat()} 起），非当年校招信息"))))
-            .otherwise(say(True, "", F.lit("")))
-        )
 
-    return T.let(facts, judged)
+def target_check(as_of: date) -> Column:
+    """struct(ok, kind, reason): intern postings, or campus postings of the target season."""
+    title, jd = c("title"), c("jd_text")
+    facts = target_facts(title, jd, is_intern(title, jd, c("recruit_bucket"), c("recruit_project")), is_social(title, jd, c("recruit_project")), dates_of())
+    return T.let(F.struct(*[v.alias(k) for k, v in facts.items()]), lambda f: target_verdict(f, as_of))
 
 
 def is_stale_batch(batch: Column, bucket: Column, title: Column, as_of: date) -> Column:
@@ -116,30 +126,45 @@ def is_stale_batch(batch: Column, bucket: Column, title: Column, as_of: date) ->
     return ~F.contains(_joined(bucket, title), F.lit("实习")) & F.coalesce(year < D.target_year(as_of), F.lit(False))
 
 
-def freshness(as_of: date, days: int = V.LOOKBACK_DAYS) -> Column:
-    """struct(status, reason): deadline_passed, stale_anomaly or ok."""
+def freshness_facts(as_of: date, days: int, d: dict[str, Column]) -> dict[str, Column]:
+    """What the freshness check looks at."""
     fields = (c("title"), c("jd_text"), c("recruit_project"))
-    intern = T.has_any(_joined(*fields, c("recruit_bucket")), V.INTERNSHIP_WORDS)
-    hiring = T.has_any(_joined(*fields, c("deadline")), V.OPEN_WORDS + V.INTERNSHIP_WORDS)
-    published = F.coalesce(T.non_blank(c("open_at")), c("published_at"))
-    facts = F.struct(intern.alias("intern"), hiring.alias("hiring"), D.is_stale([published, c("open_at"), c("updated_at")], as_of, days).alias("stale"), D.deadline_passed(c("deadline"), as_of).alias("passed"))
+    published = F.when(T.strip(T.or_empty(c("open_at"))) != "", d["open_at"]).otherwise(d["published_at"])
+    return {
+        "intern": T.has_any(_joined(*fields, c("recruit_bucket")), V.INTERNSHIP_WORDS),
+        "hiring": T.has_any(_joined(*fields, c("deadline")), V.OPEN_WORDS + V.INTERNSHIP_WORDS),
+        "stale": D.any_before([published, d["open_at"], d["updated_at"]], as_of, days),
+        "passed": F.coalesce(d["deadline"] < F.lit(as_of), F.lit(False)),
+    }
+
+
+def freshness_verdict(f, days: int) -> Column:
+    """The freshness check over its facts."""
     say = lambda status, reason: F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
-    return T.let(
-        facts,
-        lambda f: F.when(f["passed"], say("deadline_passed", "截止日期已过"))
+    return (
+        F.when(f["passed"], say("deadline_passed", "截止日期已过"))
         .when(f["intern"], say("ok", "实习岗位纳入正常"))
         .when(f["stale"] & f["hiring"], say("ok", "超窗但仍在招"))
         .when(f["stale"], say("stale_anomaly", f"最新信息发布时间超过近{days}天（约{max(1, days // 30)}个月），判为异常"))
-        .otherwise(say("ok", "ok")),
+        .otherwise(say("ok", "ok"))
     )
 
 
+def freshness(as_of: date, days: int = V.LOOKBACK_DAYS) -> Column:
+    """struct(status, reason): deadline_passed, stale_anomaly or ok."""
+    return T.let(F.struct(*[v.alias(k) for k, v in freshness_facts(as_of, days, dates_of()).items()]), lambda f: freshness_verdict(f, days))
+
+
+def recruit_title_of(t: Column, core: Column) -> Column:
+    """``company_recruit_title`` of a trimmed title and a company's core."""
+    # the core may hold any characters: compare the title's head with it instead of a pattern
+    named = (F.length(core) >= 2) & F.contains(F.regexp_replace(t, V.RECRUIT_END, ""), core) & T.matches(t, V.RECRUIT_END)
+    return ~T.has_any(t, V.ROLE_WORDS) & (named | T.matches(t, r"^.{2,40}?" + V.RECRUIT_END))
+
+
 def company_recruit_title(company: Column, title: Column) -> Column:
     """A company's name with a recruiting word instead of a role."""
-    end = r"(?:的)?(?:20\d{2}届?)?(?:校园招聘|校招|春招|秋招|招聘|招聘公告|招聘启事|官网招聘)(?:入口|门户|系统|首页|公告|启事)?[\s】\]]*$"
-    # the core may hold any characters: compare the title's head with it instead of a pattern
-    named = lambda t, core: (F.length(core) >= 2) & F.contains(F.regexp_replace(t, end, ""), core) & T.matches(t, end)
-    return T.let(T.strip(T.or_empty(title)), lambda t: T.let(T.company_core(company), lambda core: ~T.has_any(t, V.ROLE_WORDS) & (named(t, core) | T.matches(t, r"^.{2,40}?" + end))))
+    return T.let(T.strip(T.or_empty(title)), lambda t: T.let(T.company_core(company), lambda core: recruit_title_of(t, core)))
 
 
 def real_title(company: Column, title: Column) -> Column:
@@ -196,52 +221,97 @@ def confidence(official: Column, aggregator: Column) -> Column:
     return F.when(aggregator, 0.1).when(T.is_noise_title(c("title")), 0.05).when(T.title_mismatch(c("company"), c("title")), 0.15).otherwise(F.round(F.least(total, F.lit(1.0)), 6))
 
 
-def publish_check(official: Column, trusted: Column, aggregator: Column, least: float = V.PASS_MARK) -> Column:
-    """struct(ok, reason): ordered gates before a row is published."""
-    title, conf = c("title"), F.coalesce(c("confidence"), F.lit(0.0))
+def publish_verdict(f, official: Column, trusted: Column, aggregator: Column, least: float) -> Column:
+    """The gates before publication over the facts closed, noise, shell and mismatch."""
+    conf = F.coalesce(c("confidence"), F.lit(0.0))
     say = lambda ok, reason: F.struct(F.lit(ok).alias("ok"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
-    missing = (T.or_empty(title) == "") | (T.or_empty(c("source_url")) == "") | (T.or_empty(c("recruit_project")) == "")
+    missing = (T.or_empty(c("title")) == "") | (T.or_empty(c("source_url")) == "") | (T.or_empty(c("recruit_project")) == "")
     return (
-        F.when(aggregator, say(False, "命中汇总黑名单"))
-        .when(T.is_closed_title(title) | T.is_closed_text(c("jd_text")), say(False, "关停或内部推荐页，不发布"))
-        .when(T.is_noise_title(title) & ~company_recruit_title(c("company"), title), say(False, "噪声标题（导航/登录等）"))
-        .when(T.title_mismatch(c("company"), title), say(False, "标题公司名与种子严重不符"))
-        .when(~official & ~trusted, say(False, "源未验证为官方"))
-        .when(missing, say(False, "缺少硬字段（单位侧标题/原文/招聘项目）"))
-        .when(conf < least, say(False, F.concat(F.lit("置信度不足 ("), F.format_number(conf, 2), F.lit(")"))))
+        F.when(aggregator, say(False, V.CHECK_TEXTS["aggregator"]))
+        .when(f["closed"], say(False, V.CHECK_TEXTS["closed"]))
+        .when(f["noise"] & ~f["shell"], say(False, V.CHECK_TEXTS["noise"]))
+        .when(f["mismatch"], say(False, V.CHECK_TEXTS["mismatch"]))
+        .when(~official & ~trusted, say(False, V.CHECK_TEXTS["source"]))
+        .when(missing, say(False, V.CHECK_TEXTS["missing"]))
+        .when(conf < least, say(False, F.concat(F.lit(V.CHECK_TEXTS["confidence"] + " ("), F.format_number(conf, 2), F.lit(")"))))
         .otherwise(say(True, "ok"))
     )
 
 
+def publish_check(official: Column, trusted: Column, aggregator: Column, least: float = V.PASS_MARK) -> Column:
+    """struct(ok, reason): ordered gates before a row is published."""
+    title = c("title")
+    facts = {"closed": T.is_closed_title(title) | T.is_closed_text(c("jd_text")), "noise": T.is_noise_title(title), "shell": company_recruit_title(c("company"), title), "mismatch": T.title_mismatch(c("company"), title)}
+    return publish_verdict(facts, official, trusted, aggregator, least)
+
+
 def review_kind(reason: Column) -> Column:
     r = T.or_empty(reason)
     return F.when(T.has_any(r, ("置信度", "岗位置信")), "low_confidence").when(F.contains(r, F.lit("汇总")), "aggregator").when(F.contains(r, F.lit("不符")), "title_mismatch").when(F.contains(r, F.lit("硬字段")), "missing_fields").otherwise("needs_review")
 
 
-def route(as_of: date, official: Column, trusted: Column, aggregator: Column) -> Column:
-    """struct(route, kind, reason): publish, review, verify or drop."""
-    title = c("title")
+def with_title_facts(rows: DataFrame) -> DataFrame:
+    """``rows`` with __raw, __core, __closed_title, __noise, __shell and __mismatch of title
+    and company. Facts are columns in stages, so each is computed once and the plan stays
+    small however often the rules mention them."""
+    at = F.col
+    one = rows.withColumns({"__raw": T.strip(T.or_empty(c("title"))), "__company": T.strip(T.or_empty(c("company")))})
+    two = one.withColumns({"__cut": T.strip_chrome(at("__raw")), "__compact0": T.squeeze(at("__raw")), "__core": T.company_core(at("__company"))})
+    three = two.withColumns({"__t": F.coalesce("__cut", "__raw"), "__cut_compact": T.squeeze(at("__cut"))})
+    four = three.withColumns({
+        "__compact": F.coalesce("__cut_compact", "__compact0"),
+        "__chrome_raw": T.chrome_of(at("__raw"), at("__compact0")),
+        "__chrome_cut": F.when(at("__cut") == at("__raw"), F.lit(None)).otherwise(T.chrome_of(at("__cut"), at("__cut_compact"))),
+        "__closed_title": T.matches(at("__compact0"), V.CLOSED_TITLE) | T.matches(at("__raw"), V.CLOSED_TITLE),
+        "__shell": recruit_title_of(at("__raw"), at("__core")),
+        "__mismatch": T.mismatch_of(at("__company"), at("__raw"), at("__core")),
+    })
+    closed = T.matches(at("__compact"), V.CLOSED_TITLE) | T.matches(at("__t"), V.CLOSED_TITLE)
+    noise = T.noise_cascade(at("__raw"), at("__cut"), at("__t"), at("__compact"), at("__compact0"), at("__chrome_raw"), F.coalesce("__chrome_cut", "__chrome_raw"), closed)
+    return four.withColumn("__noise", noise).drop("__cut", "__compact0", "__t", "__cut_compact", "__compact", "__chrome_raw", "__chrome_cut")
+
+
+def routed(rows: DataFrame, as_of: date, official: Column, trusted: Column, aggregator: Column, *, days: int = V.LOOKBACK_DAYS, least: float = V.PASS_MARK) -> DataFrame:
+    """``rows`` with route (publish, review, verify or drop), kind and reason."""
+    names, at = rows.columns, F.col
+    title, jd, project = c("title"), c("jd_text"), T.strip(T.or_empty(c("recruit_project")))
+    facts = with_title_facts(rows).withColumns({"__p": project, "__blob": _joined(c("recruit_project"), title, _window(jd)), "__pair": _joined(c("recruit_project"), title), **{f"__d_{k}": v for k, v in dates_of().items()}})
+    days_of = {k: at(f"__d_{k}") for k in ("open_at", "published_at", "updated_at", "deadline")}
+    kinds = ("应届生实习", "日常实习")
+    intern = T.strip(T.or_empty(c("recruit_bucket"))).isin(*kinds) | F.coalesce(_mapped(at("__p"), at("__pair")).isin(*kinds), F.lit(False)) | T.has_any(at("__blob"), V.INTERN_PHRASES)
+    target = target_facts(title, jd, intern, _social(at("__p"), at("__blob"), jd), days_of)
+    fresh = freshness_facts(as_of, days, days_of)
+    told = facts.withColumns({"__closed": at("__closed_title") | T.is_closed_text(jd), **{f"__t_{k}": v for k, v in target.items()}, **{f"__f_{k}": v for k, v in fresh.items()}})
+    checked = told.withColumns({
+        "__target": target_verdict({k: at(f"__t_{k}") for k in target}, as_of),
+        "__fresh": freshness_verdict({k: at(f"__f_{k}") for k in fresh}, days),
+        "__check": publish_verdict({k: at(f"__{k}") for k in ("closed", "noise", "shell", "mismatch")}, official, trusted, aggregator, least),
+    })
     say = lambda to, kind, reason: F.struct(F.lit(to).alias("route"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), reason.alias("reason"))
-    noise = T.is_noise_title(title) & ~F.contains(T.or_empty(title), c("company")) & ~company_recruit_title(c("company"), title)
-    facts = F.struct(
-        (T.is_closed_title(title) | T.is_closed_text(c("jd_text"))).alias("closed"), noise.alias("noise"), target_check(as_of).alias("target"), freshness(as_of).alias("fresh"), publish_check(official, trusted, aggregator).alias("check")
+    target, fresh, check = at("__target"), at("__fresh"), at("__check")
+    noise = at("__noise") & ~F.contains(T.or_empty(title), c("company")) & ~at("__shell")
+    to = (
+        F.when(at("__closed"), say("drop", "", F.lit("closed")))
+        .when(noise, say("drop", "", F.lit("noise")))
+        .when(~target["ok"], say("review", target["kind"], target["reason"]))
+        .when(fresh["status"] == "deadline_passed", say("drop", "", fresh["reason"]))
+        .when(fresh["status"] == "stale_anomaly", say("review", "stale_over_3m", fresh["reason"]))
+        .when(check["ok"], say("publish", "", F.lit("ok")))
+        .when(is_source_reject(check["reason"]), say("verify", "", check["reason"]))
+        .when(is_noise_skip(check["reason"]), say("drop", "", check["reason"]))
+        .otherwise(say("review", review_kind(check["reason"]), check["reason"]))
     )
+    return checked.withColumn("__r", to).select(*names, "__r.*")
+
+
+def is_source_reject(reason: Column) -> Column:
+    """Reasons about a source's trust, which go to source verification."""
+    return F.contains(T.or_empty(reason), F.lit("源未验证"))
 
-    def routed(f: Column) -> Column:
-        target, fresh, check = f["target"], f["fresh"], f["check"]
-        return (
-            F.when(f["closed"], say("drop", "", F.lit("closed")))
-            .when(f["noise"], say("drop", "", F.lit("noise")))
-            .when(~target["ok"], say("review", target["kind"], target["reason"]))
-            .when(fresh["status"] == "deadline_passed", say("drop", "", fresh["reason"]))
-            .when(fresh["status"] == "stale_anomaly", say("review", "stale_over_3m", fresh["reason"]))
-            .when(check["ok"], say("publish", "", F.lit("ok")))
-            .when(F.contains(check["reason"], F.lit("源未验证")), say("verify", "", check["reason"]))
-            .when(T.has_any(check["reason"], ("关停", "内部推荐", "噪声标题")), say("drop", "", check["reason"]))
-            .otherwise(say("review", review_kind(check["reason"]), check["reason"]))
-        )
 
-    return T.let(facts, routed)
+def is_noise_skip(reason: Column) -> Column:
+    """Reasons that skip a row without any review."""
+    return T.has_any(reason, ("关停", "内部推荐", "噪声标题"))
 
 
 def review_reasons(as_of: date, duties: Column, requirements: Column, least: int = 10, months: int = V.REVIEW_MONTHS) -> Column:

@@ -50,10 +50,15 @@ def lookback_days(days: int | None = None, months: int | None = None) -> int:
     return days if days and days > 0 else months * 30 if months and months > 0 else V.LOOKBACK_DAYS
 
 
-def is_stale(dates: list[Column], as_of: date, days: int = V.LOOKBACK_DAYS) -> Column:
+def any_before(dates: list[Column], as_of: date, days: int = V.LOOKBACK_DAYS) -> Column:
     """Whether ANY of the dates lies before the window."""
     cutoff = F.date_sub(F.lit(as_of), max(1, days))
-    return F.exists(F.array(*[loose_date(c) for c in dates]), lambda d: F.coalesce(d < cutoff, F.lit(False)))
+    return F.coalesce(F.least(*dates, F.lit(as_of)) < cutoff, F.lit(False))
+
+
+def is_stale(dates: list[Column], as_of: date, days: int = V.LOOKBACK_DAYS) -> Column:
+    """``any_before`` of dates in loose forms."""
+    return any_before([loose_date(c) for c in dates], as_of, days)
 
 
 def age_date(*dates: Column) -> Column:

@@ -19,9 +19,13 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: All white space of Unicode, and the separators that count as such.
+WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    """Trim all Unicode white space; null stays null."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Trim all Unicode white space; null stays null. Looks at the ends alone."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def squeeze(c: Column) -> Column:
@@ -38,9 +42,16 @@ def non_blank(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
+def heads(words: tuple[str, ...]) -> str:
+    """A look ahead that passes over what can begin none of the words, most of a text."""
+    ascii_heads = sorted({w[0] for w in words if w[0].isascii()})
+    rest = r"[^\x00-\x7F]" if any(not w[0].isascii() for w in words) else ""
+    return f"(?={'|'.join([*filter(None, [rest]), *map(re.escape, ascii_heads)])})"
+
+
 def has_any(c: Column, words: tuple[str, ...]) -> Column:
     """Whether any of the words stands in the text (false for null)."""
-    return F.rlike(or_empty(c), F.lit("|".join(re.escape(w) for w in words)))
+    return F.rlike(or_empty(c), F.lit(heads(words) + "(?:" + "|".join(re.escape(w) for w in words) + ")"))
 
 
 def one_of(c: Column, words: tuple[str, ...]) -> Column:
@@ -52,6 +63,12 @@ def matches(c: Column, pattern: str) -> Column:
     return F.coalesce(F.rlike(c, F.lit(pattern)), F.lit(False))
 
 
+def matches_cjk(c: Column, pattern: str) -> Column:
+    """``matches`` of a pattern that begins with a character outside ASCII; quick on long
+    texts of other scripts."""
+    return matches(c, r"(?=[^\x00-\x7F])(?:" + pattern + ")")
+
+
 def fold_ascii(c: Column) -> Column:
     """Lower case of A-Z alone, as the keyword search compares."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -144,7 +161,7 @@ def is_closed_title(title: Column) -> Column:
 
 
 def is_closed_text(text: Column) -> Column:
-    return matches(strip(text), V.CLOSED_TEXT)
+    return matches_cjk(text, V.CLOSED_TEXT)
 
 
 def strip_chrome(title: Column) -> Column:
@@ -163,10 +180,11 @@ def _in_noise(t: Column, compact: Column) -> Column:
 def is_chrome_title(title: Column) -> Column:
     """Site chrome instead of a role: known phrases, browser tips, or chrome in one part of
     a title of several parts without a role word in any."""
-    return let(strip(or_empty(title)), lambda t: let(squeeze(t), lambda compact: _is_chrome(t, compact)))
+    return let(strip(or_empty(title)), lambda t: let(squeeze(t), lambda compact: chrome_of(t, compact)))
 
 
-def _is_chrome(t: Column, compact: Column) -> Column:
+def chrome_of(t: Column, compact: Column) -> Column:
+    """``is_chrome_title`` of a trimmed title, with and without white space."""
     parts = F.filter(F.split(t, r"(?U)\s*[-—–|]\s*"), lambda p: p != "")
     odd = F.exists(parts, lambda p: matches(p, V.CHROME_TITLE) | in_noise_titles(p))
     role = F.exists(parts, lambda p: has_any(p, V.ROLE_WORDS))
@@ -179,22 +197,23 @@ def _is_chrome(t: Column, compact: Column) -> Column:
 def is_noise_title(title: Column) -> Column:
     """Ordered cascade: blank, placeholder, template token, channel shell, site chrome after
     taking off a site suffix, known titles, navigation, closed."""
-    return let(strip(or_empty(title)), lambda raw: let(strip_chrome(raw), lambda cut: let(F.coalesce(cut, raw), lambda t: let(squeeze(t), lambda compact: _noise_cascade(raw, cut, t, compact)))))
+    return let(strip(or_empty(title)), lambda raw: let(strip_chrome(raw), lambda cut: let(F.coalesce(cut, raw), lambda t: let(squeeze(t), lambda compact: noise_cascade(raw, cut, t, compact, squeeze(raw), is_chrome_title(raw), is_chrome_title(cut), is_closed_title(t))))))
 
 
-def _noise_cascade(raw: Column, cut: Column, t: Column, compact: Column) -> Column:
-    compact0 = squeeze(raw)
-    clean = cut.isNotNull() & (cut != raw) & ~is_chrome_title(cut)
+def noise_cascade(raw: Column, cut: Column, t: Column, compact: Column, compact0: Column, chrome_raw: Column, chrome_cut: Column, closed: Column) -> Column:
+    """The cascade over its facts: the title, cut and not, squeezed, and what is chrome."""
+    clean = cut.isNotNull() & (cut != raw) & ~chrome_cut
+    chrome_t = F.when(cut.isNotNull(), chrome_cut).otherwise(chrome_raw)
     detail = (matches(t, r"(?U)招聘系统\s*[-—–]{1,2}\s*招聘详细") | F.endswith(compact, F.lit("招聘详细"))) & ~has_any(compact, ("岗", "工程师", "实习"))
     return (
         F.when(F.length(raw) < 2, True)
         .when(matches(compact0, f"^(?:{V.NOISE_PLACEHOLDER})$") | one_of(F.lower(compact0), V.NOISE_PLACEHOLDER_WORDS), True)
         .when(matches(raw, V.TEMPLATE_TOKEN) | matches(raw, V.CHANNEL_TITLE), True)
-        .when(~clean & (is_chrome_title(raw) | is_chrome_title(t)), True)
+        .when(~clean & (chrome_raw | chrome_t), True)
         .when(in_noise_titles(t) | matches(compact, V.NOISE_TITLE) | matches(t, V.NOISE_TITLE), True)
         .when(matches(t, V.BROWSER_TIP) | matches(compact, V.BROWSER_TIP), True)
         .when(matches(compact, V.NOISE_NAV_TITLE) | matches(t, V.NOISE_NAV_TITLE), True)
-        .when(detail | is_closed_title(t), True)
+        .when(detail | closed, True)
         .otherwise(compact.isin("首页", "提示", "公告", "通知", "详情", "更多"))
     )
 
@@ -215,10 +234,11 @@ def strip_navigation(text: Column) -> Column:
 
 def title_mismatch(company: Column, title: Column) -> Column:
     """Whether the title names another company than the given one."""
-    return let(strip(or_empty(company)), lambda c: let(strip(or_empty(title)), lambda t: let(company_core(c), lambda core: _mismatch(c, t, core))))
+    return let(strip(or_empty(company)), lambda c: let(strip(or_empty(title)), lambda t: let(company_core(c), lambda core: mismatch_of(c, t, core))))
 
 
-def _mismatch(c: Column, t: Column, core: Column) -> Column:
+def mismatch_of(c: Column, t: Column, core: Column) -> Column:
+    """``title_mismatch`` of a trimmed company and title and the company's core."""
     short = F.left(core, F.lit(4))
     other = F.exists(
         F.transform(F.regexp_extract_all(t, F.lit(V.COMPANY_ENTITY), F.lit(1)), company_core),

@@ -100,6 +100,20 @@ REAL_TITLE_PARTS = r"(岗|工程师|专员|经理|实习|管培|开发|运营|
 SHELL_TITLE_WORDS = ("微官网", "招聘系统", "欢迎登录", "Not Found", "Security Verification", "校园招聘入口")
 TITLE_PUNCTUATION = "【】[]（）()·・|-_/\\,，.。:：;；!！?？\"'“”‘’"
 
+#: What ends a title made of a company's name and a recruiting word.
+RECRUIT_END = r"(?:的)?(?:20\d{2}届?)?(?:校园招聘|校招|春招|秋招|招聘|招聘公告|招聘启事|官网招聘)(?:入口|门户|系统|首页|公告|启事)?[\s】\]]*$"
+
+# fixed values: texts of the publish check by gate
+CHECK_TEXTS = {
+    "aggregator": "命中汇总黑名单",
+    "closed": "关停或内部推荐页，不发布",
+    "noise": "噪声标题（导航/登录等）",
+    "mismatch": "标题公司名与种子严重不符",
+    "source": "源未验证为官方",
+    "missing": "缺少硬字段（单位侧标题/原文/招聘项目）",
+    "confidence": "置信度不足",
+}
+
 # fixed values: URLs
 TRUSTED_HOSTS = ("mokahr.com", "moka.com", "zhiye.com", "jobs.feishu.cn", "jobs.f.mioffice.cn", "italent.cn", "tms.beisen.com", "hotjob.cn", "wecruit.hotjob.cn")
 CAMPUS_PATHS = ("/campus", "campus_", "/recruit", "/career", "/school", "/joinus", "job.bank", "/jobs")
@@ -119,7 +133,7 @@ DETAIL_URL_STRICT = r"(?i)(job[_-]?detail|posdetail|campusxq|jobadid|positionid|
 DETAIL_PATH = r"(?i)/(?:job|jobs|position|positions|post|posts)/[^/?#]+(?:/detail)?/?$"
 DETAIL_TEXT = r"(详情|岗位|职位|投递|申请|实习|校招|管培|工程师|分析师|研究员|专员|经理|开发|运营|产品|设计|财务|法务|销售)"
 JOB_FRAGMENT = r"(?i)(?:^|/)job/([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})(?:$|[/?#])"
-#: Host patterns by adapter, first match wins.
+#: Host patterns by adapter, first match wins.
 ADAPTER_HOSTS = (("moka", ("mokahr.com", "moka.com")), ("zhiye", ("zhiye.com",)), ("feishu", ("jobs.feishu.cn", "jobs.f.mioffice.cn")), ("hotjob", ("hotjob.cn",)), ("wechat", ("mp.weixin.qq.com",)))
 
 # fixed values: limits

@@ -110,7 +110,7 @@ FRESH = f"""(CASE WHEN coalesce(try_cast(deadline AS DATE) < DATE '2026-08-01',
   WHEN {any_of(FRESH_TEXT + " || ' ' || coalesce(recruit_bucket, '')", V.INTERNSHIP_WORDS)} THEN 'ok'
   WHEN {STALE} AND {any_of(FRESH_TEXT + " || ' ' || coalesce(deadline, '')", V.OPEN_WORDS + V.INTERNSHIP_WORDS)} THEN 'ok'
   WHEN {STALE} THEN 'stale_anomaly' ELSE 'ok' END)"""
-END = r"(?:的)?(?:20\d{2}届?)?(?:校园招聘|校招|春招|秋招|招聘|招聘公告|招聘启事|官网招聘)(?:入口|门户|系统|首页|公告|启事)?[\s】\]]*$"
+END = V.RECRUIT_END
 
 
 def core_sql(e: str) -> str:
@@ -258,8 +258,7 @@ _ROUTE = f"""SELECT id, CASE WHEN {_EARLY} THEN 'drop' WHEN {TARGET} <> '' THEN
 @query(f"{P} {_ROUTE}")
 def publish_route(spark, sf_dir):
     """Publish, review, verify or drop."""
-    r = C.route(AS_OF, F.col("official"), U.is_trusted(F.col("source_url")), T.is_aggregator(F.col("title")))
-    return postings(spark, sf_dir).withColumn("r", r).select("id", "r.route", "r.kind")
+    return C.routed(postings(spark, sf_dir), AS_OF, F.col("official"), U.is_trusted(F.col("source_url")), T.is_aggregator(F.col("title"))).select("id", "route", "kind")
 
 
 @query(f"{P}, r AS ({_ROUTE}) SELECT route, kind, count(*) AS n FROM r GROUP BY ALL")
