@@ -34,25 +34,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session. Where a session has none (tests on one machine), a folder of our own."""
+    """This session's folder under ``spark.checkpoint.dir``, which driver and executors
+    share. Only a local session may lack the setting and gets a temporary folder."""
+    app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not base:
-        app = spark.sparkContext.applicationId
         base = _own_shared.setdefault(app, "") or tempfile.mkdtemp(prefix="millrace-")
         _own_shared[app] = base
-    return base.rstrip("/")
+    return f"{base.rstrip('/')}/millrace-{app}"
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, so
     lost executors cost no recomputation, and later reads see one fixed set of rows."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove this session's intermediate tables, once no result that reads them is needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers that don't run in the repository."""
     sc = spark.sparkContext
