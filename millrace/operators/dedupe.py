@@ -23,25 +23,53 @@ def best_by_title(jobs: DataFrame) -> DataFrame:
 
 
 def clean_up(jobs: DataFrame) -> DataFrame:
-    """Every posting with its fate: keep, duplicate_title, duplicate_url, shell or rename.
+    """Every posting (by its id) with its fate: keep, duplicate_title, duplicate_url, shell
+    or rename.
 
-    Shells of a company go if it has any detail page; else its best shell stays, renamed."""
+    Shells of a company go if it has any detail page; else its best shell stays, renamed.
+    Firsts of a key are cut down before the shuffle, and facts of a company are partial
+    aggregates, so a company with a large share of the rows makes no task slow."""
     order = [F.desc("has_detail"), F.desc("confidence"), F.desc("jd_len"), F.desc("updated_at"), F.asc("id")]
-    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    titled = jobs.withColumn("__t", first("company_key", "title_key")).withColumn("__alive", F.col("__t") == 1)
-    named = titled.withColumn("__u", first("company_key", "identity", "title_key", "__alive"))
-    company = Window.partitionBy("company_key")
-    seen = named.withColumn("__detail", F.max(F.when(F.col("__alive") & ~F.col("is_shell"), 1).otherwise(0)).over(company))
-    shell = seen.withColumn("__s", first("company_key", "__alive", "is_shell"))
+
+    def mark(rows: DataFrame, among: DataFrame, keys: list[str], name: str) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        first = among.withColumn("__n", nth).where("__n = 1").select("id", F.lit(True).alias(name))
+        return rows.join(first, "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+    titled = mark(jobs, jobs, ["company_key", "title_key"], "__alive")
+    alive = titled.where("__alive")
+    named = mark(titled, alive, ["company_key", "identity", "title_key"], "__url")
+    shells = mark(named, alive.where("is_shell"), ["company_key"], "__best")
+    detail = alive.groupBy("company_key").agg(F.max(F.when(~F.col("is_shell"), 1).otherwise(0)).alias("__detail"))
     fate = (
         F.when(~F.col("__alive"), "duplicate_title")
-        .when((F.col("identity") != "") & (F.col("__u") > 1), "duplicate_url")
+        .when((F.col("identity") != "") & ~F.col("__url"), "duplicate_url")
         .when(F.col("is_shell") & (F.col("__detail") == 1), "shell")
-        .when(F.col("is_shell") & (F.col("__s") > 1), "shell")
+        .when(F.col("is_shell") & ~F.col("__best"), "shell")
         .when(F.col("is_shell"), "rename")
         .otherwise("keep")
     )
-    return shell.withColumn("fate", fate).drop("__t", "__alive", "__u", "__detail", "__s")
+    return shells.join(detail, "company_key", "left").withColumn("fate", fate).drop("__alive", "__url", "__best", "__detail")
+
+
+def numbered(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """``place`` from 1 in the order of a sorted table, without a single task for all rows:
+    the sort's range partitions are numbered on their own and shifted by the counts before."""
+    placed = ordered.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__m"))
+    sizes = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__first"))
+    # one row a partition: a bounded table
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select("__p", "__first", before.alias("__before"))
+    return placed.join(F.broadcast(shifts), "__p").withColumn(name, F.col("__m") - F.col("__first") + F.col("__before") + 1).drop("__p", "__m", "__first", "__before")
+
+
+def ranked(rows: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
+    """Rank of a row within its key, by one range-partitioned sort: a key with a large share
+    of the rows is spread over many tasks."""
+    placed = numbered(rows.orderBy(key, *order), "__place")
+    begins = placed.groupBy(key).agg(F.min("__place").alias("__begin"))
+    at = F.col(f"b.{key}").eqNullSafe(F.col(f"a.{key}"))
+    return placed.alias("a").join(begins.alias("b"), at).select("a.*", (F.col("__place") - F.col("__begin") + 1).cast("int").alias(name)).drop("__place")
 
 
 def collect_batch(candidates: DataFrame, known: DataFrame, size: int, *, by: str = "company", pos: str = "pos", key: str = "identity") -> DataFrame:

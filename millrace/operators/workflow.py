@@ -299,15 +299,3 @@ def dashboard(counts: dict[str, DataFrame]) -> DataFrame:
         found = one if found is None else found.unionByName(one)
     return found
 
-
-def numbered_in_order(ordered: DataFrame, name: str = "place") -> DataFrame:
-    """``place`` from 1 in the order of a sorted table, without a single task for all rows:
-    the sort's range partitions are numbered on their own and shifted by the counts before."""
-    from pyspark.sql.window import Window
-
-    placed = ordered.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__m"))
-    sizes = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__first"))
-    # one row a partition: a bounded table
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = sizes.select("__p", "__first", before.alias("__before"))
-    return placed.join(F.broadcast(shifts), "__p").withColumn(name, F.col("__m") - F.col("__first") + F.col("__before") + 1).drop("__p", "__m", "__first", "__before")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.functions import text as T
 from millrace.functions import urls as U
@@ -37,8 +36,7 @@ def flagship_page_ranking(spark, sf_dir):
     named = _pages(spark, sf_dir).select("page_id", U.host(F.col("url")).alias("host"), U.identity_url(F.col("url")).alias("identity"))
     linked = named.join(counts, "page_id", "left").fillna(0, ["n_links"])
     best = dedupe.pick_best(linked, ["identity"], [F.desc("n_links"), F.asc("page_id")])
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n_links"), "page_id"))
-    return best.select("host", "page_id", "identity", "n_links", rank.alias("host_rank"))
+    return dedupe.ranked(best, "host", [F.desc("n_links"), F.asc("page_id")], "host_rank").select("host", "page_id", "identity", "n_links", "host_rank")
 
 
 @query(f"SELECT page_id, {_HOST} AS host, {_BASE} AS identity, {_BASE} || CASE WHEN regexp_matches(url, '[?&][^=&]+=') AND NOT contains(url, 'utm_source=') THEN '?' || regexp_extract(url, '\\?([^#]*)', 1) ELSE '' END AS plain FROM pages")
@@ -83,7 +81,7 @@ def page_adapter_route(spark, sf_dir):
 def rank_urls(spark, sf_dir):
     """Pages of a host by how well they serve to apply."""
     scored = _pages(spark, sf_dir).select("page_id", U.host(F.col("url")).alias("host"), U.apply_score(F.col("url")).alias("score"))
-    return scored.withColumn("host_rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("score"), "page_id"))).select("host", "page_id", "score", "host_rank")
+    return dedupe.ranked(scored, "host", [F.desc("score"), F.asc("page_id")], "host_rank").select("host", "page_id", "score", "host_rank")
 
 
 @query()

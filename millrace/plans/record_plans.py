@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions import labels as L
 from millrace.functions import records as R
 from millrace.functions import text as T
+from millrace.operators import dedupe
 from millrace.operators import workflow as W
 from millrace.plans.registry import registry
 from millrace.plans.roles import AS_OF
@@ -573,7 +574,7 @@ def clustered_order(spark, sf_dir):
     """Postings by company cluster, title, date and position. The order is kept by
     a range-partitioned sort; places are numbered from each partition's count."""
     jobs = _jobs(spark, sf_dir).select("id", "company", "title", c("updated_at").alias("open_at"), F.lit(None).cast("string").alias("list_updated_at"), F.lit(None).cast("string").alias("published_at"), c("id").alias("pos"))
-    return W.numbered_in_order(W.cluster_order(jobs)).select("id", "place")
+    return dedupe.numbered(W.cluster_order(jobs)).select("id", "place")
 
 
 @query(_J + " SELECT id, CASE WHEN status = 'pending_review' AND id % 5 <> 0 THEN 'active' ELSE status END AS status FROM j")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from millrace.functions import dates as D
 from millrace.functions import text as T
@@ -85,6 +89,68 @@ def read_jobs_pages(pages: DataFrame, raw: str = "body") -> DataFrame:
     ).dropDuplicates(["source_id"])
 
 
+DETAIL = "state string, data struct<postId string, postName string, company string, workPlaceStr string, workPlace string, publishDate string, recruitType int, educationStr string, education string, duty string, workContent string, serviceCondition string, remark string>"
+
+
+def read_detail(pages: DataFrame, raw: str = "body") -> DataFrame:
+    """One posting's detail body; where several hosts answered (``host_rank``), the first that
+    has it counts."""
+    ok = pages.select("host_rank", F.from_json(_body(F.col(raw)), DETAIL).alias("p")).where("p.state in ('200', '0') and p.data.postId is not null").select("host_rank", "p.data.*")
+    part = lambda h, c: F.when(T.non_blank(F.col(c)).isNotNull(), F.when(F.contains(F.left(T.strip(F.col(c)), F.lit(20)), F.lit(h)), T.strip(F.col(c))).otherwise(F.concat(F.lit(h + "\n"), T.strip(F.col(c)))))
+    text = F.nullif(F.concat_ws("\n\n", part("岗位职责", "duty"), part("工作内容", "workContent"), part("任职要求", "serviceCondition"), part("备注", "remark")), F.lit(""))
+    channel = _coded(F.col("recruitType"), RECRUIT_TYPES)
+    made = ok.select("host_rank", F.col("postId").alias("source_id"), T.non_blank(F.col("postName")).alias("title"), "company", channel.alias("channel"), _bucket(channel).alias("recruit_bucket"), F.coalesce("workPlaceStr", "workPlace").alias("work_location"), D.first_iso_date(F.col("publishDate")).alias("open_at"), F.coalesce("educationStr", "education").alias("education"), text.alias("jd_text"))
+    others = [c for c in made.columns if c != "source_id"]
+    return made.groupBy("source_id").agg(F.min_by(F.struct(*others), "host_rank").alias("r")).select("source_id", "r.*").drop("host_rank")
+
+
+def page_requests(total: int, size: int, most: int = 50) -> list[tuple[int, int]]:
+    """(offset, limit) of the pages of a list: at most 50 rows each, up to the total."""
+    step = max(1, min(size, most))
+    return [(at, min(step, total - at)) for at in range(0, max(0, total), step)]
+
+
+def sliced_array(text: str, start: int) -> str | None:
+    """The JSON array that opens at ``start``, brackets within strings left out of account."""
+    depth, at, quoted = 0, start, False
+    while at < len(text):
+        ch = text[at]
+        if quoted:
+            at += ch == "\\"
+            quoted = ch != '"'
+        elif ch == '"':
+            quoted = True
+        elif ch in "[]":
+            depth += 1 if ch == "[" else -1
+            if not depth:
+                return text[start : at + 1]
+        at += 1
+    return None
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _job_arrays(texts: pd.Series) -> pd.Series:
+    """Arrays behind "jobs": in each text; brackets nest, so this is no regular expression."""
+    marks = re.compile(r'"jobs"\s*:\s*\[')
+    return pd.Series([[a for m in marks.finditer(t or "") if (a := sliced_array(t, m.end() - 1))] for t in texts])
+
+
+EMBEDDED = "array<struct<id string, mjCode string, title string, publishedAt string>>"
+
+
+def embedded_jobs(pages: DataFrame) -> DataFrame:
+    """Postings that a page embeds (page_id, source_id, title, published): of its init-data,
+    else of the first array behind "jobs": that has any."""
+    from millrace.functions import pages as P
+
+    read = lambda x: F.filter(F.from_json(x, EMBEDDED), lambda j: T.or_empty(j["title"]) != "")
+    named = lambda x: F.filter(read(x), lambda j: F.coalesce(j["id"], j["mjCode"], j["publishedAt"]).isNotNull())
+    first = pages.select("page_id", read(F.get_json_object(P.init_data(F.col("html")), "$.jobs")).alias("own"), _job_arrays(P.unescaped(T.or_empty(F.col("html")))).alias("arrays"))
+    other = F.get(F.filter(F.transform("arrays", named), lambda x: F.size(x) > 0), F.lit(0))
+    chosen = first.select("page_id", F.posexplode(F.when(F.coalesce(F.size("own"), F.lit(0)) > 0, F.col("own")).otherwise(other)).alias("pos", "j"))
+    return chosen.select("page_id", "pos", F.coalesce("j.id", "j.mjCode").alias("source_id"), "j.title", F.col("j.publishedAt").alias("published"))
+
+
 def decrypt_envelope(data: Column, iv: Column, key: Column) -> Column:
     """AES-128-CBC body as text; null where it can't be opened."""
     return F.try_aes_decrypt(F.concat(iv.cast("binary"), F.unbase64(data)), key.cast("binary"), F.lit("CBC"), F.lit("PKCS")).cast("string")

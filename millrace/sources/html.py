@@ -5,6 +5,7 @@ all rules after that (aliases, identity, windows) are DataFrame expressions."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -18,10 +19,43 @@ _BLOCK = {"p", "div", "li", "tr", "h1", "h2", "h3", "h4", "section", "article",
 _SILENT = {"script", "style", "noscript", "template"}
 
 # fixed values: classes of cards, card fields and pagers; header words of job tables
-CARD_CLASSES = ("job-card", "job-item", "position-item", "post-item", "job-list-item", "career-item", "recruit-item")
-FIELD_CLASSES = {"title": ("job-name", "position-name", "title", "post-name"), "company": ("company", "company-name"), "location": ("loc", "location", "city", "place"), "updated": ("date", "time", "updated")}
+CARD_CLASSES = ("job-card", "job-item", "position-card", "position-item", "post-item", "list-item")
+FIELD_CLASSES = {"title": ("job-name", "position-name", "post-name", "title"), "company": ("company", "org", "unit", "employer"), "location": ("loc", "city", "place", "address"), "updated": ("date", "time", "update", "publish"), "headcount": ("headcount", "hc", "quota", "number", "count")}
 TABLE_HEADERS = {"title": ("职位名称", "岗位名称", "职位", "岗位"), "category": ("职位类别", "岗位类别", "类别"), "location": ("工作地点", "工作城市", "地点"), "headcount": ("招聘人数", "需求人数", "人数"), "job_type": ("工作类型", "职位类型"), "updated": ("更新日期", "更新时间", "发布时间", "发布日期")}
-NEXT_WORDS = ("下一页", "下页", "next", "»", ">")
+NEXT_TEXT, NEXT_LABEL = r"(?i)^\s*(下一页|下页|后一页|next|>|›|»|→)\s*$", r"(?i)(下一页|下页|next\s*page|\bnext\b)"
+DISABLED = r"(?i)(disabled|is-disabled|btn-disabled|ant-pagination-disabled)"
+PAGE_KEYS = ("page", "pageno", "pagenum", "pageindex", "p", "current", "currentpage")
+ACTIVE = r"(?i)(active|current|selected|is-active|on|cur|hover|choose)"
+NAV_TEXTS = {
+    "campus": ("校园招聘", "校招专区", "校园招聘专区", "应届生招聘"),
+    "intern": ("实习生专项", "实习生招聘", "实习招聘", "日常实习", "暑期实习", "实习生"),
+    "social": ("社会招聘", "社会人才", "社招专区", "正式员工招聘"),
+}
+RESULT_CLASS = "vrwrap"
+
+
+def card_rank(tag: str, cls: str, parent: tuple[str, str] | None, above: list[str]) -> int:
+    """Which of fifteen kinds of card an element is, from 1; 0 for none. ``cls`` is its class
+    attribute, ``parent`` the tag and class above it, ``above`` the classes of all ancestors."""
+    words = cls.split()
+    for rank, name in enumerate(CARD_CLASSES, 1):
+        if name in words:
+            return rank
+    if tag == "li" and "job" in words:
+        return 7
+    p_tag, p_cls = parent or ("", "")
+    for rank, name in ((8, "job-list"), (9, "position-list"), (10, "jobList")):
+        if tag == "div" and p_tag == "div" and name in p_cls:
+            return rank
+    if tag == "li" and p_tag == "ul" and "job-list" in p_cls.split():
+        return 11
+    if tag == "li" and p_tag == "ul" and "position" in p_cls:
+        return 12
+    if tag == "div" and "item" in cls and any("recruit" in a for a in above):
+        return 13
+    if tag == "div" and "job" in cls and "item" in cls:
+        return 14
+    return 15 if tag == "div" and "card" in words else 0
 
 
 class _Page(HTMLParser):
@@ -34,13 +68,16 @@ class _Page(HTMLParser):
         self.links: list[dict] = []
         self.rows: list[list[str]] = []
         self.cards: list[dict] = []
-        self.stack: list[tuple[str, str]] = []
+        self.stack: list[tuple[str, str, str]] = []  # tag, capture, class
         self.silent = 0
         self.into: list[tuple[str, list[str]]] = []  # open captures
+        self.open_cards: list[int] = []
+        self.results: list[dict] = []
 
     def handle_starttag(self, tag: str, attrs) -> None:
         a = {k: v or "" for k, v in attrs}
-        classes = set(a.get("class", "").lower().split())
+        cls = a.get("class", "")
+        classes = set(cls.lower().split())
         if tag == "meta" and a.get("property") == "og:title":
             self.og = a.get("content", "")
         if tag in _BLOCK:
@@ -49,37 +86,48 @@ class _Page(HTMLParser):
             return
         self.silent += tag in _SILENT
         capture = ""
+        above = [c for _, _, c in self.stack if c]
         if tag in ("title", "h1"):
             capture = tag
         elif tag == "a":
             capture = "a"
-            self.links.append({"href": a.get("href", ""), "text": "", "rel": a.get("rel", "").lower(), "cls": " ".join(sorted(classes)), "disabled": "disabled" in classes or "disabled" in a})
+            off = "disabled" in a or a.get("aria-disabled", "").lower() in ("true", "1") or any(re.search(DISABLED, c) for c in [cls, *(c for _, _, c in self.stack[-3:])])
+            parent = self.stack[-1][2] if self.stack else ""
+            self.links.append({"href": a.get("href", ""), "text": "", "rel": a.get("rel", "").lower(), "cls": " ".join(sorted(classes)), "disabled": off, "label": f"{a.get('aria-label', '')} {a.get('title', '')}".strip(), "parent": parent, "current": a.get("aria-current", "").lower()})
         elif tag == "tr":
             self.rows.append([])
         elif tag in ("td", "th") and self.rows:
             capture = "cell"
             self.rows[-1].append("")
-        if classes & set(CARD_CLASSES):
-            self.cards.append({"href": ""})
-            capture = capture or "card"
-        if self.cards and any(t == "card" for t, _ in self.into):
-            if tag == "a" and not self.cards[-1]["href"]:
-                self.cards[-1]["href"] = a.get("href", "")
-            field = next((f for f, names in FIELD_CLASSES.items() if classes & set(names) and f not in self.cards[-1]), "")
-            if field:
-                self.cards[-1][field] = ""
-                capture = f"field:{field}"
-        self.stack.append((tag, capture))
+        rank = card_rank(tag, cls, (self.stack[-1][0], self.stack[-1][2]) if self.stack else None, above)
+        if rank:
+            self.cards.append({"href": "", "rank": rank, "text": ""})
+            self.open_cards.append(len(self.cards) - 1)
+            capture = capture or f"card:{len(self.cards) - 1}"
+        for i in self.open_cards:
+            if tag == "a" and not self.cards[i]["href"]:
+                self.cards[i]["href"] = a.get("href", "")
+        field = next((f for f, names in FIELD_CLASSES.items() if not rank and any(n in c for c in classes for n in names)), "") if self.open_cards else ""
+        if field and capture in ("", "a"):
+            for i in self.open_cards:
+                self.cards[i].setdefault(field, "")
+            capture = f"field:{field}"
+        if RESULT_CLASS in classes:
+            self.results.append({"text": "", "link": ""})
+            capture = capture or "result"
+        if tag == "a" and any(name == "result" for name, _ in self.into) and not self.results[-1]["link"]:
+            self.results[-1]["link"] = a.get("href", "").strip()
+        self.stack.append((tag, capture, cls))
         if capture:
             self.into.append((capture, []))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _BLOCK:
             self.text.append("\n")
-        if not any(t == tag for t, _ in self.stack):
+        if not any(t == tag for t, _, _ in self.stack):
             return
         while self.stack:
-            t, capture = self.stack.pop()
+            t, capture, _ = self.stack.pop()
             self.silent -= t in _SILENT
             if capture:
                 name, parts = self.into.pop()
@@ -98,8 +146,17 @@ class _Page(HTMLParser):
                 open_link["text"] = said
         elif name == "cell" and self.rows and self.rows[-1]:
             self.rows[-1][-1] = said
-        elif name.startswith("field:") and self.cards:
-            self.cards[-1][name[6:]] = said
+        elif name == "result":
+            self.results[-1]["text"] = said
+        elif name.startswith("card:"):
+            self.cards[int(name[5:])]["text"] = said
+            self.open_cards.remove(int(name[5:]))
+        elif name.startswith("field:"):
+            for i in self.open_cards:
+                self.cards[i][name[6:]] = self.cards[i].get(name[6:]) or said
+            open_link = next((x for x in reversed(self.links) if not x["text"]), None)
+            if open_link is not None and name == "field:title":
+                open_link["text"] = said
 
     def handle_data(self, data: str) -> None:
         if self.silent:
@@ -144,9 +201,11 @@ def _rows_of(extract, columns: list[str]):
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """Anchors in order: page_id, url, pos, href, text, rel, cls, disabled."""
-    take = lambda p: [(x["href"], x["text"], x["rel"], x["cls"], x["disabled"]) for x in p.links]
-    return pages.select("page_id", "url", "html").mapInPandas(_rows_of(take, ["href", "text", "rel", "cls", "disabled"]), "page_id bigint, url string, pos bigint, href string, text string, rel string, cls string, disabled boolean")
+    """Anchors in order: page_id, url, pos, href, text, rel, cls, disabled, label, parent
+    (its class) and current."""
+    names = ["href", "text", "rel", "cls", "disabled", "label", "parent", "current"]
+    take = lambda p: [tuple(x[n] for n in names) for x in p.links]
+    return pages.select("page_id", "url", "html").mapInPandas(_rows_of(take, names), "page_id bigint, url string, pos bigint, href string, text string, rel string, cls string, disabled boolean, label string, parent string, current string")
 
 
 def _job_rows(page: _Page) -> Iterator[tuple]:
@@ -175,20 +234,82 @@ def job_tables(pages: DataFrame) -> DataFrame:
 
 
 def cards(pages: DataFrame) -> DataFrame:
-    """Cards of a page that has two or more."""
+    """Cards of a page: of the first kind of card that it has two or more of. What has no
+    element of its own is read from the card's text."""
+    from millrace.functions import labels as L
+    from millrace.functions import pages as P
+
     names = list(FIELD_CLASSES)
-    take = lambda p: [tuple(c.get(f) or None for f in names) + (c["href"] or None,) for c in p.cards] if len(p.cards) >= 2 else []
-    return pages.select("page_id", "url", "html").mapInPandas(_rows_of(take, [*names, "apply_url"]), "page_id bigint, url string, pos bigint, " + ", ".join(f"{n} string" for n in [*names, "apply_url"]))
+
+    def take(page: _Page) -> list[tuple]:
+        ranks = [c["rank"] for c in page.cards]
+        first = next((r for r in sorted(set(ranks)) if ranks.count(r) >= 2), 0)
+        return [tuple(c.get(f) or None for f in names) + (c["href"] or None, c["text"]) for c in page.cards if c["rank"] == first]
+
+    read = pages.select("page_id", "url", "html").mapInPandas(_rows_of(take, [*names, "apply_url", "text"]), "page_id bigint, url string, pos bigint, " + ", ".join(f"{n} string" for n in [*names, "apply_url", "text"]))
+    dated = F.coalesce(F.nullif(F.regexp_extract("text", P.LABELLED_DATE, 1), F.lit("")), F.nullif(F.regexp_extract("text", P.LATEST_DATE, 1), F.lit("")))
+    counted = F.nullif(F.regexp_extract("text", r"(?:招聘人数|需求人数)\s*[:：]?\s*(\S+)", 1), F.lit(""))
+    return read.withColumns({"title": L.sanitized_title(F.col("title")), "location": F.coalesce("location", L.place_in_text(F.col("text"))), "updated": F.coalesce("updated", dated), "headcount": L.normal_headcount(F.coalesce("headcount", counted))}).where("title is not null")
+
+
+def page_number(url):
+    """Page number of a link's query, from 1; null for none."""
+    from millrace.functions import urls as U
+
+    fields = F.filter(F.split(U.query(url), "&"), lambda f: F.lower(F.substring_index(f, "=", 1)).isin(*PAGE_KEYS) & F.rlike(f, F.lit(r"=\d+$")))
+    n = F.substring_index(F.get(fields, F.lit(0)), "=", -1).try_cast("int")
+    return F.when(n >= 1, n)
+
+
+def with_page(url, number):
+    """A link with another page number."""
+    return F.regexp_replace(url, F.lit(r"(?i)([?&](?:" + "|".join(PAGE_KEYS) + r")=)\d+"), F.concat(F.lit("$1"), number.cast("string")))
 
 
 def next_pages(pages: DataFrame) -> DataFrame:
-    """The pager's next link of each page: by rel, then words or class; none if disabled."""
-    found = links(pages)
-    low = F.lower(F.trim("text"))
-    score = F.when(F.col("rel") == "next", 3).when(low.isin(*NEXT_WORDS), 2).when(F.rlike("cls", F.lit(r"(^| )next( |$)")), 1).otherwise(0)
-    scored = found.withColumn("score", score).where("score > 0")
-    best = scored.groupBy("page_id").agg(F.max_by(F.struct("href", "disabled"), F.struct("score", (-F.col("pos")).alias("p"))).alias("b"))
-    return best.where(~F.col("b.disabled") & (F.col("b.href") != "")).select("page_id", F.col("b.href").alias("next_href"))
+    """The next page of each page: the pager's next link by rel, label, words and class, none
+    if the best one is disabled; else the link with the next page number, or the current
+    number stepped on, if the page links to numbered pages at all."""
+    found = links(pages).where((F.col("href") != "") & ~F.startswith("href", F.lit("#")) & ~F.startswith(F.lower("href"), F.lit("javascript:")))
+    full = F.regexp_replace(absolute(F.col("href"), F.col("url")), "#.*$", "")
+    points = lambda test, n: F.when(test, n).otherwise(0)
+    score = points(F.rlike("rel", F.lit(r"\bnext\b")), 5) + points(F.rlike("label", F.lit(NEXT_LABEL)), 4) + points(F.rlike("text", F.lit(NEXT_TEXT)), 4) + points(F.rlike("cls", F.lit("(next|page-next|btn-next)")), 3) + points(F.rlike(F.lower("parent"), F.lit("(next|page-next)")), 2)
+    own = F.regexp_replace(F.regexp_replace("url", "#.*$", ""), "/+$", "")
+    scored = found.withColumns({"full": full, "score": score, "n": F.coalesce(page_number(full), F.when(F.rlike("text", F.lit(r"^\d{1,4}$")), F.col("text").cast("int"))), "at": F.coalesce(page_number(F.col("url")), F.lit(1)), "same": F.regexp_replace(full, "/+$", "") == own})
+    one = lambda cond, *order: F.max_by(F.when(cond, F.struct("full", "disabled")), F.when(cond, F.struct(*order)))
+    best = scored.groupBy("page_id").agg(
+        one((F.col("score") > 0) & (~F.col("same") | F.col("disabled")), "score", (-F.col("pos")).alias("p")).alias("b"),
+        F.min_by(F.when(F.col("n") == F.col("at") + 1, F.col("full")), F.when(F.col("n") == F.col("at") + 1, F.col("pos"))).alias("numbered"),
+        F.min_by(F.when(F.col("n").isNotNull() & page_number(F.col("full")).isNotNull(), F.col("full")), F.when(F.col("n").isNotNull() & page_number(F.col("full")).isNotNull(), F.col("pos"))).alias("sample"),
+        F.max("at").alias("at"),
+    )
+    stepped = F.coalesce("numbered", F.when(F.col("sample").isNotNull(), with_page(F.col("sample"), F.col("at") + 1)))
+    return best.select("page_id", F.when(F.col("b").isNotNull(), F.when(~F.col("b.disabled"), F.col("b.full"))).otherwise(stepped).alias("next_url")).where("next_url is not null")
+
+
+def nav_links(pages: DataFrame) -> DataFrame:
+    """Links of a page's navigation to channels: page_id, channel, entry (the first whose
+    path agrees, else the first), and ``active`` for the highlighted channel."""
+    from millrace.functions import records as R
+
+    said = F.regexp_replace("text", r"(?U)\s+", "")
+    channel = F.coalesce(*[F.when(F.coalesce(*[F.when(F.startswith(said, F.lit(w)), True) for w in words], F.lit(False)), F.lit(ch)) for ch, words in NAV_TEXTS.items()])
+    found = links(pages).withColumn("channel", F.when(F.length(F.trim("text")).between(1, 20), channel)).where("channel is not null")
+    full = F.regexp_replace(absolute(F.col("href"), F.col("url")), "#.*$", "")
+    usable = (F.col("href") != "") & ~F.startswith("href", F.lit("#")) & F.rlike(full, F.lit("^https?://"))
+    agrees = F.coalesce(R.channel_of_url(full) == F.col("channel"), F.lit(False))
+    lit = F.rlike("cls", F.lit(ACTIVE)) | F.rlike("parent", F.lit(ACTIVE))
+    score = F.lit(1) + F.when(lit, 5).otherwise(0) + F.when(F.col("current").isin("page", "true"), 5).otherwise(0) + F.when(agrees, 1).otherwise(0)
+    scored = found.withColumns({"full": full, "usable": usable, "agrees": agrees, "score": score})
+    by = scored.groupBy("page_id", "channel").agg(F.min_by(F.when(F.col("usable"), F.col("full")), F.when(F.col("usable"), F.struct((~F.col("agrees")).alias("a"), "pos"))).alias("entry"), F.max("score").alias("score"))
+    top = by.groupBy("page_id").agg(F.max_by("channel", "score").alias("top"), F.max("score").alias("most"))
+    return by.join(top, "page_id").select("page_id", "channel", "entry", ((F.col("channel") == F.col("top")) & (F.col("most") >= 5)).alias("active"))
+
+
+def search_results(pages: DataFrame) -> DataFrame:
+    """Result blocks of a search page: page_id, url, pos, text, link."""
+    take = lambda p: [(r["text"], r["link"]) for r in p.results if r["text"]]
+    return pages.select("page_id", "url", "html").mapInPandas(_rows_of(take, ["text", "link"]), "page_id bigint, url string, pos bigint, text string, link string")
 
 
 def absolute(href, base):

@@ -16,28 +16,34 @@ def export_csv(jobs: DataFrame, path: str) -> None:
 
 
 def checksum(df: DataFrame) -> tuple[int, int]:
-    """Row count and an order-free checksum."""
-    row = df.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64(*sorted(df.columns))), F.lit(0))).first()
-    return row[0], row[1]
+    """Row count and an order-free checksum that repeated rows change."""
+    mark = F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)"))
+    row = df.agg(F.count(F.lit(1)), F.coalesce(mark, F.lit(0).cast("decimal(38,0)"))).first()
+    return row[0], int(row[1]) % (1 << 62)
 
 
 def snapshot(df: DataFrame, folder: str, version: str) -> None:
     """Write a version and its manifest row; readers go by manifests, so a half-written
-    version is never read."""
+    version is never read. A version that is written again replaces both."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{folder}/data/version={version}")
     n, mark = checksum(spark.read.parquet(f"{folder}/data/version={version}"))
-    spark.range(1).select(F.lit(version).alias("version"), F.lit(n).cast("long").alias("n_rows"), F.lit(mark).cast("long").alias("mark")).write.mode("append").parquet(f"{folder}/manifest")
+    spark.range(1).select(F.lit(n).cast("long").alias("n_rows"), F.lit(mark).cast("long").alias("mark")).write.mode("overwrite").parquet(f"{folder}/manifest/version={version}")
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """version, n_rows and mark of all versions."""
+    return spark.read.schema("n_rows bigint, mark bigint, version string").parquet(f"{folder}/manifest").select("version", "n_rows", "mark")
 
 
 def versions(spark: SparkSession, folder: str, keep: int = 14) -> DataFrame:
     """The newest ``keep`` versions of a snapshot folder."""
-    return spark.read.parquet(f"{folder}/manifest").orderBy(F.desc("version")).limit(keep)
+    return manifest(spark, folder).orderBy(F.desc("version")).limit(keep)
 
 
 def restore(spark: SparkSession, folder: str, version: str) -> DataFrame:
     """Rows of a version, verified against its manifest."""
-    found = spark.read.parquet(f"{folder}/manifest").where(F.col("version") == version).first()
+    found = manifest(spark, folder).where(F.col("version") == version).first()
     df = spark.read.parquet(f"{folder}/data/version={version}")
     if found is None or checksum(df) != (found["n_rows"], found["mark"]):
         raise ValueError(f"version {version} doesn't match its manifest")

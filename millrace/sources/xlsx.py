@@ -49,6 +49,11 @@ def _text(node: ElementTree.Element) -> str:
     return "".join(x.text or "" for x in node.iter() if _plain(x.tag) == "t")
 
 
+def _shared(strings: list[str], index: str) -> str:
+    """A shared string; an index that points to none is an empty cell."""
+    return strings[int(index)] if index.isdigit() and int(index) < len(strings) else ""
+
+
 def rows(book: zipfile.ZipFile, member: str) -> Iterator[list[str]]:
     """Dense rows of a sheet; shared, inline and plain values as text."""
     shared = []
@@ -62,35 +67,55 @@ def rows(book: zipfile.ZipFile, member: str) -> Iterator[list[str]]:
             for i, cell in enumerate(x for x in node if _plain(x.tag) == "c"):
                 at = column_index(cell.get("r")) if cell.get("r") else i
                 kind, value = cell.get("t"), next((x.text or "" for x in cell if _plain(x.tag) == "v"), "")
-                text = _text(cell) if kind == "inlineStr" else shared[int(value)] if kind == "s" and value else value
+                text = _text(cell) if kind == "inlineStr" else _shared(shared, value) if kind == "s" else value
                 cells += [""] * (at + 1 - len(cells))
                 cells[at] = text
             yield cells
             node.clear()
 
 
-ROW = "path string, sheet string, row_no bigint, cells array<string>"
+ROW = "path string, sheet string, row_no bigint, cells array<string>, error string"
 
 
 def _open_all(batches):
     import pyarrow as pa
 
+    shape = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("row_no", pa.int64()), ("cells", pa.list_(pa.string())), ("error", pa.string())])
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            with zipfile.ZipFile(io.BytesIO(content)) as book:
-                for name, member in sheets(book):
-                    found = list(rows(book, member))
-                    yield pa.RecordBatch.from_pydict({"path": [path] * len(found), "sheet": [name] * len(found), "row_no": list(range(len(found))), "cells": found}, schema=pa.schema([("path", pa.string()), ("sheet", pa.string()), ("row_no", pa.int64()), ("cells", pa.list_(pa.string()))]))
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as book:
+                    for name, member in sheets(book):
+                        found = list(rows(book, member))
+                        yield pa.RecordBatch.from_pydict({"path": [path] * len(found), "sheet": [name] * len(found), "row_no": list(range(len(found))), "cells": found, "error": [None] * len(found)}, schema=shape)
+            except (zipfile.BadZipFile, KeyError, ValueError, ElementTree.ParseError) as why:  # one bad file must not end the job
+                yield pa.RecordBatch.from_pydict({"path": [path], "sheet": [None], "row_no": [None], "cells": [None], "error": [f"{type(why).__name__}: {why}"]}, schema=shape)
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """All rows of all sheets of the workbooks at a path or glob, on any file system."""
+    """All rows of all sheets of the workbooks at a path or glob, on any file system. A file
+    that can't be read is one row with its error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
     return files.select("path", "content").mapInArrow(_open_all, ROW)
 
 
+def import_report(cells: DataFrame, made: DataFrame, known: DataFrame) -> DataFrame:
+    """By file: companies read, new ones among them (by normalised name), and its error."""
+    fresh = made.select("path", T.company_key(F.col("name")).alias("name_norm")).distinct().join(known.select("name_norm").distinct().withColumn("__old", F.lit(True)), "name_norm", "left")
+    counts = fresh.groupBy("path").agg(F.count(F.lit(1)).alias("n_read"), F.count_if(F.col("__old").isNull()).alias("n_new"))
+    files = cells.groupBy("path").agg(F.max("error").alias("error"))
+    return files.join(counts, "path", "left").select("path", F.coalesce("n_read", F.lit(0)).alias("n_read"), F.coalesce("n_new", F.lit(0)).alias("n_new"), "error")
+
+
 # fixed values: header words of seed sheets by field
-HEADERS = {"name": ("公司名称", "企业名称", "公司", "name"), "company_nature": ("企业性质", "公司性质", "性质", "company_nature"), "industry": ("行业", "industry"), "hint_apply_urls": ("投递链接", "网申链接", "链接", "hint_apply_urls")}
+HEADERS = {
+    "name": ("公司/单位名称", "招聘单位", "公司名称", "单位名称", "企业名称"),
+    "company_nature": ("企业性质",),
+    "industry": ("行业分类（来自企查查数据）", "行业分类", "行业"),
+    "hint_apply_urls": ("网申/投递地址", "投递地址", "网申地址"),
+    "source_url": ("公告原文链接", "招聘原文", "原文链接"),
+    "official_site": ("官方网站", "官网"),
+}
 
 
 def seed_companies(cells: DataFrame, limit_per_sheet: int | None = None) -> DataFrame:
@@ -98,18 +123,21 @@ def seed_companies(cells: DataFrame, limit_per_sheet: int | None = None) -> Data
 
     The header is the first of the first 15 rows with a name column; the sheets of notes
     and templates are left out, names under 2 characters and offer rows as well."""
-    kept = cells.where(~T.has_any(F.col("sheet"), V.SKIPPED_SHEET_WORDS))
+    kept = cells.where(F.col("cells").isNotNull() & ~T.has_any(F.col("sheet"), V.SKIPPED_SHEET_WORDS))
+    heading = F.transform("cells", lambda x: F.replace(F.replace(T.strip(x), F.lit("\n"), F.lit("")), F.lit(" "), F.lit("")))
+
     def found(field: str) -> Column:
-        exact = F.coalesce(*[F.nullif(F.array_position("cells", w), F.lit(0)) for w in HEADERS[field]])
-        return exact.alias(f"at_{field}")
+        """Place of a heading's first word, equal or contained, from 1."""
+        at = lambda w: F.get(F.filter(F.transform(heading, lambda x, i: F.when(F.contains(x, F.lit(w)), i + 1)), lambda i: i.isNotNull()), F.lit(0))
+        return F.coalesce(*[at(w.replace(" ", "")) for w in HEADERS[field]]).alias(f"at_{field}")
 
     heads = kept.where("row_no < 15").select("path", "sheet", "row_no", *[found(f) for f in HEADERS]).where("at_name is not null")
     first = Window.partitionBy("path", "sheet").orderBy("row_no")
     head = heads.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n").withColumnRenamed("row_no", "head_no")
     body = kept.join(F.broadcast(head), ["path", "sheet"]).where("row_no > head_no")
     value = lambda f: F.when(F.col(f"at_{f}").isNotNull(), T.non_blank(F.get("cells", (F.col(f"at_{f}") - 1).cast("int"))))
-    rows_ = body.select("path", "sheet", "row_no", value("name").alias("name"), T.clean_nature(value("company_nature")).alias("company_nature"), value("industry").alias("industry"), value("hint_apply_urls").alias("raw"))
-    named = rows_.where((F.length("name") >= 2) & ~F.startswith(F.lower("name"), F.lit("offer")))
+    rows_ = body.select("path", "sheet", "row_no", value("name").alias("name"), T.clean_nature(value("company_nature")).alias("company_nature"), value("industry").alias("industry"), F.concat_ws(" ", *[value(f) for f in ("hint_apply_urls", "source_url", "official_site")]).alias("raw"))
+    named = rows_.where((F.length("name") >= 2) & ~F.startswith(F.lower("name"), F.lit("offer")) & ~F.contains("name", F.lit("注意事项")))
     urls = F.filter(F.split(T.or_empty(F.col("raw")), r"[\s,;，；]+"), U.looks_like_url)
     made = named.withColumn("hint_apply_urls", U.preferred(urls)).withColumn("verify_status", F.when(F.exists("hint_apply_urls", U.is_trusted), "official").otherwise("unverified")).drop("raw")
     if limit_per_sheet is None:

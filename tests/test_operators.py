@@ -17,21 +17,52 @@ from millrace.streaming import changes
 PAGE = """<html><head><title>Jobs</title><script>var a='<a href="/no">no</a>'</script></head><body>
 <table><tr><th>职位名称</th><th>工作地点</th><th>招聘人数</th></tr><tr><td>算法工程师</td><td>杭州</td><td>若干</td></tr><tr><td></td><td>x</td></tr></table>
 <div class="job-card"><a href="j/1"><span class="job-name">A &amp; B</span></a><span class="loc">上海</span></div>
-<div class="job-card"><a href="/j/2"><span class="job-name">C</span></a></div>
+<div class="job-card"><a href="/j/2"><span class="job-name">C++开发</span></a></div>
 <a href="?p=2" class="next">下一页</a><p>unclosed"""
 
 
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "https://x.cn/a/list", PAGE), (2, "https://x.cn/b", None), (3, None, "")], "page_id bigint, url string, html string")
     assert [(r["title"], r["location"], r["headcount"]) for r in html.job_tables(pages).collect()] == [("算法工程师", "杭州", "若干")]
-    assert [(r["title"], r["location"], r["apply_url"]) for r in html.cards(pages).orderBy("pos").collect()] == [("A & B", "上海", "j/1"), ("C", None, "/j/2")]
-    assert [r["next_href"] for r in html.next_pages(pages).collect()] == ["?p=2"]
+    assert [(r["title"], r["location"], r["apply_url"]) for r in html.cards(pages).orderBy("pos").collect()] == [("A & B", "上海", "j/1"), ("C++开发", None, "/j/2")]
+    assert [r["next_url"] for r in html.next_pages(pages).collect()] == ["https://x.cn/a/list?p=2"]
     links = html.links(pages).select(html.absolute(F.col("href"), F.col("url")).alias("u")).collect()
     assert [r["u"] for r in links] == ["https://x.cn/a/j/1", "https://x.cn/j/2", "https://x.cn/a/list?p=2"]
     fields = {r["page_id"]: r["p"] for r in pages.select("page_id", html.page_fields("html").alias("p")).collect()}
     assert fields[1]["title"] == "Jobs" and "no" not in fields[1]["text"].split() and fields[2]["title"] is None
 
 
+def test_pagers_cards_and_navigation(spark):
+    numbered = '<div class="pager"><a href="?page=1">1</a><a href="?page=2">2</a><a href="?page=9">9</a></div>'
+    rows = [
+        (1, "https://x.cn/l?page=1", numbered),
+        (2, "https://x.cn/l?page=5", numbered),
+        (3, "https://x.cn/l", '<ul><li class="ant-pagination-disabled"><a href="?page=2" title="next page">2</a></li></ul>'),
+        (4, "https://x.cn/l", '<a href="/l">下一页</a><a rel="next" href="/l?p=2#x">more</a>'),
+        (5, "https://x.cn/l", "<p>none</p>"),
+        (6, "https://x.cn/", '<nav><a href="/other">校园招聘</a><a href="/campus/jobs">校园招聘</a><a class="active" href="/interns.html">实习生招聘</a><a href="#">社会招聘</a></nav>'),
+        (7, "https://x.cn/", '<div class="job-list"><div>工作地点：杭州 <a href="/1"><b class="job-name">甲工程师</b></a> 更新日期：2026-07-01</div><div><a href="/2"><b class="job-name">乙开发</b></a> 招聘人数：5人</div></div><div class="card"></div>'),
+        (8, "https://x.cn/", '<div class="vrwrap"><a href="https://a">晨光</a> 国有企业</div><div class="vrwrap"></div>'),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r["page_id"]: r["next_url"] for r in html.next_pages(pages.where("page_id < 6")).collect()} == {1: "https://x.cn/l?page=2", 2: "https://x.cn/l?page=6", 4: "https://x.cn/l?p=2"}
+    assert {r["channel"]: (r["entry"], r["active"]) for r in html.nav_links(pages.where("page_id = 6")).collect()} == {"campus": ("https://x.cn/campus/jobs", False), "intern": ("https://x.cn/interns.html", True), "social": (None, False)}
+    cards = html.cards(pages.where("page_id = 7")).orderBy("pos").collect()
+    assert [(r["title"], r["apply_url"], r["location"], r["updated"], r["headcount"]) for r in cards] == [("甲工程师", "/1", "杭州 甲工程师 更新日期：2026-07-01", "2026-07-01", None), ("乙开发", "/2", None, None, "5人")]
+    assert [(r["text"], r["link"]) for r in html.search_results(pages).collect()] == [("晨光 国有企业", "https://a")]
+
+
+def test_embedded_and_detail_bodies(spark):
+    init = '<input id="init-data" value="{&quot;jobs&quot;:[{&quot;id&quot;:&quot;1&quot;,&quot;title&quot;:&quot;A [x&quot;}]}">'
+    loose = '<script>x = {"jobs":[{"title":"no id"}]}; y = {"jobs" : [{"id":"2","title":"B ] \\" c"},{"id":"3"}]}</script>'
+    pages = spark.createDataFrame([(1, init), (2, loose), (3, None), (4, '"jobs":[')], "page_id bigint, html string")
+    assert [(r["page_id"], r["source_id"], r["title"]) for r in feeds.embedded_jobs(pages).orderBy("page_id").collect()] == [(1, "1", "A [x"), (2, "2", 'B ] " c')]
+    body = '{"state":"200","data":{"postId":"p","postName":"t","duty":"d","serviceCondition":"任职要求：r","recruitType":12,"workPlace":"X","publishDate":"2026-01-02 03:04"}}'
+    rows = feeds.read_detail(spark.createDataFrame([(2, body.replace('"t"', '"u"')), (1, body), (0, "junk"), (3, None)], "host_rank int, body string")).collect()
+    assert [(r["title"], r["channel"], r["work_location"], r["open_at"], r["jd_text"]) for r in rows] == [("t", "intern", "X", "2026-01-02", "岗位职责\nd\n\n任职要求：r")]
+    assert feeds.page_requests(120, 100) == [(0, 50), (50, 50), (100, 20)] and feeds.page_requests(0, 9) == []
+
+
 def test_feeds(spark):
     body = '﻿{"Code":200,"Count":10,"Data":[{"Id":"a","JobAdName":" t ","CategoryId":"2","LocNames":[],"Duty":"d","Require":null,"PostDate":"0001-01-01T00:00:00","HeadCount":0},{"Id":"a","JobAdName":"t"},{"Id":"b","JobAdName":"u","CategoryId":"1","LocNames":["X","X","Y"],"PostDate":"2026-07-02T1","HeadCount":3}]}'
     pages = spark.createDataFrame([(body,), ('{"Code":500}',), ("junk",), (None,)], "body string")
@@ -54,15 +85,19 @@ def test_envelope(spark):
 def test_workbook(spark, tmp_path):
     cell = lambda ref, text: f'<c r="{ref}" t="inlineStr"><is><t>{text}</t></is></c>'
     row = lambda n, *cells: f'<row r="{n}">{"".join(cells)}</row>'
-    sheet = "<worksheet><sheetData>" + row(1, cell("A1", "说明")) + row(2, cell("A2", "公司名称"), cell("C2", "投递链接")) + row(3, cell("A3", "晨光"), cell("C3", "https://a.mokahr.com/x")) + row(4, cell("C4", "x")) + "</sheetData></worksheet>"
+    sheet = "<worksheet><sheetData>" + row(1, cell("A1", "说明")) + row(2, cell("A2", "公司名称（全称）"), cell("C2", "网申/投递 地址")) + row(3, cell("A3", "晨光"), cell("C3", "https://a.mokahr.com/x")) + row(4, cell("C4", "x")) + "</sheetData></worksheet>"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("xl/workbook.xml", '<workbook xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="企业" r:id="r1"/><sheet name="模板" r:id="r1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
         z.writestr("xl/worksheets/sheet1.xml", sheet)
     (tmp_path / "a.xlsx").write_bytes(out.getvalue())
+    (tmp_path / "b.xlsx").write_bytes(b"no archive")
     cells = xlsx.read_workbooks(spark, str(tmp_path))
-    assert cells.count() == 8
+    assert cells.where("error is null").count() == 8
+    report = {r["path"][-6:]: (r["n_read"], r["n_new"], r["error"] is None) for r in xlsx.import_report(cells, xlsx.seed_companies(cells), spark.createDataFrame([("x",)], "name_norm string")).collect()}
+    assert report == {"a.xlsx": (1, 1, True), "b.xlsx": (0, 0, False)}
+    assert xlsx._shared(["a"], "0") == "a" and xlsx._shared(["a"], "7") == "" == xlsx._shared(["a"], "")
     rows = xlsx.seed_companies(cells).collect()
     assert [(r["name"], list(r["hint_apply_urls"]), r["verify_status"]) for r in rows] == [("晨光", ["https://a.mokahr.com/x"], "official")]
 
@@ -74,7 +109,10 @@ def test_sinks(spark, tmp_path):
     assert text.startswith("﻿公司,岗位") and '"q""x","t,u"' in text
     sinks.snapshot(jobs, str(tmp_path / "s"), "v1")
     assert sinks.restore(spark, str(tmp_path / "s"), "v1").count() == 2
-    assert [r["version"] for r in sinks.versions(spark, str(tmp_path / "s")).collect()] == ["v1"]
+    sinks.snapshot(jobs.union(jobs), str(tmp_path / "s"), "v1")  # written again
+    sinks.snapshot(jobs, str(tmp_path / "s"), "v2")
+    assert sinks.restore(spark, str(tmp_path / "s"), "v1").count() == 4
+    assert [r["version"] for r in sinks.versions(spark, str(tmp_path / "s")).collect()] == ["v2", "v1"]
 
 
 def test_change_stream(spark, tmp_path):
