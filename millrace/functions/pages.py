@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import classify as C
@@ -99,11 +99,14 @@ def parsed_confidence(title: Column, text: Column, bucket: Column, place: Column
     return F.round(F.least(F.lit(0.85), F.lit(0.3) + part(some(title), 0.2) + part(F.length(text) > 80, 0.2) + part(some(bucket), 0.1) + part(some(place), 0.05)), 6)
 
 
-def general_record(pages_title: str = "title", longest: str = "longest", html: str = "html") -> list[Column]:
-    """Columns of a detail page by the general rules: embedded JSON, then the longest block."""
-    raw, text = F.col(pages_title), F.coalesce(R.dug_text(F.col(html)), T.non_blank(F.col(longest)))
-    title = F.coalesce(L.sanitized_title(raw), L.title_in_text(text))
-    body = F.coalesce(T.strip_navigation(text), text)
-    project = C.project_of(title, text)
-    bucket, place = C.map_bucket(project, title), L.place_in_text(text)
-    return [title.alias("title"), body.alias("jd_text"), project.alias("recruit_project"), bucket.alias("recruit_bucket"), place.alias("work_location"), F.when(title.isNotNull(), "ok").otherwise("needs_browser").alias("parse_status"), parsed_confidence(title, body, bucket, place).alias("confidence")]
+def general_records(pages: DataFrame) -> DataFrame:
+    """``pages`` (title, longest, html, ...) with the columns of a detail page by the general
+    rules: embedded JSON, then the longest block. Facts are columns in stages."""
+    kept = [n for n in pages.columns if n not in ("title", "longest", "html")]
+    at = F.col
+    one = pages.withColumn("__text", F.coalesce(R.dug_text(at("html")), T.non_blank(at("longest")))).withColumn("__own", L.sanitized_title(at("title")))
+    two = one.withColumns({"title": F.coalesce("__own", L.title_in_text(at("__text"))), "jd_text": F.coalesce(T.strip_navigation(at("__text")), "__text"), "work_location": L.place_in_text(at("__text"))})
+    three = two.withColumn("recruit_project", C.project_of(at("title"), at("__text")))
+    four = three.withColumn("recruit_bucket", C.map_bucket(at("recruit_project"), at("title")))
+    found = ["title", "jd_text", "recruit_project", "recruit_bucket", "work_location"]
+    return four.select(*kept, *found, F.when(at("title").isNotNull(), "ok").otherwise("needs_browser").alias("parse_status"), parsed_confidence(at("title"), at("jd_text"), at("recruit_bucket"), at("work_location")).alias("confidence"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import classify as C
@@ -336,23 +336,26 @@ def boosted(confidence: Column, stale: Column, prefers: Column, shell: Column) -
     return F.round(F.when(stale, F.greatest(F.lit(0.2), base - 0.15)).when(prefers, F.least(F.lit(1.0), base + 0.05)).otherwise(base), 6)
 
 
-def record_of(title: Column, text: Column, labels: Column, as_of: date) -> list[Column]:
-    """Normalised columns of a parsed page: labelled values with their fallbacks."""
-    at = lambda k: F.try_element_at(labels, F.lit(k))
-    kind = L.recruit_of(at("recruit_type"), at("work_type"), title)
-    named = F.coalesce(L.sanitized_title(title), L.sanitized_title(at("title")), L.title_in_text(text))
-    project = F.coalesce(kind["project"], C.project_of(title, F.left(text, F.lit(2000))))
-    return [
-        T.or_empty(named).alias("title"),
-        T.or_empty(project).alias("recruit_project"),
-        T.or_empty(F.coalesce(kind["bucket"], F.when(kind["project"].isNull(), C.map_bucket(project, title)))).alias("recruit_bucket"),
+def records_of(rows: DataFrame, as_of: date) -> DataFrame:
+    """``rows`` (id, title, jd_text) as normalised records: labelled values with their
+    fallbacks. Facts are columns in stages, so each is computed once."""
+    title, text = c("title"), c("jd_text")
+    at = lambda k: F.try_element_at("__l", F.lit(k))
+    one = rows.withColumn("__l", L.labelled_fields(text)).withColumn("__own", L.sanitized_title(title))
+    two = one.withColumns({"__k": L.recruit_of(at("recruit_type"), at("work_type"), title), "__named": F.coalesce("__own", L.sanitized_title(at("title")))})
+    three = two.withColumn("__project", F.coalesce(c("__k.project"), C.project_of(title, F.left(text, F.lit(2000)))))
+    return three.select(
+        "id",
+        T.or_empty(F.coalesce("__named", L.title_in_text(text))).alias("title"),
+        T.or_empty(c("__project")).alias("recruit_project"),
+        T.or_empty(F.coalesce(c("__k.bucket"), F.when(c("__k.project").isNull(), C.map_bucket(c("__project"), title)))).alias("recruit_bucket"),
         T.or_empty(F.coalesce(F.when(~T.is_noise_place(at("work_location")), at("work_location")), L.place_in_text(text))).alias("work_location"),
         T.or_empty(at("open_at")).alias("open_at"),
         T.or_empty(at("deadline")).alias("deadline"),
         T.or_empty(F.coalesce(at("raw_category"), at("work_type"))).alias("raw_category"),
-        T.or_empty(L.education_of(text, title, labels)).alias("education"),
+        T.or_empty(L.education_of(text, title, c("__l"))).alias("education"),
         T.or_empty(L.normal_salary(at("salary_range"))).alias("salary_range"),
         T.or_empty(L.normal_headcount(at("headcount"))).alias("headcount"),
         T.or_empty(at("company")).alias("company"),
         D.resolve_batch(title, text, F.lit(None).cast("string"), as_of).alias("graduation_batch"),
-    ]
+    )

@@ -78,6 +78,12 @@ def known_keys(jobs: DataFrame, reviews: DataFrame) -> DataFrame:
     return jobs.select("identity", "title_key").union(reviews.select("identity", "title_key")).distinct()
 
 
+def by_payload(reviews: DataFrame, kinds: tuple[str, ...], field: str, test) -> DataFrame:
+    """Entries of some kinds by a field of their JSON payload, with that field."""
+    read = reviews.where(F.col("kind").isin(*kinds)).withColumn(field, F.get_json_object("payload", f"$.{field}"))
+    return read.where(test(F.col(field)))
+
+
 def unknown(candidates: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Candidates whose key is not known yet."""
     return candidates.join(known.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")

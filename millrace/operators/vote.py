@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,6 +19,16 @@ def histogram(rows: DataFrame, lists: str) -> DataFrame:
     return rows.select(F.explode(lists).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def counts_by(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of each value of a column."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_stats(rows: DataFrame, key: str, kinds: dict[str, Column], newest: str) -> DataFrame:
+    """Counters of one collection run by key: all rows, rows of each kind, the newest."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("parsed"), *[F.count_if(test).alias(name) for name, test in kinds.items()], F.max(newest).alias("newest"))
+
+
 def import_counts(rows: DataFrame) -> DataFrame:
     """Counts by file and sheet, with totals of a file and of all."""
     return rows.rollup("path", "sheet").agg(F.count(F.lit(1)).alias("n_rows"))

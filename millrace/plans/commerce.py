@@ -28,12 +28,12 @@ _O = """WITH j AS (SELECT o_orderkey AS id, c_name AS company, o_orderpriority A
 
 @query(
     _O + """ SELECT j.id, company, coalesce(s.apply_status, '未投递') AS my_apply_status, coalesce(s.note, '') AS my_note FROM j
-    LEFT JOIN (SELECT l_orderkey AS id, max(CASE l_returnflag WHEN 'R' THEN '已投递' ELSE '面试' END) AS apply_status, max(l_linestatus) AS note FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey) s ON j.id = s.id
+    LEFT JOIN (SELECT l_orderkey AS id, max(CASE l_returnflag WHEN 'R' THEN '已投递' ELSE '面试' END) AS apply_status, max(l_linestatus) AS note FROM lineitem GROUP BY l_orderkey) s ON j.id = s.id
     WHERE status = 'active' AND (contains(lower(title), 'urgent') OR contains(lower(company), 'urgent'))"""
 )
 def posting_filter_keyword(spark, sf_dir):
     """Keyword filter and personal status with defaults."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    lines = table(spark, sf_dir, "lineitem")
     states = lines.groupBy(F.col("l_orderkey").alias("job_id")).agg(F.max(F.when(F.col("l_returnflag") == "R", "已投递").otherwise("面试")).alias("apply_status"), F.max("l_linestatus").alias("note"))
     found = Q.list_postings(_orders(spark, sf_dir), keyword="URGENT", states=states, limit=None)
     return found.select("id", "company", "my_apply_status", "my_note")
@@ -49,7 +49,7 @@ def posting_semi_picks(spark, sf_dir):
 @query(_O + " SELECT status, count(*) AS n FROM j GROUP BY status")
 def posting_status_counts(spark, sf_dir):
     """Postings by status."""
-    return _orders(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return vote.counts_by(_orders(spark, sf_dir), "status")
 
 
 _QUEUE = "SELECT o_custkey % 20 AS run_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'running' WHEN '2-HIGH' THEN 'done' WHEN '3-MEDIUM' THEN 'error' WHEN '5-LOW' THEN 'skipped' ELSE 'pending' END AS status, cast(o_orderkey % 5 AS BIGINT) AS new_count, o_orderkey AS id FROM orders"
@@ -89,8 +89,9 @@ def collect_batch_cap(spark, sf_dir):
 @query("SELECT l_orderkey AS key, count(*) AS parsed, count(*) FILTER (l_returnflag = 'N') AS published, count(*) FILTER (l_returnflag = 'R') AS errors, max(l_shipdate) AS newest FROM lineitem GROUP BY l_orderkey")
 def collect_stats_rollup(spark, sf_dir):
     """Counts of one collection run."""
-    n = lambda flag: F.count_if(F.col("l_returnflag") == flag)
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.count(F.lit(1)).alias("parsed"), n("N").alias("published"), n("R").alias("errors"), F.max("l_shipdate").alias("newest"))
+    flag = F.col("l_returnflag")
+    lines = table(spark, sf_dir, "lineitem").withColumn("key", F.col("l_orderkey"))
+    return vote.run_stats(lines, "key", {"published": flag == "N", "errors": flag == "R"}, newest="l_shipdate")
 
 
 @query("SELECT p.doc_id FROM documents p WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.item_id = p.doc_id)")
@@ -117,8 +118,8 @@ def paginate_stop_prefix(spark, sf_dir):
 @query("SELECT event_id, cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type IN ('error', 'click') AND cast(json_extract_string(props, '$.k') AS BIGINT) > 50")
 def review_json_filter(spark, sf_dir):
     """Rows by a field of their JSON payload."""
-    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return rows.where(F.col("event_type").isin("error", "click") & (F.col("k") > 50)).select("event_id", "k")
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), F.col("props").alias("payload"))
+    return Q.by_payload(rows, ("error", "click"), "k", lambda k: k.cast("long") > 50).select("event_id", F.col("k").cast("long").alias("k"))
 
 
 @query("SELECT event_id, ts FROM events WHERE (ts, event_id) > (TIMESTAMP '2024-01-05 00:00:00', 10) ORDER BY ts, event_id LIMIT 1000")
@@ -177,16 +178,18 @@ def login_lockout(spark, sf_dir):
     return changes.windowed_counts(table(spark, sf_dir, "events"))
 
 
-@query("SELECT s_suppkey AS id, n_name AS nation, row_number() OVER (ORDER BY CASE WHEN r_name = 'ASIA' THEN 0 ELSE 1 END, s_acctbal DESC, s_suppkey) AS pos FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey QUALIFY pos <= 100")
+@query("""SELECT s_suppkey AS id, n_name AS nation, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 1 END, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 1 END, CASE WHEN r_name = 'ASIA' THEN 0 ELSE 1 END, s_acctbal DESC, s_suppkey) AS pos
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 7 <> 0 AND (s_suppkey % 5 = 0 OR s_suppkey % 3 = 0 OR s_suppkey % 2 = 0)""")
 def company_priority_order(spark, sf_dir):
-    """Companies by priority, the first hundred (a top-k by its nature)."""
+    """Companies with URLs by trusted host, career page, official and newest."""
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     joined = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-    order = [F.when(F.col("r_name") == "ASIA", 0).otherwise(1), F.desc("s_acctbal"), F.asc("s_suppkey")]
-    top = joined.orderBy(*order).limit(100)
-    from pyspark.sql.window import Window
-
-    return top.select(F.col("s_suppkey").alias("id"), F.col("n_name").alias("nation"), F.row_number().over(Window.orderBy(*order)).alias("pos"))
+    k, empty = F.col("s_suppkey"), F.expr("cast(array() as array<string>)")
+    url = lambda test, u: F.when(test, F.array(F.lit(u))).otherwise(empty)
+    status = F.when(k % 7 == 0, "rejected").when(F.col("r_name") == "ASIA", "official").otherwise("unverified")
+    hints = F.concat(url(k % 5 == 0, "https://app.mokahr.com/x"), url(k % 2 == 0, "https://a.com"))
+    companies = joined.select(k.alias("id"), F.col("n_name").alias("nation"), url(k % 3 == 0, "https://a.com/campus").alias("career_urls"), hints.alias("hint_apply_urls"), status.alias("verify_status"), F.col("s_acctbal").alias("updated_at"))
+    return dedupe.numbered(Q.company_order(companies), "pos").select("id", "nation", "pos")
 
 
 @query("SELECT coalesce(h.id, a.id) AS source_id, coalesce(a.name, h.name) AS name FROM (SELECT o_orderkey AS id, o_orderpriority AS name FROM orders WHERE o_orderkey % 2 = 0) h FULL JOIN (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderstatus END AS name FROM orders WHERE o_orderkey % 3 = 0) a ON h.id = a.id")

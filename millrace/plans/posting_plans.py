@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import classify as C
 from millrace.functions import dates as D
-from millrace.functions import sections as S
+from millrace.functions import labels as L
 from millrace.functions import text as T
 from millrace.functions import urls as U
 from millrace.functions import vocab as V
@@ -137,16 +137,16 @@ def noise_titles(spark, sf_dir):
 
 
 @query(
-    f"""SELECT doc_id, regexp_replace(regexp_replace(translate(regexp_replace(lower(trim(line)), '\\s+', '', 'g'), '{V.TITLE_PUNCTUATION.replace("'", "''")}', ''), '20\\d{{2}}届?', '', 'g'), '(^|[^0-9])[0-9]{{2}}届', '\\1', 'g') AS norm
-    FROM (SELECT doc_id, string_split(text, chr(10))[1] || ' (2027届) ' || doc_id AS line FROM documents)"""
+    f"""SELECT doc_id, line_no, regexp_replace(regexp_replace(translate(regexp_replace(lower(trim(line)), '\\s+', '', 'g'), '{V.TITLE_PUNCTUATION.replace("'", "''")}', ''), '20\\d{{2}}届?', '', 'g'), '(^|[^0-9])[0-9]{{2}}届', '\\1', 'g') AS norm
+    FROM (SELECT doc_id, cast(unnest(range(len(x))) AS BIGINT) AS line_no, unnest(x) || ' (2027届) ' || doc_id AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))"""
 )
 def title_normalise(spark, sf_dir):
-    """T01 on the first line of every document."""
+    """T01 on every line of every document."""
     from millrace.session import table
 
-    docs = table(spark, sf_dir, "documents")
-    line = F.concat(F.get(F.split("text", "\n"), 0), F.lit(" (2027届) "), F.col("doc_id").cast("string"))
-    return docs.select("doc_id", T.title_key(line).alias("norm"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    line = F.concat("line", F.lit(" (2027届) "), F.col("doc_id").cast("string"))
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.title_key(line).alias("norm"))
 
 
 @query(f"{P} SELECT id, {loose_sql('open_at')} AS open_date, greatest({loose_sql('open_at')}, {loose_sql('updated_at')}, {loose_sql('created_at')}) AS age_date FROM p")
@@ -336,9 +336,10 @@ def list_postings_keyword(spark, sf_dir):
 
 @query()
 def section_split(spark, sf_dir):
-    """Lengths of duties and requirements, and labelled fields."""
-    p = postings(spark, sf_dir).select("id", S.sections("jd_text").alias("s"), S.labels("jd_text").alias("l"))
-    return p.select("id", F.length("s.duties").alias("duties_len"), F.length("s.requirements").alias("reqs_len"), F.col("l")["recruit_type"].alias("recruit_type"))
+    """T13, T14 over all documents: lengths of duties and requirements, and a labelled type
+    (``section_texts`` and ``labelled_facts`` have twins on hand-written texts)."""
+    p = postings(spark, sf_dir).withColumn("l", L.labelled_fields(F.col("jd_text"))).withColumn("s", L.split_sections(F.col("jd_text"), F.col("l")))
+    return p.select("id", F.length("s.duties").alias("duties_len"), F.length("s.requirements").alias("reqs_len"), F.try_element_at("l", F.lit("recruit_type")).alias("recruit_type"))
 
 
 @query("SELECT doc_id, " + any_of("text", V.AGGREGATOR_WORDS) + " OR contains(text, 'idiot') AS flagged FROM documents")

@@ -588,5 +588,4 @@ def approved_postings(spark, sf_dir):
 @query(f"SELECT id, title, recruit_project, recruit_bucket, work_location, open_at, education, graduation_batch FROM (SELECT doc_id AS id, {_case(['算法工程师', '前端开发', '测试工程师', '数据分析师', '产品经理', '研发工程师（硕士及以上）', '管培生'])} AS title, {_case(['社会招聘', '校园招聘', '秋招', '', '日常实习', '', ''])} AS recruit_project, {_case(['', '校招', '校招', '', '日常实习', '', '校招'])} AS recruit_bucket, {_case(['北京', '上海 · 浦东', '', '', '', '', ''])} AS work_location, {_case(['2026-07-01', '2026-06-30', '', '', '', '', ''])} AS open_at, {_case(['本科及以上', '硕士', '本科', '', '', '硕士及以上', ''])} AS education, '2027届' AS graduation_batch FROM documents)")
 def parsed_records(spark, sf_dir):
     """A parsed page as a normalised record."""
-    rows = _ROWS(spark, sf_dir).withColumn("l", L.labelled_fields(c("jd_text")))
-    return rows.select("id", *R.record_of(c("title"), c("jd_text"), c("l"), AS_OF)).select("id", "title", "recruit_project", "recruit_bucket", "work_location", "open_at", "education", "graduation_batch")
+    return R.records_of(_ROWS(spark, sf_dir), AS_OF).select("id", "title", "recruit_project", "recruit_bucket", "work_location", "open_at", "education", "graduation_batch")

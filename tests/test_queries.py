@@ -3,7 +3,6 @@
 import pytest
 
 import __spark_entry__
-from millrace.functions.sections import labelled, split_text
 from millrace.plans.catalog import ORACLES, QUERIES
 from tests.compare import assert_same
 
@@ -31,12 +30,23 @@ def test_clean_up_keeps_one_of_each_title(spark, sf_dir):
     assert {r["fate"] for r in rows} <= {"keep", "duplicate_title", "duplicate_url", "shell", "rename"}
 
 
-def test_sections():
-    text = "概况\n岗位职责：写代码\n改代码\n任职要求：会写\n工作地点：杭州"
-    assert split_text(text) == ("概况\n写代码\n改代码", "会写")
-    assert split_text(None) == (None, None)
-    assert labelled("工作地点：杭州 学历：本科\n薪资: 20k")["education"] == "本科"
-    assert labelled("no labels at all") == {} == labelled(None)
+def test_login_states_by_a_plain_loop(spark, sf_dir):
+    import datetime
+
+    span, state, want = datetime.timedelta(minutes=600), {}, {}
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type in ('error', 'view')").collect()
+    for e in sorted(events, key=lambda e: (e["ts"], e["event_id"])):
+        failed, opened, locked = state.get(e["user_id"], (0, None, None))
+        if locked and locked > e["ts"]:
+            want[e["event_id"]] = "locked"
+            continue
+        if e["event_type"] == "view":
+            state[e["user_id"]], want[e["event_id"]] = (0, None, None), "session"
+            continue
+        failed, opened = (1, e["ts"]) if opened is None or opened < e["ts"] - span else (failed + 1, opened)
+        state[e["user_id"]], want[e["event_id"]] = (failed, opened, e["ts"] + span if failed >= 2 else None), "failed"
+    got = {r["id"]: r["result"] for r in QUERIES["login_states"](spark, sf_dir).collect()}
+    assert got == want and set(want.values()) == {"locked", "session", "failed"}
 
 
 def test_section_query(spark, sf_dir):
