@@ -105,8 +105,9 @@ def resolve_batch(title: Column, text: Column, existing: Column, as_of: date) ->
 
 
 def ticks_date(c: Column) -> Column:
-    """Date of .NET ticks (100 ns since year 1)."""
-    return F.date_add(F.lit("0001-01-01").cast("date"), F.floor(c / 864000000000).cast("int"))
+    """Date of .NET ticks (100 ns since year 1); null outside 2000 to 2100."""
+    day = F.date_add(F.lit("0001-01-01").cast("date"), F.floor(c / 864000000000).cast("int"))
+    return F.when(c.between(600_000_000_000_000_000, 670_000_000_000_000_000) & F.year(day).between(2000, 2100), day)
 
 
 def first_iso_date(c: Column) -> Column:

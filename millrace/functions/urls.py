@@ -71,9 +71,14 @@ def identity_url(url: Column) -> Column:
     return _joined(url, F.filter(_fields(url), lambda f: one_of(_name(f), V.IDENTITY_KEYS)), tail)
 
 
-def synthetic_url(list_url: Column, title: Column) -> Column:
-    """Stable stand-in for a posting without a page of its own."""
-    return F.concat(dedupe_url(list_url), F.lit("?__job="), F.url_encode(or_empty(title)))
+def synthetic_url(list_url: Column, title: Column, *parts: Column, most: int = 240) -> Column:
+    """Stable stand-in for a posting without a page of its own: its list's link with the
+    title and further parts, ``most`` characters of them, as one more field."""
+    named = F.array_join(F.filter(F.array(*[strip(or_empty(p)) for p in (title, *parts)]), lambda p: p != ""), " | ")
+    own = F.concat(F.lit("__job="), F.url_encode(F.left(named, F.lit(most))))
+    kept = F.filter(_fields(list_url), lambda f: F.substring_index(f, "=", 1) != "__job")
+    base = F.regexp_replace(strip(or_empty(list_url)), r"[?#].*$", "")
+    return F.concat(base, F.lit("?"), F.array_join(F.array_append(kept, own), "&"))
 
 
 def is_trusted(url: Column) -> Column:

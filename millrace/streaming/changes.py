@@ -47,6 +47,39 @@ def windowed_counts(events: DataFrame, time: str = "ts", late: str = "10 minutes
     return failed.groupBy(F.window(time, width), "user_id").agg(F.count(F.lit(1)).alias("failures")).select("user_id", F.col("window.start").alias("window_start"), "failures", (F.col("failures") >= V.LOGIN_FAILURES).alias("locked"))
 
 
+LOCK_STATE = "failed int, opened timestamp, locked timestamp"
+
+
+def _lock_steps(key, frames, state):
+    """One account's attempts of a micro-batch, in time order, over its kept state."""
+    import pandas as pd
+
+    failed, opened, locked = state.get if state.exists else (0, None, None)
+    span = pd.Timedelta(minutes=V.LOGIN_WINDOW_MINUTES)
+    rows = pd.concat(list(frames)).sort_values(["ts", "id"])
+    told = []
+    for at, ok in zip(rows["ts"], rows["ok"], strict=True):
+        if locked is not None and pd.Timestamp(locked) > at:
+            told.append("locked")
+        elif ok:
+            failed, opened, locked = 0, None, None
+            told.append("session")
+        else:
+            fresh = opened is None or pd.Timestamp(opened) < at - span
+            failed, opened = (1, at) if fresh else (failed + 1, opened)
+            locked = at + span if failed >= V.LOGIN_FAILURES else None
+            told.append("failed")
+    state.update((failed, opened, locked))
+    yield pd.DataFrame({"account": key[0], "id": rows["id"], "result": told})
+
+
+def follow_logins(attempts: DataFrame) -> DataFrame:
+    """Streaming form of the login states: attempts (account, ts, id, ok) with ``result``
+    locked, failed or session; the state of an account outlives the micro-batch."""
+    keyed = attempts.select("account", F.col("ts").cast("timestamp").alias("ts"), "id", "ok").groupBy("account")
+    return keyed.applyInPandasWithState(_lock_steps, "account bigint, id bigint, result string", LOCK_STATE, "append", "NoTimeout")
+
+
 def run_queue(queue: DataFrame, *, max_attempts: int = 3) -> DataFrame:
     """Resume a run: what was running is pending again, until its attempts are used up."""
     spent = F.col("attempts") >= max_attempts

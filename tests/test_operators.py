@@ -138,6 +138,74 @@ def test_streaming_windows_equal_batch(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, spark.table("locks").collect())) == sorted(map(tuple, changes.windowed_counts(events).collect()))
 
 
+def test_login_stream_equals_batch(spark, tmp_path):
+    from millrace.operators import collect
+
+    minute = lambda m: datetime.datetime(2026, 8, 1) + datetime.timedelta(minutes=m)
+    rows = [(7, minute(2 * i), i, i in (2, 30)) for i in range(32)] + [(8, minute(20 * i), 100 + i, False) for i in range(8)]
+    attempts = spark.createDataFrame(rows, "account bigint, ts timestamp, id bigint, ok boolean")
+    for n, part in enumerate((attempts.where("ts < '2026-08-01 00:30:00'"), attempts.where("ts >= '2026-08-01 00:30:00'"))):
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / f"p{n}"))
+        stream = spark.readStream.schema(attempts.schema).parquet(str(tmp_path / "in" / "*"))
+        out = changes.follow_logins(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        out.awaitTermination()
+    got = {(r["id"], r["result"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {(r["id"], r["result"]) for r in collect.login_locks(attempts).collect()}
+    assert got == want and {r for _, r in want} == {"failed", "locked", "session"}
+
+
+def test_collected_rows_in_chunks(spark, tmp_path):
+    from millrace.operators import collect
+
+    out = str(tmp_path)
+
+    def send(chunk):  # an upsert by id: repeating it changes nothing
+        import os
+
+        assert len(chunk) <= 3
+        for row in chunk:
+            with open(os.path.join(out, str(row["id"])), "w") as f:
+                f.write(row["title"])
+
+    collect.push_chunks(spark.range(20).selectExpr("id", "concat('t', id) as title"), send, 3)
+    assert sorted(int(p.name) for p in tmp_path.iterdir()) == list(range(20))
+
+
+def test_unused_corners(spark, sf_dir):
+    """Functions that no query calls: company merge, expiry, lookups, feeds and URLs."""
+    from millrace.functions import classify as C
+
+    as_of = datetime.date(2026, 8, 1)
+    kind = "name_norm string, name string, company_nature string, industry string, hint_apply_urls array<string>, career_urls array<string>, verify_status string"
+    old = spark.createDataFrame([("a", "A", "国企", None, ["u"], None, "official"), ("b", "B", "", "x", [], [], "unverified")], kind)
+    new = spark.createDataFrame([("a", "", "民企", "y", ["v", "u"], ["c"], "unverified"), ("c", "C", None, None, None, None, "unverified")], kind)
+    merged = {r["name_norm"]: tuple(r)[1:] for r in mutate.merge_company(old, new).collect()}
+    assert merged == {"a": ("A", "民企", "y", ["u", "v"], ["c"], "official"), "b": ("B", "", "x", [], [], "unverified"), "c": ("C", None, None, [], [], "unverified")}
+    jobs = spark.createDataFrame([(1, "2025-01-01", None, None, "active"), (2, None, "2026-07-01", None, "active"), (3, None, None, None, "active")], "id int, open_at string, updated_at string, created_at string, status string")
+    assert {r["id"]: r["status"] for r in mutate.expire(jobs, as_of).collect()} == {1: "deleted", 2: "active", 3: "active"}
+    assert [r["id"] for r in Q.by_ids(jobs, spark.createDataFrame([(3, 0), (1, 1)], "id int, pos int")).collect()] == [3, 1]
+    keys = spark.createDataFrame([("u", "t"), ("u", "t")], "identity string, title_key string")
+    assert Q.known_keys(keys, keys).count() == 1
+    one = lambda x: spark.range(1).select(x.alias("x")).first()["x"]
+    assert one(feeds.feed_url(F.lit("http://f/{name}.rss"), F.lit("a b"))) == "http://f/a+b.rss" and one(feeds.feed_url(F.lit("http://f/"), F.lit("a"))) == "http://f/a.xml"
+    assert one(D.ticks_date(F.lit(638000000000000000))) == datetime.date(2022, 9, 28) and one(D.ticks_date(F.lit(5))) is None
+    stand_in = one(U.synthetic_url(F.lit("https://a.com/l?x=1&__job=old#t"), F.lit("岗 a"), F.lit(None).cast("string"), F.lit("杭州" * 200)))
+    assert stand_in.startswith("https://a.com/l?x=1&__job=%E5%B2%97+a+%7C+%E6%9D%AD") and stand_in.count("%E6%9D%AD") == 117
+    assert one(U.parse_urls(F.lit('["https://a", "x", " https://b "]'))) == ["https://a", "https://b"] and one(U.parse_urls(F.lit("https://c"))) == ["https://c"] and one(U.parse_urls(F.lit("x"))) == []
+    assert one(U.preferred(F.array(F.lit("https://a.com/login"), F.lit("https://a.mokahr.com/x"), F.lit("https://a.mokahr.com/x"), F.lit("")))) == ["https://a.mokahr.com/x", "https://a.com/login"]
+    assert one(U.is_listing_url(F.lit("https://a.com/campus/"))) and not one(U.is_listing_url(F.lit("https://a.com/campus/?jobId=3")))
+    assert one(T.is_noise_place(F.lit("团队"))) and one(C.project_of(F.lit("x"), F.lit("春招 秋招"))) == "秋招"
+    assert one(C.is_stale_batch(F.lit("2025届"), F.lit("校招"), F.lit("x"), as_of)) and not one(C.is_stale_batch(F.lit("2025届"), F.lit("日常实习"), F.lit("x"), as_of))
+    blob = '<script>window.__INITIAL_STATE__ = {"a":{"b":1}};</script><script id="__NEXT_DATA__" type="x">{"c":2}</script>'
+    assert one(feeds.embedded_json(F.lit(blob))) == ['{"a":{"b":1}}', '{"c":2}']
+    form = '{"state":"0","data":{"pageForm":{"pageData":[{"postId":"1","postName":" t ","recruitType":2,"endDate":"2030-01-01","publishDate":"2026-01-01x"},{"postId":"1"}]}}}'
+    assert [(r["source_id"], r["channel"], r["deadline"], r["open_at"]) for r in feeds.read_page_form(spark.createDataFrame([(form,), ("x",)], "body string")).collect()] == [("1", "social", None, "2026-01-01")]
+    listed = '{"data":{"job_post_list":[{"id":"1","title":"t","description":"d","city_list":[{"name":"X"},{"name":"X"}]}]}}'
+    assert [(r["work_location"], r["jd_text"]) for r in feeds.read_job_list(spark.createDataFrame([(listed,)], "body string")).collect()] == [("X", "职位描述\nd")]
+    paged = '{"jobs":[{"id":"1","title":"t","hireMode":2,"publishedAt":"2026-01-01T0","locations":[{"cityName":"X"}]},{"id":"1"}]}'
+    assert [(r["channel"], r["recruit_bucket"], r["open_at"]) for r in feeds.read_jobs_pages(spark.createDataFrame([(paged,)], "body string")).collect()] == [("campus", "校招", "2026-01-01")]
+
+
 def test_mutations(spark):
     old = spark.createDataFrame([(1, "a", "active"), (2, "b", "active")], "id int, name string, status string")
     new = spark.createDataFrame([(1, " a ", "pending_review"), (3, "c", "active")], "id int, name string, status string")
