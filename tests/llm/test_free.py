@@ -201,7 +201,7 @@ def test_classifiers_on_odd_rows(spark, odd_docs, no_docs):
             assert all(0 <= r["s"] <= 1 for r in rows)
 
 
-def test_pipeline(spark, sf_dir, odd_docs):
+def test_pipeline(spark, sf_dir, odd_docs, no_docs):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -216,3 +216,7 @@ def test_pipeline(spark, sf_dir, odd_docs):
     odd = odd_docs
     for _, stage in corpus_pipeline.STAGES:
         odd = durable(stage(spark, odd, sf_dir))
+    none = no_docs
+    for _, stage in corpus_pipeline.STAGES:
+        none = durable(stage(spark, none, sf_dir))
+    assert none.count() == 0

@@ -1,10 +1,13 @@
 """Operators 1, 3 and 10: SQL twins, round trips and edge cases."""
 
+import functools
 import hashlib
+import math
 import re
 import zlib
 
 import pytest
+import xxhash
 
 from millrace.llm import chat, licenses, sharding
 from millrace.llm.catalog import ORACLES, QUERIES
@@ -115,6 +118,39 @@ def test_long_template_at_any_place(spark):
     assert {r["doc_id"]: [f["held"] for f in r["found"]] for r in found} == {i: [1.0] if i != 999 else [] for i, _ in rows}
 
 
+def test_shards_by_an_independent_permutation(spark, odd_docs):
+    """Row numbers, permutation, shard and slot worked out again in plain Python."""
+    mix = lambda *xs: functools.reduce(lambda seed, x: seed if x is None else xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), seed), xs, 42)
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+
+    def rounds(x, a, b, seed):
+        left, right = divmod(x, b)
+        for i in range(4):
+            if i % 2 == 0:
+                left = (left + signed(mix(seed * 1000 + i, right)) % a) % a
+            else:
+                right = (right + signed(mix(seed * 1000 + i, left)) % b) % b
+        return left * b + right
+
+    docs = odd_docs.select("doc_id", "text").union(spark.range(300).selectExpr("id % 250", "repeat('x', cast(id % 7 as int))"))
+    rows = []
+    for r in docs.collect():
+        raw = (r["text"] or "").encode()
+        rows.append((r["doc_id"], len(raw) + 1, zlib.crc32(raw) if r["text"] is not None else 0))
+    order = lambda r: (signed(mix(*r)) % 64, r[0] is not None, r[0] or 0, r[1], r[2])
+    n = len(rows)
+    a = math.ceil(math.sqrt(n))
+    b = -(-n // a)
+    want = []
+    for number, row in enumerate(sorted(rows, key=order)):
+        p = rounds(number, a, b, 7)
+        while p >= n:
+            p = rounds(p, a, b, 7)
+        want.append((*row, p, p % 5, p // 5))
+    got = [(r["doc_id"], r["size"], r["text_crc32"], r["position"], r["shard"], r["slot"]) for r in sharding.shard(docs, 5, buckets=64).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_long_conversations(spark):
     turns = spark.range(6000).selectExpr("1 as conv_id", "id as turn", "if(id % 7 < 3, 'assistant', 'user') as role", "concat('t', id) as text")
     turns = turns.union(spark.range(900).selectExpr("2", "id", "'assistant'", "repeat('x', cast(id % 5 as int))"))
