@@ -112,12 +112,14 @@ def fingerprinted(texts: DataFrame, primes: tuple[int, int] = PRIMES, huge_bytes
 
     A text over ``huge_bytes`` is stored in chunks, which many tasks hash on their own; its
     hash is the sum of the chunks' hashes, each shifted by the length before it."""
+    small = F.octet_length("text") <= huge_bytes
     facts = ["doc_id", F.octet_length("text").alias("n_bytes"), F.xxhash64("text").alias("quick"), F.sha2("text", 256).alias("text_sha256")]
-    plain = texts.where(F.octet_length("text") <= huge_bytes).select((F.monotonically_increasing_id() * 2).alias("rid"), fingerprint_udf(primes)("text").alias("fp"), *facts)
-    rows = durable(plain.select("rid", "doc_id", "fp", "n_bytes", "quick", "text_sha256"))
-    huge = texts.where(F.octet_length("text") > huge_bytes).select((F.monotonically_increasing_id() * 2 + 1).alias("rid"), F.col("text").cast("binary").alias("bytes"), *facts)
-    if huge.isEmpty():
+    first = texts.select((F.monotonically_increasing_id() * 2).alias("rid"), fingerprint_udf(primes)(F.when(small, F.col("text")).otherwise("")).alias("fp"), *facts)
+    rows = durable(first.select("rid", "doc_id", "fp", "n_bytes", "quick", "text_sha256"))
+    if rows.where(F.col("n_bytes") > huge_bytes).isEmpty():
         return rows
+    rows = rows.where(F.col("n_bytes") <= huge_bytes)
+    huge = texts.where(~small).select((F.monotonically_increasing_id() * 2 + 1).alias("rid"), F.col("text").cast("binary").alias("bytes"), *facts)
     step = max(1, huge_bytes // 4)
     cut = huge.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n_bytes") - 1, F.lit(step))))
     chunks = durable(cut.select("rid", F.col("at").cast("long").alias("at"), F.substring("bytes", F.col("at") + 1, F.lit(step)).alias("chunk"), "doc_id", "n_bytes", "quick", "text_sha256"))
