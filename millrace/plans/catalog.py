@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.plans import collect_plans, commerce, page_plans, posting_plans, record_plans
+from millrace.plans import collect_plans, commerce, page_plans, posting_plans, record_plans, source_plans
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (commerce, page_plans, posting_plans, record_plans, collect_plans):
+for _part in (commerce, page_plans, posting_plans, record_plans, collect_plans, source_plans):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
