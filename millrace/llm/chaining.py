@@ -52,8 +52,9 @@ LOW = np.uint64(2**64 // SPARSE)
 #: Least words of the runs of seeds that get an anchor of their own.
 RUNS = (24, MIN_WORDS)
 
-#: Words in a fetched block, and words fetched beyond either end of a chain.
-BLOCK, AROUND = 64, 32
+#: Words in a fetched block, and words fetched beyond either end of a chain: so many that a
+#: single seed can grow to MIN_WORDS on one side.
+BLOCK, AROUND = 32, MIN_WORDS - K
 
 #: Cost of a word of gap, against K for a seed.
 GAP_COST = 0.05
@@ -63,7 +64,7 @@ JUMP, AGREE = 4, 4
 JUMPS = sorted(((i, j) for i in range(JUMP + 1) for j in range(JUMP + 1) if i or j), key=lambda ij: (sum(ij), abs(ij[0] - ij[1]), ij))
 
 #: Rows of blocks that are aligned at a time.
-STRETCH = 8192
+STRETCH = 16384
 
 #: Ids that every task may hold as a filter; with more, no filter is used.
 MAX_SHARED = 1_000_000
