@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import chaining, chat, decontaminate, exact_dedup, licenses, packing, quality, sharding, simhash, toxicity
+from millrace.llm import chaining, chat, collocation, decontaminate, exact_dedup, licenses, packing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_license_scan": licenses.op10_license_scan,
+    "op12_phrase_collocations": collocation.op12_phrase_collocations,
 }
 
 ORACLES = {
@@ -24,6 +25,7 @@ ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op4_benchmark_decontamination": decontaminate.OP4_SQL,
     "op10_license_scan": licenses.OP10_SQL,
+    "op12_phrase_collocations": collocation.OP12_SQL,
 }
 
 if corpus_pipeline.ORACLE_SQL:
