@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import chaining, chat, collocation, decontaminate, exact_dedup, licenses, packing, quality, sharding, simhash, toxicity
+from millrace.llm import chaining, chat, collocation, decontaminate, exact_dedup, licenses, packing, pivots, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_license_scan": licenses.op10_license_scan,
     "op12_phrase_collocations": collocation.op12_phrase_collocations,
+    "op13_embedding_near_dedup": pivots.op13_embedding_near_dedup,
 }
 
 ORACLES = {
@@ -26,6 +27,7 @@ ORACLES = {
     "op4_benchmark_decontamination": decontaminate.OP4_SQL,
     "op10_license_scan": licenses.OP10_SQL,
     "op12_phrase_collocations": collocation.OP12_SQL,
+    "op13_embedding_near_dedup": pivots.OP13_SQL,
 }
 
 if corpus_pipeline.ORACLE_SQL:

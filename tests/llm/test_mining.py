@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter
 
-from millrace.llm import collocation
+from millrace.llm import collocation, pivots
 
 
 def phrases_by_hand(docs, least, top):
@@ -64,3 +64,62 @@ def test_automaton_counts_and_links():
     assert len(got) == len(want) and dict(got) == dict(want)
     inner = np.flatnonzero(made.link >= 0)
     assert (made.size[made.link[inner]] == made.size[inner] - 1).all() and (made.count[made.link[inner]] >= made.count[inner]).all()
+
+
+def vectors_by_hand(rows, least=0.9):
+    import numpy as np
+
+    dim = max((len(v) for _, v in rows if v), default=1)
+    x = np.zeros((len(rows), dim))
+    for i, (_, v) in enumerate(rows):
+        if v and all(c is not None and np.isfinite(c) for c in v) and any(v):
+            y = np.array(v, float) / np.abs(v).max()
+            x[i, : len(v)] = y / np.linalg.norm(y)
+    near = x @ x.T >= least
+    np.fill_diagonal(near, False)
+    root = np.arange(len(rows))
+    while True:
+        least_root = np.minimum(root, np.where(near, root[None, :], len(rows)).min(axis=1, initial=len(rows)))
+        if (least_root == root).all():
+            return near.sum(axis=1), root
+        root = least_root
+
+
+def test_near_vectors_by_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    unit = lambda n: (y := rng.normal(size=(n, 24))) / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [x.tolist() for x in unit(500)]
+    for centre in unit(30):  # groups of every tightness, so that balls link wholly, partly or not
+        wide = rng.uniform(0.1, 0.55)
+        rows += [(centre + wide * x).tolist() for x in unit(int(rng.integers(2, 60)))]
+    rows += [rows[0]] * 300 + [[3 * c for c in rows[1]]] * 5 + [[1e200 * c for c in rows[2]], [1e-200 * c for c in rows[2]], rows[3][:23] + [0.0], rows[3][:23]]
+    odd = [None, [], [0.0] * 24, [None] + rows[5][1:], [float("nan")] + rows[5][1:], [float("inf")] + rows[5][1:]]
+    data = list(enumerate(rows + odd))
+    df = spark.createDataFrame([(i, v, i, "x", 1) for i, v in data], "vec_id bigint, embedding array<double>, rid bigint, u string, ball int").repartition(7, "vec_id")
+    got = {r["id"]: r for r in pivots.near_vectors(df).collect()}
+    n, root = vectors_by_hand(data)
+    mine = np.array([got[i]["n_links"] for i, _ in data])
+    assert len(got) == len(data) and (mine <= n).all()
+    assert mine.sum() >= 0.97 * n.sum()
+    assert np.mean([got[i]["component_id"] == root[i] for i, _ in data]) > 0.97
+    assert all(r["kept"] == (r["id"] == r["component_id"]) for r in got.values())
+    tied = spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.1]), (4, [0.0, 1.0]), (4, [0.0, 1.0]), (None, [-1.0, 0.0])], "vec_id bigint, embedding array<float>")
+    rows = sorted(map(tuple, pivots.near_vectors(tied).collect()), key=repr)
+    assert rows == sorted([(None, 1, None, True)] * 2 + [(4, 1, 4, True)] * 2 + [(None, 0, None, True)], key=repr)
+    assert pivots.near_vectors(tied.limit(0)).count() == 0
+    assert pivots.near_vectors(spark.createDataFrame([(1, None)], tied.schema)).count() == 1
+
+
+def test_hot_lists_are_dealt_by_two_pivots(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(200, 16))
+    data = list(enumerate(np.vstack([base, base + 0.15 * rng.normal(size=base.shape)]).tolist()))
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    want = sorted(map(tuple, pivots.near_vectors(df).collect()))
+    monkeypatch.setattr(pivots, "LONG", 3)
+    assert sorted(map(tuple, pivots.near_vectors(df).collect())) == want
+    assert sum(r[1] for r in want) >= 0.95 * vectors_by_hand(data)[0].sum() > 0
