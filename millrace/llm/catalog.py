@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import chaining, chat, collocation, decontaminate, exact_dedup, licenses, packing, pivots, quality, sharding, simhash, toxicity
+from millrace.llm import alignment, chaining, chat, collocation, decontaminate, exact_dedup, licenses, packing, pivots, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_cross_tokenizer_alignment": alignment.op11_cross_tokenizer_alignment,
     "op12_phrase_collocations": collocation.op12_phrase_collocations,
     "op13_embedding_near_dedup": pivots.op13_embedding_near_dedup,
 }

@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter
 
-from millrace.llm import collocation, pivots
+from millrace.llm import alignment, collocation, packing, pivots
 
 
 def phrases_by_hand(docs, least, top):
@@ -123,3 +123,84 @@ def test_hot_lists_are_dealt_by_two_pivots(spark, monkeypatch):
     monkeypatch.setattr(pivots, "LONG", 3)
     assert sorted(map(tuple, pivots.near_vectors(df).collect())) == want
     assert sum(r[1] for r in want) >= 0.95 * vectors_by_hand(data)[0].sum() > 0
+
+
+def aligned_by_hand(docs):
+    import hashlib
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    one = Tokenizer.from_file(packing.tokenizer_file())
+    one.encode_special_tokens = True
+    shown = [b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    two = sentencepiece.SentencePieceProcessor(model_file=packing.tokenizer_file("piece_bpe_32k.model"))
+    made, count = [], Counter()
+    for doc, text in docs:
+        a = one.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = two.encode(text) if text else []
+        name_a = [bytes(byte_of[c] for c in one.id_to_token(i)) for i in a]
+        name_b = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in map(two.id_to_piece, b)]
+        if not text or b"".join(name_a) != b" " + text.encode() or b"".join(name_b) != b" " + text.encode():
+            a, b = [], []
+        groups, i, j = [], 0, 0
+        while i < len(a):
+            own, other, x, y = [], [], 0, 0
+            while not own or x != y:
+                if x <= y:
+                    own.append(a[i])
+                    x += len(name_a[i])
+                    i += 1
+                else:
+                    other.append(b[j])
+                    y += len(name_b[j])
+                    j += 1
+            groups.append((own, other))
+        links = Counter((p, q) for own, other in groups for p in own for q in other)
+        count.update(links.keys())
+        made.append((doc, len(a), len(b), groups, links))
+    best = {}
+    for (p, _), n in count.items():
+        best[p] = max(best.get(p, 0), n)
+    text = lambda groups: ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+    rows = [(d, na, nb, len(g), sum(links.values()), sum(n for (p, q), n in links.items() if count[p, q] == best[p]), sum(n * count[p, q] for (p, q), n in links.items()), hashlib.sha256(text(g).encode()).hexdigest() if na else "") for d, na, nb, g, links in made]
+    return rows, {(p, q, n, n == best[p]) for (p, q), n in count.items()}
+
+
+def test_alignment_by_brute_force(spark, odd_docs, no_docs, sf_dir, monkeypatch):
+    from pyspark.sql import functions as F
+
+    paths = packing.tokenizer_file(), packing.tokenizer_file("piece_bpe_32k.model")
+    rng = random.Random(8)
+    marks = ["<|endoftext|>", "</s>", "<0x41>", "▁", "\U0001f600", "漢字", "é", "\x00", "\r\n", "  ", "ab", "cde ", ".", "the ", "fi", " ", "İ"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 30))) for _ in range(150)] + ["漢" * 3000, "😀" * 700, " ", "x" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).union(odd_docs.select("doc_id", "text"))
+    docs = docs.union(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60))
+    want, pairs = aligned_by_hand([tuple(r) for r in docs.collect()])
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "sha"]
+    for part_bytes, long_group in ((64 << 20, 256), (2000, 4)):  # parts of stripes, and long groups
+        monkeypatch.setattr(alignment, "PART_BYTES", part_bytes)
+        monkeypatch.setattr(alignment, "LONG_GROUP", long_group)
+        found = alignment.align(docs, *paths, derive={"sha": digest})
+        assert sorted(map(tuple, found.documents.select(columns).collect()), key=repr) == sorted(want, key=repr)
+        assert {tuple(r) for r in found.pairs.collect()} == pairs
+    assert any(r[1] == 0 for r in want) and any(r[1] > 0 for r in want)
+    assert alignment.align(no_docs, *paths).documents.count() == 0
+    whole = alignment.op11_cross_tokenizer_alignment(spark, sf_dir)
+    assert whole.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_long_groups_count_the_same():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    n_a, n_b = rng.integers(1, 40, 60), rng.integers(1, 40, 60)
+    g = alignment.Groups(rng.integers(0, 9, n_a.sum()), rng.integers(0, 9, n_b.sum()), np.repeat(np.arange(60), n_a), np.repeat(np.arange(60), n_b), n_a, n_b)
+    doc = np.arange(60) // 7
+    want = Counter()
+    for i in range(60):
+        want.update((((int(a) << 4) + int(b)) << alignment.DOC_BITS) + i // 7 for a in g.a[g.of_a == i] for b in g.b[g.of_b == i])
+    codes, times = alignment.links_of(g, doc, 4)
+    assert codes.tolist() == sorted(want) and times.tolist() == [want[c] for c in sorted(want)]
