@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.session import durable
+
 
 def pick_best(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a full order; rows with a blank key pass unpicked."""
@@ -52,10 +56,34 @@ def clean_up(jobs: DataFrame) -> DataFrame:
     return shells.join(detail, "company_key", "left").withColumn("fate", fate).drop("__alive", "__url", "__best", "__detail")
 
 
+def _stored_in_order(ordered: DataFrame) -> DataFrame:
+    """A sorted table written once, with its range partition ``__p`` and the place there ``__m``
+    as data: a sort that is run again may deal its rows otherwise."""
+    return durable(ordered.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__m")))
+
+
+def running(rows: DataFrame, by: list[str], order: list[Column | str], totals: dict[str, Column]) -> DataFrame:
+    """Running sums of ``totals`` (whole numbers) within ``by``, up to and with each row.
+
+    A segmented prefix sum in two levels: within a range partition of the sorted rows, then
+    over the partitions that a key spans. A key with any share of the rows is spread over as
+    many tasks as its rows fill, and no task sees more than a partition of it."""
+    placed = _stored_in_order(rows.orderBy(*by, *order))
+    part = ["__p", *by]
+    local = Window.partitionBy(*part).orderBy("__m").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*part).agg(*[F.sum(v).alias(f"__{n}") for n, v in totals.items()])
+    before = sums.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(part)], *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in totals])
+    scanned = placed.withColumns({n: F.sum(v).over(local) for n, v in totals.items()})
+    same = [scanned[k].eqNullSafe(before[f"__k{i}"]) for i, k in enumerate(part)]
+    joined = scanned.join(before, reduce(lambda x, y: x & y, same))
+    return joined.select(*rows.columns, *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in totals])
+
+
 def numbered(ordered: DataFrame, name: str = "place") -> DataFrame:
     """``place`` from 1 in the order of a sorted table, without a single task for all rows:
-    the sort's range partitions are numbered on their own and shifted by the counts before."""
-    placed = ordered.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__m"))
+    the stored range partitions are numbered on their own and shifted by the counts before."""
+    placed = _stored_in_order(ordered)
     sizes = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__first"))
     # one row a partition: a bounded table
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -64,21 +92,15 @@ def numbered(ordered: DataFrame, name: str = "place") -> DataFrame:
 
 
 def ranked(rows: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
-    """Rank of a row within its key, by one range-partitioned sort: a key with a large share
-    of the rows is spread over many tasks."""
-    placed = numbered(rows.orderBy(key, *order), "__place")
-    begins = placed.groupBy(key).agg(F.min("__place").alias("__begin"))
-    at = F.col(f"b.{key}").eqNullSafe(F.col(f"a.{key}"))
-    return placed.alias("a").join(begins.alias("b"), at).select("a.*", (F.col("__place") - F.col("__begin") + 1).cast("int").alias(name)).drop("__place")
+    """Rank of a row within its key: a segmented count over one range-partitioned sort."""
+    return running(rows, [key], order, {name: F.lit(1)}).withColumn(name, F.col(name).cast("int"))
 
 
 def collect_batch(candidates: DataFrame, known: DataFrame, size: int, *, by: str = "company", pos: str = "pos", key: str = "identity") -> DataFrame:
     """Candidates with ``batch_no`` among the unknown ones of a company (from 0), and
     whether they were skipped as known before the first batch filled."""
     marked = candidates.join(known.select(F.col(key), F.lit(True).alias("__known")).distinct(), key, "left").withColumn("is_known", F.coalesce("__known", F.lit(False))).drop("__known")
-    upto = Window.partitionBy(by).orderBy(pos, key).rowsBetween(Window.unboundedPreceding, 0)
-    fresh = F.sum(F.when(F.col("is_known"), 0).otherwise(1)).over(upto)
-    counted = marked.withColumn("__f", fresh)
+    counted = running(marked, [by], [pos, key], {"__f": F.when(F.col("is_known"), 0).otherwise(1)})
     batch = F.when(~F.col("is_known"), F.floor((F.col("__f") - 1) / size)).cast("long")
     return counted.withColumn("batch_no", batch).withColumn("skipped", F.col("is_known") & (F.col("__f") < size)).drop("__f")
 
@@ -90,8 +112,8 @@ def page_window(rows: DataFrame, page: list[str], is_out: Column) -> DataFrame:
 
 def until_stop(pages: DataFrame, group: list[str], pos: str, stop: Column) -> DataFrame:
     """Rows up to and with the first stop of each ordered group."""
-    before = Window.partitionBy(*group).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    return pages.withColumn("__stopped", F.max(F.coalesce(stop, F.lit(False))).over(before)).where(~F.coalesce("__stopped", F.lit(False))).drop("__stopped")
+    marked = pages.withColumn("__stop", F.coalesce(stop, F.lit(False)).cast("int"))
+    return running(marked, group, [pos], {"__stops": F.col("__stop")}).where(F.col("__stops") == F.col("__stop")).drop("__stops", "__stop")
 
 
 def replace_urls(urls: Column, replacements: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.functions import vocab as V
+from millrace.operators.dedupe import running
 
 
 def page_after(feed: DataFrame, at: Column | None = None, after_id: Column | None = None, limit: int = V.SYNC_PAGE, *, time: str = "updated_at", id_col: str = "id") -> DataFrame:
@@ -87,7 +87,8 @@ def run_queue(queue: DataFrame, *, max_attempts: int = 3) -> DataFrame:
 
 
 def claim(queue: DataFrame, n: int) -> DataFrame:
-    """The queue with its next ``n`` pending items of each run set to running."""
-    nth = Window.partitionBy("run_id", "status").orderBy("id")
-    take = (F.col("status") == "pending") & (F.row_number().over(nth) <= n)
-    return queue.withColumn("__take", take).withColumn("attempts", F.col("attempts") + F.when(F.col("__take"), 1).otherwise(0)).withColumn("status", F.when(F.col("__take"), "running").otherwise(F.col("status"))).drop("__take")
+    """The queue with its next ``n`` pending items of each run set to running; a run with most
+    of the queue is scanned by many tasks."""
+    pending = F.col("status") == "pending"
+    counted = running(queue, ["run_id"], ["id"], {"__nth": F.when(pending, 1).otherwise(0)}).withColumn("__take", F.coalesce(pending & (F.col("__nth") <= n), F.lit(False)))
+    return counted.withColumn("attempts", F.col("attempts") + F.col("__take").cast("int")).withColumn("status", F.when(F.col("__take"), "running").otherwise(F.col("status"))).drop("__take", "__nth")
