@@ -15,7 +15,10 @@ from millrace.functions import records as R
 from millrace.functions import text as T
 from millrace.functions import urls as U
 from millrace.functions import vocab as V
+from millrace.operators import dedupe
 from millrace.operators.workflow import _first
+from millrace.session import durable
+from millrace.sources import html as H
 
 c = F.col
 
@@ -179,6 +182,75 @@ def best_source(lists: list[tuple[str, DataFrame]], page: str = "page_id") -> Da
     return tagged.join(best, [page, "__rank"]).drop("__rank")
 
 
+def page_candidates(pages: DataFrame, as_of: date, months: int = V.LIST_MONTHS) -> DataFrame:
+    """Postings that pages (page_id, url, html) offer: page_id, source, pos, title, link,
+    outside (older than ``months``), notices of the page, and error where it offers none.
+
+    Sources are tried in order: embedded data, job table, cards, links to details; a list of
+    one yields to the page's own detail. What a passed-over source held is told in a notice.
+    A page is parsed once, and a page's sources are compared by one aggregate."""
+    offered = H.page_sources(pages)
+    titled = offered.withColumn("own", T.strip_chrome(c("title")))
+    link = F.when(c("link").isNotNull() & (c("source") > 1), H.absolute(c("link"), c("url"))).otherwise(c("link"))
+    named = titled.withColumn("link", link).where((c("source") != 3) | U.is_detail_link(c("link"), c("title")))
+    fit = (T.or_empty(c("title")) != "") & ~T.is_noise_title(T.or_empty(c("title"))) & ~T.is_closed_title(T.or_empty(c("title")))
+    day = D.loose_date(c("updated"))
+    judged = durable(named.withColumns({"fit": F.coalesce(fit, F.lit(False)) & ((c("source") != 4) | c("place").isNotNull()), "outside": F.coalesce(day < F.lit(as_of) - F.expr(f"interval {30 * months} days"), F.lit(False))}))
+
+    by_source = judged.groupBy("page_id", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if("fit").alias("fit"), F.count_if(c("fit") & c("outside")).alias("outside"))
+    tried = F.array_sort(F.collect_list(F.struct("source", "n", "fit", "outside")))  # at most one entry a source
+    page = by_source.groupBy("page_id").agg(tried.alias("tried"))
+    lists = F.filter("tried", lambda t: (t["source"] < 4) & (t["fit"] > 0))
+    detail = F.exists("tried", lambda t: (t["source"] == 4) & (t["fit"] > 0))
+    first = F.get(lists, F.lit(0))
+    taken = F.when(first.isNotNull() & ((first["fit"] > 1) | ~detail), first["source"]).when(detail, F.lit(4))
+    name = lambda i: F.element_at(F.array(*[F.lit(n) for n in H.SOURCES]), i + 1)
+    passed = F.filter("tried", lambda t: (t["fit"] == 0) & (t["source"] < F.coalesce(c("taken"), F.lit(9))))
+    unfit = F.transform(passed, lambda t: F.concat(name(t["source"]), F.lit(": "), t["n"].cast("string"), F.lit(" unusable")))
+    late = F.get(F.filter("tried", lambda t: t["source"] == c("taken")), F.lit(0))["outside"]
+    told = F.when(late > 0, F.array(F.concat(late.cast("string"), F.lit(" outside the window")))).otherwise(F.expr("cast(array() as array<string>)"))
+    chosen = page.withColumn("taken", taken).select("page_id", "taken", F.concat(unfit, told).alias("notices"))
+
+    empty = pages.select("page_id", H.blocked(F.lit(None).cast("int"), c("html")).alias("barred"), (T.or_empty(c("html")) == "").alias("blank"))
+    fits = judged.where("fit").select("page_id", c("source").alias("taken"), "pos", "own", "title", "link", "outside")
+    found = empty.join(chosen, "page_id", "left").join(fits, ["page_id", "taken"], "left")
+    error = F.when(c("taken").isNotNull(), F.lit(None)).when(c("barred"), "access barrier").when(c("blank"), "empty page").otherwise("no posting")
+    title = F.when(c("taken").isNotNull(), F.coalesce("own", "title"))
+    return found.select("page_id", name(c("taken")).alias("source"), "pos", title.alias("title"), "link", "outside", F.coalesce("notices", F.expr("cast(array() as array<string>)")).alias("notices"), error.alias("error"))
+
+
+def collect_pages(posts: DataFrame, known: DataFrame, budget: int, *, by: str = "company", page: str = "page", pos: str = "pos", key: str = "identity") -> DataFrame:
+    """Posts of a company's pages in order, with ``action``: new, known, failed, left (the
+    budget is spent) or unread (after the page where reading stops).
+
+    Columns: the company, page, pos, key, ``ok`` (it would be published or queued) and
+    ``outside`` (older than the window). Reading stops after a page with a post outside the
+    window or with known keys only. A key is known from before (``known``), or from an earlier
+    new post of the company; known posts cost no budget. Budgets are carried along by
+    segmented running sums, so a company with most of the posts makes no task slow."""
+    there = known.select(F.col(key), F.lit(True).alias("__known")).distinct()
+    marked = durable(posts.join(there, key, "left").withColumn("__known", F.coalesce("__known", F.lit(False))))
+    per_page = marked.groupBy(by, page).agg((F.max("outside") | F.min("__known")).alias("__stop"))
+    read = dedupe.until_stop(per_page, [by], page, c("__stop")).select(by, page, F.lit(True).alias("__read"))
+    at = F.struct(page, pos)
+    seen = marked.join(read, [by, page], "left").withColumn("__read", F.coalesce("__read", F.lit(False)))
+    open_ = c("__read") & ~c("__known")
+    first = seen.where(open_ & c("ok")).groupBy(by, key).agg(F.min(at).alias("__first"))
+    placed = seen.join(first, [by, key], "left").withColumn("__fresh", F.coalesce(open_ & c("ok") & (at == c("__first")), F.lit(False)))
+    counted = dedupe.running(placed, [by], [page, pos], {"__n": F.when(c("__fresh"), 1).otherwise(0)})
+    before = c("__n") - F.when(c("__fresh"), 1).otherwise(0)
+    again = c("__known") | F.coalesce(at > c("__first"), F.lit(False))
+    action = F.when(~c("__read"), "unread").when(before >= budget, "left").when(c("__fresh"), "new").when(again, "known").otherwise("failed")
+    return counted.withColumn("action", action).select(*posts.columns, "action")
+
+
+def page_run_stats(actions: DataFrame, by: str = "company", page: str = "page") -> DataFrame:
+    """Counters of a company's collection: enum_total (most posts of a page), batch_new,
+    skipped_known, failed, remaining (left over by the budget) and unread."""
+    per_page = actions.groupBy(by, page).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c("action") == a).alias(a) for a in ("new", "known", "failed", "left", "unread")])
+    return per_page.groupBy(by).agg(F.max("n").alias("enum_total"), F.sum("new").alias("batch_new"), F.sum("known").alias("skipped_known"), F.sum("failed").alias("failed"), F.sum("left").alias("remaining"), F.sum("unread").alias("unread"))
+
+
 def snippet_natures(items: DataFrame, rules: dict[str, tuple[str, ...]]) -> DataFrame:
     """Search snippets (company, pos, text) that name their company, with the first nature
     whose phrases stand in them; ``vote.vote`` decides, and ties are conflicts."""

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from millrace.functions import labels as L
 from millrace.functions import pages as P
 from millrace.functions import records as R
+from millrace.functions import urls as U
 from millrace.operators import collect as K
 from millrace.plans.record_plans import _jobs, _J, cases
 from millrace.plans.registry import registry
 from millrace.plans.roles import AS_OF
 from millrace.session import table
+from millrace.sources import html as H
 
 QUERIES, ORACLES, query = registry()
 
@@ -192,3 +194,58 @@ def login_states(spark, sf_dir):
     """Attempts that meet a lock, fail or open a session (compared with a plain loop)."""
     e = table(spark, sf_dir, "events").where("event_type in ('error', 'view')")
     return K.login_locks(e.select(c("user_id").alias("account"), "ts", c("event_id").alias("id"), (c("event_type") == "view").alias("ok")), failures=2, minutes=600)
+
+
+_HREFS = "regexp_extract_all(html, '(?s)<a [^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>', 1)"
+
+
+@query(f"""WITH l AS (SELECT lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) AS company, page_id AS page, cast(unnest(range(len({_HREFS}))) AS BIGINT) AS pos, unnest({_HREFS}) AS identity,
+    coalesce(try_cast(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) < 300, false) AS outside FROM pages),
+  k AS (SELECT DISTINCT unnest({_HREFS}) AS identity FROM pages WHERE contains(url, '/de/')),
+  m AS (SELECT l.*, k.identity IS NOT NULL AS known, length(l.identity) >= 5 AS ok FROM l LEFT JOIN k USING (identity)),
+  p AS (SELECT company, page, max(outside) OR min(known) AS stop FROM m GROUP BY ALL),
+  r AS (SELECT company, page, NOT coalesce(max(stop) OVER (PARTITION BY company ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS is_read FROM p),
+  s AS (SELECT m.*, is_read, page * 100000 + pos AS spot FROM m JOIN r USING (company, page)),
+  f AS (SELECT *, min(CASE WHEN is_read AND NOT known AND ok THEN spot END) OVER (PARTITION BY company, identity) AS spot1 FROM s),
+  g AS (SELECT *, coalesce(is_read AND NOT known AND ok AND spot = spot1, false) AS fresh FROM f),
+  n AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY company ORDER BY page, pos ROWS UNBOUNDED PRECEDING) - fresh::INT AS before FROM g)
+  SELECT company, page, pos, identity, CASE WHEN NOT is_read THEN 'unread' WHEN before >= 12 THEN 'left' WHEN fresh THEN 'new' WHEN known OR coalesce(spot > spot1, false) THEN 'known' ELSE 'failed' END AS action FROM n""")
+def collected_pages(spark, sf_dir):
+    """Posts of each company's pages in order, under a budget and with known keys skipped."""
+    return _collected(spark, sf_dir).select("company", "page", "pos", "identity", "action")
+
+
+def _collected(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    links = H.links(pages).select(U.host(c("url")).alias("company"), c("page_id").alias("page"), "pos", c("href").alias("identity"), F.coalesce(F.regexp_extract("url", "/([0-9]+)", 1).try_cast("bigint") < 300, F.lit(False)).alias("outside"))
+    known = H.links(pages.where(F.contains("url", F.lit("/de/")))).select(c("href").alias("identity"))
+    return K.collect_pages(links.withColumn("ok", F.length("identity") >= 5), known, 12)
+
+
+@query(f"""SELECT company, cast(max(n) AS BIGINT) AS enum_total, sum(new)::BIGINT AS batch_new, sum(known)::BIGINT AS skipped_known, sum(failed)::BIGINT AS failed, sum(l)::BIGINT AS remaining, sum(u)::BIGINT AS unread FROM
+  (SELECT company, page, count(*) AS n, count(*) FILTER (action = 'new') AS new, count(*) FILTER (action = 'known') AS known, count(*) FILTER (action = 'failed') AS failed, count(*) FILTER (action = 'left') AS l, count(*) FILTER (action = 'unread') AS u
+   FROM ({ORACLES['collected_pages']}) GROUP BY ALL) GROUP BY company""")
+def page_collection_stats(spark, sf_dir):
+    """Counters of each company's collection."""
+    return K.page_run_stats(_collected(spark, sf_dir))
+
+
+_TITLE = "trim(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"
+
+
+@query(f"""WITH p AS (SELECT page_id, CAST(page_id AS VARCHAR) AS k, {_TITLE} AS own, regexp_extract(url, '^[^:/?#]+://[^/?#]*') AS root FROM pages), q AS (SELECT *, own <> '' AS fit FROM p)
+  SELECT page_id, 'table' AS source, 0::BIGINT AS pos, '算法工程师 ' || k AS title, NULL AS link, false AS outside, '1 outside the window' AS notices, NULL AS error FROM q WHERE page_id % 4 = 1
+  UNION ALL SELECT page_id, 'table', 1, '会计 ' || k, NULL, true, '1 outside the window', NULL FROM q WHERE page_id % 4 = 1
+  UNION ALL SELECT page_id, 'cards', n, '测试工程师 ' || k || n, root || '/' || k || '/' || n, false, 'table: 2 unusable', NULL FROM q, (VALUES (0), (1)) AS v(n) WHERE page_id % 4 = 2
+  UNION ALL SELECT page_id, CASE WHEN fit THEN 'detail' ELSE 'embedded' END, 0, CASE WHEN fit THEN own ELSE '产品经理 ' || k END, CASE WHEN NOT fit THEN k END, false, '', NULL FROM q WHERE page_id % 4 = 3
+  UNION ALL SELECT page_id, CASE WHEN fit THEN 'detail' END, CASE WHEN fit THEN 0 END, CASE WHEN fit THEN own END, NULL, CASE WHEN fit THEN false END, CASE WHEN fit THEN '' ELSE 'detail: 1 unusable' END, CASE WHEN NOT fit THEN 'no posting' END FROM q WHERE page_id % 4 = 0""")
+def url_candidates(spark, sf_dir):
+    """Postings that a page offers, from its first source with usable rows, with notices."""
+    k = c("page_id").cast("string")
+    job_table = F.concat(F.lit("<table><tr><th>职位名称</th><th>工作地点</th><th>发布日期</th></tr><tr><td>算法工程师 "), k, F.lit("</td><td>北京</td><td>2026-07-01</td></tr><tr><td>会计 "), k, F.lit("</td><td>上海</td><td>2020-01-01</td></tr></table>"))
+    card = lambda n: F.concat(F.lit('<li><a href="/'), k, F.lit(f'/{n}"><b class="job-name">测试工程师 '), k, F.lit(f"{n}</b></a></li>"))
+    cards = F.concat(F.lit('<table><tr><th>职位名称</th></tr><tr><td>首页</td></tr><tr><td>登录</td></tr></table><ul class="job-list">'), card(0), card(1), F.lit("</ul>"))
+    embedded = F.concat(F.lit('<script>{"jobs":[{"id":"'), k, F.lit('","title":"产品经理 '), k, F.lit('"}]}</script>'))
+    more = F.when(c("page_id") % 4 == 1, job_table).when(c("page_id") % 4 == 2, cards).when(c("page_id") % 4 == 3, embedded).otherwise("")
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat("html", more))
+    return K.page_candidates(pages, AS_OF).withColumn("notices", F.array_join("notices", "; "))

@@ -5,8 +5,10 @@ all rules after that (aliases, identity, windows) are DataFrame expressions."""
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -252,6 +254,54 @@ def cards(pages: DataFrame) -> DataFrame:
     return read.withColumns({"title": L.sanitized_title(F.col("title")), "location": F.coalesce("location", L.place_in_text(F.col("text"))), "updated": F.coalesce("updated", dated), "headcount": L.normal_headcount(F.coalesce("headcount", counted))}).where("title is not null")
 
 
+#: Sources of postings on a page, in the order in which they are tried.
+SOURCES = ("embedded", "table", "cards", "links", "detail")
+
+
+def _embedded(html: str) -> Iterator[tuple]:
+    """Postings of the first array behind "jobs": that has any."""
+    from millrace.sources.feeds import sliced_array
+
+    said = unescape(html)
+    for mark in re.finditer(r'"jobs"\s*:\s*\[', said):
+        try:
+            jobs = json.loads(sliced_array(said, mark.end() - 1) or "[]")
+        except ValueError:
+            continue
+        named = [j for j in jobs if isinstance(j, dict) and j.get("title") and (j.get("id") or j.get("mjCode"))]
+        if named:
+            yield from ((str(j["title"]), str(j.get("id") or j.get("mjCode")), None, str(j.get("publishedAt") or "") or None) for j in named)
+            return
+
+
+def _sources_of(html: str | None) -> Iterator[tuple[int, int, str | None, str | None, str | None, str | None]]:
+    """(source, pos, title, link, place, date) of everything that a page offers, parsed once."""
+    page = parse(html)
+    ranks = [c["rank"] for c in page.cards]
+    kind = next((r for r in sorted(set(ranks)) if ranks.count(r) >= 2), 0)
+    offers = (
+        _embedded(html) if html and '"jobs"' in unescape(html) else (),
+        ((row[0], None, row[2], row[5]) for row in _job_rows(page)),
+        ((c.get("title"), c["href"] or None, c.get("location"), c.get("updated")) for c in page.cards if c["rank"] == kind),
+        ((x["text"] or None, x["href"], None, None) for x in page.links if x["href"]),
+        ((page.og or page.title or page.heading or None, None, page.heading or None, None),),
+    )
+    for source, rows in enumerate(offers):
+        yield from ((source, pos, *row) for pos, row in enumerate(rows))
+
+
+def page_sources(pages: DataFrame) -> DataFrame:
+    """What each source of a page offers (page_id, url, source, pos, title, link, place,
+    updated): one parse a page. The detail's ``place`` is the page's heading."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [(r.page_id, r.url, *row) for r in frame.itertuples() for row in _sources_of(r.html)]
+            yield pd.DataFrame(out, columns=["page_id", "url", "source", "pos", "title", "link", "place", "updated"])
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id bigint, url string, source int, pos bigint, title string, link string, place string, updated string")
+
+
 def page_number(url):
     """Page number of a link's query, from 1; null for none."""
     from millrace.functions import urls as U
