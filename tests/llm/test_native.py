@@ -64,12 +64,13 @@ def license_brute(text, templates, threshold):
     w = words(text)
     places = [(label, i) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     found = {}
-    stride = licenses.stride_of(templates)
-    for a in range(0, max(len(w) - stride, 1), stride):
-        for label, t in templates:
-            t = set(t.split())
-            held = len(t & set(w[a : a + 2 * stride])) / len(t)
-            if held >= threshold - 1e-12:
+    for label, t, *others in templates:
+        needs, against = [set(x) for x in others] or (set(), set())
+        size, t = math.ceil(len(t.split()) / threshold - 1e-9), set(t.split())
+        for i in range(len(w)):
+            own = set(w[i : i + size])
+            held = len(t & own) / len(t)
+            if w[i] in t and held >= threshold - 1e-12 and needs <= own and not against & own:
                 found[label] = max(found.get(label, 0), held)
     return len(w), sorted(places), found
 
@@ -82,6 +83,8 @@ def test_license_brute(spark, odd_docs, no_docs):
         (22, "general public\nlicense under the gnu work this is licensed version"),
         (23, "released under the mit"),
         (24, "ccby cc by-nc 4.0 licensed under"),
+        (25, f"{filler} this work is licensed under a creative {filler} commons attribution 4 0 international license"),
+        (26, "The MIT license: released under a, released under the mit"),
     ]
     docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id bigint, text string"))
     for threshold in (0.8, 0.5):
@@ -97,7 +100,7 @@ def test_license_brute(spark, odd_docs, no_docs):
 def test_license_notices_wrapped_over_lines(spark, tmp_path):
     filler = [f"f{i}" for i in range(61)]
     rows, want = [], {}
-    for label, notice in licenses.TEMPLATES:
+    for label, notice, *_ in licenses.TEMPLATES:
         for width in (3, 7):
             words = filler + notice.split() + filler
             lines = [" ".join(words[a : a + width]) for a in range(0, len(words), width)]
@@ -110,6 +113,37 @@ def test_license_notices_wrapped_over_lines(spark, tmp_path):
     assert (out[len(want)]["labels"], out[len(want)]["score"]) == ("", 0)
 
 
+def test_labels_that_the_text_contradicts(spark):
+    texts = {
+        "licensed under CC BY-SA 4.0": {"cc-by-sa-4.0"},
+        "licensed under CC BY-NC 4.0": {"cc-by-nc-4.0"},
+        "licensed under CC BY-NC-SA 4.0": set(),
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": set(),
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": {"cc-by-4.0"},
+        "licensed under the gnu license version 2 0": set(),
+        "licensed under the Apache License, Version 2.0": {"apache-2.0"},
+        "released today under the terms of a license": set(),
+        "released under the MIT license": {"mit"},
+        "all rights given; the seats were reserved. copyright": set(),
+        "Copyright 2020. All rights reserved": {"reserved-notice"},
+        "this work is licensed under the GNU Lesser General Public License version 3": set(),
+        "this work is licensed under the GNU General Public License version 2": set(),
+        "this source code form is subject to the terms of the Mozilla Public License, v. 1.1": set(),
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: {f["label"] for f in r["found"]} for r in licenses.scan(rows).collect()}
+    assert found == dict(enumerate(texts.values()))
+
+
+def test_groups_of_templates_find_the_same(spark, monkeypatch):
+    texts = [" ".join(["x"] * i + t.text.split() + ["y"] * 9) for i, t in enumerate(licenses.TEMPLATES)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = sorted(map(repr, licenses.scan(rows).collect()))
+    monkeypatch.setattr(licenses, "MAX_GROUP_WORDS", 60)
+    assert len(licenses.groups_of(licenses.TEMPLATES, 60)) > 3
+    assert sorted(map(repr, licenses.scan(rows).collect())) == want
+
+
 def test_long_template_at_any_place(spark):
     long = " ".join(f"t{i}" for i in range(90))
     rows = [(n, " ".join([f"f{i}" for i in range(n)] + long.split() + ["end"] * 40)) for n in range(0, 200, 13)]
