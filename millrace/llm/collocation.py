@@ -36,8 +36,8 @@ from millrace.llm.skew import join_by_key
 from millrace.llm.text import LOWER, as_buffers, pieces
 from millrace.session import durable, table
 
-#: Words of a shard; some 150 bytes of memory a word.
-SHARD_WORDS = 1 << 20
+#: Words of a shard (some 200 bytes of memory a word), and phrases of a batch that leaves it.
+SHARD_WORDS, BATCH = 1 << 19, 1 << 16
 
 #: Bits of a Bloom filter (fixed, so that what a task holds never grows) and its hashes.
 FILTER_BITS, FILTER_HASHES = 1 << 26, 3
@@ -246,9 +246,10 @@ def _count_shards(sizes: tuple[int, ...], filters: dict[int, object], shard_word
         for size, end, count in automaton.phrases():
             if size in sizes:
                 order = np.lexsort([word[end - j] for j in range(size)])  # neighbours alike: smaller shuffle files
-                end, count = end[order], count[order]
-                parts = [names.take(pa.array(word[end - j])) for j in range(size - 1, -1, -1)]
-                yield made(langs.dictionary.take(pa.array(lang[end])), size, pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_utf8())) if size > 1 else parts[0], count)
+                for at in range(0, len(order), BATCH):
+                    some = order[at : at + BATCH]
+                    parts = [names.take(pa.array(word[end[some] - j])) for j in range(size - 1, -1, -1)]
+                    yield made(langs.dictionary.take(pa.array(lang[end[some]])), size, pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_utf8())) if size > 1 else parts[0], count[some])
 
     def made(langs: pa.Array, size: int, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([langs.cast(pa.string()), pa.array(np.full(len(counts), size, np.int32)), phrases.cast(pa.string()), pa.array(counts.astype(np.int64))], ["lang", "size", "phrase", "f"])
