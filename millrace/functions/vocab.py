@@ -140,4 +140,4 @@ ADAPTER_HOSTS = (("moka", ("mokahr.com", "moka.com")), ("zhiye", ("zhiye.com",))
 LOOKBACK_DAYS, LIST_MONTHS, RETENTION_DAYS, REVIEW_MONTHS, SOON_DAYS = 90, 6, 365, 3, 7
 PASS_MARK, LEAST_TEXT, TEXT_WINDOW, CLIP = 0.55, 40, 800, 96
 SYNC_PAGE, PUSH_CHUNK, COMPANY_BATCH, LIST_CAP = 1000, 200, 50, 200
-LOGIN_FAILURES, LOGIN_WINDOW_MINUTES = 5, 15
+LOGIN_FAILURES, LOGIN_WINDOW_MINUTES, SESSION_HOURS = 5, 15, 12

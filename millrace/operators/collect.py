@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import classify as C
@@ -262,28 +263,63 @@ def snippet_natures(items: DataFrame, rules: dict[str, tuple[str, ...]]) -> Data
     return items.where(about).withColumn("nature", nature).where("nature is not null")
 
 
-def login_locks(attempts: DataFrame, *, failures: int = V.LOGIN_FAILURES, minutes: int = V.LOGIN_WINDOW_MINUTES) -> DataFrame:
-    """Attempts (account, ts, id, ok) with ``result``: locked, failed or session.
+def login_step(state: tuple, at, ok: bool, failures: int, span) -> tuple[tuple, str]:
+    """One attempt over an account's (failures, window start, lock end): the state after it,
+    and whether it met a lock, failed or opened a session."""
+    failed, opened, locked = state
+    if locked is not None and locked > at:
+        return state, "locked"
+    if ok:
+        return (0, None, None), "session"
+    fresh = opened is None or opened < at - span
+    failed, opened = (1, at) if fresh else (failed + 1, opened)
+    return (failed, opened, at + span if failed >= failures else None), "failed"
+
+
+def _fold_logins(failures: int, span: timedelta):
+    """States of attempts (account, island, ts, id, ok) that come sorted: one at a time, so a
+    task holds one state and a batch, whatever the number of an account's attempts."""
+
+    def run(batches):
+        key, state = None, (0, None, None)
+        for batch in batches:
+            told = []
+            for account, island, at, ok in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
+                if (account, island) != key:
+                    key, state = (account, island), (0, None, None)
+                state, result = login_step(state, at, ok, failures, span)
+                told.append(result)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), pa.array(told, pa.string())], ["account", "id", "ts", "result"])
+
+    return run
+
+
+def login_locks(attempts: DataFrame, *, failures: int = V.LOGIN_FAILURES, minutes: int = V.LOGIN_WINDOW_MINUTES, hours: int = V.SESSION_HOURS) -> DataFrame:
+    """Attempts (account, ts, id, ok) with ``result`` (locked, failed or session) and, for a
+    session, ``expires_at``.
 
     The first failure opens a window; the fifth within it locks the account for as long;
-    success clears both. Attempts of one account are folded in time order, so one account's
-    attempts have to fit a row."""
-    state = "struct<failed:int,opened:timestamp_ntz,locked:timestamp_ntz,out:array<struct<id:bigint,result:string>>>"
-    zero = F.expr(f"cast(named_struct('failed', 0, 'opened', null, 'locked', null, 'out', array()) as {state})")
-    ordered = attempts.groupBy("account").agg(F.array_sort(F.collect_list(F.struct(c("ts").cast("timestamp_ntz").alias("ts"), c("id").cast("bigint").alias("id"), "ok"))).alias("a"))
-    span = F.expr(f"interval {minutes} minutes")
-
-    def step(s: Column, a: Column) -> Column:
-        locked = F.coalesce(s["locked"] > a["ts"], F.lit(False))
-        fresh = s["opened"].isNull() | (s["opened"] < a["ts"] - span)
-        n = F.when(fresh, F.lit(1)).otherwise(s["failed"] + 1)
-        none = F.lit(None).cast("timestamp_ntz")
-        told = F.when(locked, "locked").when(a["ok"], "session").otherwise("failed")
-        return F.struct(
-            F.when(locked, s["failed"]).when(a["ok"], F.lit(0)).otherwise(n).alias("failed"),
-            F.when(locked, s["opened"]).when(a["ok"], none).when(fresh, a["ts"]).otherwise(s["opened"]).alias("opened"),
-            F.when(locked, s["locked"]).when(~a["ok"] & (n >= failures), a["ts"] + span).alias("locked"),
-            F.concat(s["out"], F.array(F.struct(a["id"].alias("id"), told.alias("result")))).alias("out"),
-        )
-
-    return ordered.select("account", F.explode(F.aggregate("a", zero, step, lambda s: s["out"])).alias("o")).select("account", "o.id", "o.result")
+    success clears both. Nothing of an account's state outlives a gap longer than the window,
+    so an account is cut where a whole time slot of that width is empty, and its islands are
+    folded by different tasks, in time order. Only attempts without such a gap follow each
+    other in one task, one at a time."""
+    kind = attempts.schema["account"].dataType.simpleString()
+    rows = attempts.select("account", c("ts").cast("timestamp_ntz").alias("ts"), c("id").cast("bigint").alias("id"), F.coalesce("ok", F.lit(False)).alias("ok"))
+    slot = F.floor(F.unix_seconds(c("ts").cast("timestamp")) / (60 * minutes))
+    slotted = rows.withColumn("slot", slot)
+    # slots are distinct by account: few rows, however many attempts
+    slots = slotted.select("account", "slot").distinct()
+    by = Window.partitionBy("account").orderBy("slot")
+    begins = F.when(c("slot") - F.lag("slot").over(by) == 1, 0).otherwise(1)
+    islands = slots.withColumn("begins", begins).withColumn("island", F.sum("begins").over(by)).select(c("account").alias("a"), c("slot").alias("s"), "island")
+    placed = slotted.join(islands, c("account").eqNullSafe(c("a")) & (c("slot") == c("s"))).select("account", "island", "ts", "id", "ok")
+    folded = placed.repartition("account", "island").sortWithinPartitions("account", "island", "ts", "id").mapInArrow(_fold_logins(failures, timedelta(minutes=minutes)), f"account {kind}, id bigint, ts timestamp_ntz, result string")
+    return folded.withColumn("expires_at", F.when(c("result") == "session", c("ts") + F.expr(f"interval {hours} hours")))
+
+
+def sessions_at(results: DataFrame, at: datetime) -> DataFrame:
+    """account, id, expires_at of the sessions that live at a moment: an account's last login,
+    unless it has expired (an earlier session ends with the next login)."""
+    past = results.where((c("result") == "session") & (c("ts") <= F.lit(at).cast("timestamp_ntz")))
+    last = past.groupBy("account").agg(F.max_by(F.struct("id", "expires_at"), F.struct("ts", "id")).alias("r")).select("account", "r.*")
+    return last.where(c("expires_at") > F.lit(at).cast("timestamp_ntz"))

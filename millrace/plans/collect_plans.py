@@ -189,13 +189,33 @@ def snippet_votes(spark, sf_dir):
     return vote.vote(K.snippet_natures(items, {"国企": ("国有企业", "国企"), "民企": ("民营企业",)}), "company", "nature")
 
 
-@query()
+_LOGINS = """WITH RECURSIVE e AS (SELECT user_id AS account, ts, event_id AS id, event_type = 'view' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('error', 'view')),
+  s AS (SELECT account, 0::BIGINT AS n, 0 AS failed, NULL::TIMESTAMP AS opened, NULL::TIMESTAMP AS locked, NULL::BIGINT AS id, NULL::TIMESTAMP AS ts, '' AS result FROM (SELECT DISTINCT account FROM e)
+    UNION ALL SELECT s.account, e.n, CASE WHEN held THEN s.failed WHEN e.ok THEN 0 WHEN fresh THEN 1 ELSE s.failed + 1 END, CASE WHEN held THEN s.opened WHEN e.ok THEN NULL WHEN fresh THEN e.ts ELSE s.opened END,
+      CASE WHEN held THEN s.locked WHEN NOT e.ok AND NOT fresh AND s.failed + 1 >= 2 THEN e.ts + INTERVAL 600 MINUTE END, e.id, e.ts, CASE WHEN held THEN 'locked' WHEN e.ok THEN 'session' ELSE 'failed' END
+    FROM s JOIN e ON e.account = s.account AND e.n = s.n + 1, LATERAL (SELECT coalesce(s.locked > e.ts, false) AS held, coalesce(s.opened < e.ts - INTERVAL 600 MINUTE, true) AS fresh))"""
+
+
+@query(f"{_LOGINS} SELECT account, id, result, CASE WHEN result = 'session' THEN ts + INTERVAL 12 HOUR END AS expires_at FROM s WHERE n > 0")
 def login_states(spark, sf_dir):
-    """Attempts that meet a lock, fail or open a session (compared with a plain loop)."""
+    """Attempts that meet a lock, fail or open a session that lasts 12 hours."""
+    return _logins(spark, sf_dir).select("account", "id", "result", "expires_at")
+
+
+def _logins(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_type in ('error', 'view')")
     return K.login_locks(e.select(c("user_id").alias("account"), "ts", c("event_id").alias("id"), (c("event_type") == "view").alias("ok")), failures=2, minutes=600)
 
 
+@query(f"""{_LOGINS}
+  SELECT account, arg_max(id, (ts, id)) AS id, max(ts) + INTERVAL 12 HOUR AS expires_at FROM s WHERE result = 'session' AND ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY account HAVING max(ts) + INTERVAL 12 HOUR > TIMESTAMP '2024-01-20 00:00:00'""")
+def open_sessions(spark, sf_dir):
+    """Sessions that live at a moment, of all attempts' states."""
+    from datetime import datetime
+
+    return K.sessions_at(_logins(spark, sf_dir), datetime(2024, 1, 20))
+
+
 _HREFS = "regexp_extract_all(html, '(?s)<a [^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>', 1)"
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,18 +27,42 @@ def checksum(df: DataFrame) -> tuple[int, int]:
     return row[0], int(row[1]) % (1 << 62)
 
 
-def snapshot(df: DataFrame, folder: str, version: str) -> None:
-    """Write a version and its manifest row; readers go by manifests, so a half-written
-    version is never read. A version that is written again replaces both."""
+MANIFEST = "version string, stamp bigint, path string, n_rows bigint, mark bigint, written_at string"
+
+
+def _files(spark: SparkSession, folder: str):
+    """The folder's file system and its path constructor."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def snapshot(df: DataFrame, folder: str, version: str, written_at: datetime | None = None) -> None:
+    """Write a version: its rows to a path of their own, then one pointer file.
+
+    Data paths and pointers are never written twice. The pointer gets its name by a rename
+    once all is in place, so readers see the old rows or the new ones of a version, and a
+    write that fails leaves the old ones; of several pointers the newest counts."""
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{folder}/data/version={version}")
-    n, mark = checksum(spark.read.parquet(f"{folder}/data/version={version}"))
-    spark.range(1).select(F.lit(n).cast("long").alias("n_rows"), F.lit(mark).cast("long").alias("mark")).write.mode("overwrite").parquet(f"{folder}/manifest/version={version}")
+    path = f"data/{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{path}")
+    n, mark = checksum(spark.read.schema(df.schema).parquet(f"{folder}/{path}"))
+    stamp = time.time_ns()
+    at = (written_at or datetime.now(UTC)).isoformat(timespec="seconds")
+    line = json.dumps({"version": version, "stamp": stamp, "path": path, "n_rows": n, "mark": mark, "written_at": at})
+    files, make = _files(spark, folder)
+    name = f"{stamp:020d}-{uuid.uuid4().hex}.json"
+    out = files.create(make(f"{folder}/manifest/_{name}"))
+    out.write(bytearray(line.encode()))
+    out.close()
+    if not files.rename(make(f"{folder}/manifest/_{name}"), make(f"{folder}/manifest/{name}")):
+        raise OSError(f"the pointer of {version} could not be placed")
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """version, n_rows and mark of all versions."""
-    return spark.read.schema("n_rows bigint, mark bigint, version string").parquet(f"{folder}/manifest").select("version", "n_rows", "mark")
+    """version, path, n_rows, mark and written_at of all versions, by their newest pointers."""
+    rows = spark.read.schema(MANIFEST).json(f"{folder}/manifest")
+    others = ["path", "n_rows", "mark", "written_at"]
+    return rows.groupBy("version").agg(F.max_by(F.struct(*others), "stamp").alias("r")).select("version", "r.*")
 
 
 def versions(spark: SparkSession, folder: str, keep: int = 14) -> DataFrame:
@@ -44,7 +73,30 @@ def versions(spark: SparkSession, folder: str, keep: int = 14) -> DataFrame:
 def restore(spark: SparkSession, folder: str, version: str) -> DataFrame:
     """Rows of a version, verified against its manifest."""
     found = manifest(spark, folder).where(F.col("version") == version).first()
-    df = spark.read.parquet(f"{folder}/data/version={version}")
-    if found is None or checksum(df) != (found["n_rows"], found["mark"]):
+    if found is None:
+        raise ValueError(f"there is no version {version}")
+    df = spark.read.parquet(f"{folder}/{found['path']}")
+    if checksum(df) != (found["n_rows"], found["mark"]):
         raise ValueError(f"version {version} doesn't match its manifest")
     return df
+
+
+def expire(spark: SparkSession, folder: str, as_of: datetime, days: int = 14) -> list[str]:
+    """Remove versions written more than ``days`` before ``as_of``, with what superseded or
+    failed writes of that age have left; the versions that went. Pointers go before the data
+    that they name, so no reader is led to a path that is gone. The newest version stays."""
+    files, make = _files(spark, folder)
+    cut = as_of - timedelta(days=days)
+    pointers = [(r["version"], r["stamp"], r["path"], r["written_at"], r["name"]) for r in spark.read.schema(MANIFEST).json(f"{folder}/manifest").select("*", F.input_file_name().alias("name")).collect()]  # one row a version written
+    newest = max(pointers, key=lambda p: (p[0], p[1]), default=None)
+    current = {v: max(p[1] for p in pointers if p[0] == v) for v, *_ in pointers}
+    old = lambda p: datetime.fromisoformat(p[3]) < cut
+    gone = [p for p in pointers if p is not newest and old(p)]
+    for p in gone:
+        files.delete(make(p[4]), False)
+    kept = {p[2] for p in pointers} - {p[2] for p in gone}
+    for entry in files.listStatus(make(f"{folder}/data")):
+        name = f"data/{entry.getPath().getName()}"
+        if name not in kept and (name in {p[2] for p in gone} or entry.getModificationTime() < cut.timestamp() * 1000):
+            files.delete(entry.getPath(), True)
+    return sorted({p[0] for p in gone if p[1] == current[p[0]]})

@@ -1,16 +1,18 @@
 """Spreadsheet source: workbooks to rows of cells, and seed sheets to companies.
 
-Workbooks are read as zip archives in the tasks that own them, one partition for each file;
-rows come as (path, sheet, row_no, cells), with missing cells as empty strings."""
+Workbooks are read as zip archives, through Spark's own file reader, so they may lie in any
+store. A first pass lists their sheets; sheets are then dealt out, one to a task at a time,
+and their rows leave it in batches of ``BATCH``, so neither a book of many sheets nor a sheet
+of many rows fills a task. Rows are (path, sheet, row_no, cells), missing cells empty."""
 
 from __future__ import annotations
 
-import io
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,26 +79,69 @@ def rows(book: zipfile.ZipFile, member: str) -> Iterator[list[str]]:
 ROW = "path string, sheet string, row_no bigint, cells array<string>, error string"
 
 
-def _open_all(batches):
-    import pyarrow as pa
+#: Rows of a sheet that leave a task at once.
+BATCH = 2048
 
-    shape = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("row_no", pa.int64()), ("cells", pa.list_(pa.string())), ("error", pa.string())])
+_BROKEN = (zipfile.BadZipFile, KeyError, ValueError, ElementTree.ParseError)
+
+
+def _list_sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a sheet with its archive member, or one with the error of a bad file."""
     for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            error, found = None, [(None, None)]
             try:
-                with zipfile.ZipFile(io.BytesIO(content)) as book:
-                    for name, member in sheets(book):
-                        found = list(rows(book, member))
-                        yield pa.RecordBatch.from_pydict({"path": [path] * len(found), "sheet": [name] * len(found), "row_no": list(range(len(found))), "cells": found, "error": [None] * len(found)}, schema=shape)
-            except (zipfile.BadZipFile, KeyError, ValueError, ElementTree.ParseError) as why:  # one bad file must not end the job
-                yield pa.RecordBatch.from_pydict({"path": [path], "sheet": [None], "row_no": [None], "cells": [None], "error": [f"{type(why).__name__}: {why}"]}, schema=shape)
+                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as book:
+                    found = sheets(book)
+            except _BROKEN as why:  # one bad file must not end the job
+                error = f"{type(why).__name__}: {why}"
+            for name, member in found:
+                yield pa.RecordBatch.from_pydict({"path": [path], "sheet": [name], "member": [member], "error": [error]}, schema=pa.schema([(n, pa.string()) for n in ("path", "sheet", "member", "error")]))
+
+
+def _read_sheets(size: int):
+    shape = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("row_no", pa.int64()), ("cells", pa.list_(pa.string())), ("error", pa.string())])
+
+    def made(path, sheet, first: int, cells: list, error=None) -> pa.RecordBatch:
+        n = len(cells)
+        numbers = [None] if error else list(range(first, first + n))
+        return pa.RecordBatch.from_pydict({"path": [path] * n, "sheet": [sheet] * n, "row_no": numbers, "cells": cells, "error": [error] * n}, schema=shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, sheet, member, error, content in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                if error:
+                    yield made(path, None, 0, [None], error)
+                    continue
+                done, held = 0, []
+                try:
+                    with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as book:
+                        for cells in rows(book, member):
+                            held.append(cells)
+                            if len(held) == size:
+                                yield made(path, sheet, done, held)
+                                done, held = done + size, []
+                except _BROKEN as why:
+                    yield made(path, sheet, done, held)
+                    yield made(path, sheet, 0, [None], f"{type(why).__name__}: {why}")
+                    continue
+                if held:
+                    yield made(path, sheet, done, held)
+
+    return run
+
+
+def book_rows(files: DataFrame, batch: int = BATCH) -> DataFrame:
+    """All rows of all sheets of workbooks (path, content). A file that can't be read is one
+    row with its error; a sheet that breaks off keeps the rows before."""
+    listed = files.select("path", "content").mapInArrow(_list_sheets, "path string, sheet string, member string, error string")
+    dealt = listed.repartition("path", "sheet").join(files.select("path", "content"), "path")
+    return dealt.select("path", "sheet", "member", "error", "content").mapInArrow(_read_sheets(batch), ROW)
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """All rows of all sheets of the workbooks at a path or glob, on any file system. A file
-    that can't be read is one row with its error."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
-    return files.select("path", "content").mapInArrow(_open_all, ROW)
+    """All rows of all sheets of the workbooks at a path or glob, on any file system."""
+    return book_rows(spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path))
 
 
 def import_report(cells: DataFrame, made: DataFrame, known: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from millrace.functions import vocab as V
+from millrace.operators.collect import login_step
 from millrace.operators.dedupe import running
 
 
@@ -47,37 +51,75 @@ def windowed_counts(events: DataFrame, time: str = "ts", late: str = "10 minutes
     return failed.groupBy(F.window(time, width), "user_id").agg(F.count(F.lit(1)).alias("failures")).select("user_id", F.col("window.start").alias("window_start"), "failures", (F.col("failures") >= V.LOGIN_FAILURES).alias("locked"))
 
 
-LOCK_STATE = "failed int, opened timestamp, locked timestamp"
-
+class LoginStates(StatefulProcessor):
+    """Login states of one account: failures and locks, and sessions that end by a timer.
+
+    The state of an account is its failures, window and lock, and its live session. Clearing
+    timers drop the failures when window and lock are over, so idle accounts keep no state."""
+
+    def __init__(self, failures: int, minutes: int, hours: int) -> None:
+        self.failures, self.span, self.life = failures, timedelta(minutes=minutes), timedelta(hours=hours)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.tries = handle.getValueState("tries", "failed int, opened timestamp, locked timestamp")
+        self.live = handle.getValueState("live", "id bigint, expires_at timestamp")
+
+    def _ended(self, account, at) -> Iterator[pd.DataFrame]:
+        """The live session, if it is over at a moment."""
+        if self.live.exists():
+            own, expires = self.live.get()
+            if expires <= at:
+                self.live.clear()
+                yield self._row(account, own, expires, "expired")
+
+    @staticmethod
+    def _row(account, own, at, result) -> pd.DataFrame:
+        return pd.DataFrame({"account": [account], "id": [own], "at": [at], "result": [result]})
+
+    def _wake(self, at) -> None:
+        self.handle.registerTimer(int(at.timestamp() * 1000) + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["ts", "id"])
+        state = self.tries.get() if self.tries.exists() else (0, None, None)
+        for at, own, ok in zip(frame["ts"], frame["id"].tolist(), frame["ok"].tolist(), strict=True):
+            at = at.to_pydatetime()
+            yield from self._ended(key[0], at)
+            state, result = login_step(state, at, ok, self.failures, self.span)
+            if result == "session":
+                if self.live.exists():
+                    yield self._row(key[0], self.live.get()[0], at, "replaced")
+                self.live.update((own, at + self.life))
+                self._wake(at + self.life)
+            elif result == "failed":
+                self._wake((state[2] or state[1]) + self.span)
+            yield self._row(key[0], own, at, result)
+        if state[0]:
+            self.tries.update(state)
+        else:
+            self.tries.clear()
 
-def _lock_steps(key, frames, state):
-    """One account's attempts of a micro-batch, in time order, over its kept state."""
-    import pandas as pd
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000)
+        yield from self._ended(key[0], at)
+        if self.tries.exists():
+            _, opened, locked = self.tries.get()
+            if (locked is None or locked <= at) and opened < at - self.span:
+                self.tries.clear()
 
-    failed, opened, locked = state.get if state.exists else (0, None, None)
-    span = pd.Timedelta(minutes=V.LOGIN_WINDOW_MINUTES)
-    rows = pd.concat(list(frames)).sort_values(["ts", "id"])
-    told = []
-    for at, ok in zip(rows["ts"], rows["ok"], strict=True):
-        if locked is not None and pd.Timestamp(locked) > at:
-            told.append("locked")
-        elif ok:
-            failed, opened, locked = 0, None, None
-            told.append("session")
-        else:
-            fresh = opened is None or pd.Timestamp(opened) < at - span
-            failed, opened = (1, at) if fresh else (failed + 1, opened)
-            locked = at + span if failed >= V.LOGIN_FAILURES else None
-            told.append("failed")
-    state.update((failed, opened, locked))
-    yield pd.DataFrame({"account": key[0], "id": rows["id"], "result": told})
+    def close(self) -> None:
+        pass
 
 
-def follow_logins(attempts: DataFrame) -> DataFrame:
+def follow_logins(attempts: DataFrame, *, failures: int = V.LOGIN_FAILURES, minutes: int = V.LOGIN_WINDOW_MINUTES, hours: int = V.SESSION_HOURS, late: str = "10 minutes") -> DataFrame:
     """Streaming form of the login states: attempts (account, ts, id, ok) with ``result``
-    locked, failed or session; the state of an account outlives the micro-batch."""
-    keyed = attempts.select("account", F.col("ts").cast("timestamp").alias("ts"), "id", "ok").groupBy("account")
-    return keyed.applyInPandasWithState(_lock_steps, "account bigint, id bigint, result string", LOCK_STATE, "append", "NoTimeout")
+    locked, failed or session, and sessions that have expired or been replaced.
+
+    Needs the RocksDB state store, which holds states and timers beyond memory."""
+    kind = attempts.schema["account"].dataType.simpleString()
+    keyed = attempts.select("account", F.col("ts").cast("timestamp").alias("ts"), F.col("id").cast("bigint").alias("id"), F.coalesce("ok", F.lit(False)).alias("ok")).withWatermark("ts", late).groupBy("account")
+    return keyed.transformWithStateInPandas(LoginStates(failures, minutes, hours), f"account {kind}, id bigint, at timestamp, result string", "Append", "EventTime")
 
 
 def run_queue(queue: DataFrame, *, max_attempts: int = 3) -> DataFrame:
