@@ -37,7 +37,7 @@ from millrace.llm.text import LOWER, as_buffers, pieces
 from millrace.session import durable, table
 
 #: Words of a shard (some 200 bytes of memory a word), and phrases of a batch that leaves it.
-SHARD_WORDS, BATCH = 1 << 19, 1 << 16
+SHARD_WORDS, BATCH = 1 << 18, 1 << 16
 
 #: Bits of a Bloom filter (fixed, so that what a task holds never grows) and its hashes.
 FILTER_BITS, FILTER_HASHES = 1 << 26, 3
@@ -63,11 +63,12 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     first[edge] |= inside[edge]
     starts = np.flatnonzero(first)
     row = np.searchsorted(offsets, starts, "right") - 1
-    stops = np.cumsum(kind == 2, dtype=np.int64)[starts] if len(starts) else np.zeros(0, np.int64)
+    stops = np.searchsorted(np.flatnonzero(kind == 2), starts)
     opens = np.ones(len(starts), bool)
     opens[1:] = (stops[1:] != stops[:-1]) | (row[1:] != row[:-1])
     kept = LOWER[data[inside]]
-    at = np.append(np.cumsum(inside)[starts] - 1 if len(starts) else np.zeros(0, np.int64), len(kept)).astype(np.int64)
+    lens = np.add.reduceat(inside.view(np.uint8), starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+    at = np.concatenate(([0], np.cumsum(lens)))
     words = pa.Array.from_buffers(pa.large_utf8(), len(starts), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(kept.tobytes())])
     return words, opens, row
 
