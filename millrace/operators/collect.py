@@ -19,6 +19,7 @@ from millrace.functions import vocab as V
 from millrace.operators import dedupe
 from millrace.operators.workflow import _first
 from millrace.session import durable
+from millrace.sources import feeds
 from millrace.sources import html as H
 
 c = F.col
@@ -183,6 +184,89 @@ def best_source(lists: list[tuple[str, DataFrame]], page: str = "page_id") -> Da
     return tagged.join(best, [page, "__rank"]).drop("__rank")
 
 
+#: Confidence of a detail by its adapter: base, title, text over 40, place, kind.
+DETAIL_POINTS = {"moka": (0.55, 0.15, 0.2, 0.05, 0.0), "zhiye": (0.55, 0.15, 0.2, 0.05, 0.0), "feishu": (0.6, 0.15, 0.15, 0.05, 0.05)}
+
+#: A card's line of city, kind and category, and the words of kinds.
+CARD_META = r"([\u4e00-\u9fffA-Za-z·、,/ ]{2,40})\s*[|｜]\s*(实习|正式|校招|社招|全职|兼职)\s*[|｜]\s*([^\n|｜]{2,40})"
+REGULAR_WORDS, SOCIAL_WORDS = ("正式", "校招", "全职", "校园"), ("社招", "社会招聘")
+
+INIT_JOBS = "array<struct<id string, title string, jobDescription string, description string, locations array<struct<cityName string>>>>"
+
+
+def detail_records(pages: DataFrame) -> DataFrame:
+    """Detail pages (page_id, url, html) by the rules of the source that their host belongs to:
+    adapter, title, jd_text, recruit_project, recruit_bucket, work_location, raw_category,
+    job_tags, parse_status, confidence, apply_url, source.
+
+    A page is parsed once; the sources differ in what they read first (embedded postings and
+    state, sections, a message's body), in how a noisy title is mended, in how kinds become
+    projects, and in their confidence. Pages without title and text, and those of other
+    hosts, go by the general rules; script-only list pages of one source are told as such."""
+    facts = H.detail_facts(pages).withColumns({"adapter": U.adapter(c("url")), "blob": F.array_join(feeds.embedded_json(T.or_empty(c("html"))), "\n")})
+    is_ = lambda *names: c("adapter").isin(*names)
+
+    # an embedded posting: the one that the address names, else the only one
+    jobs = F.filter(F.from_json(F.get_json_object(P.init_data(c("html")), "$.jobs"), INIT_JOBS), lambda j: T.or_empty(j["title"]) != "")
+    own_id = F.regexp_extract(c("url"), r"(?i)(?:/jobs?/|/position/|jobadid=)([^/?#&]+)", 1)
+    named = F.get(F.filter("jobs", lambda j: j["id"] == own_id), F.lit(0))
+    chosen = F.coalesce(named, F.when(F.size("jobs") == 1, F.get("jobs", F.lit(0))))
+    cities = lambda xs: F.nullif(F.array_join(F.array_distinct(F.filter(xs, lambda x: T.or_empty(x) != "")), " / "), F.lit(""))
+    one = facts.withColumn("jobs", F.when(is_("moka"), jobs)).withColumn("job", chosen).withColumn("several", (F.size("jobs") > 1) & (own_id == ""))
+    blob_cities = F.regexp_extract_all(F.regexp_extract("blob", r'"city_list"\s*:\s*\[(.*?)\]', 1), F.lit(r'"name"\s*:\s*"([^"]*)"'), F.lit(1))
+    blob_kind = F.nullif(F.regexp_extract("blob", r'"recruit_type"\s*:\s*\{[^}]*?"name"\s*:\s*"([^"]*)"', 1), F.lit(""))
+    blob_category = F.nullif(F.regexp_extract("blob", r'"(?:job_category|job_function)"\s*:\s*\{[^}]*?"name"\s*:\s*"([^"]*)"', 1), F.lit(""))
+    meta = lambda i: F.nullif(T.strip(F.regexp_extract("head", CARD_META, i)), F.lit(""))
+    two = one.withColumns(
+        {
+            "kind": F.when(is_("feishu"), F.coalesce(blob_kind, meta(2))),
+            "category": F.when(is_("feishu"), F.coalesce(blob_category, meta(3))),
+            "shown_place": F.when(is_("feishu"), F.coalesce(cities(blob_cities), meta(1))).when(is_("moka"), cities(F.transform("job.locations", lambda x: x["cityName"]))),
+            "text": F.when(is_("wechat"), c("message")).otherwise(F.coalesce(T.non_blank(F.coalesce("job.jobDescription", "job.description")), R.dug_text(c("blob")), F.when(is_("zhiye", "feishu"), c("section")), T.non_blank(c("longest")))),
+            "said": F.when(is_("wechat"), c("headline")).otherwise(F.coalesce("job.title", "title", R.dug_title(c("blob")))),
+        }
+    )
+    noisy = T.is_noise_title(T.or_empty(c("said")))
+    mended = F.when(is_("wechat"), T.non_blank(c("said"))).when(~noisy, F.when(is_("moka"), L.sanitized_title(c("said"))).otherwise(T.strip(c("said")))).when(is_("moka", "zhiye"), L.title_in_text(c("text")))
+    three = two.withColumn("own_title", mended).withColumn("place", F.when(is_("feishu", "wechat"), c("shown_place")).otherwise(F.coalesce("shown_place", L.place_in_text(c("text")))))
+    kind = T.strip(T.or_empty(c("kind")))
+    told = F.concat(kind, F.lit(" "), T.or_empty(c("own_title")))
+    worded = C.project_of(c("own_title"), F.when(is_("feishu"), kind).otherwise(c("text")))
+    four = three.withColumn("worded", worded).withColumns(
+        {
+            "project": F.when(is_("feishu"), F.when(F.contains(told, F.lit("实习")), F.coalesce(F.nullif(kind, F.lit("")), F.lit("实习"))).when(T.has_any(told, REGULAR_WORDS), F.coalesce(F.nullif(kind, F.lit("")), F.lit("正式"))).when(T.has_any(told, SOCIAL_WORDS), F.coalesce(F.nullif(kind, F.lit("")), F.lit("社招"))).otherwise(F.coalesce(c("worded"), F.nullif(kind, F.lit("")), F.lit("校园招聘")))).when(is_("wechat"), F.coalesce(c("worded"), F.when(c("own_title").isNotNull(), "公众号公告"))).otherwise(c("worded")),
+        }
+    )
+    mapped = C.map_bucket(F.when(is_("wechat"), c("worded")).otherwise(c("project")), c("own_title"))
+    five = four.withColumn("bucket", F.when(is_("feishu"), F.when(F.contains(told, F.lit("实习")), "日常实习").when(T.has_any(told, REGULAR_WORDS + SOCIAL_WORDS), "校招").otherwise(F.coalesce(mapped, F.lit("校招")))).otherwise(mapped))
+
+    general = P.general_records(five.select("page_id", "title", "longest", "html")).select(c("page_id").alias("g_id"), F.struct("title", "jd_text", "recruit_project", "recruit_bucket", "work_location", "parse_status", "confidence").alias("g"))
+    shell = is_("hotjob") & P.is_spa_shell(c("html"))
+    listed = (is_("moka") & c("several")) | shell
+    by_rule = ~is_("generic", "hotjob") & (is_("wechat") | c("own_title").isNotNull() | c("text").isNotNull())
+    state = five.withColumns({"listed": F.coalesce(listed, F.lit(False)), "ruled": F.coalesce(by_rule, F.lit(False)), "channel": R.channel_of_url(c("url"))}).drop("title", "longest", "html", "jobs", "job")
+    joined = durable(state).join(general, c("page_id") == c("g_id"), "left")
+
+    part = lambda test, x: F.when(F.coalesce(test, F.lit(False)), F.lit(x)).otherwise(F.lit(0.0))
+    points = F.lit(0.0)
+    for name, (base, title, text, place, known) in DETAIL_POINTS.items():
+        sure = F.lit(base) + part(c("own_title").isNotNull(), title) + part(F.length("text") > 40, text) + part(c("place").isNotNull(), place) + part(c("kind").isNotNull(), known)
+        points = F.when(is_(name), F.least(F.lit(0.95), sure)).otherwise(points)
+    points = F.when(is_("wechat"), F.when(c("own_title").isNotNull() & c("text").isNotNull(), 0.65).otherwise(0.4)).otherwise(points)
+    projects = F.coalesce(*[F.when(c("channel") == k, F.lit(v)) for k, v in {"campus": "校园招聘", "intern": "实习生招聘", "social": "社会招聘"}.items()])
+    buckets = F.coalesce(*[F.when(c("channel") == k, F.lit(v)) for k, v in {"campus": "校招", "intern": "日常实习"}.items()])
+    pick = lambda own, other, of_list=None: F.when(c("listed"), F.lit(None) if of_list is None else F.when(is_("hotjob"), of_list)).when(c("ruled"), own).otherwise(other)
+    source = F.when(c("listed"), F.when(is_("hotjob"), "hotjob_list_shell").otherwise("moka_list")).when(c("ruled"), F.concat("adapter", F.lit("_detail"))).otherwise("general")
+    title = pick(c("own_title"), c("g.title"))
+    return joined.select(
+        "page_id", "adapter", title.alias("title"), pick(c("text"), c("g.jd_text")).alias("jd_text"), pick(c("project"), c("g.recruit_project"), projects).alias("recruit_project"), pick(c("bucket"), c("g.recruit_bucket"), buckets).alias("recruit_bucket"),
+        pick(c("place"), c("g.work_location")).alias("work_location"), pick(F.coalesce("category", "kind"), F.lit(None).cast("string")).alias("raw_category"), T.tags(T.or_empty(title)).alias("job_tags"),
+        F.when(c("listed"), "needs_browser").when(c("ruled"), F.when(c("own_title").isNotNull(), "ok").otherwise("needs_browser")).otherwise(c("g.parse_status")).alias("parse_status"),
+        F.round(F.when(c("listed"), F.lit(0.15)).when(c("ruled"), points).otherwise(c("g.confidence")), 6).alias("confidence"),
+        F.when(is_("hotjob"), P.with_post_type(c("url"), c("channel"))).otherwise(c("url")).alias("apply_url"), source.alias("source"),
+    )
+
+
 def page_candidates(pages: DataFrame, as_of: date, months: int = V.LIST_MONTHS) -> DataFrame:
     """Postings that pages (page_id, url, html) offer: page_id, source, pos, title, link,
     outside (older than ``months``), notices of the page, and error where it offers none.

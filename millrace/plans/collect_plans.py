@@ -252,8 +252,11 @@ def page_collection_stats(spark, sf_dir):
 
 _TITLE = "trim(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"
 
+#: A page's title in SQL, without bars and dashes at its ends.
+_SHOWN = rf"nullif(regexp_replace({_TITLE}, '^[ \-—–|\t]+|[ \-—–|\t]+$', '', 'g'), '')"
 
-@query(f"""WITH p AS (SELECT page_id, CAST(page_id AS VARCHAR) AS k, {_TITLE} AS own, regexp_extract(url, '^[^:/?#]+://[^/?#]*') AS root FROM pages), q AS (SELECT *, own <> '' AS fit FROM p)
+
+@query(f"""WITH p AS (SELECT page_id, CAST(page_id AS VARCHAR) AS k, coalesce({_SHOWN}, '') AS own, regexp_extract(url, '^[^:/?#]+://[^/?#]*') AS root FROM pages), q AS (SELECT *, own <> '' AS fit FROM p)
   SELECT page_id, 'table' AS source, 0::BIGINT AS pos, '算法工程师 ' || k AS title, NULL AS link, false AS outside, '1 outside the window' AS notices, NULL AS error FROM q WHERE page_id % 4 = 1
   UNION ALL SELECT page_id, 'table', 1, '会计 ' || k, NULL, true, '1 outside the window', NULL FROM q WHERE page_id % 4 = 1
   UNION ALL SELECT page_id, 'cards', n, '测试工程师 ' || k || n, root || '/' || k || '/' || n, false, 'table: 2 unusable', NULL FROM q, (VALUES (0), (1)) AS v(n) WHERE page_id % 4 = 2
@@ -269,3 +272,85 @@ def url_candidates(spark, sf_dir):
     more = F.when(c("page_id") % 4 == 1, job_table).when(c("page_id") % 4 == 2, cards).when(c("page_id") % 4 == 3, embedded).otherwise("")
     pages = table(spark, sf_dir, "pages").withColumn("html", F.concat("html", more))
     return K.page_candidates(pages, AS_OF).withColumn("notices", F.array_join("notices", "; "))
+
+
+_DUTY = "负责后端服务的开发与维护，参与系统设计与评审，编写测试与文档，持续改进线上质量与性能表现"
+_HEAD = "regexp_extract(html, '<title>(.*?)</title>', 1)"
+
+
+def _details(spark, sf_dir, address: str, bodies: list[str]):
+    """Real heads of pages with bodies of one source, by page number; [k] is the number."""
+    k = c("page_id").cast("string")
+    body = lambda t: F.replace(F.lit(t), F.lit("[k]"), k)
+    of = F.coalesce(*[F.when(c("page_id") % len(bodies) == i, body(b)) for i, b in enumerate(bodies)])
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit(address), k).alias("url"), F.concat(F.regexp_extract("html", "(?s)^.*?</title>", 0), F.lit("</head><body>"), of, F.lit("</body></html>")).alias("html"))
+    made = K.detail_records(pages)
+    return made.select("page_id", "adapter", "title", F.length("jd_text").cast("long").alias("n_text"), c("recruit_project").alias("project"), c("recruit_bucket").alias("bucket"), c("work_location").alias("place"), c("raw_category").alias("category"), c("parse_status").alias("status"), F.round(c("confidence") * 100).cast("long").alias("points"), "source")
+
+
+def _detail_sql(adapter: str, *cases: tuple) -> str:
+    """Twin of a source's details: by page number, expressions of title (t is the page's own),
+    n_text, project, bucket, place, category, status, points and source."""
+    n = len(cases)
+    names = ("title", "n_text", "project", "bucket", "place", "category", "status", "points", "source")
+    columns = [f"CASE page_id % {n} " + " ".join(f"WHEN {i} THEN {case[j]}" for i, case in enumerate(cases)) + f" END AS {name}" for j, name in enumerate(names)]
+    return f"SELECT page_id, '{adapter}' AS adapter, {', '.join(columns)} FROM (SELECT page_id, nullif({_TITLE}, '') AS t, {_SHOWN} AS shown FROM pages)"
+
+
+_NO = "CAST(NULL AS VARCHAR)"
+
+
+@query(_detail_sql(
+    "moka",
+    ("coalesce(shown, '后端工程师 ' || page_id)", f"{len(_DUTY) + 16}::BIGINT", "'日常实习'", "'日常实习'", "'上海'", _NO, "'ok'", "95", "'moka_detail'"),
+    ("'数据工程师 ' || page_id", f"{len(_DUTY)}", _NO, _NO, "'北京 / 杭州'", _NO, "'ok'", "95", "'moka_detail'"),
+    ("shown", "5", _NO, _NO, _NO, _NO, "CASE WHEN shown IS NULL THEN 'needs_browser' ELSE 'ok' END", "CASE WHEN shown IS NULL THEN 55 ELSE 70 END", "'moka_detail'"),
+))
+def moka_details(spark, sf_dir):
+    """Details whose posting is embedded as state or as a list, or shown as plain text."""
+    state = '<script>window.__INITIAL_STATE__ = {"job":{"title":"后端工程师 [k]","description":"' + _DUTY + '。\\n工作地点：上海\\n日常实习岗位"}};</script>'
+    listed = '<input id="init-data" value="{&quot;jobs&quot;:[{&quot;id&quot;:&quot;x&quot;,&quot;title&quot;:&quot;别的岗位&quot;},{&quot;id&quot;:&quot;[k]&quot;,&quot;title&quot;:&quot;数据工程师 [k]&quot;,&quot;jobDescription&quot;:&quot;' + _DUTY + '&quot;,&quot;locations&quot;:[{&quot;cityName&quot;:&quot;北京&quot;},{&quot;cityName&quot;:&quot;杭州&quot;},{&quot;cityName&quot;:&quot;北京&quot;}]}]}">'
+    return _details(spark, sf_dir, "https://app.mokahr.com/job/", [state, listed, "<p>short</p>"])
+
+
+@query(_detail_sql(
+    "zhiye",
+    ("t", f"{len(_DUTY) + 13}::BIGINT", "'秋招'", "'校招'", "'武汉'", _NO, "CASE WHEN t IS NULL THEN 'needs_browser' ELSE 'ok' END", "CASE WHEN t IS NULL THEN 80 ELSE 95 END", "'zhiye_detail'"),
+    ("t", "5", _NO, _NO, _NO, _NO, "CASE WHEN t IS NULL THEN 'needs_browser' ELSE 'ok' END", "CASE WHEN t IS NULL THEN 55 ELSE 70 END", "'zhiye_detail'"),
+))
+def zhiye_details(spark, sf_dir):
+    """Details whose text stands in a section of the page."""
+    section = f'<div class="x"><div class="job-detail"><p>{_DUTY}</p><p>工作地点：武汉</p><p>秋招岗位</p></div></div><p>' + "导航" * 200 + "</p>"
+    return _details(spark, sf_dir, "https://a.zhiye.com/detail?jobAdId=", [section, "<p>short</p>"])
+
+
+@query(_detail_sql(
+    "feishu",
+    ("t", f"{len(_DUTY)}::BIGINT", "'实习'", "'日常实习'", "'北京 / 深圳'", "'研发'", "CASE WHEN t IS NULL THEN 'needs_browser' ELSE 'ok' END", "CASE WHEN t IS NULL THEN 85 ELSE 95 END", "'feishu_detail'"),
+    ("t", f"{len(_DUTY)}", "'正式'", "'校招'", "'上海'", "'产品'", "CASE WHEN t IS NULL THEN 'needs_browser' ELSE 'ok' END", "CASE WHEN t IS NULL THEN 85 ELSE 95 END", "'feishu_detail'"),
+    ("t", "5", "'校园招聘'", "'校招'", _NO, _NO, "CASE WHEN t IS NULL THEN 'needs_browser' ELSE 'ok' END", "CASE WHEN t IS NULL THEN 60 ELSE 75 END", "'feishu_detail'"),
+))
+def feishu_details(spark, sf_dir):
+    """Details by embedded state, by a line of city, kind and category, or neither."""
+    state = '<script>window.__INITIAL_STATE__ = {"description":"' + _DUTY + '","city_list":[{"name":"北京"},{"name":"深圳"}],"recruit_type":{"id":1,"name":"实习"},"job_category":{"name":"研发"}};</script>'
+    return _details(spark, sf_dir, "https://a.jobs.feishu.cn/position/", [state, f"<p>上海 | 正式 | 产品</p><article><p>{_DUTY}</p></article>", "<p>short</p>"])
+
+
+@query(_detail_sql(
+    "wechat",
+    ("'公告 ' || page_id", "6::BIGINT", "'公众号公告'", _NO, _NO, _NO, "'ok'", "65", "'wechat_detail'"),
+    (_NO, "6", "'春招'", "'校招'", _NO, _NO, "'needs_browser'", "40", "'wechat_detail'"),
+))
+def wechat_details(spark, sf_dir):
+    """Messages, by their headline and body."""
+    return _details(spark, sf_dir, "https://mp.weixin.qq.com/s/", ['<h1 id="activity-name">公告 [k]</h1><div id="js_content"><p>请看附件内容</p></div>', '<div class="rich_media_area">春招开始报名</div>'])
+
+
+@query(_detail_sql(
+    "hotjob",
+    (_NO, "NULL::BIGINT", "'实习生招聘'", "'日常实习'", _NO, _NO, "'needs_browser'", "15", "'hotjob_list_shell'"),
+    ("shown", f"{len(_DUTY)}", _NO, _NO, _NO, _NO, "CASE WHEN shown IS NULL THEN 'needs_browser' ELSE 'ok' END", "CASE WHEN shown IS NULL THEN 30 ELSE 50 END", "'general'"),
+))
+def hotjob_details(spark, sf_dir):
+    """Script-only lists by their channel, other pages by the general rules."""
+    return _details(spark, sf_dir, "https://wecruit.hotjob.cn/SU1/pb/interns.html?postType=intern&k=", ['<div id="app"></div>', f"<table><tr><td>职位名称</td></tr></table><p>{_DUTY}</p>"])

@@ -16,7 +16,7 @@ from millrace.plans.record_plans import cases
 from millrace.plans.registry import registry
 from millrace.plans.roles import AS_OF
 from millrace.session import table
-from millrace.sources import feeds
+from millrace.sources import feeds, xlsx
 from millrace.sources import html as H
 from millrace.streaming import changes
 
@@ -284,3 +284,49 @@ def tick_dates(spark, sf_dir):
     """Dates of .NET ticks."""
     ticks = F.lit(638000000000000000) + (c("doc_id") % 300) * 864000000000
     return table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), D.ticks_date(ticks).alias("day"))
+
+
+def _books(spark, sf_dir) -> DataFrame:
+    """Workbooks (path, content) of the parts, made in the tasks: a book a brand, with a sheet
+    of companies, which is longer than a batch of the reader, and a sheet of notes."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def packed(frames):
+        for frame in frames:
+            books = []
+            for rows in frame["rows"]:
+                cell = lambda x: f'<c t="inlineStr"><is><t>{x}</t></is></c>'
+                line = lambda *xs: "<row>" + "".join(map(cell, xs)) + "</row>"
+                sheet = "".join([line("名单"), line("公司名称", "企业性质", "网申地址"), *(line(r["name"], r["nature"], r["url"]) for r in rows)])
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("xl/workbook.xml", '<workbook xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="s1" r:id="a"/><sheet name="表格说明" r:id="b"/></sheets></workbook>')
+                    z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/1.xml"/><Relationship Id="b" Target="/xl/worksheets/2.xml"/></Relationships>')
+                    z.writestr("xl/worksheets/1.xml", f"<worksheet><sheetData>{sheet}</sheetData></worksheet>")
+                    z.writestr("xl/worksheets/2.xml", f"<worksheet><sheetData>{line('公司名称')}{line('不是公司')}</sheetData></worksheet>")
+                books.append(out.getvalue())
+            yield pd.DataFrame({"path": frame["path"], "content": books})
+
+    parts = table(spark, sf_dir, "part").select(c("p_brand").alias("path"), F.struct(c("p_partkey").alias("k"), F.concat(F.lit("公司"), c("p_partkey").cast("string")).alias("name"), F.when(c("p_size") % 2 == 0, "国企").otherwise("民企").alias("nature"), F.concat(F.lit("https://a.com/campus/"), c("p_size").cast("string")).alias("url")).alias("r"))
+    whole = parts.groupBy("path").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    return whole.mapInPandas(packed, "path string, content binary")
+
+
+@query("""WITH p AS (SELECT p_brand AS path, '公司' || p_partkey AS name, CASE WHEN p_size % 2 = 0 THEN '国企' ELSE '民企' END AS nature, 'https://a.com/campus/' || p_size AS url, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) + 1 AS row_no FROM part)
+  SELECT path, 's1' AS sheet, row_no, name || '|' || nature || '|' || url AS cells FROM p
+  UNION ALL SELECT DISTINCT path, 's1', 0, '名单' FROM p UNION ALL SELECT DISTINCT path, 's1', 1, '公司名称|企业性质|网申地址' FROM p
+  UNION ALL SELECT DISTINCT path, '表格说明', 0, '公司名称' FROM p UNION ALL SELECT DISTINCT path, '表格说明', 1, '不是公司' FROM p""")
+def workbook_rows(spark, sf_dir):
+    """All rows of all sheets of workbooks, sheet by sheet and in batches."""
+    rows = xlsx.book_rows(_books(spark, sf_dir), batch=3)
+    return rows.select("path", "sheet", "row_no", F.array_join("cells", "|").alias("cells"))
+
+
+@query("SELECT p_brand AS path, '公司' || p_partkey AS name, CASE WHEN p_size % 2 = 0 THEN '国企' ELSE '民企' END AS nature, 'https://a.com/campus/' || p_size AS url, 'unverified' AS status FROM part")
+def workbook_companies(spark, sf_dir):
+    """Companies of the sheets with a header, without sheets of notes."""
+    made = xlsx.seed_companies(xlsx.book_rows(_books(spark, sf_dir)))
+    return made.select("path", "name", c("company_nature").alias("nature"), F.array_join("hint_apply_urls", "|").alias("url"), c("verify_status").alias("status"))

@@ -254,6 +254,74 @@ def cards(pages: DataFrame) -> DataFrame:
     return read.withColumns({"title": L.sanitized_title(F.col("title")), "location": F.coalesce("location", L.place_in_text(F.col("text"))), "updated": F.coalesce("updated", dated), "headcount": L.normal_headcount(F.coalesce("headcount", counted))}).where("title is not null")
 
 
+#: Elements that hold a posting's text, in order of preference, and a message's.
+SECTIONS = ("article", "description", "detail", "main")
+MESSAGE_ID, MESSAGE_CLASS = "js_content", "rich_media"
+
+
+class _Detail(_Page):
+    """A page with the texts of its sections: the first of each kind, and a message's body."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.sections: dict[str, list[str]] = {}
+        self.within: list[tuple[int, str]] = []  # depth and kind of open sections
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        super().handle_starttag(tag, attrs)
+        if tag in _VOID:
+            return
+        a = {k: v or "" for k, v in attrs}
+        kinds = [k for k in SECTIONS if tag == k or (k in ("description", "detail") and k in a.get("class", ""))]
+        if a.get("id") == MESSAGE_ID or (tag == "div" and MESSAGE_CLASS in a.get("class", "")):
+            kinds.append("message" if a.get("id") == MESSAGE_ID else "rich")
+        for kind in kinds:
+            if kind not in self.sections:
+                self.sections[kind] = []
+                self.within.append((len(self.stack), kind))
+
+    def handle_endtag(self, tag: str) -> None:
+        super().handle_endtag(tag)
+        self.within = [(depth, kind) for depth, kind in self.within if depth <= len(self.stack)]
+
+    def handle_data(self, data: str) -> None:
+        if self.into and self.into[-1][0] == "title":  # a page's title is no text of its body
+            self.into[-1][1].append(data)
+            return
+        super().handle_data(data)
+        if not self.silent and data.strip():
+            for _, kind in self.within:
+                self.sections[kind].append(" ".join(data.split()))
+
+
+def _detail_of(html: str | None) -> tuple:
+    page = _Detail()
+    page.feed(html or "")
+    page.close()
+    while page.stack:
+        page.handle_endtag(page.stack[-1][0])
+    text = visible(page)
+    said = {kind: "\n".join(parts) for kind, parts in page.sections.items()}
+    section = next((said[k] for k in SECTIONS if len(said.get(k, "")) > 40), None)
+    message = said.get("message") or said.get("rich")
+    longest = max(text.split("\n"), key=len, default="")
+    return page.og or page.title or page.heading or None, page.og or page.heading or None, section and section[:20000], message and message[:20000], longest[:20000], text[:3000]
+
+
+def detail_facts(pages: DataFrame) -> DataFrame:
+    """``pages`` (page_id, url, html) with what a detail page shows, by one parse: title (og,
+    title, heading), headline (og, heading), section, message, longest block and the head of
+    the visible text."""
+    names = ["title", "headline", "section", "message", "longest", "head"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            facts = pd.DataFrame([_detail_of(h) for h in frame["html"]], columns=names, index=frame.index)
+            yield pd.concat([frame, facts], axis=1)
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id bigint, url string, html string, " + ", ".join(f"{n} string" for n in names))
+
+
 #: Sources of postings on a page, in the order in which they are tried.
 SOURCES = ("embedded", "table", "cards", "links", "detail")
 

@@ -79,3 +79,30 @@ def test_page_candidates_take_the_first_source_that_serves(spark):
     assert got[8][0][4] == "no posting" and got[8][0][3] == ("detail: 1 unusable",)
     assert [x[:2] for x in got[9]] == [("table", "产品经理")]
     assert collect.page_candidates(df.limit(0), date(2026, 8, 1)).count() == 0
+
+
+def test_details_of_each_source(spark):
+    text = "负责后端服务的开发与维护，参与系统设计与评审，编写测试与文档，持续改进线上质量与性能表现"
+    og = '<meta property="og:title" content="{}">'
+    pages = {
+        1: ("https://a.mokahr.com/campus", '<input id="init-data" value="{&quot;jobs&quot;:[{&quot;id&quot;:&quot;1&quot;,&quot;title&quot;:&quot;甲岗&quot;},{&quot;id&quot;:&quot;2&quot;,&quot;title&quot;:&quot;乙岗&quot;}]}">'),
+        2: ("https://a.mokahr.com/job/9", og.format("首页") + f"<p>岗位名称：测试工程师 {text}</p>"),
+        3: ("https://a.zhiye.com/detail?jobAdId=1", og.format("首页") + f"<main>短</main><article>{text}<p>工作地点：西安</p></article>"),
+        4: ("https://a.jobs.feishu.cn/position/1", og.format("登录") + f"<div class='job-description'>{text}</div>"),
+        5: ("https://mp.weixin.qq.com/s/1", og.format("某公司2027届秋招启动") + "<div id='js_content'><p>日常实习</p><p>秋招</p></div>"),
+        6: ("https://wecruit.hotjob.cn/SU1/pb/school.html", "<div id='app'></div>"),
+        7: ("https://a.com/x", og.format("结构工程师") + f"<p>{text}{text}</p>"),
+        8: ("https://a.zhiye.com/detail", ""), 9: ("https://a.mokahr.com/job/1", None), 10: (None, "<p>x</p>"),
+    }
+    df = spark.createDataFrame([(k, *v) for k, v in pages.items()], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r for r in collect.detail_records(df).collect()}
+    assert set(got) == set(pages)
+    assert (got[1]["source"], got[1]["title"], got[1]["parse_status"], got[1]["confidence"]) == ("moka_list", None, "needs_browser", 0.15)
+    assert got[2]["title"].startswith("测试工程师") and got[2]["source"] == "moka_detail"
+    assert (got[3]["jd_text"], got[3]["work_location"], got[3]["source"]) == (f"{text}\n工作地点：西安", "西安", "zhiye_detail")
+    assert (got[4]["title"], got[4]["jd_text"], got[4]["recruit_project"], got[4]["confidence"]) == (None, text, "校园招聘", 0.75)
+    assert (got[5]["title"], got[5]["recruit_project"], got[5]["recruit_bucket"], got[5]["confidence"]) == ("某公司2027届秋招启动", "日常实习", "应届生实习", 0.65)
+    assert (got[6]["source"], got[6]["recruit_project"], got[6]["recruit_bucket"], got[6]["confidence"]) == ("hotjob_list_shell", "校园招聘", "校招", 0.15)
+    assert (got[7]["adapter"], got[7]["title"], got[7]["source"]) == ("generic", "结构工程师", "general")
+    assert all(0 <= r["confidence"] <= 0.95 for r in got.values())
+    assert collect.detail_records(df.limit(0)).count() == 0
