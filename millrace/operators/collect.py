@@ -184,6 +184,33 @@ def best_source(lists: list[tuple[str, DataFrame]], page: str = "page_id") -> Da
     return tagged.join(best, [page, "__rank"]).drop("__rank")
 
 
+#: Why the clean-up deletes a posting, in the order of its report.
+DELETIONS = ("noise_title", "closed_or_referral_title", "closed_or_referral_jd", "company_recruit_shell", "company_mismatch", "duplicate", "portal_shell_extra")
+
+
+def deletions(jobs: DataFrame) -> DataFrame:
+    """Shown and pending postings (id, company, title, jd_text, source_url, apply_url, ...)
+    with the ``reason`` for which the clean-up deletes them; null for those that stay.
+
+    Closed and noisy titles come first, then closed texts, then titles of another company;
+    only what is left is compared within its company, where the best of a title stays, and
+    shells beside details or beside a better shell go. Titles of company and season alone
+    are no reason any more, so that counter stays at zero."""
+    title, text = T.or_empty(c("title")), T.or_empty(c("jd_text"))
+    first = F.when(T.is_closed_title(title), "closed_or_referral_title").when(T.is_noise_title(title), "noise_title").when(T.is_closed_text(text), "closed_or_referral_jd").when(T.title_mismatch(c("company"), title), "company_mismatch")
+    url = F.coalesce(T.non_blank(c("apply_url")), c("source_url"))
+    facts = {"company_key": T.company_key(c("company")), "title_key": T.title_key(title), "identity": F.coalesce(U.identity_url(url), F.lit("")), "has_detail": F.coalesce(U.is_detail_url(url), F.lit(False)), "jd_len": F.length(text), "is_shell": F.coalesce(C.is_portal_shell(title, text), F.lit(False))}
+    judged = durable(jobs.where(c("status").isin("active", "pending_review")).withColumns({"reason": first, **facts}))
+    fates = dedupe.clean_up(judged.where("reason is null")).select("id", F.when(F.startswith("fate", F.lit("duplicate")), "duplicate").when(c("fate") == "shell", "portal_shell_extra").alias("__fate"))
+    return judged.drop(*facts).join(fates, "id", "left").withColumn("reason", F.coalesce("reason", "__fate")).drop("__fate")
+
+
+def deletion_counts(jobs: DataFrame) -> DataFrame:
+    """One row: deletions by each reason, all deletions, and the postings still shown."""
+    told = deletions(jobs)
+    return told.agg(F.count("reason").alias("deleted"), *[F.count_if(c("reason").eqNullSafe(r)).alias(r) for r in DELETIONS], F.count_if(c("reason").isNull() & (c("status") == "active")).alias("active_remaining"))
+
+
 #: Confidence of a detail by its adapter: base, title, text over 40, place, kind.
 DETAIL_POINTS = {"moka": (0.55, 0.15, 0.2, 0.05, 0.0), "zhiye": (0.55, 0.15, 0.2, 0.05, 0.0), "feishu": (0.6, 0.15, 0.15, 0.05, 0.05)}
 

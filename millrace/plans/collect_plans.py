@@ -11,7 +11,7 @@ from millrace.functions import urls as U
 from millrace.operators import collect as K
 from millrace.plans.record_plans import _jobs, _J, cases
 from millrace.plans.registry import registry
-from millrace.plans.roles import AS_OF
+from millrace.plans.roles import AS_OF, postings
 from millrace.session import table
 from millrace.sources import html as H
 
@@ -354,3 +354,9 @@ def wechat_details(spark, sf_dir):
 def hotjob_details(spark, sf_dir):
     """Script-only lists by their channel, other pages by the general rules."""
     return _details(spark, sf_dir, "https://wecruit.hotjob.cn/SU1/pb/interns.html?postType=intern&k=", ['<div id="app"></div>', f"<table><tr><td>职位名称</td></tr></table><p>{_DUTY}</p>"])
+
+
+@query()
+def deletion_report(spark, sf_dir):
+    """Counters of the clean-up by reason (compared with a plain loop)."""
+    return K.deletion_counts(postings(spark, sf_dir).withColumn("apply_url", F.lit(None).cast("string")))

@@ -106,3 +106,43 @@ def test_details_of_each_source(spark):
     assert (got[7]["adapter"], got[7]["title"], got[7]["source"]) == ("generic", "结构工程师", "general")
     assert all(0 <= r["confidence"] <= 0.95 for r in got.values())
     assert collect.detail_records(df.limit(0)).count() == 0
+
+
+def test_deletions_by_a_plain_loop(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from millrace.functions import classify as C
+    from millrace.functions import text as T
+    from millrace.functions import urls as U
+    from millrace.plans.catalog import QUERIES
+    from millrace.plans.roles import postings
+
+    c = F.col
+    jobs = postings(spark, sf_dir).withColumn("apply_url", F.lit(None).cast("string")).cache()
+    facts = jobs.where("status in ('active', 'pending_review')").select(
+        "id", "status", "confidence", "updated_at", T.is_closed_title(c("title")).alias("closed"), T.is_noise_title(c("title")).alias("noise"), T.is_closed_text(T.or_empty(c("jd_text"))).alias("shut"), T.title_mismatch(c("company"), c("title")).alias("foreign"),
+        T.company_key(c("company")).alias("co"), T.title_key(c("title")).alias("key"), U.identity_url(c("source_url")).alias("url"), U.is_detail_url(c("source_url")).alias("detail"), F.length(T.or_empty(c("jd_text"))).alias("size"), C.is_portal_shell(c("title"), T.or_empty(c("jd_text"))).alias("shell"),
+    ).collect()
+    want, left = {}, {}
+    for r in facts:
+        why = "closed_or_referral_title" if r["closed"] else "noise_title" if r["noise"] else "closed_or_referral_jd" if r["shut"] else "company_mismatch" if r["foreign"] else None
+        want[r["id"]] = why
+        if why is None:
+            left.setdefault(r["co"], []).append(r)
+    rank = lambda r: (r["detail"], r["confidence"], r["size"], r["updated_at"], -r["id"])
+    for group in left.values():
+        for key in {r["key"] for r in group if r["key"]}:
+            same = [r for r in group if r["key"] == key]
+            best = max(same, key=rank)
+            want |= {r["id"]: "duplicate" for r in same if r is not best}
+        rest = [r for r in group if want[r["id"]] is None]
+        shells = [r for r in rest if r["shell"]]
+        keep = None if len(shells) < len(rest) or not shells else max(shells, key=rank)
+        want |= {r["id"]: "portal_shell_extra" for r in shells if r is not keep}
+    got = {r["id"]: r["reason"] for r in collect.deletions(jobs).collect()}
+    assert got == want
+    count = Counter(want.values())
+    row = QUERIES["deletion_report"](spark, sf_dir).first().asDict()
+    assert all(row[k] == count[k] for k in collect.DELETIONS) and row["deleted"] == len(want) - count[None]
+    assert row["active_remaining"] == sum(r["status"] == "active" and want[r["id"]] is None for r in facts)
+    assert sum(count[k] > 0 for k in collect.DELETIONS) >= 4
