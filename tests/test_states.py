@@ -131,3 +131,53 @@ def test_workbooks_by_sheet_and_batch(spark, tmp_path):
     assert of("large") == list(enumerate(many)) and of("small") == [(0, ["x"]), (1, []), (2, ["y"])] and of("none") == []
     assert of("broken") == [(0, ["1"])]
     assert sorted((r["path"][-6:], r["sheet"]) for r in rows if r["error"]) == [("a.xlsx", "broken"), ("b.xlsx", None)]
+
+
+def test_change_feed_restarts_in_the_middle_of_a_page(spark, tmp_path):
+    import json
+
+    from millrace.sources.change_feed import PagedReader, read_changes
+
+    store, schema = tmp_path / "store.json", "id bigint, updated_at string, status string"
+
+    def fetch(cursor, limit):  # a service: rows in cursor order, strictly after the cursor
+        rows = sorted((tuple(r) for r in json.loads(store.read_text())), key=lambda r: (r[1], r[0]))
+        return [r for r in rows if cursor is None or (r[1], r[0]) > tuple(cursor)][:limit]
+
+    day = lambda n: f"2026-08-{n:02d}T00:00:00"
+    rows = [(i, day(1 + i // 12), "deleted" if i % 5 == 4 else "active") for i in range(50)]  # many share a time
+    store.write_text(json.dumps(rows))
+    taken, failing = [], [True]
+
+    def fold(df, batch):
+        got = [tuple(r) for r in df.collect()]
+        taken.append((batch, got))
+        if batch == 2 and failing[0]:
+            raise ValueError("lost in the middle")
+
+    def run():
+        feed = read_changes(spark, fetch, schema, page=7)
+        q = feed.writeStream.foreachBatch(fold).option("checkpointLocation", str(tmp_path / "cp")).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    with pytest.raises(Exception, match="lost in the middle"):
+        run()
+    failing[0] = False
+    run()
+    assert [sorted(r) for b, r in taken if b == 2][0] == [sorted(r) for b, r in taken if b == 2][1]  # repeated as it was
+    by_batch = dict(taken)
+    assert sorted(r for got in by_batch.values() for r in got) == sorted(rows)
+    assert max(len(got) for got in by_batch.values()) == 7
+    store.write_text(json.dumps([*rows, (3, day(20), "deleted"), (60, day(20), "active")]))
+    run()
+    assert sorted(r for b, got in taken if b > max(by_batch) for r in got) == [(3, day(20), "deleted"), (60, day(20), "active")]
+    reader = PagedReader(fetch, 1, 0, 7)
+    start, ids = reader.initialOffset(), []
+    for _ in range(20):
+        part, start = reader.read(start)
+        ids += [r[0] for r in part]
+    assert len(ids) == 52 and list(reader.readBetweenOffsets(start, start)) == []
+    assert [r[0] for r in reader.readBetweenOffsets(reader.initialOffset(), {"time": day(1), "id": 4})] == [0, 1, 2, 3, 4]
