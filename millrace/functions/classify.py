@@ -48,6 +48,12 @@ def project_of(title: Column, body: Column) -> Column:
     return T.let(_joined(title, body), lambda text: F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in V.PROJECT_WORDS]))
 
 
+def classified(title: Column, body: Column) -> Column:
+    """Project (the first of the ordered words in title or body), its bucket, and the title's
+    tags, as one struct."""
+    return T.let(project_of(title, body), lambda p: F.struct(p.alias("project"), map_bucket(p, title).alias("bucket"), T.tags(title).alias("tags")))
+
+
 def is_intern(title: Column, jd: Column, bucket: Column, project: Column) -> Column:
     kinds = ("应届生实习", "日常实习")
     mapped = F.coalesce(map_bucket(project, title).isin(*kinds), F.lit(False))

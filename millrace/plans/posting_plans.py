@@ -14,7 +14,7 @@ from millrace.functions import urls as U
 from millrace.functions import vocab as V
 from millrace.operators import dedupe, query as Q, vote
 from millrace.plans.registry import registry
-from millrace.plans.roles import AS_OF, POSTINGS, postings
+from millrace.plans.roles import AS_OF, POSTINGS, postings, run_sql
 
 QUERIES, ORACLES, query = registry()
 
@@ -350,3 +350,22 @@ def aggregator_flag(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.is_aggregator(F.col("text"), ("idiot",)).alias("flagged"))
 
 
+
+
+def _word_of(number: str) -> str:
+    """A project word (or none) by a number from 0 to 10, in SQL."""
+    return f"CASE {number} " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(V.PROJECT_WORDS)) + " ELSE '' END"
+
+
+#: Whole documents with project words in the title and at two places of the text (SQL of both
+#: engines).
+_WORDED = f"""SELECT doc_id AS id, substr(coalesce(text, ''), 1, 40) || CASE doc_id % 3 WHEN 0 THEN {_word_of('doc_id % 11')} ELSE '' END || CASE doc_id % 4 WHEN 0 THEN ' 算法开发' WHEN 1 THEN ' 市场QA' ELSE '' END AS title,
+  substr(coalesce(text, ''), 1, 300 * CAST(doc_id % 7 AS INT)) || {_word_of("CAST((doc_id % 121 - doc_id % 11) / 11 AS BIGINT)")} || substr(coalesce(text, ''), 300 * CAST(doc_id % 7 AS INT) + 1) || {_word_of("doc_id % 13")} AS body FROM documents"""
+_FIRST_WORD = "CASE " + " ".join(f"WHEN contains(title || ' ' || body, '{w}') THEN '{w}'" for w in V.PROJECT_WORDS) + " END"
+
+
+@query(f"SELECT id, project, {bucket_sql('project', 'title')} AS bucket, array_to_string({_TAGS}, ',') AS tags FROM (SELECT *, {_FIRST_WORD} AS project FROM ({_WORDED}))")
+def classified_texts(spark, sf_dir):
+    """Project, bucket and tags of whole titles and texts."""
+    rows = run_sql(spark, sf_dir, _WORDED).withColumn("x", C.classified(F.col("title"), F.col("body")))
+    return rows.select("id", "x.project", "x.bucket", F.array_join("x.tags", ",").alias("tags"))
