@@ -15,7 +15,7 @@ from millrace.functions import text as T
 from millrace.operators import dedupe
 from millrace.operators import workflow as W
 from millrace.plans.registry import registry
-from millrace.plans.roles import AS_OF
+from millrace.plans.roles import AS_OF, run_sql
 from millrace.session import table
 
 QUERIES, ORACLES, query = registry()
@@ -589,3 +589,18 @@ def approved_postings(spark, sf_dir):
 def parsed_records(spark, sf_dir):
     """A parsed page as a normalised record."""
     return R.records_of(_ROWS(spark, sf_dir), AS_OF).select("id", "title", "recruit_project", "recruit_bucket", "work_location", "open_at", "education", "graduation_batch")
+
+
+#: Whole documents as postings, cut in two by their own length and labelled from their own
+#: columns (SQL of both engines).
+_LABELLED = """SELECT doc_id AS id, source, deg, first, rest, coalesce(lang, '') || chr(10) || '工作地点：' || source || chr(10) || '学历要求：' || deg || chr(10) || '岗位职责：' || chr(10) || first || chr(10) || '任职要求：' || chr(10) || rest AS body
+  FROM (SELECT doc_id, lang, source, CASE doc_id % 4 WHEN 0 THEN '博士' WHEN 1 THEN '硕士及以上' WHEN 2 THEN '本科' ELSE '大专' END AS deg, 'a' || substr(text, 1, CAST(n_chars % 997 AS INT)) || 'b' AS first, 'c' || substr(text, CAST(n_chars % 997 AS INT) + 1) || 'd' AS rest
+    FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)"""
+
+
+@query(f"SELECT id, source AS place, deg AS education, length(regexp_replace(first, '\\s+', '', 'g')) AS n_duties, length(regexp_replace(rest, '\\s+', '', 'g')) AS n_requirements FROM ({_LABELLED})")
+def whole_text_facts(spark, sf_dir):
+    """Place, degree and both sections of whole texts."""
+    rows = run_sql(spark, sf_dir, _LABELLED).withColumn("s", L.split_sections(c("body"), L.labelled_fields(c("body"))))
+    dense = lambda x: F.length(F.regexp_replace(x, r"\s+", "")).cast("long")
+    return rows.select("id", L.place_in_text(c("body")).alias("place"), L.education_of(c("body"), F.lit("")).alias("education"), dense(c("s.duties")).alias("n_duties"), dense(c("s.requirements")).alias("n_requirements"))
