@@ -298,8 +298,9 @@ def job_counts(new: Column, skipped: Column, listed: Column, budget: int) -> Col
 
 
 def dug(payload: Column, keys: tuple[str, ...], least: int, most: int | None = None) -> Column:
-    """First text under one of the keys anywhere in a JSON text, in reading order."""
-    named = r'(?i)"(?:' + "|".join(keys) + r')"\s*:\s*"((?:[^"\\]|\\.)*)"'
+    """First text under one of the keys anywhere in a JSON text, in reading order. The pattern
+    never goes back (possessive), so a text of any length needs no stack."""
+    named = r'(?i)"(?:' + "|".join(keys) + r')"\s*:\s*"((?:[^"\\]++|\\.)*+)"'
     read = F.transform(F.regexp_extract_all(T.or_empty(payload), F.lit(named), F.lit(1)), lambda s: T.strip(F.get(F.from_json(F.concat(F.lit('["'), s, F.lit('"]')), "array<string>"), F.lit(0))))
     fits = lambda s: (F.length(s) >= least) & ((F.length(s) <= most) if most else F.lit(True))
     return F.get(F.filter(read, fits), F.lit(0))

@@ -604,3 +604,12 @@ def whole_text_facts(spark, sf_dir):
     rows = run_sql(spark, sf_dir, _LABELLED).withColumn("s", L.split_sections(c("body"), L.labelled_fields(c("body"))))
     dense = lambda x: F.length(F.regexp_replace(x, r"\s+", "")).cast("long")
     return rows.select("id", L.place_in_text(c("body")).alias("place"), L.education_of(c("body"), F.lit("")).alias("education"), dense(c("s.duties")).alias("n_duties"), dense(c("s.requirements")).alias("n_requirements"))
+
+
+@query("""SELECT doc_id AS id, CASE WHEN length(t) >= 2 THEN t END AS title, CASE WHEN length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 41 THEN length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) END AS n_text
+  FROM (SELECT doc_id, text, trim(substr(text, 1, 60), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents WHERE text IS NOT NULL)""")
+def whole_text_payloads(spark, sf_dir):
+    """Title and text dug out of nested JSON that holds whole texts."""
+    nested = F.to_json(F.struct(c("doc_id").alias("id"), F.struct(F.struct(F.substring("text", 1, 60).alias("jobTitle"), F.array(F.struct(c("text").alias("jobDescription"))).alias("parts")).alias("job")).alias("data")))
+    rows = table(spark, sf_dir, "documents").where("text is not null").select(c("doc_id").alias("id"), nested.alias("payload"))
+    return rows.select("id", R.dug_title(c("payload")).alias("title"), F.length(R.dug_text(c("payload"))).cast("long").alias("n_text"))
