@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 from html.parser import HTMLParser
 
@@ -36,7 +36,7 @@ NAV_TEXTS = {
 RESULT_CLASS = "vrwrap"
 
 
-def card_rank(tag: str, cls: str, parent: tuple[str, str] | None, above: list[str]) -> int:
+def card_rank(tag: str, cls: str, parent: tuple[str, str] | None, above: Iterable[str]) -> int:
     """Which of fifteen kinds of card an element is, from 1; 0 for none. ``cls`` is its class
     attribute, ``parent`` the tag and class above it, ``above`` the classes of all ancestors."""
     words = cls.split()
@@ -63,8 +63,9 @@ def card_rank(tag: str, cls: str, parent: tuple[str, str] | None, above: list[st
 class _Page(HTMLParser):
     """Title, heading, visible text, links, table rows and card fields of a page."""
 
-    def __init__(self) -> None:
+    def __init__(self, with_cards: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.with_cards = with_cards
         self.og = self.title = self.heading = ""
         self.text: list[str] = []
         self.links: list[dict] = []
@@ -88,7 +89,6 @@ class _Page(HTMLParser):
             return
         self.silent += tag in _SILENT
         capture = ""
-        above = [c for _, _, c in self.stack if c]
         if tag in ("title", "h1"):
             capture = tag
         elif tag == "a":
@@ -101,7 +101,7 @@ class _Page(HTMLParser):
         elif tag in ("td", "th") and self.rows:
             capture = "cell"
             self.rows[-1].append("")
-        rank = card_rank(tag, cls, (self.stack[-1][0], self.stack[-1][2]) if self.stack else None, above)
+        rank = card_rank(tag, cls, (self.stack[-1][0], self.stack[-1][2]) if self.stack else None, (c for _, _, c in self.stack if c)) if self.with_cards else 0
         if rank:
             self.cards.append({"href": "", "rank": rank, "text": ""})
             self.open_cards.append(len(self.cards) - 1)
@@ -168,8 +168,9 @@ class _Page(HTMLParser):
             parts.append(data)
 
 
-def parse(html: str | None) -> _Page:
-    page = _Page()
+def parse(html: str | None, with_cards: bool = True) -> _Page:
+    """A page's parts; cards and their fields only on demand, as each tag has to be matched."""
+    page = _Page(with_cards)
     page.feed(html or "")
     page.close()
     while page.stack:
@@ -187,7 +188,7 @@ def page_fields(html: pd.Series) -> pd.DataFrame:
     """Title (og, title, then heading), heading, visible text, longest block, link count."""
     out = []
     for h in html:
-        p = parse(h)
+        p = parse(h, with_cards=False)
         text = visible(p)
         out.append((p.og or p.title or p.heading or None, p.heading or None, text, max(text.split("\n"), key=len, default="")[:20000], len(p.links)))
     return pd.DataFrame(out, columns=["title", "heading", "text", "longest", "n_links"])
@@ -263,7 +264,7 @@ class _Detail(_Page):
     """A page with the texts of its sections: the first of each kind, and a message's body."""
 
     def __init__(self) -> None:
-        super().__init__()
+        super().__init__(with_cards=False)
         self.sections: dict[str, list[str]] = {}
         self.within: list[tuple[int, str]] = []  # depth and kind of open sections
 
