@@ -266,6 +266,7 @@ def _count_shards(sizes: tuple[int, ...], filters: dict[int, object], shard_word
                 if n_bytes >= 6 * shard_words:
                     yield from shard(held)
                     held, n_bytes = [], 0
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from shard(held)
 
