@@ -2,9 +2,11 @@
 
 Confirmed toxic rows are the positives, text at large is unlabelled, and the risk is
 corrected by the class prior, which is estimated from both. A text is the set of its words and of their first 4, 5 and 6
-bytes (which meet inflected forms). One Spark aggregate counts in how many sampled texts
-of either kind each of these occurs; the ``FEATURES`` that lean most to the positives
-become the model's inputs, so only those few reach the driver.
+bytes (which meet inflected forms), each with the root of its rate per 100 words (texts
+under 50 words count as 50). One Spark aggregate counts in how many sampled texts of either
+kind each of these occurs; all that stand in more positives than chance explains
+(``LEAST_DEVIATION``, in standard deviations) become the model's inputs, however many they
+are, so only those reach the driver. The model is fitted on sparse rows.
 
 Edge cases: null and empty texts have no features and get the model's base score; without
 positives every score is 0.5; repeated rows get one score; an empty table gives an
@@ -21,25 +23,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.nnpu import Linear, capped, held_out, learn, samples
+from millrace.llm.nnpu import Linear, Sparse, capped, held_out, learn, samples
 from millrace.llm.text import LOWER, as_buffers, pieces, words_of
 from millrace.session import durable, table
 
-MAX_POSITIVES, MAX_UNLABELLED, FEATURES, LEAST_TEXTS = 8_000, 16_000, 256, 5
+MAX_POSITIVES, MAX_UNLABELLED = 8_000, 16_000
 PREFIXES = (4, 5, 6)
 
-#: Log of how many times as common a feature must be among positives as at large.
-LEAST_LEAN = 1.2
+#: A feature must be so far above the count of positives that chance gives, in standard
+#: deviations, stand in so many of them, and be so many times (log) as common as at large.
+LEAST_DEVIATION, LEAST_TEXTS, LEAST_LEAN = 5.0, 3, 0.7
+LEAST_WORDS = 50
 
 
-def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, 64-bit feature) of all words and beginnings, a stretch of rows at a time."""
+def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, 64-bit feature) of all words and beginnings, a stretch of rows at a time, with
+    the number of words of the row beside it."""
     data, offsets = as_buffers(texts)
     for lo, hi in pieces(offsets):
         part, offs = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         starts, ends, hashed, rows = words_of(part, offs)
         owner = np.repeat(np.arange(lo, hi), np.diff(rows))
-        owners, found = [owner], [hashed]
+        owners, found, words = [owner], [hashed], np.diff(rows)
         lowered, lengths = LOWER[part], ends - starts
         for n in PREFIXES:
             long = np.flatnonzero(lengths > n)
@@ -48,7 +53,8 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 key = (key << np.uint64(8)) | lowered[starts[long] + k].astype(np.uint64)
             owners.append(owner[long])
             found.append(key * np.uint64(0x9E3779B97F4A7C15))
-        yield np.concatenate(owners), np.concatenate(found)
+        owner = np.concatenate(owners)
+        yield owner, np.concatenate(found), words[owner - lo]
 
 
 class Vocabulary:
@@ -59,24 +65,25 @@ class Vocabulary:
         self.slots = np.zeros(1 << 20, bool)
         self.slots[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
-    def matrix(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(row, feature number) pairs, each once."""
-        rows, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for owner, found in features(texts):
+    def matrix(self, texts: pa.Array) -> Sparse:
+        """Texts by features; the value is the root of the feature's rate."""
+        n, rows, numbers, values = max(len(self.keys), 1), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for owner, found, words in features(texts):
             may = self.slots[(found >> np.uint64(44)).astype(np.int64)]
-            owner, found = owner[may], found[may]
-            at = np.minimum(np.searchsorted(self.keys, found), max(len(self.keys) - 1, 0))
+            owner, found, words = owner[may], found[may], words[may]
+            at = np.minimum(np.searchsorted(self.keys, found), n - 1)
             real = self.keys[at] == found if len(self.keys) else np.zeros(len(found), bool)
-            pair = np.unique(owner[real].astype(np.int64) * len(self.keys) + at[real])
-            rows.append(pair // max(len(self.keys), 1))
-            numbers.append(pair % max(len(self.keys), 1))
-        return np.concatenate(rows), np.concatenate(numbers)
+            pair, first, times = np.unique(owner[real].astype(np.int64) * n + at[real], return_index=True, return_counts=True)
+            rows.append(pair // n)
+            numbers.append(pair % n)
+            values.append(np.sqrt(100 * times / np.maximum(words[real][first], LEAST_WORDS)))
+        return Sparse(np.concatenate(rows), np.concatenate(numbers), np.concatenate(values), (len(texts), len(self.keys)))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pos, unl = (np.asarray(batch.column(k).is_valid()).astype(np.int64) for k in (1, 2))
-        for owner, found in features(batch.column(0)):
+        for owner, found, _ in features(batch.column(0)):
             order = np.lexsort((owner, found))
             o, f = owner[order], found[order]
             fresh = np.ones(len(f), bool)
@@ -88,30 +95,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n_pos), pa.array(n_unl)], ["feature", "n_pos", "n_unl"])
 
 
-def train(docs: DataFrame, labels: DataFrame, usable, *, label_col: str = "toxic", max_pos: int = MAX_POSITIVES, max_unl: int = MAX_UNLABELLED, n_features: int = FEATURES) -> tuple[Linear, Vocabulary]:
+def train(docs: DataFrame, labels: DataFrame, usable, *, label_col: str = "toxic", max_pos: int = MAX_POSITIVES, max_unl: int = MAX_UNLABELLED) -> tuple[Linear, Vocabulary]:
     """Model and vocabulary, from bounded samples."""
     sample = samples(docs, labels, label_col, usable, max_pos=max_pos, max_unl=max_unl)
     n_pos, n_unl = sample.agg(F.count("p_draw"), F.count("u_draw")).first()
-    counted = sample.select("text", "p_draw", "u_draw").mapInArrow(_count, "feature bigint, n_pos bigint, n_unl bigint").groupBy("feature").agg(F.sum("n_pos").alias("p"), F.sum("n_unl").alias("u")).where(F.col("p") >= LEAST_TEXTS)
+    counts = sample.select("text", "p_draw", "u_draw").mapInArrow(_count, "feature bigint, n_pos bigint, n_unl bigint").groupBy("feature").agg(F.sum("n_pos").alias("p"), F.sum("n_unl").alias("u"))
+    counted = counts.where(F.col("p") >= LEAST_TEXTS)
+    expected = F.col("u") * (n_pos / max(n_unl, 1))
     lean = F.log((F.col("p") + 0.5) / (n_pos + 1)) - F.log((F.col("u") + 0.5) / (n_unl + 1))
-    chosen = counted.where(lean >= LEAST_LEAN).withColumn("gain", F.col("p") * lean).orderBy(F.desc("gain"), "feature").limit(n_features).collect()
-    vocabulary = Vocabulary(np.array([r["feature"] for r in chosen], np.int64).view(np.uint64))
+    above = (F.col("p") - expected) / F.sqrt(expected + 1)
+    chosen = counted.where((above >= LEAST_DEVIATION) & (lean >= LEAST_LEAN)).select("feature").toArrow()["feature"]
+    vocabulary = Vocabulary(np.asarray(chosen, np.int64).view(np.uint64))
+    n_features = len(vocabulary.keys)
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def numbers(texts: pa.Array) -> pa.Array:
-        rows, found = vocabulary.matrix(texts)
-        offsets = np.searchsorted(rows, np.arange(len(texts) + 1))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()))
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("v", T.DoubleType())])))
+    def entries(texts: pa.Array) -> pa.Array:
+        x = vocabulary.matrix(texts)
+        offsets = np.searchsorted(x.row, np.arange(len(texts) + 1))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(x.col, pa.int32()), pa.array(x.value)], ["n", "v"]))
 
-    numbered = durable(sample.select("p_draw", "u_draw", numbers.asNondeterministic()("text").alias("f")))
+    found = durable(sample.select("p_draw", "u_draw", entries.asNondeterministic()("text").alias("f")))
 
-    def matrix(rows: DataFrame) -> np.ndarray:
+    def matrix(rows: DataFrame) -> Sparse:
         lists = rows.select("f").toArrow()["f"].combine_chunks()
-        x = np.zeros((len(lists), max(len(chosen), 1)), np.float32)
-        x[np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets))), np.asarray(lists.flatten())] = 1
-        return x
+        cells = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+        return Sparse(row, np.asarray(cells.field("n"), np.int64), np.asarray(cells.field("v"), float), (len(lists), n_features))
 
-    return learn(matrix(capped(numbered, "p_draw", max_pos)), matrix(capped(numbered, "u_draw", max_unl)), l2=1e-3)[0], vocabulary
+    return learn(matrix(capped(found, "p_draw", max_pos)), matrix(capped(found, "u_draw", max_unl)), l2=3e-4)[0], vocabulary
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 5, fold: int = 0) -> DataFrame:
@@ -122,9 +133,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 5, fold:
     @F.arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
         model, vocabulary = shared.value
-        rows, numbers = vocabulary.matrix(texts)
-        sums = np.bincount(rows, weights=model.weights[numbers], minlength=len(texts))
-        return pa.array(0.5 * (1 + np.tanh((sums + model.bias) / 2)))
+        return pa.array(model.score(vocabulary.matrix(texts)))
 
     return docs.select("doc_id", apart.alias("held_out"), score.asNondeterministic()("text").alias("score"))
 
