@@ -75,6 +75,19 @@ def _social(p: Column, blob: Column, jd: Column) -> Column:
     )
 
 
+def _social_of(p: Column, pair: Column, jd: Column, head: Column, whole: Column) -> Column:
+    """``_social`` over the hits of the text's head and of the whole text."""
+    labelled = T.among(whole, V.LABELS_OF_KIND)
+    campus = V.CAMPUS_PROJECT_WORDS + ("应届",)
+    return (
+        F.when(T.matches_cjk(p, V.SOCIAL) & ~T.has_any(p, V.CAMPUS_PROJECT_WORDS), True)
+        .when(labelled & T.matches_cjk(jd, V.LABELLED_SOCIAL), True)
+        .when(labelled & T.matches_cjk(jd, V.LABELLED_CAMPUS), False)
+        .when(T.has_any(pair, campus) | T.among(head, campus), False)
+        .otherwise(T.matches_cjk(pair, V.SOCIAL) | T.among(head, V.SOCIAL_WORDS))
+    )
+
+
 def campus_action(title: Column, jd: Column, project: Column, bucket: Column, category: Column) -> Column:
     """delete for clear social hiring, else keep."""
     return T.let(_joined(project, bucket, category, title, _window(jd)), lambda blob: _action(blob, title, jd, project, category))
@@ -92,13 +105,13 @@ def dates_of() -> dict[str, Column]:
     return {k: D.loose_date(c(k)) for k in ("open_at", "published_at", "updated_at", "deadline")}
 
 
-def target_facts(title: Column, jd: Column, intern: Column, social: Column, d: dict[str, Column]) -> dict[str, Column]:
-    """What the season check looks at."""
+def target_facts(title: Column, jd: Column, intern: Column, social: Column, d: dict[str, Column], batch: Column | None = None) -> dict[str, Column]:
+    """What the season check looks at; ``batch`` is the text's year where it is known."""
     own = F.when(F.rlike(T.strip(T.or_empty(c("graduation_batch"))), F.lit(r"^20\d{2}届$")), F.left(T.strip(c("graduation_batch")), F.lit(4)).try_cast("int"))
     return {
         "intern": intern,
         "title_year": D.batch_year(title),
-        "year": F.coalesce(D.title_batch_year(title), D.batch_year(jd), own),
+        "year": F.coalesce(D.title_batch_year(title), D.batch_year(jd) if batch is None else batch, own),
         "published": F.coalesce(d["open_at"], d["published_at"]),
         "social": social,
     }
@@ -132,13 +145,14 @@ def is_stale_batch(batch: Column, bucket: Column, title: Column, as_of: date) ->
     return ~F.contains(_joined(bucket, title), F.lit("实习")) & F.coalesce(year < D.target_year(as_of), F.lit(False))
 
 
-def freshness_facts(as_of: date, days: int, d: dict[str, Column]) -> dict[str, Column]:
-    """What the freshness check looks at."""
-    fields = (c("title"), c("jd_text"), c("recruit_project"))
+def freshness_facts(as_of: date, days: int, d: dict[str, Column], whole: Column | None = None) -> dict[str, Column]:
+    """What the freshness check looks at; ``whole`` are the text's hits where they are known."""
+    fields = (c("title"), c("recruit_project"), *([c("jd_text")] if whole is None else []))
+    says = lambda other, words: T.has_any(_joined(*fields, c(other)), words) | (F.lit(False) if whole is None else T.among(whole, words))
     published = F.when(T.strip(T.or_empty(c("open_at"))) != "", d["open_at"]).otherwise(d["published_at"])
     return {
-        "intern": T.has_any(_joined(*fields, c("recruit_bucket")), V.INTERNSHIP_WORDS),
-        "hiring": T.has_any(_joined(*fields, c("deadline")), V.OPEN_WORDS + V.INTERNSHIP_WORDS),
+        "intern": says("recruit_bucket", V.INTERNSHIP_WORDS),
+        "hiring": says("deadline", V.OPEN_WORDS + V.INTERNSHIP_WORDS),
         "stale": D.any_before([published, d["open_at"], d["updated_at"]], as_of, days),
         "passed": F.coalesce(d["deadline"] < F.lit(as_of), F.lit(False)),
     }
@@ -281,13 +295,14 @@ def routed(rows: DataFrame, as_of: date, official: Column, trusted: Column, aggr
     """``rows`` with route (publish, review, verify or drop), kind and reason."""
     names, at = rows.columns, F.col
     title, jd, project = c("title"), c("jd_text"), T.strip(T.or_empty(c("recruit_project")))
-    facts = with_title_facts(rows).withColumns({"__p": project, "__blob": _joined(c("recruit_project"), title, _window(jd)), "__pair": _joined(c("recruit_project"), title), **{f"__d_{k}": v for k, v in dates_of().items()}})
+    facts = with_title_facts(rows).withColumns({"__p": project, "__head": T.hits(_window(jd)), "__whole": T.hits(jd), "__pair": _joined(c("recruit_project"), title), **{f"__d_{k}": v for k, v in dates_of().items()}})
     days_of = {k: at(f"__d_{k}") for k in ("open_at", "published_at", "updated_at", "deadline")}
     kinds = ("应届生实习", "日常实习")
-    intern = T.strip(T.or_empty(c("recruit_bucket"))).isin(*kinds) | F.coalesce(_mapped(at("__p"), at("__pair")).isin(*kinds), F.lit(False)) | T.has_any(at("__blob"), V.INTERN_PHRASES)
-    target = target_facts(title, jd, intern, _social(at("__p"), at("__blob"), jd), days_of)
-    fresh = freshness_facts(as_of, days, days_of)
-    told = facts.withColumns({"__closed": at("__closed_title") | T.is_closed_text(jd), **{f"__t_{k}": v for k, v in target.items()}, **{f"__f_{k}": v for k, v in fresh.items()}})
+    intern = T.strip(T.or_empty(c("recruit_bucket"))).isin(*kinds) | F.coalesce(_mapped(at("__p"), at("__pair")).isin(*kinds), F.lit(False)) | T.has_any(at("__pair"), V.INTERN_PHRASES) | T.among(at("__head"), V.INTERN_PHRASES)
+    batch = F.when(T.among(at("__whole"), ("届",)), D.batch_year(jd))
+    target = target_facts(title, jd, intern, _social_of(at("__p"), at("__pair"), jd, at("__head"), at("__whole")), days_of, batch)
+    fresh = freshness_facts(as_of, days, days_of, at("__whole"))
+    told = facts.withColumns({"__closed": at("__closed_title") | T.among(at("__whole"), V.CLOSED_WORDS), **{f"__t_{k}": v for k, v in target.items()}, **{f"__f_{k}": v for k, v in fresh.items()}})
     checked = told.withColumns({
         "__target": target_verdict({k: at(f"__t_{k}") for k in target}, as_of),
         "__fresh": freshness_verdict({k: at(f"__f_{k}") for k in fresh}, days),

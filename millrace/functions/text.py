@@ -54,6 +54,21 @@ def has_any(c: Column, words: tuple[str, ...]) -> Column:
     return F.rlike(or_empty(c), F.lit(heads(words) + "(?:" + "|".join(re.escape(w) for w in words) + ")"))
 
 
+def hits(c: Column, words: tuple[str, ...] = V.BODY_WORDS, longest: int = 1 << 20) -> Column:
+    """The words that stand in the text, from one pass: at each place the longest that
+    begins there (``among`` knows the beginnings of words). Longer texts than ``longest``,
+    whose hits might fill the memory, are searched word by word."""
+    first, ordered = sorted({w[0] for w in words}), sorted(words, key=lambda w: (-len(w), w))
+    places = f"(?=[{re.escape(first[0])}-{re.escape(first[-1])}])(?=({'|'.join(map(re.escape, ordered))}))"
+    found = F.array_distinct(F.regexp_extract_all(or_empty(c), F.lit(places), F.lit(1)))
+    return F.when(F.coalesce(F.length(c), F.lit(0)) <= longest, found).otherwise(F.filter(F.split(F.lit("\n".join(words)), "\n"), lambda w: F.contains(c, w)))
+
+
+def among(found: Column, wanted: tuple[str, ...], words: tuple[str, ...] = V.BODY_WORDS) -> Column:
+    """Whether any of the wanted words, all of them in ``words``, is among a text's hits."""
+    return F.arrays_overlap(found, F.split(F.lit("\n".join(w for w in words if w.startswith(wanted))), "\n"))
+
+
 def one_of(c: Column, words: tuple[str, ...]) -> Column:
     """``isin`` of a long list of texts without line ends, as one folded array."""
     return F.array_contains(F.split(F.lit("\n".join(words)), "\n"), c)

@@ -84,6 +84,11 @@ CLOSED_TEXT = (
     r"(职位已关闭|岗位已关闭|该职位已关闭|该岗位已关闭|招聘已结束|已停止招聘|停止招聘|职位已下线|岗位已下线|当前网页已关停|网页已关停|网页已关闭|页面已关停|页面已关闭"
     r"|仅内部推荐|仅限内推|内推专用|只接受内部推荐|仅接受内部推荐|本职位仅限内部|仅对内部开放|仅限内部推荐)"
 )
+#: Words that the rules look for in whole texts: all are found in one pass (``text.hits``).
+LABELS_OF_KIND = ("招聘类别", "招聘类型", "招聘项目", "类型")
+CLOSED_WORDS, SOCIAL_WORDS = tuple(CLOSED_TEXT[1:-1].split("|")), tuple(SOCIAL[1:-1].split("|"))
+BODY_WORDS = tuple(dict.fromkeys(CLOSED_WORDS + SOCIAL_WORDS + INTERN_PHRASES + INTERNSHIP_WORDS + OPEN_WORDS + CAMPUS_PROJECT_WORDS + LABELS_OF_KIND + ("应届", "届")))
+
 NOISE_PLACES = (
     "团队", "team", "teams", "首页", "更多", "筛选", "搜索", "结果", "排序", "地点", "工作地点", "location", "locations", "关键词", "精确搜索", "搜索结果",
     "全部", "不限", "招聘人数", "需求人数", "职位类别", "工作类型", "更新日期", "发布时间",

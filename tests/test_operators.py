@@ -2,13 +2,16 @@
 
 import datetime
 import io
+import random
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import dates as D
 from millrace.functions import text as T
 from millrace.functions import urls as U
+from millrace.functions import vocab as V
 from millrace.operators import dedupe, mutate
 from millrace.operators import query as Q
 from millrace.sources import feeds, html, sinks, xlsx
@@ -241,3 +244,15 @@ def test_best_match(spark):
     wanted = spark.createDataFrame([(1, "d1", "s1", "t"), (2, "", "s2", "t2")], "want_id int, detail_url string, source_url string, title string")
     offers = spark.createDataFrame([(10, 0, "x", "s1", "t"), (11, 1, "d1", "", ""), (12, 2, "", "zz", "t2")], "candidate_id int, pos int, detail_url string, source_url string, title string")
     assert {r["want_id"]: r["candidate_id"] for r in Q.best_match(wanted, offers).collect()} == {1: 11, 2: 12}
+
+
+@pytest.mark.parametrize("longest", [1 << 20, 3])
+def test_hits_of_one_pass(spark, longest):
+    """Every word list is answered from a text's hits as by looking for its words in the text."""
+    rng = random.Random(3)
+    bits = [*V.BODY_WORDS, "岗位", "的", "a ", "é", "招聘", "校", "2026"]
+    texts = [(None,), ("",)] + [("".join(rng.choices(bits, k=rng.choice([1, 2, 4, 30]))),) for _ in range(400)]
+    lists = [V.CLOSED_WORDS, V.SOCIAL_WORDS, V.INTERN_PHRASES, V.INTERNSHIP_WORDS, V.OPEN_WORDS, V.CAMPUS_PROJECT_WORDS, V.LABELS_OF_KIND, ("届",), ("应届",)]
+    found = spark.createDataFrame(texts, "t string").withColumn("h", T.hits(F.col("t"), longest=longest))
+    for row in found.select("t", F.array(*[T.among(F.col("h"), words) for words in lists]).alias("says")).collect():
+        assert row["says"] == [any(w in (row["t"] or "") for w in words) for words in lists]
