@@ -221,7 +221,7 @@ REGULAR_WORDS, SOCIAL_WORDS = ("正式", "校招", "全职", "校园"), ("社招
 INIT_JOBS = "array<struct<id string, title string, jobDescription string, description string, locations array<struct<cityName string>>>>"
 
 
-def detail_records(pages: DataFrame) -> DataFrame:
+def detail_records(pages: DataFrame, *, basic: bool = False) -> DataFrame:
     """Detail pages (page_id, url, html) by the rules of the source that their host belongs to:
     adapter, title, jd_text, recruit_project, recruit_bucket, work_location, raw_category,
     job_tags, parse_status, confidence, apply_url, source.
@@ -229,8 +229,9 @@ def detail_records(pages: DataFrame) -> DataFrame:
     A page is parsed once; the sources differ in what they read first (embedded postings and
     state, sections, a message's body), in how a noisy title is mended, in how kinds become
     projects, and in their confidence. Pages without title and text, and those of other
-    hosts, go by the general rules; script-only list pages of one source are told as such."""
-    facts = H.detail_facts(pages).withColumns({"adapter": U.adapter(c("url")), "blob": F.array_join(feeds.embedded_json(T.or_empty(c("html"))), "\n")})
+    hosts, go by the general rules; script-only list pages of one source are told as such.
+    ``basic``: titles and headings by ``html.basic_heads``."""
+    facts = H.detail_facts(pages, basic).withColumns({"adapter": U.adapter(c("url")), "blob": F.array_join(feeds.embedded_json(T.or_empty(c("html"))), "\n")})
     is_ = lambda *names: c("adapter").isin(*names)
 
     # an embedded posting: the one that the address names, else the only one
@@ -294,14 +295,15 @@ def detail_records(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_candidates(pages: DataFrame, as_of: date, months: int = V.LIST_MONTHS) -> DataFrame:
+def page_candidates(pages: DataFrame, as_of: date, months: int = V.LIST_MONTHS, *, basic: bool = False) -> DataFrame:
     """Postings that pages (page_id, url, html) offer: page_id, source, pos, title, link,
     outside (older than ``months``), notices of the page, and error where it offers none.
 
     Sources are tried in order: embedded data, job table, cards, links to details; a list of
     one yields to the page's own detail. What a passed-over source held is told in a notice.
-    A page is parsed once, and a page's sources are compared by one aggregate."""
-    offered = H.page_sources(pages)
+    A page is parsed once, and a page's sources are compared by one aggregate. ``basic``:
+    titles and headings by ``html.basic_heads``."""
+    offered = H.page_sources(pages, basic)
     titled = offered.withColumn("own", T.strip_chrome(c("title")))
     link = F.when(c("link").isNotNull() & (c("source") > 1), H.absolute(c("link"), c("url"))).otherwise(c("link"))
     named = titled.withColumn("link", link).where((c("source") != 3) | U.is_detail_link(c("link"), c("title")))
