@@ -13,6 +13,7 @@ from millrace.functions import records as R
 from millrace.functions import text as T
 from millrace.functions import urls as U
 from millrace.functions import vocab as V
+from millrace.session import durable
 
 PAYLOAD = "title string, company string, company_id string, source_url string, apply_url string, recruit_project string, recruit_bucket string, jd_text string, open_at string, published_at string, updated_at string"
 
@@ -42,16 +43,21 @@ def match_for_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """new_id and the old posting (least id) that an incoming row is the same as: within a
     company, one identity URL and one title, or either a shell; where a side has no URL,
     one title. Both sides come from ``with_identity``."""
-    o = old.select("company", F.col("id").alias("old_id"), *[F.col(x).alias(f"o_{x}") for x in ("identity", "title_key", "is_shell")])
-    n = new.select("company", F.col("id").alias("new_id"), *[F.col(x).alias(f"n_{x}") for x in ("identity", "title_key", "is_shell")])
     c = F.col
-    by_url = n.where("n_identity != ''").join(o.where("o_identity != ''").withColumnRenamed("o_identity", "n_identity"), ["company", "n_identity"])
-    same_url = by_url.where(((c("n_title_key") != "") & (c("n_title_key") == c("o_title_key"))) | c("o_is_shell") | c("n_is_shell")).select("new_id", "old_id")
-    # a title alone decides only where a side has no URL: one join for each such side
-    titled = o.where("o_title_key != ''").withColumnRenamed("o_title_key", "n_title_key")
-    bare_new = n.where("n_title_key != '' and n_identity = ''").join(titled, ["company", "n_title_key"]).select("new_id", "old_id")
-    bare_old = n.where("n_title_key != '' and n_identity != ''").join(titled.where("o_identity = ''"), ["company", "n_title_key"]).select("new_id", "old_id")
-    return same_url.union(bare_new).union(bare_old).groupBy("new_id").agg(F.min("old_id").alias("old_id"))
+    url, title = c("identity") != "", c("title_key") != ""
+    # keys are many patterns a row: they are made once, not once a use
+    keyed = lambda rows: durable(rows.select("id", "company", "identity", "title_key", F.coalesce("is_shell", F.lit(False)).alias("is_shell")))
+    old, n = keyed(old), keyed(new).withColumnRenamed("id", "new_id")
+    # least ids by key: no pair of rows that share a key is ever made
+    least = old.groupBy("company", "identity", "title_key").agg(F.min("id").alias("any"), F.min(F.when(c("is_shell"), c("id"))).alias("shell"))
+    by_url = least.where(url).groupBy("company", "identity").agg(F.min("any").alias("u_any"), F.min("shell").alias("u_shell"))
+    by_both = least.where(url & title).select("company", "identity", "title_key", c("any").alias("b_any"))
+    by_title = least.where(title).groupBy("company", "title_key").agg(F.min("any").alias("t_any"), F.min(F.when(~url, c("any"))).alias("t_bare"))
+    met = n.join(by_url, ["company", "identity"], "left").join(by_both, ["company", "identity", "title_key"], "left").join(by_title, ["company", "title_key"], "left")
+    same_url = F.when(c("is_shell"), c("u_any")).otherwise(F.least("u_shell", "b_any"))
+    # a title alone decides only where a side has no URL
+    found = met.select("new_id", F.least(same_url, F.when(url, c("t_bare")).otherwise(c("t_any"))).alias("old_id")).where("old_id is not null")
+    return found.groupBy("new_id").agg(F.min("old_id").alias("old_id"))
 
 
 def known_identities(jobs: DataFrame, reviews: DataFrame, company: str) -> DataFrame:
