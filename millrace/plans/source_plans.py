@@ -122,8 +122,13 @@ def feed_addresses(spark, sf_dir):
     return _parts(spark, sf_dir).select("k", feeds.feed_url(F.lit("http://f/"), name).alias("plain"), feeds.feed_url(F.lit("http://f?n={name}&x"), name).alias("filled"))
 
 
+def _spread(spark, rows: DataFrame) -> DataFrame:
+    """Small rows dealt evenly to tasks before pages are made of them: a file's row group is one task."""
+    return rows.repartition(max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions"))), "k")
+
+
 def _pages_of(spark, sf_dir, template: str) -> DataFrame:
-    return _parts(spark, sf_dir).select(c("k").alias("page_id"), F.concat(F.lit("https://x.cn/l?page="), c("size").cast("string")).alias("url"), _said(template).alias("html"))
+    return _spread(spark, _parts(spark, sf_dir)).select(c("k").alias("page_id"), F.concat(F.lit("https://x.cn/l?page="), c("size").cast("string")).alias("url"), _said(template).alias("html"))
 
 
 @query(f"WITH p AS ({_P}) SELECT k AS page_id, '工程师 ' || name AS title, brand AS location, CAST(size AS VARCHAR) AS headcount FROM p")
@@ -153,7 +158,7 @@ def next_page_links(spark, sf_dir):
 def channel_entries(spark, sf_dir):
     """Channel links of the navigation, and the highlighted one."""
     page = '<nav><a href="/x">校园招聘</a><a href="/campus/[k]">校园招聘</a><span class="current"><a href="i/[size]">实习生招聘</a></span></nav>'
-    return H.nav_links(_parts(spark, sf_dir).select(c("k").alias("page_id"), F.lit("https://x.cn/").alias("url"), _said(page).alias("html")))
+    return H.nav_links(_spread(spark, _parts(spark, sf_dir)).select(c("k").alias("page_id"), F.lit("https://x.cn/").alias("url"), _said(page).alias("html")))
 
 
 @query(f"WITH p AS ({_P}) SELECT k AS page_id, '晨光 ' || name AS text, 'https://r/' || k AS link FROM p")
