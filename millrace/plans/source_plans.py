@@ -293,31 +293,38 @@ def tick_dates(spark, sf_dir):
 
 def _books(spark, sf_dir) -> DataFrame:
     """Workbooks (path, content) of the parts, made in the tasks: a book a brand, with a sheet
-    of companies, which is longer than a batch of the reader, and a sheet of notes."""
+    of companies, which is longer than a batch of the reader, and a sheet of notes. A brand's
+    rows come sorted and go into its archive as they come, so that no task holds them."""
     import io
+    import itertools
     import zipfile
 
-    import pandas as pd
-
-    def packed(frames):
-        for frame in frames:
-            books = []
-            for rows in frame["rows"]:
-                cell = lambda x: f'<c t="inlineStr"><is><t>{x}</t></is></c>'
-                line = lambda *xs: "<row>" + "".join(map(cell, xs)) + "</row>"
-                sheet = "".join([line("名单"), line("公司名称", "企业性质", "网申地址"), *(line(r["name"], r["nature"], r["url"]) for r in rows)])
-                out = io.BytesIO()
-                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr("xl/workbook.xml", '<workbook xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="s1" r:id="a"/><sheet name="表格说明" r:id="b"/></sheets></workbook>')
-                    z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/1.xml"/><Relationship Id="b" Target="/xl/worksheets/2.xml"/></Relationships>')
-                    z.writestr("xl/worksheets/1.xml", f"<worksheet><sheetData>{sheet}</sheetData></worksheet>")
-                    z.writestr("xl/worksheets/2.xml", f"<worksheet><sheetData>{line('公司名称')}{line('不是公司')}</sheetData></worksheet>")
-                books.append(out.getvalue())
-            yield pd.DataFrame({"path": frame["path"], "content": books})
-
-    parts = table(spark, sf_dir, "part").select(c("p_brand").alias("path"), F.struct(c("p_partkey").alias("k"), F.concat(F.lit("公司"), c("p_partkey").cast("string")).alias("name"), F.when(c("p_size") % 2 == 0, "国企").otherwise("民企").alias("nature"), F.concat(F.lit("https://a.com/campus/"), c("p_size").cast("string")).alias("url")).alias("r"))
-    whole = parts.groupBy("path").agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    return whole.mapInPandas(packed, "path string, content binary")
+    import pyarrow as pa
+
+    def line(*texts) -> "F.Column":
+        return F.concat(F.lit("<row>"), *[F.concat(F.lit('<c t="inlineStr"><is><t>'), F.coalesce(x.cast("string"), F.lit("")), F.lit("</t></is></c>")) for x in texts], F.lit("</row>"))
+
+    def packed(batches):
+        said = lambda *xs: "<row>" + "".join(f'<c t="inlineStr"><is><t>{x}</t></is></c>' for x in xs) + "</row>"
+        lines = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for path, rows in itertools.groupby(lines, key=lambda row: row[0]):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("xl/workbook.xml", '<workbook xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="s1" r:id="a"/><sheet name="表格说明" r:id="b"/></sheets></workbook>')
+                z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/1.xml"/><Relationship Id="b" Target="/xl/worksheets/2.xml"/></Relationships>')
+                z.writestr("xl/worksheets/2.xml", f"<worksheet><sheetData>{said('公司名称')}{said('不是公司')}</sheetData></worksheet>")
+                with z.open("xl/worksheets/1.xml", "w", force_zip64=True) as sheet:
+                    sheet.write(f"<worksheet><sheetData>{said('名单')}{said('公司名称', '企业性质', '网申地址')}".encode())
+                    for some in itertools.batched((row[1] for row in rows), 500):
+                        sheet.write("".join(some).encode())
+                    sheet.write(b"</sheetData></worksheet>")
+            yield pa.RecordBatch.from_pydict({"path": [path], "content": [out.getvalue()]}, schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+    parts = table(spark, sf_dir, "part").select(c("p_brand").alias("path"), c("p_partkey").alias("k"), c("p_size").alias("size"))
+    tasks = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = parts.repartition(tasks, "path").sortWithinPartitions("path", "k", "size")
+    said = dealt.select("path", line(F.concat(F.lit("公司"), c("k").cast("string")), F.when(c("size") % 2 == 0, "国企").otherwise("民企"), F.concat(F.lit("https://a.com/campus/"), c("size").cast("string"))).alias("line"))
+    return said.mapInArrow(packed, "path string, content binary")
 
 
 @query("""WITH p AS (SELECT p_brand AS path, '公司' || p_partkey AS name, CASE WHEN p_size % 2 = 0 THEN '国企' ELSE '民企' END AS nature, 'https://a.com/campus/' || p_size AS url, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) + 1 AS row_no FROM part)

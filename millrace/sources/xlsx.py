@@ -1,16 +1,20 @@
 """Spreadsheet source: workbooks to rows of cells, and seed sheets to companies.
 
 Workbooks are read as zip archives, through Spark's own file reader, so they may lie in any
-store. A first pass lists their sheets; sheets are then dealt out, one to a task at a time,
-and their rows leave it in batches of ``BATCH``, so neither a book of many sheets nor a sheet
-of many rows fills a task. Rows are (path, sheet, row_no, cells), missing cells empty."""
+store. A first pass runs through every sheet once as a stream, judges whether it is well
+formed and cuts it between rows into pieces of ``PIECE`` bytes; the pieces are then dealt
+evenly to tasks, which make cells of them. So neither a book of many sheets nor a sheet of
+many rows fills a task. Rows are (path, sheet, row_no, cells), missing cells empty."""
 
 from __future__ import annotations
 
+import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,27 +57,34 @@ def _text(node: ElementTree.Element) -> str:
 
 def _shared(strings: list[str], index: str) -> str:
     """A shared string; an index that points to none is an empty cell."""
-    return strings[int(index)] if index.isdigit() and int(index) < len(strings) else ""
+    return strings[int(index)] if index.isdecimal() and len(index) < 19 and int(index) < len(strings) else ""
+
+
+def _ended(stream, name: str) -> Iterator[ElementTree.Element]:
+    """Elements of a plain name as they end; each is let go of before the next is read."""
+    above: list[ElementTree.Element] = []
+    inside = 0
+    for event, node in ElementTree.iterparse(stream, ("start", "end")):
+        hit = _plain(node.tag) == name
+        if event == "start":
+            above.append(node)
+            inside += hit
+            continue
+        above.pop()
+        if hit:
+            inside -= 1
+            yield node
+            node.clear()
+        if above and (hit or not inside):
+            above[-1].remove(node)
 
 
-def rows(book: zipfile.ZipFile, member: str) -> Iterator[list[str]]:
-    """Dense rows of a sheet; shared, inline and plain values as text."""
-    shared = []
-    if "xl/sharedStrings.xml" in book.namelist():
-        shared = [_text(si) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")) if _plain(si.tag) == "si"]
-    with book.open(member) as stream:
-        for _, node in ElementTree.iterparse(stream):
-            if _plain(node.tag) != "row":
-                continue
-            cells: list[str] = []
-            for i, cell in enumerate(x for x in node if _plain(x.tag) == "c"):
-                at = column_index(cell.get("r")) if cell.get("r") else i
-                kind, value = cell.get("t"), next((x.text or "" for x in cell if _plain(x.tag) == "v"), "")
-                text = _text(cell) if kind == "inlineStr" else _shared(shared, value) if kind == "s" else value
-                cells += [""] * (at + 1 - len(cells))
-                cells[at] = text
-            yield cells
-            node.clear()
+def _strings(book: zipfile.ZipFile) -> list[str] | None:
+    """The shared strings of a book, if it has any."""
+    if "xl/sharedStrings.xml" not in book.namelist():
+        return None
+    with book.open("xl/sharedStrings.xml") as stream:
+        return [_text(si) for si in _ended(stream, "si")]
 
 
 ROW = "path string, sheet string, row_no bigint, cells array<string>, error string"
@@ -82,61 +93,234 @@ ROW = "path string, sheet string, row_no bigint, cells array<string>, error stri
 #: Rows of a sheet that leave a task at once.
 BATCH = 2048
 
+#: Bytes of a sheet after which a piece is cut, at the next end of a row.
+PIECE = 1 << 17
+
+_READ = 1 << 14
 _BROKEN = (zipfile.BadZipFile, KeyError, ValueError, ElementTree.ParseError)
+_PIECE = "path string, sheet string, first bigint, n bigint, piece binary, strings map<string,string>, error string"
+
+
+class _Unlike(Exception):
+    """A sheet whose bytes can't be cut: it declares entities or isn't UTF-8."""
+
+
+class _Cutter:
+    """Takes a sheet as a stream of bytes and gives its rows in pieces (first row number, rows
+    that end in it, bytes), each a document of its own. What ``ElementTree`` finds wrong, it
+    finds wrong at the same place, after the rows before it."""
+
+    def __init__(self, size: int):
+        self.size, self.parser = size, expat.ParserCreate(namespace_separator="}")
+        self.parser.StartElementHandler, self.parser.EndElementHandler = self._start, self._end
+        self.parser.StartNamespaceDeclHandler = lambda prefix, _: self.prefixes.add(prefix)
+        self.parser.XmlDeclHandler, self.parser.StartDoctypeDeclHandler = self._declared, self._doctype
+        self.prefixes: set[str | None] = set()
+        self.held, self.base = bytearray(), 0  # bytes of the sheet from place ``base`` on
+        self.inside, self.begin, self.seen = 0, -1, 0  # depth in rows, where an open row begins, last element
+        self.done, self.n, self.weight, self.parts, self.ready = 0, 0, 0, [], []
+
+    def _declared(self, _version, encoding, _alone):
+        if encoding and encoding.lower() not in ("utf-8", "us-ascii"):
+            raise _Unlike
+
+    def _doctype(self, *_):
+        raise _Unlike
+
+    def _start(self, name, _):
+        row = name[-3:] == "row" and _plain(name) == "row"
+        if not self.inside:
+            self._take(self.parser.CurrentByteIndex)
+            if row:
+                self.begin = self.seen
+        self.inside += row
+
+    def _end(self, name):
+        if not self.inside:
+            self._take(self.parser.CurrentByteIndex)
+        elif name[-3:] == "row" and _plain(name) == "row":
+            self.inside -= 1
+            self.n += 1
+
+    def _take(self, end: int) -> None:
+        """An open row's bytes last until the next element begins or ends."""
+        self.seen = end
+        if self.begin >= 0:
+            self.parts.append(bytes(self.held[self.begin - self.base : end - self.base]))
+            self.weight, self.begin = self.weight + len(self.parts[-1]), -1
+            if self.weight >= self.size:
+                self._close()
+
+    def _close(self) -> None:
+        if self.n:
+            bound = "".join(f' xmlns:{p}="urn:{i}"' for i, p in enumerate(sorted(self.prefixes - {None, "xml"})))
+            self.ready.append((self.done, self.n, b"".join([f"<rows{bound}>".encode(), *self.parts, b"</rows>"])))
+        self.done, self.n, self.weight, self.parts = self.done + self.n, 0, 0, []
+
+    def rest(self, end: int | None = None) -> Iterator[tuple[int, int, bytes]]:
+        """What is left at the end, or before place ``end``."""
+        self._take(self.base + len(self.held) if end is None else end)
+        self._close()
+        yield from self.ready
+        self.ready = []
+
+    def feed(self, data: bytes) -> Iterator[tuple[int, int, bytes]]:
+        """Take the next bytes; none at the end."""
+        if not self.base and not self.held and (data[:2] in (b"\xff\xfe", b"\xfe\xff") or 0 in data[:2]):
+            raise _Unlike
+        self.held += data
+        try:
+            self.parser.Parse(data, not data)
+        except expat.ExpatError as why:
+            yield from self.rest(self.parser.ErrorByteIndex)
+            raise ElementTree.ParseError(str(why)) from why
+        yield from self.ready
+        self.ready = []
+        kept = self.begin if self.begin >= 0 else self.seen
+        del self.held[: kept - self.base]
+        self.base = kept
+
+
+def _pieces(book: zipfile.ZipFile, member: str, size: int) -> Iterator[tuple[int, int, bytes]]:
+    """A sheet's rows in pieces of about ``size`` bytes, those before an error as well."""
+    cutter = _Cutter(size)
+    try:
+        with book.open(member) as stream:
+            while True:
+                try:
+                    data = stream.read(_READ)
+                except _BROKEN:
+                    yield from cutter.rest()
+                    raise
+                yield from cutter.feed(data)
+                if not data:
+                    yield from cutter.rest()
+                    return
+    except _Unlike:  # known before the first row
+        yield from _pieces_of_nodes(book, member, size)
 
 
-def _list_sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a sheet with its archive member, or one with the error of a bad file."""
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            error, found = None, [(None, None)]
-            try:
-                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as book:
-                    found = sheets(book)
-            except _BROKEN as why:  # one bad file must not end the job
-                error = f"{type(why).__name__}: {why}"
-            for name, member in found:
-                yield pa.RecordBatch.from_pydict({"path": [path], "sheet": [name], "member": [member], "error": [error]}, schema=pa.schema([(n, pa.string()) for n in ("path", "sheet", "member", "error")]))
+def _pieces_of_nodes(book: zipfile.ZipFile, member: str, size: int) -> Iterator[tuple[int, int, bytes]]:
+    """The same of any sheet, its rows read one by one and written out anew."""
+    done, held, weight = 0, [], 0
 
+    def piece():
+        return done, len(held), b"".join([b"<rows>", *held, b"</rows>"])
 
-def _read_sheets(size: int):
+    with book.open(member) as stream:
+        try:
+            for node in _ended(stream, "row"):
+                node.tail = None
+                held.append(ElementTree.tostring(node))
+                weight += len(held[-1])
+                if weight >= size:
+                    yield piece()
+                    done, held, weight = done + len(held), [], 0
+        except _BROKEN:
+            if held:
+                yield piece()
+            raise
+    if held:
+        yield piece()
+
+
+def _row_nodes(piece: bytes) -> Iterator[ElementTree.Element]:
+    """Rows that end in a piece; the last one of a broken sheet may lack its end."""
+    try:
+        for _, node in ElementTree.iterparse(io.BytesIO(piece)):
+            if _plain(node.tag) == "row":
+                yield node
+                node.clear()
+    except ElementTree.ParseError:
+        return  # the sheet's error is told by the pass that cut it, and so is the number of rows
+
+
+_VALUE = re.compile(rb"<(?:[^\s<>/:]+:)?v(?:\s[^<>]*)?>([^<]*)<")
+
+
+def _used(piece: bytes, strings: list[str] | None) -> list[tuple[str, str]] | None:
+    """Those shared strings that a piece may point to, by their indices as they are written."""
+    if not strings:
+        return None
+    said = set(_VALUE.findall(piece))
+    if b"<!" in piece or b"<?" in piece or any(b"&" in x for x in said):
+        texts = {x.text or "" for row in _row_nodes(piece) for x in row.iter() if _plain(x.tag) == "v"}
+    else:
+        texts = {x.decode() for x in said}
+    return [(x, found) for x in sorted(texts) if (found := _shared(strings, x))]
+
+
+def _cells(node: ElementTree.Element, strings: dict[str, str]) -> list[str]:
+    """Dense cells of a row; shared, inline and plain values as text."""
+    cells: list[str] = []
+    for i, cell in enumerate(x for x in node if _plain(x.tag) == "c"):
+        at = column_index(cell.get("r")) if cell.get("r") else i
+        kind, value = cell.get("t"), next((x.text or "" for x in cell if _plain(x.tag) == "v"), "")
+        text = _text(cell) if kind == "inlineStr" else strings.get(value, "") if kind == "s" else value
+        cells += [""] * (at + 1 - len(cells))
+        cells[at] = text
+    return cells
+
+
+def _cut_books(size: int):
+    text = pa.string()
+    shape = pa.schema([("path", text), ("sheet", text), ("first", pa.int64()), ("n", pa.int64()), ("piece", pa.binary()), ("strings", pa.map_(text, text)), ("error", text)])
+
+    def made(path, sheet, first=None, n=None, piece=None, strings=None, error=None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"path": path, "sheet": sheet, "first": first, "n": n, "piece": piece, "strings": strings, "error": error}], schema=shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:  # one bad file must not end the job, nor one bad sheet its book
+                    with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as book:
+                        found, strings, loaded = sheets(book), None, False
+                        for sheet, member in found:
+                            try:
+                                if not loaded:
+                                    strings, loaded = _strings(book), True
+                                for first, n, piece in _pieces(book, member, size):
+                                    yield made(path, sheet, first, n, piece, _used(piece, strings))
+                            except _BROKEN as why:
+                                yield made(path, sheet, error=f"{type(why).__name__}: {why}")
+                except _BROKEN as why:
+                    yield made(path, None, error=f"{type(why).__name__}: {why}")
+
+    return run
+
+
+def _read_pieces(size: int):
     shape = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("row_no", pa.int64()), ("cells", pa.list_(pa.string())), ("error", pa.string())])
 
-    def made(path, sheet, first: int, cells: list, error=None) -> pa.RecordBatch:
+    def made(path, sheet, numbers, cells, error=None) -> pa.RecordBatch:
         n = len(cells)
-        numbers = [None] if error else list(range(first, first + n))
         return pa.RecordBatch.from_pydict({"path": [path] * n, "sheet": [sheet] * n, "row_no": numbers, "cells": cells, "error": [error] * n}, schema=shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, sheet, member, error, content in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+            for i in range(batch.num_rows):
+                path, sheet, first, n, piece, strings, error = (batch.column(j)[i].as_py() for j in range(7))
                 if error:
-                    yield made(path, None, 0, [None], error)
-                    continue
-                done, held = 0, []
-                try:
-                    with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as book:
-                        for cells in rows(book, member):
-                            held.append(cells)
-                            if len(held) == size:
-                                yield made(path, sheet, done, held)
-                                done, held = done + size, []
-                except _BROKEN as why:
-                    yield made(path, sheet, done, held)
-                    yield made(path, sheet, 0, [None], f"{type(why).__name__}: {why}")
+                    yield made(path, sheet, [None], [None], error)
                     continue
-                if held:
-                    yield made(path, sheet, done, held)
+                known = dict(strings or ())
+                cells = [_cells(node, known) for node in itertools.islice(_row_nodes(piece), n)]
+                if len(cells) < n:
+                    raise RuntimeError(f"{len(cells)} of {n} rows in a piece of {path}, {sheet}")
+                whole = made(path, sheet, range(first, first + n), cells)
+                for at in range(0, n, size):
+                    yield whole.slice(at, size)
 
     return run
 
 
-def book_rows(files: DataFrame, batch: int = BATCH) -> DataFrame:
+def book_rows(files: DataFrame, batch: int = BATCH, piece: int = PIECE) -> DataFrame:
     """All rows of all sheets of workbooks (path, content). A file that can't be read is one
     row with its error; a sheet that breaks off keeps the rows before."""
-    listed = files.select("path", "content").mapInArrow(_list_sheets, "path string, sheet string, member string, error string")
-    dealt = listed.repartition("path", "sheet").join(files.select("path", "content"), "path")
-    return dealt.select("path", "sheet", "member", "error", "content").mapInArrow(_read_sheets(batch), ROW)
+    spark = files.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cut = files.select("path", "content").mapInArrow(_cut_books(piece), _PIECE)
+    return cut.repartition(tasks, "path", "sheet", "first").mapInArrow(_read_pieces(batch), ROW)
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
