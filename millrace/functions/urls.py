@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions import vocab as V
-from millrace.functions.text import has_any, is_noise_title, matches, one_of, or_empty, strip
+from millrace.functions.text import has_any, is_noise_title, let, matches, one_of, or_empty, strip
 
 PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
 
@@ -82,7 +82,7 @@ def synthetic_url(list_url: Column, title: Column, *parts: Column, most: int = 2
 
 
 def is_trusted(url: Column) -> Column:
-    return looks_like_url(url) & reduce(or_, [F.contains(host(url), F.lit(h)) for h in V.TRUSTED_HOSTS])
+    return looks_like_url(url) & has_any(host(url), V.TRUSTED_HOSTS)
 
 
 def is_campus_url(url: Column) -> Column:
@@ -139,8 +139,13 @@ def apply_score(url: Column) -> Column:
 def preferred(urls: Column, limit: int = 8) -> Column:
     """The best distinct URLs of an array; equal scores keep their order."""
     kept = F.array_distinct(F.filter(F.transform(urls, lambda u: strip(or_empty(u))), lambda u: u != ""))
-    ranked = F.array_sort(F.transform(kept, lambda u, i: F.struct((-apply_score(u)).alias("s"), i.alias("i"), u.alias("u"))))
-    return F.slice(F.transform(ranked, lambda x: x["u"]), F.lit(1), F.lit(limit))
+
+    def ranked(found: Column) -> Column:
+        scored = F.array_sort(F.transform(found, lambda u, i: F.struct((-apply_score(u)).alias("s"), i.alias("i"), u.alias("u"))))
+        return F.transform(scored, lambda x: x["u"])
+
+    best = let(kept, lambda found: F.when(F.size(found) > 1, ranked(found)).otherwise(found))  # one needs no score
+    return F.slice(best, F.lit(1), F.lit(limit))
 
 
 def parse_urls(raw: Column) -> Column:

@@ -7,6 +7,7 @@ from xml.etree import ElementTree
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import urls as U
 from millrace.sources import xlsx
 from tests.test_states import book, sheet
 
@@ -78,3 +79,16 @@ def test_rows_of_one_sheet_are_dealt_to_many_tasks(spark):
     rows = xlsx.book_rows(files, piece=20_000).withColumn("task", F.spark_partition_id()).collect()
     assert sorted((r["row_no"], r["cells"]) for r in rows) == list(enumerate(many))
     assert len({r["task"] for r in rows}) > 4
+
+
+def test_a_single_address_is_not_scored(spark, monkeypatch):
+    monkeypatch.setattr(U, "apply_score", lambda u: F.raise_error(F.concat(F.lit("scored "), u)).cast("int"))
+    lists = [(1, ["https://a.com/x"]), (2, [" https://a.com/x", "https://a.com/x ", "", None]), (3, []), (4, None)]
+    got = spark.createDataFrame(lists, "id int, urls array<string>").select("id", U.preferred(F.col("urls")).alias("best")).collect()
+    assert {r["id"]: r["best"] for r in got} == {1: ["https://a.com/x"], 2: ["https://a.com/x"], 3: [], 4: None}
+
+
+def test_trusted_hosts_are_looked_for_in_the_host_alone(spark):
+    urls = ["https://x.mokahr.com/1", "HTTPS://ZHIYE.COM:80", "https://a.com/mokahr.com", "https://mokahrXcom/", "mokahr.com", "", None, " https://jobs.feishu.cn?a", "https://"]
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select(U.is_trusted(F.col("u")).alias("t")).collect()
+    assert [r["t"] for r in got] == [True, True, False, False, False, False, False, True, False]
