@@ -201,9 +201,9 @@ def is_chrome_title(title: Column) -> Column:
 def chrome_of(t: Column, compact: Column) -> Column:
     """``is_chrome_title`` of a trimmed title, with and without white space."""
     parts = F.filter(F.split(t, r"(?U)\s*[-—–|]\s*"), lambda p: p != "")
-    odd = F.exists(parts, lambda p: matches(p, V.CHROME_TITLE) | in_noise_titles(p))
+    odd = F.exists(parts, lambda p: matches(p, V.CHROME_FOUND) | in_noise_titles(p))
     role = F.exists(parts, lambda p: has_any(p, V.ROLE_WORDS))
-    phrase = matches(t, V.CHROME_TITLE) | matches(compact, V.CHROME_TITLE)
+    phrase = matches(t, V.CHROME_FOUND) | matches(compact, V.CHROME_FOUND)
     tip = matches(t, V.BROWSER_TIP) | matches(compact, V.BROWSER_TIP)
     known = F.lower(compact).isin("searchjobs", "jobsatapple", "careers", "career")
     return (t != "") & (phrase | tip | known & _in_noise(t, compact) | ((F.size(parts) >= 2) & odd & ~role))
